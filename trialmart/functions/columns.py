@@ -88,11 +88,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
+# Averages of amounts with few decimals often lie midway between two rounded
+# values, where the last bit of a sum decides. The shift settles those upwards.
+TIE_SHIFT = 1.234567e-8
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column; used where results are compared or shown."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            F.round(F.col(f"`{f.name}`") + TIE_SHIFT, digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema

@@ -23,7 +23,6 @@ from .finance import (
     _break_even_columns,
     _economics,
     break_even_needed,
-    break_even_table,
     treatment_vs_control,
 )
 from .significance import welch_ttest
@@ -187,10 +186,3 @@ def poststratified_uplift(
         F.try_divide(F.sum(uplift * weight), F.sum(weight)).alias("uplift_adjusted"),
     )
 
-
-def break_even_by_status(
-    users: DataFrame, segment_col: str | None = None, *, ids_unique: bool = False
-) -> DataFrame:
-    return break_even_status3(
-        break_even_table(users, segment_col=segment_col, ids_unique=ids_unique)
-    )
