@@ -11,6 +11,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -61,11 +62,11 @@ def normal_two_sided(z: float) -> float | None:
     return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def z_pvalue(z: pd.Series) -> pd.Series:
     return pd.Series([normal_two_sided(v) for v in z], dtype="float64")
