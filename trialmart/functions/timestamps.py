@@ -29,17 +29,6 @@ def has_offset(col: Column) -> Column:
     return F.coalesce(F.trim(col.cast("string")).rlike(_OFFSET_SUFFIX), F.lit(False))
 
 
-def local_to_utc(ts: Column, zone: Column, raw: Column, offset_aware: bool = False) -> Column:
-    """Local wall time to UTC by a per-row zone (PRJ4).
-
-    A value with its own offset is an instant already. By default it is moved
-    like the others, which is what the published figures rest on;
-    ``offset_aware`` leaves such values alone.
-    """
-    moved = F.to_utc_timestamp(ts, zone)
-    return F.when(has_offset(raw), ts).otherwise(moved) if offset_aware else moved
-
-
 def event_time(scheduled_flag: Column, scheduled_utc: Column, created_utc: Column) -> Column:
     """Scheduled time of a scheduled order unless it precedes creation (PRJ5)."""
     return F.when(scheduled_flag & (scheduled_utc >= created_utc), scheduled_utc).otherwise(

@@ -27,7 +27,7 @@ from ..functions.fixed_values import (
     ORDER_PII,
     TREATMENT_LABELS,
 )
-from ..functions.timestamps import business_date, event_time, local_to_utc, parse_timestamp
+from ..functions.timestamps import business_date, event_time, has_offset, parse_timestamp
 
 # Two copies of an order are told apart by these columns in turn. A caller that
 # needs only a few order columns gets the same winner, as long as they are a
@@ -73,15 +73,29 @@ def basket_size(df: DataFrame, name: str = "items") -> Column:
 def parse_order_times(
     orders: DataFrame, business_tz: str = BUSINESS_TZ, offset_aware: bool = False
 ) -> DataFrame:
-    """Typed order times and the event time derived from them (PRJ1, PRJ3-6)."""
-    zone = F.coalesce(column_or_null(orders, "merchant_timezone", "string"), F.lit(business_tz))
-    times = {}
-    for raw, utc in (("order_created_at", "created_utc"), ("order_scheduled_date", "scheduled_utc")):
-        text = column_or_null(orders, raw, "string")
-        times[raw] = parse_timestamp(text)
-        times[utc] = local_to_utc(times[raw], zone, text, offset_aware)
-    times["order_scheduled"] = column_or_null(orders, "order_scheduled", "boolean")
-    timed = orders.withColumns(times)
+    """Typed order times and the event time derived from them (PRJ1, PRJ3-6).
+
+    A text with its own UTC offset is an instant already. By default it is moved
+    by the zone like the others, which is what the published figures rest on;
+    ``offset_aware`` leaves such values alone.
+    """
+    # Parsed in a step of its own, so that each text is parsed once.
+    parsed = {
+        "_zone": F.coalesce(
+            column_or_null(orders, "merchant_timezone", "string"), F.lit(business_tz)
+        ),
+        "order_scheduled": column_or_null(orders, "order_scheduled", "boolean"),
+    }
+    utc = {}
+    for name, moved in (("order_created_at", "created_utc"), ("order_scheduled_date", "scheduled_utc")):
+        text = column_or_null(orders, name, "string")
+        parsed[name] = parse_timestamp(text)
+        utc[moved] = F.to_utc_timestamp(F.col(name), F.col("_zone"))
+        if offset_aware:
+            parsed[f"_{name}_has_offset"] = has_offset(text)
+            utc[moved] = F.when(F.col(f"_{name}_has_offset"), F.col(name)).otherwise(utc[moved])
+    timed = orders.withColumns(parsed).withColumns(utc)
+    timed = timed.drop(*[c for c in parsed if c.startswith("_")])
     timed = timed.withColumn(
         "event_ts_utc",
         event_time(F.col("order_scheduled"), F.col("scheduled_utc"), F.col("created_utc")),

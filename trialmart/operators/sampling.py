@@ -55,6 +55,8 @@ def cap_rows(
     keep is found by rank, rows below it pass a filter, and only rows that share
     that very hash are numbered.
     """
+    if max_rows < 1:
+        raise ValueError("max_rows must be positive")
     hashed = df.withColumn("_h", sample_hash(id_col, seed))
     ranked = pick_ranks(value_runs(hashed, ["_h"], n_buckets=n_buckets), [F.lit(max_rows)])
     last = ranked.agg(F.max("r0")).scalar().cast("bigint")

@@ -194,7 +194,7 @@ def fact_join(spark, sf_dir):
     raw = raw_tables(spark, sf_dir)
     joined = clean_and_conform(
         raw.orders, raw.consumers, raw.restaurants, raw.abmap, silver_only=True,
-        use_quantile_window=True, cache_intermediates=True,
+        use_quantile_window=True,
     )
     return joined.select(
         "order_id", "customer_id", "merchant_id", "event_ts_utc", "is_target", "language",

@@ -55,20 +55,22 @@ def clean_and_conform(
     experiment_end: str | Column | None = None,
     auto_infer_window: bool = True,
     use_quantile_window: bool = False,
-    cache_intermediates: bool = False,
+    cache_intermediates: bool | None = None,
     offset_aware: bool = False,
     silver_only: bool = False,
 ) -> DataFrame:
     """Raw tables to the joined order fact (JN4).
 
-    ``cache_intermediates`` writes the conformed orders to the shared folder,
-    which pays when the window is inferred and the orders are needed twice.
+    An inferred window needs the conformed orders more than once, so they are
+    written to the shared folder first; ``cache_intermediates`` forces or forbids
+    that.
     ``silver_only`` keeps just the order columns of the silver table, before the
     deduplication moves them.
     """
     columns = FACT_ORDER_COLUMNS if silver_only else None
     typed = conform_orders(orders, business_tz, offset_aware=offset_aware, columns=columns)
-    if cache_intermediates:
+    inferred = auto_infer_window and experiment_start is None and experiment_end is None
+    if inferred if cache_intermediates is None else cache_intermediates:
         typed = stage(typed, "orders_conformed")
     start, end = _choose_window(
         typed, experiment_start, experiment_end, auto_infer_window, use_quantile_window
@@ -91,6 +93,7 @@ def users_silver(
     experiment_end: str | Column | None = None,
     auto_infer_window: bool = True,
     use_quantile_window: bool = False,
+    cache_intermediates: bool | None = None,
     recency_ref: str = "window_end",
     offset_aware: bool = False,
 ) -> DataFrame:
@@ -98,6 +101,9 @@ def users_silver(
     typed = conform_orders(
         raw.orders, business_tz, offset_aware=offset_aware, columns=USER_ORDER_COLUMNS
     )
+    inferred = auto_infer_window and experiment_start is None and experiment_end is None
+    if inferred if cache_intermediates is None else cache_intermediates:
+        typed = stage(typed, "orders_conformed")
     start, end = _choose_window(
         typed, experiment_start, experiment_end, auto_infer_window, use_quantile_window
     )
