@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from trialmart.functions.columns import keep_first
 from trialmart.operators import conform, fact, quality, users
 from trialmart.plans import adapter, catalog, pipeline
 
@@ -36,11 +37,12 @@ def plan(df):
 def test_no_pair_joins_and_no_gathering(spark, name):
     text = plan(catalog.queries()[name](spark, SF_DIR))
     assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
-    lines = text.split("\n")
-    for above, line in zip(lines, lines[1:]):
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in text.split("\n")]
+    for i, (depth, line) in enumerate(lines):
         # Only partial aggregates may meet in a single task.
         if "Exchange SinglePartition" in line:
-            assert "Aggregate" in above, above
+            parent = next(x for d, x in reversed(lines[:i]) if d < depth)
+            assert "Aggregate" in parent, parent
     assert not re.search(r"functions=\[[^\]]*(collect_list|percentile\()", text)
 
 
@@ -68,7 +70,8 @@ def test_unused_columns_are_not_read(spark):
     assert schema == "struct<customer_id:string,frequency:bigint,monetary:double,is_target:int>"
 
 
-def test_hot_customer_is_split(spark):
+@pytest.mark.parametrize("null_as_control", [False, True])
+def test_hot_customer_is_split(spark, null_as_control):
     n = 40_000
     orders = spark.range(n).select(
         F.col("id").cast("string").alias("order_id"),
@@ -82,6 +85,7 @@ def test_hot_customer_is_split(spark):
     consumers = people.select("customer_id", F.lit("pt").alias("language"))
     abmap = people.select("customer_id", F.lit(1).alias("is_target"))
     places = spark.createDataFrame([("m1", 3)], "merchant_id string, price_range int")
+    places = keep_first(places, ["merchant_id"], ["price_range"])
     with conf(
         spark,
         spark__sql__autoBroadcastJoinThreshold="-1",
@@ -90,12 +94,15 @@ def test_hot_customer_is_split(spark):
         spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.2",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="64KB",
     ):
-        joined = fact.join_fact(orders.repartition(8), consumers, places, abmap)
+        joined = fact.join_fact(
+            orders.repartition(8), consumers, places, abmap, null_as_control
+        )
         assert joined.where("customer_id = 'hot'").count() == n // 2
         assert joined.agg(F.count("*"), F.count("price_range")).first() == (n, n - 13_334)
-        done = joined.groupBy("language").count()
+        done = joined.groupBy("language").agg(F.max("origin_platform"), F.sum("price_range"))
         done.collect()
-        assert "skew=true" in plan(done)
+        # Both the customer and the merchant join.
+        assert plan(done).count("SortMergeJoin(skew=true)") == 2
 
 
 def test_hot_customer_in_user_table(spark):

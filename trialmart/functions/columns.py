@@ -88,6 +88,19 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
+def splittable_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Equi-join of a large table with a keyed one where a key may own many rows.
+
+    Adaptive execution splits a hot key only if both inputs come straight from a
+    shuffle made for the join. An aggregate or a join on the same key would be
+    taken as it is; wrapping the key in a struct makes Spark shuffle that side
+    again, which costs little next to the large one. Small sides are broadcast
+    as ever. As in any equi-join a NULL key matches nothing.
+    """
+    tagged = right.where(F.col(key).isNotNull()).withColumn("_key", F.struct(key)).drop(key)
+    return left.withColumn("_key", F.struct(key)).join(tagged, "_key", how).drop("_key")
+
+
 # Averages of amounts with few decimals often lie midway between two rounded
 # values, where the last bit of a sum decides. The shift settles those upwards.
 TIE_SHIFT = 1.234567e-8

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import require_columns
+from ..functions.columns import require_columns, splittable_join
 from ..functions.fixed_values import ORDERS_SILVER_COLUMNS
 from ..functions.timestamps import as_bound
 from .order_stats import quantile_table
@@ -82,8 +82,7 @@ def customer_dimension(
 
     Both sides have one row per key, so this join cannot skew. Joining the order
     table once to the result, in place of twice to its parts, leaves a single
-    join in which one customer may own a large share of rows, and adaptive
-    execution can split that one.
+    join in which one customer may own a large share of rows.
     """
     how = "full" if null_as_control else "left"
     return abmap.join(consumers, "customer_id", how)
@@ -106,11 +105,14 @@ def join_fact(
     """Orders with customer, merchant and assignment columns (JN1-JN4).
 
     No broadcast hint: the merchant table grows with the business, so Spark
-    broadcasts it while its size allows and shuffles beyond.
+    broadcasts it while its size allows and shuffles beyond, splitting hot and
+    missing merchants.
     """
     people = customer_dimension(consumers, abmap, null_as_control)
-    joined = orders.join(people, "customer_id", "left" if null_as_control else "inner")
-    return assignment_policy(joined, null_as_control).join(restaurants, "merchant_id", "left")
+    how = "left" if null_as_control else "inner"
+    joined = splittable_join(orders, people, "customer_id", how)
+    assigned = assignment_policy(joined, null_as_control)
+    return splittable_join(assigned, restaurants, "merchant_id", "left")
 
 
 def build_orders_silver(fact: DataFrame) -> DataFrame:
@@ -148,9 +150,8 @@ def impute_by_price_range(silver: DataFrame, means: DataFrame | None = None) ->
     """
     require_columns(silver, ["price_range", "minimum_order_value", "delivery_time"], "orders")
     means = price_range_means(silver) if means is None else means
-    means = means.where(F.col("price_range").isNotNull())
     return (
-        silver.join(means, "price_range", "left")
+        splittable_join(silver, means, "price_range", "left")
         .withColumns(
             {
                 "minimum_order_value_imputed": F.coalesce("minimum_order_value", "mov_mean"),

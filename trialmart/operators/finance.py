@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_ids, require_columns
+from ..functions.columns import count_ids, require_columns, splittable_join
 from ..functions.fixed_values import COUPON_COST, REDEMPTION_RATE, TAKE_RATE
 
 BREAK_EVEN_COLUMNS = (
@@ -25,6 +25,7 @@ BREAK_EVEN_COLUMNS = (
     "roi_percent",
     "status",
 )
+KEPT_STATUSES = ("OK", "No limite")
 # decimals shown in the published table
 ROUNDING = {
     "gmv_ctrl": 2,
@@ -247,12 +248,34 @@ def round_break_even(table: DataFrame) -> DataFrame:
     return table.withColumns({c: F.bround(c, d) for c, d in digits.items()}).orderBy("segment")
 
 
+def treated_counts(
+    users: DataFrame, keys: Sequence[str], *, ids_unique: bool = False
+) -> DataFrame:
+    """Treated users per key combination, ``n``."""
+    treated = users.where(F.col("is_target") == 1)
+    return treated.groupBy(*keys).agg(count_ids("customer_id", ids_unique).alias("n"))
+
+
+def _coverage(counts: DataFrame, break_even: DataFrame, statuses: Sequence[str]) -> DataFrame:
+    """Share of counted users in segments of these statuses, as one row."""
+    kept = break_even.where(F.col("status").isin(*statuses)).select(
+        "segment", F.lit(True).alias("kept")
+    )
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    inside = F.coalesce(F.sum(F.when(F.col("kept"), F.col("n"))), F.lit(0))
+    return counts.join(kept, "segment", "left").agg(
+        inside.alias("covered"),
+        total.alias("treated"),
+        (inside / F.greatest(total, F.lit(1))).alias("coverage"),
+    )
+
+
 def coverage_share(
     users: DataFrame,
     break_even: DataFrame,
     *,
     segment_col: str,
-    statuses: Sequence[str] = ("OK", "No limite"),
+    statuses: Sequence[str] = KEPT_STATUSES,
     ids_unique: bool = False,
 ) -> DataFrame:
     """Treated users in kept segments, all treated users, and the share (AGG16).
@@ -260,28 +283,14 @@ def coverage_share(
     Users fold to one row per segment before they meet the segments kept. A
     NULL segment counts in the total only.
     """
-    treated = (
-        users.where(F.col("is_target") == 1)
-        .groupBy(F.col(segment_col).alias("segment"))
-        .agg(count_ids("customer_id", ids_unique).alias("n"))
-    )
-    kept = break_even.where(F.col("status").isin(*statuses)).select(
-        "segment", F.lit(True).alias("kept")
-    )
-    n, in_kept = F.sum("n"), F.sum(F.when(F.col("kept"), F.col("n")))
-    return treated.join(kept, "segment", "left").agg(
-        F.coalesce(in_kept, F.lit(0)).alias("covered"),
-        F.coalesce(n, F.lit(0)).alias("treated"),
-        (F.coalesce(in_kept, F.lit(0)) / F.greatest(F.coalesce(n, F.lit(0)), F.lit(1))).alias(
-            "coverage"
-        ),
-    )
+    counts = treated_counts(users, [segment_col], ids_unique=ids_unique)
+    return _coverage(counts.withColumnRenamed(segment_col, "segment"), break_even, statuses)
 
 
 def project_profit(
     break_even: DataFrame,
     *,
-    statuses: Sequence[str] = ("OK", "No limite"),
+    statuses: Sequence[str] = KEPT_STATUSES,
     mode: str = "continuo",
     campaigns_per_year: int = 12,
     adjust_coverage: bool = True,
@@ -301,16 +310,21 @@ def project_profit(
         factor = annual_factor if isinstance(annual_factor, Column) else F.lit(float(annual_factor))
     else:
         factor = F.lit(float(campaigns_per_year))
-    kept = break_even.where(F.col("status").isin(*statuses))
-    row = kept.agg(F.coalesce(F.sum("lucro_total"), F.lit(0.0)).alias("profit"))
     share = F.lit(1.0)
     if adjust_coverage and users is not None and segment_col is not None:
         share = coverage_share(
             users, break_even, segment_col=segment_col, statuses=statuses,
             ids_unique=ids_unique,
         ).select("coverage").scalar()
-    sized = row.withColumns({"factor": factor, "share": share})
-    return sized.select(
+    return _projection(break_even, statuses, factor, share)
+
+
+def _projection(
+    break_even: DataFrame, statuses: Sequence[str], factor: Column, share: Column
+) -> DataFrame:
+    kept = break_even.where(F.col("status").isin(*statuses))
+    row = kept.agg(F.coalesce(F.sum("lucro_total"), F.lit(0.0)).alias("profit"))
+    return row.withColumns({"factor": factor, "share": share}).select(
         F.bround("profit", 0).alias("lucro_periodo_selecionados"),
         F.bround(F.col("profit") * F.col("factor") * F.col("share"), 0).alias("projecao_anual"),
         F.col("factor").alias("fator_anual"),
@@ -324,7 +338,7 @@ def drop_losing_segments(users: DataFrame, break_even: DataFrame, segment_col: s
     Matched on the typed value; users without a segment stay.
     """
     losing = break_even.where(F.col("status") == "NEG").select(F.col("segment").alias(segment_col))
-    return users.join(losing, segment_col, "left_anti")
+    return splittable_join(users, losing, segment_col, "left_anti")
 
 
 def project_without_losers(
@@ -335,11 +349,18 @@ def project_without_losers(
     platform_col: str = "origin_platform",
     frequency_col: str = "heavy_user",
     campaigns_per_year: int = 12,
+    statuses: Sequence[str] = KEPT_STATUSES,
     ids_unique: bool = False,
 ) -> DataFrame:
-    """Projection with coverage counted without loss-making frequency segments (FIN8)."""
-    rest = drop_losing_segments(users, frequency_break_even, frequency_col)
-    return project_profit(
-        platform_break_even, mode="campanhas", campaigns_per_year=campaigns_per_year,
-        users=rest, segment_col=platform_col, ids_unique=ids_unique,
+    """Projection with coverage counted without loss-making frequency segments (FIN8).
+
+    Users are counted per platform and frequency segment first; the losing
+    segments then leave the counts, so the user table is not joined at all.
+    """
+    counts = treated_counts(users, [platform_col, frequency_col], ids_unique=ids_unique)
+    rest = drop_losing_segments(counts, frequency_break_even, frequency_col)
+    per_platform = rest.groupBy(F.col(platform_col).alias("segment")).agg(F.sum("n").alias("n"))
+    share = _coverage(per_platform, platform_break_even, statuses).select("coverage").scalar()
+    return _projection(
+        platform_break_even, statuses, F.lit(float(campaigns_per_year)), share
     )

@@ -29,14 +29,15 @@ def read_tar_lines(spark: SparkSession, path: str, suffix: str = ".csv") -> Data
     """Text lines of the members: ``(archive, member, line_no, line)`` (SRC11).
 
     A path may name many archives; each is one task, as a gzip stream has to be
-    read from its start. Members are streamed in small batches and never
-    unpacked as a whole. macOS companions are skipped.
+    read from its start. Members are decompressed in small batches and never
+    unpacked as a whole. macOS companions are skipped. The compressed archive
+    has to fit in one cell of a table, which ends at 2 GB.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
                     for member in tar:
                         if _is_wanted(member, suffix):
                             yield from _line_frames(archive, member.name, tar.extractfile(member))
@@ -73,7 +74,7 @@ def preview_tar_members(spark: SparkSession, path: str, limit: int = 5) -> DataF
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"]):
                 found = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
                     for member in tar:
                         if len(found) == limit:
                             break
