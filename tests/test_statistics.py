@@ -263,6 +263,31 @@ def test_box_and_histogram(users, rows):
         assert np.allclose([mine[i]["density"] if i in mine else 0 for i in range(10)], density)
 
 
+def test_charts_of_clipped_values(spark):
+    rng = random.Random(5)
+    data = [(i % 2, rng.expovariate(0.1)) for i in range(500)]
+    df = spark.createDataFrame(data, "is_target int, v double")
+    boxes = {r["is_target"]: r for r in charts.boxplot_stats(df, ["v"], clip_p=0.2).collect()}
+    bins = charts.density_histogram(df, ["v"], clip_p=0.2, bins=7).collect()
+    for arm in (0, 1):
+        values = np.array([v for a, v in data if a == arm])
+        values = np.clip(values, *np.quantile(values, [0.2, 0.8]))
+        r = boxes[arm]
+        assert np.allclose([r["q1"], r["median"], r["q3"]], np.quantile(values, [0.25, 0.5, 0.75]))
+        assert r["whisker_lo"] == pytest.approx(values.min()) and r["n_outliers"] == 0
+        counts, edges = np.histogram(values, bins=7)
+        mine = {b["bin"]: b for b in bins if b["is_target"] == arm}
+        assert [mine[i]["n"] for i in range(7)] == list(counts)
+        assert mine[0]["bin_lo"] == pytest.approx(edges[0])
+
+
+def test_histogram_clipped_to_one_value(spark):
+    data = [(1, 1.0), (1, 9.0)] + [(1, 5.0)] * 30
+    df = spark.createDataFrame(data, "is_target int, v double")
+    (row,) = charts.density_histogram(df, ["v"], bins=4, clip_p=0.1).collect()
+    assert (row["bin"], row["n"]) == (2, 32)
+
+
 def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 5.0)], "is_target int, v double")
     (row,) = charts.density_histogram(df, ["v"], bins=4).collect()

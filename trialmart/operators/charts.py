@@ -4,44 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
 from .order_stats import (
     N_BUCKETS,
     attach_to_runs,
+    pick_ranks,
+    quantile_columns,
     quantiles_of_runs,
+    rank_columns,
     value_runs,
 )
-from .sampling import clip
 
 _QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _chart_runs(
-    users: DataFrame,
-    metrics: Sequence[str],
-    keys: Sequence[str],
-    clip_p: float | None,
-    n_buckets: int,
+def _arm_runs(
+    users: DataFrame, metrics: Sequence[str], keys: Sequence[str], n_buckets: int
 ) -> DataFrame:
-    """Value runs per cell of both arms, clipped to the cell's own tail quantiles if asked.
-
-    Clipping keeps the order of values, so the runs stay sorted by bucket.
-    """
+    """Value runs per key, arm and metric, for the arms 0 and 1."""
     require_columns(users, [*keys, *metrics, "is_target"], "user table")
     arms = users.where(F.col("is_target").isin(0, 1))
-    cells = [*keys, "is_target"]
-    runs = value_runs(arms, metrics, cells, n_buckets=n_buckets)
-    if clip_p is None or not 0 < clip_p < 0.5:
-        return runs
-    bounds = quantiles_of_runs(runs, [clip_p, 1 - clip_p], "cont").select("cell", "q0", "q1")
-    clipped = clip(F.col("value"), F.col("q0"), F.col("q1"))
+    return value_runs(arms, metrics, [*keys, "is_target"], n_buckets=n_buckets)
+
+
+def _tails(clip_p: float | None) -> tuple[float, ...]:
+    return (clip_p, 1 - clip_p) if clip_p is not None and 0 < clip_p < 0.5 else ()
+
+
+_CLIPPED = "if({value} is not null, least(greatest({value}, lo), hi), null)"
+
+
+def _boxes(runs: DataFrame, tails: Sequence[float]) -> DataFrame:
+    """Clip bounds, quartiles and fences per cell from one ranking.
+
+    Clipping keeps the order of values, so quartiles of the clipped metric come
+    from the clipped values at the same ranks.
+    """
+    probs = (*tails, *_QUARTILES)
+    none = ["cast(null as double)"] * 2
+    low, high = quantile_columns(probs, "cont")[: len(tails)] or none
+    quartiles = quantile_columns(probs, "cont", _CLIPPED)[len(tails) :]
     return (
-        attach_to_runs(runs, bounds)
-        .groupBy("cell", "bucket", clipped.alias("value"))
-        .agg(F.sum("n").alias("n"))
+        pick_ranks(runs, rank_columns(probs, "cont"))
+        .selectExpr("*", f"{low} as lo", f"{high} as hi")
+        .selectExpr(
+            "cell", "lo", "hi",
+            *[f"{q} as {name}" for q, name in zip(quartiles, ("q1", "median", "q3"))],
+        )
+        .selectExpr("*", "q1 - 1.5D * (q3 - q1) as fence_lo", "q3 + 1.5D * (q3 - q1) as fence_hi")
     )
 
 
@@ -55,23 +68,18 @@ def boxplot_stats(
 ) -> DataFrame:
     """Quartiles, whiskers and outlier counts per key, arm and metric (CH1, CH2).
 
-    Whiskers end at the last values within 1.5 interquartile ranges of the box.
+    Whiskers end at the last values within 1.5 interquartile ranges of the box,
+    but not inside the box. With ``clip_p`` each cell is clipped to its own tail
+    quantiles first.
     """
-    runs = _chart_runs(users, metrics, keys, clip_p, n_buckets)
-    boxes = quantiles_of_runs(runs, _QUARTILES, "cont")
-    reach = 1.5 * (F.col("q2") - F.col("q0"))
-    boxes = boxes.withColumns({"fence_lo": F.col("q0") - reach, "fence_hi": F.col("q2") + reach})
-    full = attach_to_runs(runs, boxes)
-    value, n = F.col("value"), F.col("n")
+    runs = _arm_runs(users, metrics, keys, n_buckets)
+    full = attach_to_runs(runs, _boxes(runs, _tails(clip_p)))
+    value, n = F.expr(_CLIPPED.format(value="value")), F.col("n")
     inside = value.between(F.col("fence_lo"), F.col("fence_hi"))
-    # Like the drawing rule, a whisker never ends inside the box.
-    low = F.min(F.when(inside, value))
-    high = F.max(F.when(inside, value))
-    per_cell = full.groupBy("cell").agg(
+    per_cell = full.groupBy("cell", "q1", "median", "q3").agg(
         F.sum("n").alias("n"),
-        *[F.max(f"q{i}").alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-        low.alias("low"),
-        high.alias("high"),
+        F.min(F.when(inside, value)).alias("low"),
+        F.max(F.when(inside, value)).alias("high"),
         F.sum(F.when(~inside, n).otherwise(0)).alias("n_outliers"),
     )
     return per_cell.select(
@@ -86,11 +94,6 @@ def boxplot_stats(
     )
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    place = F.floor((value - low) * bins / (high - low)).cast("int")
-    return F.when(high > low, F.least(place, F.lit(bins - 1))).otherwise(F.lit(bins // 2))
-
-
 def density_histogram(
     users: DataFrame,
     metrics: Sequence[str],
@@ -106,28 +109,33 @@ def density_histogram(
     ``bin_hi``, ``n``, ``density``; empty bins are absent. The last bin includes
     its upper edge. A cell with a single value gets a range of width 1 around it.
     """
-    runs = _chart_runs(users, metrics, keys, clip_p, n_buckets)
-    span = runs.groupBy("cell").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
-    )
-    flat = F.col("hi") == F.col("lo")
-    span = span.select(
-        "cell",
-        "total",
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    runs = _arm_runs(users, metrics, keys, n_buckets)
+    tails = _tails(clip_p)
+    if tails:
+        # The smallest and largest values lie outside the bounds or on them, so
+        # the bounds are the range of the clipped metric.
+        span = quantiles_of_runs(runs, tails, "cont").select(
+            "cell", "total", F.col("q0").alias("lo"), F.col("q1").alias("hi")
+        )
+    else:
+        span = runs.groupBy("cell").agg(
+            F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        )
+    span = span.selectExpr(
+        "cell", "total", "lo", "hi",
+        "if(lo = hi, lo - 0.5D, lo) as first", "if(lo = hi, hi + 0.5D, hi) as last",
     )
-    full = attach_to_runs(runs, span)
+    full = attach_to_runs(runs, span).withColumn("value", F.expr(_CLIPPED.format(value="value")))
+    place = F.expr(f"cast(floor((value - first) * {bins} / (last - first)) as int)")
     binned = full.groupBy(
-        "cell", "total", "lo", "hi",
-        _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin"),
+        "cell", "total", "first", "last", F.least(place, F.lit(bins - 1)).alias("bin")
     ).agg(F.sum("n").alias("n"))
-    width = (F.col("hi") - F.col("lo")) / bins
+    width = (F.col("last") - F.col("first")) / bins
     return binned.select(
         "cell.*",
         "bin",
-        (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+        (F.col("first") + F.col("bin") * width).alias("bin_lo"),
+        (F.col("first") + (F.col("bin") + 1) * width).alias("bin_hi"),
         "n",
         (F.col("n") / (F.col("total") * width)).alias("density"),
     )

@@ -14,10 +14,10 @@ The cut points decide how the work is split, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N_BUCKETS = 256
@@ -83,95 +83,89 @@ def value_runs(
 
 def bucket_totals(runs: DataFrame) -> DataFrame:
     """Rows per cell and bucket with the rows before it and in all (bounded windows)."""
-    whole = Window.partitionBy("cell")
-    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = "partition by cell order by bucket rows between unbounded preceding and 1 preceding"
     return (
         runs.groupBy("cell", "bucket")
         .agg(F.sum("n").alias("n_bucket"))
-        .withColumns(
-            {
-                "before": F.coalesce(F.sum("n_bucket").over(earlier), F.lit(0)),
-                "total": F.sum("n_bucket").over(whole),
-            }
+        .selectExpr(
+            "*",
+            f"coalesce(sum(n_bucket) over ({earlier}), 0) as before",
+            "sum(n_bucket) over (partition by cell) as total",
         )
     )
 
 
-def pick_ranks(runs: DataFrame, ranks: Sequence[Column]) -> DataFrame:
+def pick_ranks(runs: DataFrame, ranks: Sequence[str]) -> DataFrame:
     """Values at 1-based ranks: ``(cell, total, r0, r1, …)``, one row per cell.
 
-    The rank columns may use ``total``. A rank outside ``1..total`` gives NULL, and a
-    cell without any rank inside is absent.
+    The ranks are SQL expressions that may use ``total``. A rank outside
+    ``1..total`` gives NULL, and a cell without any rank inside is absent.
     """
-    totals = bucket_totals(runs)
-    slots = F.array(
-        *[F.struct(F.lit(i).alias("slot"), r.cast("bigint").alias("rank"))
-          for i, r in enumerate(ranks)]
+    slots = ", ".join(
+        f"struct({i} as slot, cast({rank} as bigint) as rank)" for i, rank in enumerate(ranks)
     )
-    wanted = totals.withColumn("slots", slots).withColumn(
-        "slots",
-        F.filter(
-            "slots",
-            lambda s: (s["rank"] > F.col("before"))
-            & (s["rank"] <= F.col("before") + F.col("n_bucket")),
-        ),
-    )
-    holders = wanted.where(F.size("slots") > 0).select(
-        "cell", "bucket", "before", "total", "slots"
-    )
-    in_cell = Window.partitionBy("cell", "bucket").orderBy("value")
+    holders = bucket_totals(runs).selectExpr(
+        "cell", "bucket", "before", "total",
+        f"filter(array({slots}), s -> s.rank > before and s.rank <= before + n_bucket) as slots",
+    ).where("size(slots) > 0")
+    in_cell = "partition by cell, bucket order by value"
     hits = (
         runs.join(holders, ["cell", "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(in_cell))
-        .withColumn(
-            "hit",
-            F.filter(
-                "slots",
-                lambda s: (s["rank"] <= F.col("upto"))
-                & (s["rank"] > F.col("upto") - F.col("n")),
-            ),
+        .selectExpr("*", f"before + sum(n) over ({in_cell}) as upto")
+        .selectExpr(
+            "cell", "total", "value",
+            "filter(slots, s -> s.rank <= upto and s.rank > upto - n).slot as hit",
         )
-        .where(F.size("hit") > 0)
+        .where("size(hit) > 0")
     )
     return hits.groupBy("cell").agg(
         F.max("total").alias("total"),
         *[
-            F.max(F.when(F.array_contains("hit.slot", i), F.col("value"))).alias(f"r{i}")
+            F.expr(f"max(value) filter (where array_contains(hit, {i})) as r{i}")
             for i in range(len(ranks))
         ],
     )
 
 
-def _exact(p: float) -> Column:
+def _place(p: float, of: str) -> str:
     # As decimal, so that p * n does not land just above a whole number.
-    return F.lit(Decimal(str(p))).cast("decimal(18,12)")
+    return f"(cast('{Decimal(str(p)):f}' as decimal(18,12)) * {of})"
+
+
+def rank_columns(probs: Sequence[float], method: str) -> list[str]:
+    """The ranks, in terms of ``total``, that quantiles at ``probs`` are made of."""
+    if method == "disc":
+        return [f"greatest(1, ceil({_place(p, 'total')}))" for p in probs]
+    if method != "cont":
+        raise ValueError("method must be 'disc' or 'cont'")
+    lows = [f"floor({_place(p, '(total - 1)')})" for p in probs]
+    return [rank for low in lows for rank in (f"{low} + 1", f"least({low} + 2, total)")]
 
 
-def _quantile_columns(probs: Sequence[float], method: str) -> tuple[list[Column], list[Column]]:
-    """Ranks to fetch, and the quantiles made of them as ``q0, q1, …``."""
-    ranks: list[Column] = []
-    values: list[Column] = []
-    total = F.col("total")
+def quantile_columns(
+    probs: Sequence[float], method: str, through: str = "{value}"
+) -> list[str]:
+    """Quantiles as SQL over the values at ``rank_columns``, named ``r0, r1, …``.
+
+    ``through`` is an expression applied to those values first; if it rises with
+    the value, the result is the quantile of the transformed metric.
+    """
+    if method == "disc":
+        return [through.format(value=f"r{i}") for i, _ in enumerate(probs)]
+    columns = []
     for i, p in enumerate(probs):
-        if method == "disc":
-            ranks.append(F.greatest(F.lit(1), F.ceil(_exact(p) * total)))
-            values.append(F.col(f"r{i}").alias(f"q{i}"))
-        elif method == "cont":
-            place = _exact(p) * (total - 1)
-            low = F.floor(place)
-            ranks += [low + 1, F.least(low + 2, total)]
-            below, above = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
-            part = (place - low).cast("double")
-            values.append((below + (above - below) * part).alias(f"q{i}"))
-        else:
-            raise ValueError("method must be 'disc' or 'cont'")
-    return ranks, values
+        place = _place(p, "(total - 1)")
+        below, above = (through.format(value=f"r{2 * i + k}") for k in (0, 1))
+        columns.append(f"{below} + ({above} - {below}) * cast({place} - floor({place}) as double)")
+    return columns
 
 
 def quantiles_of_runs(runs: DataFrame, probs: Sequence[float], method: str = "disc") -> DataFrame:
     """``(cell, total, q0, q1, …)`` from value runs."""
-    ranks, values = _quantile_columns(probs, method)
-    return pick_ranks(runs, ranks).select("cell", "total", *values)
+    values = quantile_columns(probs, method)
+    return pick_ranks(runs, rank_columns(probs, method)).select(
+        "cell", "total", *[F.expr(v).alias(f"q{i}") for i, v in enumerate(values)]
+    )
 
 
 def quantile_table(
@@ -237,6 +231,3 @@ def attach_to_runs(runs: DataFrame, per_cell: DataFrame) -> DataFrame:
     spread = runs.select("cell", "bucket").distinct().join(per_cell, "cell")
     return runs.join(spread, ["cell", "bucket"])
 
-
-def quantile_names(probs: Iterable[float]) -> list[str]:
-    return [f"q{i}" for i, _ in enumerate(probs)]

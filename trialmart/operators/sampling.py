@@ -58,7 +58,7 @@ def cap_rows(
     if max_rows < 1:
         raise ValueError("max_rows must be positive")
     hashed = df.withColumn("_h", sample_hash(id_col, seed))
-    ranked = pick_ranks(value_runs(hashed, ["_h"], n_buckets=n_buckets), [F.lit(max_rows)])
+    ranked = pick_ranks(value_runs(hashed, ["_h"], n_buckets=n_buckets), [str(max_rows)])
     last = ranked.agg(F.max("r0")).scalar().cast("bigint")
     kept = hashed.withColumn("_last", F.coalesce(last, F.lit(2**32))).where("_h <= _last")
     place = Window.partitionBy("_h").orderBy(id_col)
