@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from trialmart.functions.columns import keep_first
 from trialmart.operators import conform, fact, quality, users
-from trialmart.plans import adapter, catalog, pipeline
+from trialmart.plans import adapter, catalog, silver
 
 SF_DIR = entry_points.SMOKE_DIR
 
@@ -54,7 +54,7 @@ def test_dedup_is_limited_before_the_shuffle(spark):
 
 def test_users_fold_orders_before_any_join(spark):
     with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        text = plan(pipeline.users_silver(
+        text = plan(silver.users_silver(
             adapter.raw_tables(spark, SF_DIR), experiment_start=adapter.WINDOW[0],
             experiment_end=adapter.WINDOW[1],
         ))
@@ -135,3 +135,22 @@ def test_silver_join_takes_stored_means_by_size(spark):
 def test_duplicate_groups_count_without_gathering(spark):
     text = plan(quality.duplicate_groups(catalog.silver_orders(spark, SF_DIR), ids_unique=True))
     assert text.count("Exchange hashpartitioning") == 1 and "collect" not in text
+
+
+def test_folded_values_are_shuffled_once(spark):
+    df = catalog.queries()["ab_robust"](spark, SF_DIR)
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in text and "percentile_approx" not in text
+
+
+def test_post_etl_checks(spark):
+    silver_rows, table = catalog.silver_orders(spark, SF_DIR), catalog.silver_users(spark, SF_DIR)
+    checks = quality.check_post_etl(silver_rows, table, light=False)
+    assert set(checks) == {
+        "time_range", "ab_split", "null_counts", "duplicate_total", "worst_duplicates",
+    }
+    assert checks["null_counts"].count() == len(silver_rows.columns)
+    assert checks["ab_split"].agg(F.sum("n_users")).first()[0] == table.count()
+    for check in checks.values():
+        check.collect()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmart.operators.conform import conform_abmap, conform_orders
-from trialmart.plans.pipeline import clean_and_conform
+from trialmart.plans.silver import clean_and_conform
 from trialmart.sources import archives, files, readers, sinks
 from trialmart.sources.storage import shared_dir, stage
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialmart.functions.columns import round_doubles
 from trialmart.operators import fact, users
-from trialmart.plans import adapter, pipeline
+from trialmart.plans import adapter, silver
 from trialmart.sources.storage import stage
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -79,14 +79,14 @@ def test_short_and_long_way_agree(spark, null_as_control, explicit):
         "experiment_start": start,
         "experiment_end": end,
     }
-    joined = pipeline.clean_and_conform(
+    joined = silver.clean_and_conform(
         raw.orders, raw.consumers, raw.restaurants, raw.abmap, **options
     )
     long_way = users.build_user_aggregates(
         stage(fact.build_orders_silver(joined), "t"), start, end, recency_ref="last_event"
     )
     if explicit:
-        short = pipeline.users_silver(raw, recency_ref="last_event", **options)
+        short = silver.users_silver(raw, recency_ref="last_event", **options)
     else:
         # Without a window the reference dates come from the users themselves.
         typed = users.users_from_conformed

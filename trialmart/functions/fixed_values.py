@@ -100,7 +100,7 @@ HEAVY_THRESHOLD = 3
 RFM_QUANTILES = (0.2, 0.4, 0.6, 0.8)
 GROUP_NAMES = {0: "Controle", 1: "Tratamento"}
 
-# Order fields the pipeline reads from raw JSON.
+# Order fields read from raw JSON.
 RAW_ORDER_FIELDS = (
     "order_id",
     "customer_id",

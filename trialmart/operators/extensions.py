@@ -1,4 +1,4 @@
-"""Rules that the experiment report states but its pipeline never computed.
+"""Rules that the experiment report states but its code never computed.
 
 They are separate operators; none of them changes the results of the others.
 """

@@ -22,24 +22,40 @@ from pyspark.sql import functions as F
 
 N_BUCKETS = 256
 SKETCH_ACCURACY = 10_000
+# Accuracy of the cut points per bucket; they only have to be roughly even.
+CUT_ACCURACY = 16
+
+
+def _cut_points(df: DataFrame, metrics: Sequence[str], n_buckets: int) -> list[str]:
+    """Per metric, ``n_buckets - 1`` rising numbers as comma-separated text.
+
+    One job with one mergeable sketch per metric; this bounded list is all that
+    reaches the driver. As plain constants the cuts are the same wherever the
+    runs are used, so Spark computes and shuffles the runs once.
+    """
+    # One text literal in place of many number literals keeps planning cheap.
+    points = ",".join(str(i / n_buckets) for i in range(1, n_buckets))
+    grid = F.expr(f"cast(split('{points}', ',') as array<double>)")
+    accuracy = CUT_ACCURACY * n_buckets
+    sketches = [
+        F.percentile_approx(F.when(~F.isnan(m), F.col(m)), grid, accuracy) for m in metrics
+    ]
+    found = df.agg(*sketches).first()
+    return [",".join(str(c) for c in cuts or [0.0] * (n_buckets - 1)) for cuts in found]
 
 
 def _bucketed(
     df: DataFrame, metrics: Sequence[str], carry: Sequence[str], n_buckets: int
 ) -> DataFrame:
     """Long form ``(carry…, metric, value, bucket)`` without NULL and NaN values."""
-    if n_buckets & (n_buckets - 1):
+    if n_buckets < 2 or n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
-    # One text literal in place of a thousand number literals keeps planning cheap.
-    points = ",".join(str(i / n_buckets) for i in range(1, n_buckets))
-    grid = F.expr(f"cast(split('{points}', ',') as array<double>)")
-    sketches = [F.percentile_approx(m, grid, SKETCH_ACCURACY) for m in metrics]
-    cuts = df.agg(F.array(*sketches)).scalar()
-    long = df.unpivot(list(carry), list(metrics), "metric", "value")
-    place = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric"))
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn(
-        "_cuts", F.element_at(cuts, place.cast("int"))
+    cuts = " ".join(
+        f"when '{m}' then cast(split('{text}', ',') as array<double>)"
+        for m, text in zip(metrics, _cut_points(df, metrics, n_buckets))
     )
+    long = df.unpivot(list(carry), list(metrics), "metric", "value")
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     # Binary search: the bucket is the number of cut points below the value.
     # Each level builds on the one before it in the same select list.
     levels, previous, step = [], "0", n_buckets // 2
@@ -47,7 +63,8 @@ def _bucketed(
         hop = f"if(value > element_at(_cuts, {previous} + {step}), {step}, 0)"
         levels.append(f"{previous} + {hop} as _b{step}")
         previous, step = f"_b{step}", step // 2
-    found = long.selectExpr(*[f"`{c}`" for c in carry], "metric", "value", "_cuts", *levels)
+    keep = [f"`{c}`" for c in carry]
+    found = long.selectExpr(*keep, "metric", "value", f"case metric {cuts} end as _cuts", *levels)
     return found.select(*carry, "metric", "value", F.col(previous).alias("bucket"))
 
 

@@ -86,6 +86,31 @@ def worst_duplicates(groups: DataFrame, k: int = 10) -> DataFrame:
     return groups.orderBy(F.col("n_orders").desc(), *ties).limit(k)
 
 
+def check_post_etl(
+    orders_silver: DataFrame,
+    users_silver: DataFrame,
+    *,
+    light: bool = True,
+    key_cols: Sequence[str] = NULL_CHECK_COLUMNS,
+    check_semantic_dups: bool = True,
+    ids_unique: bool = False,
+) -> dict[str, DataFrame]:
+    """All silver checks by name, each lazy (DQ1-DQ4).
+
+    ``light`` counts NULLs in key columns only, else in all.
+    """
+    checks = {
+        "time_range": time_range(orders_silver),
+        "ab_split": ab_split(users_silver),
+        "null_counts": null_counts(orders_silver, key_cols if light else None),
+    }
+    if check_semantic_dups:
+        groups = duplicate_groups(orders_silver, ids_unique=ids_unique)
+        checks["duplicate_total"] = duplicate_total(groups)
+        checks["worst_duplicates"] = worst_duplicates(groups)
+    return checks
+
+
 def profile(df: DataFrame, table: str, time_col: str | None = None) -> DataFrame:
     """Rows and time span of a table (DQ5)."""
     moment = F.col(time_col).cast("string") if time_col and time_col in df.columns else F.lit(

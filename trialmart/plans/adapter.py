@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .pipeline import Raw
+from .silver import Raw
 
 WINDOW = ("1997-01-01", "1998-07-01")
 

@@ -30,7 +30,7 @@ from ..operators import (
 )
 from ..sources.storage import stage
 from .adapter import WINDOW, raw_tables
-from .pipeline import clean_and_conform, users_silver
+from .silver import clean_and_conform, users_silver
 
 Query = Callable[[SparkSession, str], DataFrame]
 
