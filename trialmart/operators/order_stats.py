@@ -54,8 +54,12 @@ def _bucketed(
         f"when '{m}' then cast(split('{text}', ',') as array<double>)"
         for m, text in zip(metrics, _cut_points(df, metrics, n_buckets))
     )
-    long = df.unpivot(list(carry), list(metrics), "metric", "value")
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    keep = [f"`{c}`" for c in carry]
+    # A generator, not unpivot: the expansion that one plans to hides from Spark
+    # that two uses of the runs are the same shuffle.
+    pairs = ", ".join(f"struct('{m}' as metric, `{m}` as value)" for m in metrics)
+    long = df.selectExpr(*keep, f"inline(array({pairs}))")
+    long = long.where("value is not null and not isnan(value)")
     # Binary search: the bucket is the number of cut points below the value.
     # Each level builds on the one before it in the same select list.
     levels, previous, step = [], "0", n_buckets // 2
@@ -63,7 +67,6 @@ def _bucketed(
         hop = f"if(value > element_at(_cuts, {previous} + {step}), {step}, 0)"
         levels.append(f"{previous} + {hop} as _b{step}")
         previous, step = f"_b{step}", step // 2
-    keep = [f"`{c}`" for c in carry]
     found = long.selectExpr(*keep, "metric", "value", f"case metric {cuts} end as _cuts", *levels)
     return found.select(*carry, "metric", "value", F.col(previous).alias("bucket"))
 
