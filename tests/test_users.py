@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmart.functions.columns import round_doubles
-from trialmart.operators import fact, users
-from trialmart.plans import adapter, silver
+from trialmart.operators import conform, fact, users
+from trialmart.plans import adapter
+from trialmart.plans.silver import clean_and_conform, users_silver
+from trialmart.sources.sinks import write_orders_silver
 from trialmart.sources.storage import stage
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -79,20 +81,17 @@ def test_short_and_long_way_agree(spark, null_as_control, explicit):
         "experiment_start": start,
         "experiment_end": end,
     }
-    joined = silver.clean_and_conform(
+    joined = clean_and_conform(
         raw.orders, raw.consumers, raw.restaurants, raw.abmap, **options
     )
     long_way = users.build_user_aggregates(
         stage(fact.build_orders_silver(joined), "t"), start, end, recency_ref="last_event"
     )
     if explicit:
-        short = silver.users_silver(raw, recency_ref="last_event", **options)
+        short = users_silver(raw, recency_ref="last_event", **options)
     else:
         # Without a window the reference dates come from the users themselves.
-        typed = users.users_from_conformed
-        from trialmart.operators import conform
-
-        short = typed(
+        short = users.users_from_conformed(
             conform.conform_orders(raw.orders, columns=conform.USER_ORDER_COLUMNS).where(
                 "event_ts_utc is not null"
             ),
@@ -139,8 +138,6 @@ def test_partition_dates_keep_the_window(spark, tmp_path):
         "event_date_brt", F.to_date(F.from_utc_timestamp("event_ts_utc", "America/Sao_Paulo"))
     )
     path = str(tmp_path / "silver")
-    from trialmart.sources.sinks import write_orders_silver
-
     write_orders_silver(table, path)
     cut = fact.prune_event_dates(spark.read.parquet(path), "2019-01-03", "2019-01-05")
     assert {r["order_id"] for r in cut.collect()} == {"3", "4"}
