@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without one gets a temporary folder; on a cluster that
-    would not be visible to the executors, so there it is an error.
+    Where that is unset, a folder below the session's warehouse, which every
+    executor can reach as well. Never a folder of one machine's own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="trialmart-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    return configured.rstrip("/")
+
+
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/trialmart/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder in the shared folder that nothing else uses."""
+    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -30,9 +34,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     The lineage is cut for good, later scans read only the columns they use, and
     Spark knows the size of the table when it decides whether to broadcast it.
+    The table stays until ``drop_staged``.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark).rstrip('/')}/trialmart/{app}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession, name: str | None = None) -> None:
+    """Remove what this session has staged: all of it, or the tables of one name.
+
+    DataFrames that still read them fail afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    files = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(top):
+        return
+    for entry in files.listStatus(top):
+        if name is None or entry.getPath().getName().rpartition("-")[0] == name:
+            files.delete(entry.getPath(), True)
