@@ -6,20 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import oracle, quality, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.clean_documents(docs).drop("text")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op10_quality_rules": op10_quality_rules,
 }
+SQL: dict[str, str] = {
+    "op1_warc": oracle.WARC,
+    "op10_quality_rules": oracle.QUALITY,
+}
 
 
 def queries() -> dict[str, Query]:
@@ -27,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
