@@ -21,11 +21,11 @@ QUALITY = r"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from t),
 win as (
-  select doc_id, i, i + j as at, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
+  select doc_id, i, i + j as pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
   from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w), (select unnest([0, 1, 2]) as j)
 ),
 rep as (
-  select doc_id, count(distinct at) as n_repeat_words
+  select doc_id, count(distinct pos) as n_repeat_words
   from (select *, count(*) over (partition by doc_id, g) as c from win) where c > 3 group by doc_id
 ),
 ln as (
@@ -73,3 +73,24 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     and failed_chars <= 0.5 * word_chars as kept
 from r
 """
+
+SHARDING = """
+with d as (
+  select doc_id, coalesce(strlen(text), 0) as n_bytes,
+    right(bin(cast('0x' || left(md5(coalesce(cast(doc_id as varchar), '')), 8) as bigint)
+              + 4294967296), 32) as bits
+  from documents
+),
+l as (select *, left(bits, k) as bucket, k from d, (select unnest(range(0, 33)) as k)),
+t as (
+  select bucket, cast(sum(n_bytes) as bigint) as shard_bytes, count(*) as c
+  from l group by bucket
+),
+f as (
+  select l.*, shard_bytes, row_number() over (partition by doc_id order by k) as r
+  from l join t using (bucket) where shard_bytes <= 33554432 or c = 1
+)
+select doc_id, cast(n_bytes as bigint) as n_bytes, 'b' || bucket as shard,
+  cast(k as int) as depth, shard_bytes
+from f where r = 1
+"""

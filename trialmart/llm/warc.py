@@ -257,7 +257,7 @@ class Written(WriterCommitMessage):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
-        self.target = int(options.get("partitionbytes", 128 << 20))
+        self.target = int(options.get("partitionbytes", 32 << 20))
         self.schema = schema
         self.tests: list[tuple[str, str, tuple]] = []
         if types := options.get("recordtypes"):
