@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracle, packing, quality, sharding, warc
+from . import langid, oracle, packing, quality, sharding, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select(
+        "doc_id",
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        "lang_mix",
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -31,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
