@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, oracle, packing, quality, sharding, warc
+from . import decontaminate, langid, oracle, packing, pii, quality, sharding, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.find_private(docs))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.find_leaks(docs, benchmark)
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
