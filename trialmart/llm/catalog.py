@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, oracle, packing, pii, quality, sharding, warc
+from . import decontaminate, langid, ngram_join, oracle, packing, pii, quality, sharding, warc
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, benchmark)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
