@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ngram_join, oracle, packing, pii, quality, sharding, warc
+from . import (
+    decontaminate,
+    langid,
+    ngram_join,
+    oracle,
+    packing,
+    pii,
+    quality,
+    sharding,
+    urlfilter,
+    warc,
+)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +43,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages, URL_RULES).drop("url")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.report(pii.find_private(docs))
@@ -59,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op4_url_filters": op4_url_filters,
     "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
