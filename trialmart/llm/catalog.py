@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     langid,
+    licenses,
     ngram_join,
     oracle,
     packing,
@@ -62,6 +63,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_private(docs))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.find_licenses(docs).select("doc_id", "license", F.round("dice", 6).alias("dice"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.find_leaks(docs, benchmark)
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_url_filters": op4_url_filters,
     "op5_pii": op5_pii,
+    "op6_license_scans": op6_license_scans,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing": op9_packing,
@@ -94,6 +101,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_warc": oracle.WARC,
     "op3_sharding": oracle.SHARDING,
+    "op6_license_scans": oracle.licenses(),
     "op10_quality_rules": oracle.QUALITY,
 }
 

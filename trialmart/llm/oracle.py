@@ -1,5 +1,7 @@
 """The same results in DuckDB's SQL, for the queries that SQL can express."""
 
+from .license_texts import TEMPLATES
+
 WARC = """
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (
@@ -94,3 +96,42 @@ select doc_id, cast(n_bytes as bigint) as n_bytes, 'b' || bucket as shard,
   cast(k as int) as depth, shard_bytes
 from f where r = 1
 """
+
+
+def licenses() -> str:
+    """Every template against every unit of every document, without pruning."""
+    given = ", ".join(
+        "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items()
+    )
+    return f"""
+with u as (
+  select distinct doc_id, unit from (
+    select doc_id, unnest(string_split(text, chr(10))) as unit from documents
+    union all
+    select doc_id, unnest(string_split_regex(text, '\\n[ \\t\\r]*\\n')) from documents
+    union all select doc_id, text from documents)
+),
+w as (select doc_id, regexp_extract_all(lower(unit), '[\\p{{L}}\\p{{N}}]+') as ws from u),
+g as (
+  select doc_id,
+    list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as own
+  from w where len(ws) > 1
+),
+t as (
+  select license, list_distinct(list_transform(range(1, len(ws)),
+    lambda i: ws[i] || ' ' || ws[i + 1])) as theirs
+  from (select license, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') as ws
+        from (values {given}) v(license, body))
+),
+m as (
+  select doc_id, license,
+    max(2.0::double * len(list_intersect(own, theirs)) / (len(own) + len(theirs))) as dice
+  from g, t group by doc_id, license
+),
+b as (
+  select *, row_number() over (partition by doc_id order by dice desc, license) as r
+  from m where dice >= 0.8
+)
+select d.doc_id, b.license, round(b.dice, 6) as dice
+from documents d left join b on d.doc_id = b.doc_id and b.r = 1
+"""
