@@ -150,7 +150,8 @@ def mann_whitney(
         U = sum over buckets (U inside + n_treat * controls in lower buckets)
 
     The p-value uses the normal approximation with tie and continuity
-    correction; ``method`` says so. A side without values gives NULL statistics.
+    correction; ``method`` says so. A side without values gives NULL statistics;
+    when all values are equal nothing can differ, so p is 1 and z NULL.
     """
     require_columns(users, [*keys, *metrics, group_col], "user table")
     runs = value_runs(users, metrics, keys, group_col=group_col, n_buckets=n_buckets)
@@ -201,7 +202,9 @@ def mann_whitney(
             "n_ctrl",
             "U",
             "z",
-            F.when(F.col("z") < 0, F.lit(1.0)).otherwise(z_pvalue("z")).alias("pval"),
+            F.when(both & ((variance <= 0) | (F.col("z") < 0)), F.lit(1.0))
+            .otherwise(z_pvalue("z"))
+            .alias("pval"),
             F.when(both, F.lit("asymptotic")).alias("method"),
         )
     )
