@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmart.functions.columns import round_doubles
-from trialmart.operators import conform, fact, users
+from trialmart.operators import conform, extensions, fact, users
 from trialmart.plans import adapter
 from trialmart.plans.silver import clean_and_conform, users_silver
 from trialmart.sources.sinks import write_orders_silver
@@ -143,3 +143,40 @@ def test_partition_dates_keep_the_window(spark, tmp_path):
     assert {r["order_id"] for r in cut.collect()} == {"3", "4"}
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date_brt" in plan
+
+
+def test_session_time_zone_does_not_matter(spark):
+    """Instants, windows, days and weeks are the same in every session zone."""
+    def results():
+        raw = adapter.raw_tables(spark, SF_DIR)
+        typed = conform.conform_orders(raw.orders, columns=conform.FACT_ORDER_COLUMNS)
+        seconds = F.unix_micros("event_ts_utc")
+        out = [typed.agg(
+            F.count("event_ts_utc"), F.bit_xor(F.xxhash64("order_id", seconds)), F.min("event_date_brt"),
+            F.bit_xor(F.xxhash64("order_id", "event_date_brt")),
+        ).first()]
+        out += [fact.infer_window(typed, m).first() for m in ("minmax", "quantile")]
+        cut = fact.experiment_window(typed, *adapter.WINDOW)
+        out.append(cut.count())
+        fact_like = cut.withColumns(
+            {"is_target": F.lit(1), "active": F.lit(True),
+             "consumer_created_at": F.col("event_ts_utc")}
+        )
+        table = users.build_user_aggregates(fact_like, *adapter.WINDOW)
+        late = users.recency_from_last_event(table)
+        for t in (table, late):
+            out.append(t.agg(F.sum("recency"), F.count_if("is_new_customer"),
+                             F.bit_xor(F.xxhash64("customer_id", F.unix_micros("last_order")))).first())
+        weeks = extensions.weekly_users(fact_like)
+        out.append(weeks.agg(F.bit_xor(F.xxhash64("week", "customer_id")), F.count("*")).first())
+        return out
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    try:
+        for zone in ("UTC", "America/Sao_Paulo", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found.append(results())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1] == found[2]

@@ -6,7 +6,6 @@ typed NULLs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,13 @@ from ..functions.fixed_values import (
     ORDER_PII,
     TREATMENT_LABELS,
 )
-from ..functions.timestamps import business_date, event_time, has_offset, parse_timestamp
+from ..functions.timestamps import (
+    business_date,
+    event_time,
+    has_offset,
+    parse_plain,
+    parse_timestamp,
+)
 
 # Two copies of an order are told apart by these columns in turn. A caller that
 # needs only a few order columns gets the same winner, as long as they are a
@@ -164,7 +169,7 @@ def conform_consumers(consumers: DataFrame) -> DataFrame:
         column_or_null(consumers, "language", "string", lower=True).alias("language"),
         column_or_null(consumers, "active", "boolean").alias("active"),
         F.sha2(phone, 256).alias("phone_hash"),
-        F.try_to_timestamp(column_or_null(consumers, "created_at", "string")).alias(
+        parse_plain(column_or_null(consumers, "created_at", "string")).alias(
             "consumer_created_at"
         ),
     )
@@ -188,7 +193,7 @@ def conform_restaurants(restaurants: DataFrame) -> DataFrame:
         typed("price_range", "int"),
         *[typed(n, "double") for n in numbers],
         *[typed(p, "string") for p in places],
-        F.try_to_timestamp(column_or_null(restaurants, "created_at", "string")).alias(
+        parse_plain(column_or_null(restaurants, "created_at", "string")).alias(
             "merchant_created_at"
         ),
     )
@@ -201,7 +206,7 @@ def conform_restaurants(restaurants: DataFrame) -> DataFrame:
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Trimmed lower-case headers with ``_`` for blanks (PRJ15)."""
-    return df.toDF(*[re.sub(" ", "_", c.strip().lower()) for c in df.columns])
+    return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
 
 
 def group_column(df: DataFrame) -> str:

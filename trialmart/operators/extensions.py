@@ -17,7 +17,7 @@ from ..functions.fixed_values import (
     REDEMPTION_RATE,
     TAKE_RATE,
 )
-from ..functions.timestamps import as_bound
+from ..functions.timestamps import as_bound, utc_date
 from .fact import experiment_window
 from .finance import (
     _break_even_columns,
@@ -68,7 +68,7 @@ def weekly_users(orders_silver: DataFrame) -> DataFrame:
     """Value per customer and week of the event, with arm and last platform."""
     moment = F.struct("event_ts_utc", "order_id")
     return orders_silver.groupBy(
-        F.to_date(F.date_trunc("week", "event_ts_utc")).alias("week"), "customer_id"
+        F.trunc(utc_date("event_ts_utc"), "week").alias("week"), "customer_id"
     ).agg(
         F.sum("order_total_amount").alias("monetary"),
         F.max("is_target").alias("is_target"),

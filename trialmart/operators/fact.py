@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns, splittable_join
 from ..functions.fixed_values import ORDERS_SILVER_COLUMNS
-from ..functions.timestamps import as_bound
+from ..functions.timestamps import as_bound, start_of_day, utc_date
+from ..sources.storage import stage
 from .order_stats import quantile_table
 
 
@@ -19,16 +20,20 @@ def infer_window(orders: DataFrame, method: str = "minmax") -> DataFrame:
     """
     if method == "minmax":
         ends = orders.agg(
-            F.to_date(F.min("event_ts_utc")).alias("lo"),
-            F.to_date(F.max("event_ts_utc")).alias("hi"),
+            utc_date(F.min("event_ts_utc")).alias("lo"),
+            utc_date(F.max("event_ts_utc")).alias("hi"),
         )
     elif method == "quantile":
-        seconds = orders.select(F.col("event_ts_utc").cast("bigint").alias("t"))
+        # The cut points and the ranks read the events twice; their input may be
+        # a whole chain of parsing and deduplication, so one narrow column is staged.
+        seconds = stage(
+            orders.select(F.floor(F.unix_micros("event_ts_utc") / 1_000_000).alias("t")), "event_seconds"
+        )
         cuts = quantile_table(seconds, ["t"], [0.01, 0.99])
         # A plain aggregate over the one cut row keeps the empty case at one row.
         ends = cuts.agg(
-            F.to_date(F.timestamp_seconds(F.max("q0"))).alias("lo"),
-            F.to_date(F.timestamp_seconds(F.max("q1"))).alias("hi"),
+            utc_date(F.timestamp_seconds(F.max("q0"))).alias("lo"),
+            utc_date(F.timestamp_seconds(F.max("q1"))).alias("hi"),
         )
     else:
         raise ValueError(f"unknown window method {method!r}")
@@ -41,8 +46,8 @@ def window_bounds(window: DataFrame) -> tuple[Column, Column]:
     """The inferred window as two timestamps backed by one scalar subquery."""
     row = window.select(
         F.struct(
-            F.col("window_start").cast("timestamp").alias("lo"),
-            F.col("window_end").cast("timestamp").alias("hi"),
+            start_of_day("window_start").alias("lo"),
+            start_of_day("window_end").alias("hi"),
         )
     ).scalar()
     return row["lo"], row["hi"]
@@ -144,12 +149,13 @@ def price_range_means(silver: DataFrame) -> DataFrame:
 def impute_by_price_range(silver: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """Fill merchant figures by the mean of their price range (PRJ21, JN5).
 
-    A row without a price range stays as it is. The join carries no hint. Give
-    ``means`` as a stored table (see ``sources.storage.stage``): then Spark knows
-    its true size, broadcasts it when small, and the orders do not move.
+    A row without a price range stays as it is. The join carries no hint: the
+    means are a stored table, so Spark knows their size, broadcasts them when
+    small, and the orders do not move. Without ``means`` they are computed and
+    staged here.
     """
     require_columns(silver, ["price_range", "minimum_order_value", "delivery_time"], "orders")
-    means = price_range_means(silver) if means is None else means
+    means = stage(price_range_means(silver), "price_range_means") if means is None else means
     return (
         splittable_join(silver, means, "price_range", "left")
         .withColumns(

@@ -6,24 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
-from ..functions.fixed_values import HEAVY_THRESHOLD
-from ..functions.timestamps import as_bound
+from ..functions.fixed_values import HEAVY_THRESHOLD, USER_COLUMNS
+from ..functions.timestamps import as_bound, utc_date
 from .fact import assignment_policy, customer_dimension, infer_window, window_bounds
 
-USER_COLUMNS = (
-    "customer_id",
-    "last_order",
-    "frequency",
-    "monetary",
-    "is_target",
-    "consumer_created_at",
-    "origin_platform",
-    "active",
-    "recency",
-    "is_new_customer",
-    "heavy_user",
-)
-
 
 def _edge_value(name: str, latest: bool) -> Column:
     """First or last non-NULL value of a user in order of (event time, order id)."""
@@ -49,11 +35,11 @@ def _with_flags(
     heavy_threshold: int,
 ) -> DataFrame:
     """Recency, new-customer and heavy-user columns (AGG5, AGG7, AGG8)."""
-    created = F.col("consumer_created_at").cast("timestamp")
+    created = F.col("consumer_created_at")
     known = start is not None and end is not None
     return users.withColumns(
         {
-            "recency": F.datediff(reference, F.col("last_order")),
+            "recency": F.datediff(utc_date(reference), utc_date("last_order")),
             "is_new_customer": (created >= start) & (created < end) if known else F.lit(False),
             "heavy_user": F.col("frequency") >= F.lit(heavy_threshold),
         }
@@ -161,7 +147,7 @@ def users_from_conformed(
 def recency_from_last_event(users: DataFrame) -> DataFrame:
     """Replace recency by the days to the latest event of any user (AGG6)."""
     latest = users.agg(F.max("last_order")).scalar()
-    return users.withColumn("recency", F.datediff(latest, F.col("last_order")))
+    return users.withColumn("recency", F.datediff(utc_date(latest), utc_date("last_order")))
 
 
 def orders_per_customer(orders: DataFrame) -> DataFrame:
@@ -171,7 +157,7 @@ def orders_per_customer(orders: DataFrame) -> DataFrame:
 
 def period_days(users: DataFrame, fallback: int = 30) -> DataFrame:
     """Days between first and last ``last_order``, ``fallback`` when zero (AGG17)."""
-    days = F.datediff(F.max("last_order"), F.min("last_order"))
+    days = F.datediff(utc_date(F.max("last_order")), utc_date(F.min("last_order")))
     return users.agg(
         F.coalesce(F.nullif(days, F.lit(0)), F.lit(fallback)).alias("period_days")
     )
