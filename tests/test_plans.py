@@ -149,6 +149,7 @@ def test_post_etl_checks(spark):
     checks = quality.check_post_etl(silver_rows, table, light=False)
     assert set(checks) == {
         "time_range", "ab_split", "null_counts", "duplicate_total", "worst_duplicates",
+        "worst_duplicate_members", "preview_orders", "preview_users",
     }
     assert checks["null_counts"].count() == len(silver_rows.columns)
     assert checks["ab_split"].agg(F.sum("n_users")).first()[0] == table.count()

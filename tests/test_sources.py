@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trialmart.operators.conform import conform_abmap, conform_orders
 from trialmart.plans.silver import clean_and_conform
 from trialmart.sources import archives, files, readers, sinks
-from trialmart.sources.storage import shared_dir, stage
+from trialmart.sources.storage import drop_staged, shared_dir, stage
 
 ORDERS = [
     {"order_id": str(i), "customer_id": f"c{i % 3}", "merchant_id": "m", "cpf": "1",
@@ -75,7 +75,7 @@ def test_preflight_report(spark, raw_dir):
     report = {r["key"]: r for r in files.preflight(spark, str(raw_dir)).collect()}
     assert all(r["problem"] is None for r in report.values())
     assert report["orders"]["readable"] and report["orders"]["size_bytes"] > 0
-    assert report["ab_csv"]["size_bytes"] == 1
+    assert report["ab_csv"]["size_bytes"] == 2
 
 
 def test_preflight_names_every_problem(spark, tmp_path):
@@ -97,12 +97,93 @@ def test_preflight_of_missing_folder(spark, tmp_path):
     assert report.where("exists").count() == 0
 
 
-def test_valid_csvs_by_size(spark, raw_dir):
-    bigger = raw_dir / "ab_test_ref_extracted" / "big.csv"
-    bigger.write_text("x" * 9000)
-    names = [r["name"] for r in
-             files.list_valid_ab_csvs(spark, str(raw_dir / "ab_test_ref_extracted")).collect()]
-    assert names == ["big.csv", "map.csv"]
+def test_small_assignment_files_are_read(spark, tmp_path):
+    folder = tmp_path / "maps"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "many.csv").write_text(csv_text(["1"] * 300))
+    (folder / "deep" / "few.csv").write_text(csv_text(["0"] * 50))
+    (folder / "._many.csv").write_text("companion")
+    assert readers.read_abmap(spark, str(folder)).count() == 350
+    assert readers.read_abmap(spark, str(folder), min_bytes=1024).count() == 300
+    names = [r["name"] for r in files.list_valid_ab_csvs(spark, str(folder)).collect()]
+    assert names == ["many.csv", "few.csv"]
+    with pytest.raises(FileNotFoundError):
+        readers.read_abmap(spark, str(tmp_path / "none"))
+
+
+def test_headers_in_another_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "maps"
+    folder.mkdir()
+    (folder / "a.csv").write_text(csv_text(["1"] * 5))
+    (folder / "b.csv").write_text("is_target,customer_id\n" + "0,c9\n" * 5)
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        readers.read_abmap(spark, str(folder)).collect()
+
+
+def test_all_order_columns_are_kept(spark, tmp_path):
+    rows = [{**ORDERS[0], "city": "x"}, {**ORDERS[1], "weight": 1.5}]
+    (tmp_path / "o.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    found = readers.read_orders_json(spark, str(tmp_path / "o.json"))
+    assert {"city", "weight", "cpf", "merchant_timezone"} <= set(found.columns)
+    assert {(r["city"], r["weight"]) for r in found.collect()} == {("x", None), (None, "1.5")}
+    listed = readers.read_orders_json(spark, str(tmp_path / "o.json"), extra_fields=["city"])
+    assert "city" in listed.columns and "weight" not in listed.columns
+    assert "city" in conform_orders(found).columns
+
+
+def test_unfinished_shards_are_refused_and_rebuilt(spark, raw_dir):
+    shards = raw_dir / "orders_sharded"
+    shards.mkdir()
+    (shards / "part-00000.json").write_text(json.dumps(ORDERS[0]) + "\n")
+    with pytest.raises(RuntimeError, match="unfinished"):
+        readers.read_orders(spark, str(raw_dir))
+    assert readers.read_orders(spark, str(raw_dir), trust_foreign_shards=True).count() == 1
+    archives.shard_ndjson(spark, str(raw_dir / "order.json.gz"), str(shards))
+    assert readers.read_orders(spark, str(raw_dir)).count() == 5
+
+
+def test_cut_gzip_is_named(spark, raw_dir):
+    path = raw_dir / "consumer.csv.gz"
+    write_gz(path, "customer_id\n" + "".join(f"{i * 7919 % 99991}\n" for i in range(90_000)))
+    whole = path.read_bytes()
+    assert files.is_readable_text(spark, str(path))
+    path.write_bytes(whole[: len(whole) // 2])
+    assert not files.is_readable_text(spark, str(path))
+    with pytest.raises(RuntimeError, match="unreadable gzip: consumer"):
+        files.preflight(spark, str(raw_dir))
+
+
+def test_preflight_details(spark, raw_dir):
+    (raw_dir / "orders.json").write_text("{}")
+    report = {r["key"]: r for r in files.preflight(spark, str(raw_dir), min_bytes=100).collect()}
+    assert report["orders"]["detail"] == "format: ndjson_or_objects; candidates: orders.json"
+    assert report["orders"]["lines_read"] == 5 and report["consumers"]["lines_read"] == 3
+    assert "ref/map.csv" in report["ab_tar"]["detail"]
+    assert report["ab_csv"]["detail"] == "1 files under 100 bytes are left out"
+
+
+def test_tar_members_with_columns_in_another_order(spark, tmp_path):
+    path = tmp_path / "a.tar.gz"
+    with tarfile.open(path, "w:gz") as tar:
+        add(tar, "a.csv", 'customer_id,is_target\nc1,1\n"c,\n2",0\n')
+        add(tar, "b.csv", "is_target,customer_id\n0,c3\n")
+        add(tar, "empty.csv", "")
+    table = archives.read_tar_csv(spark, str(path))
+    assert {tuple(r) for r in table.collect()} == {("c1", "1"), ("c,\n2", "0"), ("c3", "0")}
+    with tarfile.open(path, "w:gz") as tar:
+        add(tar, "a.csv", csv_text(["1"]))
+        add(tar, "b.csv", "customer_id,other\nc,1\n")
+    with pytest.raises(ValueError, match="differ in columns"):
+        archives.read_tar_csv(spark, str(path))
+
+
+def test_staged_tables_can_be_dropped(spark):
+    df = stage(spark.range(5), "short-lived")
+    kept = stage(spark.range(3), "kept")
+    drop_staged(spark, "short-lived")
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
+    assert kept.count() == 3
 
 
 @pytest.mark.parametrize(

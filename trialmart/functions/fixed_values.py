@@ -117,6 +117,57 @@ RAW_ORDER_FIELDS = (
     "cpf",
     "customer_name",
 )
-MIN_AB_CSV_BYTES = 1024
 MIN_LINES_PER_SHARD = 200_000
 LINES_PER_TARGET_MB = 10_000
+
+# Names under which the orders may also lie in the raw folder.
+ORDER_CANDIDATES = ("order.json", "order.json.gz", "orders.json", "orders.json.gz")
+
+# Columns by which two orders count as the same.
+DUPLICATE_KEYS = ("customer_id", "merchant_id", "event_ts_utc", "order_total_amount")
+
+# Columns of the user table and of the break-even table, in their published order.
+USER_COLUMNS = (
+    "customer_id",
+    "last_order",
+    "frequency",
+    "monetary",
+    "is_target",
+    "consumer_created_at",
+    "origin_platform",
+    "active",
+    "recency",
+    "is_new_customer",
+    "heavy_user",
+)
+BREAK_EVEN_COLUMNS = (
+    "segment",
+    "usuarios_trat",
+    "gmv_ctrl",
+    "gmv_trat",
+    "uplift_gmv_user",
+    "uplift_needed",
+    "gap_uplift",
+    "receita_total",
+    "custo_total",
+    "lucro_total",
+    "lucro_por_usuario",
+    "roi_percent",
+    "status",
+)
+# Decimals shown in the published break-even table.
+ROUNDING = {
+    "gmv_ctrl": 2,
+    "gmv_trat": 2,
+    "uplift_gmv_user": 2,
+    "uplift_needed": 2,
+    "gap_uplift": 2,
+    "lucro_por_usuario": 2,
+    "receita_total": 0,
+    "custo_total": 0,
+    "lucro_total": 0,
+    "roi_percent": 3,
+}
+# Columns of a user sample.
+SAMPLE_COLUMNS = ("customer_id", "is_target", "frequency", "monetary")
+SAMPLE_EXTRA_COLUMNS = ("heavy_user", "is_new_customer", "origin_platform")

@@ -8,37 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_ids, require_columns, splittable_join
-from ..functions.fixed_values import COUPON_COST, REDEMPTION_RATE, TAKE_RATE
-
-BREAK_EVEN_COLUMNS = (
-    "segment",
-    "usuarios_trat",
-    "gmv_ctrl",
-    "gmv_trat",
-    "uplift_gmv_user",
-    "uplift_needed",
-    "gap_uplift",
-    "receita_total",
-    "custo_total",
-    "lucro_total",
-    "lucro_por_usuario",
-    "roi_percent",
-    "status",
+from ..functions.fixed_values import (
+    BREAK_EVEN_COLUMNS,
+    COUPON_COST,
+    REDEMPTION_RATE,
+    ROUNDING,
+    TAKE_RATE,
 )
+
 KEPT_STATUSES = ("OK", "No limite")
-# decimals shown in the published table
-ROUNDING = {
-    "gmv_ctrl": 2,
-    "gmv_trat": 2,
-    "uplift_gmv_user": 2,
-    "uplift_needed": 2,
-    "gap_uplift": 2,
-    "lucro_por_usuario": 2,
-    "receita_total": 0,
-    "custo_total": 0,
-    "lucro_total": 0,
-    "roi_percent": 3,
-}
 
 
 def break_even_needed(
@@ -256,9 +234,25 @@ def treated_counts(
     return treated.groupBy(*keys).agg(count_ids("customer_id", ids_unique).alias("n"))
 
 
-def _coverage(counts: DataFrame, break_even: DataFrame, statuses: Sequence[str]) -> DataFrame:
-    """Share of counted users in segments of these statuses, as one row."""
-    kept = break_even.where(F.col("status").isin(*statuses)).select(
+def _kept(break_even: DataFrame, statuses: Sequence[str], segments: Sequence | None) -> Column:
+    """The segments to keep: the listed ones if there is a list, else by status."""
+    if segments is None:
+        return F.col("status").isin(*statuses)
+    return F.col("segment").cast("string").isin(*[_segment_text(s) for s in segments])
+
+
+def _segment_text(segment: object) -> str:
+    return str(segment).lower() if isinstance(segment, bool) else str(segment)
+
+
+def _coverage(
+    counts: DataFrame,
+    break_even: DataFrame,
+    statuses: Sequence[str],
+    segments: Sequence | None = None,
+) -> DataFrame:
+    """Share of counted users in the segments kept, as one row."""
+    kept = break_even.where(_kept(break_even, statuses, segments)).select(
         "segment", F.lit(True).alias("kept")
     )
     total = F.coalesce(F.sum("n"), F.lit(0))
@@ -276,21 +270,26 @@ def coverage_share(
     *,
     segment_col: str,
     statuses: Sequence[str] = KEPT_STATUSES,
+    segments: Sequence | None = None,
     ids_unique: bool = False,
 ) -> DataFrame:
     """Treated users in kept segments, all treated users, and the share (AGG16).
 
+    ``segments`` lists the segments to keep and takes the place of ``statuses``.
+
     Users fold to one row per segment before they meet the segments kept. A
     NULL segment counts in the total only.
     """
     counts = treated_counts(users, [segment_col], ids_unique=ids_unique)
-    return _coverage(counts.withColumnRenamed(segment_col, "segment"), break_even, statuses)
+    named = counts.withColumnRenamed(segment_col, "segment")
+    return _coverage(named, break_even, statuses, segments)
 
 
 def project_profit(
     break_even: DataFrame,
     *,
     statuses: Sequence[str] = KEPT_STATUSES,
+    segments: Sequence | None = None,
     mode: str = "continuo",
     campaigns_per_year: int = 12,
     adjust_coverage: bool = True,
@@ -301,6 +300,7 @@ def project_profit(
 ) -> DataFrame:
     """Yearly projection of the profit of the segments kept (FIN6, FIN7).
 
+    ``segments`` lists the segments to keep and takes the place of ``statuses``.
     ``mode`` is ``continuo`` (times ``annual_factor``) or ``campanhas`` (times
     ``campaigns_per_year``). Coverage scales the yearly figure by the share of
     treated users in those segments when ``users`` and ``segment_col`` are
@@ -314,15 +314,19 @@ def project_profit(
     if adjust_coverage and users is not None and segment_col is not None:
         share = coverage_share(
             users, break_even, segment_col=segment_col, statuses=statuses,
-            ids_unique=ids_unique,
+            segments=segments, ids_unique=ids_unique,
         ).select("coverage").scalar()
-    return _projection(break_even, statuses, factor, share)
+    return _projection(break_even, statuses, factor, share, segments)
 
 
 def _projection(
-    break_even: DataFrame, statuses: Sequence[str], factor: Column, share: Column
+    break_even: DataFrame,
+    statuses: Sequence[str],
+    factor: Column,
+    share: Column,
+    segments: Sequence | None = None,
 ) -> DataFrame:
-    kept = break_even.where(F.col("status").isin(*statuses))
+    kept = break_even.where(_kept(break_even, statuses, segments))
     row = kept.agg(F.coalesce(F.sum("lucro_total"), F.lit(0.0)).alias("profit"))
     return row.withColumns({"factor": factor, "share": share}).select(
         F.bround("profit", 0).alias("lucro_periodo_selecionados"),

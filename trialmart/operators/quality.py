@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
-from ..functions.fixed_values import NULL_CHECK_COLUMNS
+from ..functions.fixed_values import DUPLICATE_KEYS, NULL_CHECK_COLUMNS
 from .conform import group_column, normalize_headers
 
-DUPLICATE_KEYS = ("customer_id", "merchant_id", "event_ts_utc", "order_total_amount")
-
 
 def time_range(orders: DataFrame) -> DataFrame:
     """First and last event (DQ1)."""
@@ -95,11 +93,14 @@ def check_post_etl(
     check_semantic_dups: bool = True,
     ids_unique: bool = False,
 ) -> dict[str, DataFrame]:
-    """All silver checks by name, each lazy (DQ1-DQ4).
+    """All silver checks by name, each lazy (DQ1-DQ4), with previews of both tables.
 
-    ``light`` counts NULLs in key columns only, else in all.
+    ``light`` counts NULLs in key columns only, else in all. ``worst_duplicate_members``
+    lists the orders of the worst combinations.
     """
     checks = {
+        "preview_orders": preview(orders_silver),
+        "preview_users": preview(users_silver),
         "time_range": time_range(orders_silver),
         "ab_split": ab_split(users_silver),
         "null_counts": null_counts(orders_silver, key_cols if light else None),
@@ -107,7 +108,14 @@ def check_post_etl(
     if check_semantic_dups:
         groups = duplicate_groups(orders_silver, ids_unique=ids_unique)
         checks["duplicate_total"] = duplicate_total(groups)
-        checks["worst_duplicates"] = worst_duplicates(groups)
+        worst = worst_duplicates(groups)
+        checks["worst_duplicates"] = worst
+        members = duplicate_members(orders_silver, ids_unique=ids_unique)
+        # A handful of rows on the right; NULL keys are equal here.
+        same = F.struct(*DUPLICATE_KEYS)
+        checks["worst_duplicate_members"] = members.withColumn("_key", same).join(
+            worst.select(same.alias("_key")), "_key", "left_semi"
+        ).drop("_key")
     return checks
 
 

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns, with_user_metrics
+from ..functions.fixed_values import SAMPLE_COLUMNS, SAMPLE_EXTRA_COLUMNS
 from ..functions.sampling import in_sample, sample_hash
 from .order_stats import N_BUCKETS, pick_ranks, quantile_struct, quantile_table, value_runs
 
-_BASE = ("customer_id", "is_target", "frequency", "monetary")
-_EXTRA = ("heavy_user", "is_new_customer", "origin_platform")
 CLIP_METRICS = ("monetary", "frequency", "aov_user")
 
 
@@ -31,8 +30,8 @@ def user_level_for_tests(
     out users without an arm.
     """
     required = list(required_cols)
-    require_columns(users, [*_BASE, *required], "user table")
-    wanted = [*_BASE, *_EXTRA, *required]
+    require_columns(users, [*SAMPLE_COLUMNS, *required], "user table")
+    wanted = [*SAMPLE_COLUMNS, *SAMPLE_EXTRA_COLUMNS, *required]
     keep = [c for c in dict.fromkeys(wanted) if c in users.columns]
     df = users.select(*keep)
     if sample_frac is not None and 0 < sample_frac < 1:
@@ -40,7 +39,7 @@ def user_level_for_tests(
         if stratify:
             df = df.where(F.col("is_target").isNotNull())
     metrics = with_user_metrics(df)
-    order = [*_BASE, "aov_user", "conv_flag"]
+    order = [*SAMPLE_COLUMNS, "aov_user", "conv_flag"]
     return metrics.select(*order, *[c for c in keep if c not in order])
 
 

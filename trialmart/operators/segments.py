@@ -62,5 +62,5 @@ def rfm_tiers(scored: DataFrame) -> DataFrame:
 
 def rfm_for_sample(scored: DataFrame, sample: DataFrame) -> DataFrame:
     """Segments of the sampled customers only (FLT7, JN9)."""
-    ids = sample.select("customer_id").distinct()
+    ids = sample.select("customer_id")
     return scored.join(ids, "customer_id", "left_semi").select("customer_id", "rfm_segment")

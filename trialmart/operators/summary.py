@@ -47,6 +47,10 @@ def top_segments(
 ) -> DataFrame:
     """The k segments with most users; equal counts rank by segment (SRT2)."""
     counts = users.groupBy(segment_col).agg(count_ids("customer_id", ids_unique).alias("n"))
+    return _largest(counts, segment_col, k)
+
+
+def _largest(counts: DataFrame, segment_col: str, k: int) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), F.col(segment_col).asc_nulls_last()).limit(k)
 
 
@@ -63,7 +67,11 @@ def ab_metrics_by_segment(
     """
     table = users.groupBy(segment_col, "is_target").agg(*_means(ids_unique))
     if top_k_segments:
-        top = top_segments(users, segment_col, top_k_segments, ids_unique=ids_unique)
+        if ids_unique:  # the counts of both arms add up
+            counts = table.groupBy(segment_col).agg(F.sum("usuarios").alias("n"))
+            top = _largest(counts, segment_col, top_k_segments)
+        else:
+            top = top_segments(users, segment_col, top_k_segments)
         table = table.join(top, segment_col, "left_semi")
     return table.orderBy(segment_col, "is_target")
 

@@ -1,17 +1,27 @@
-"""Tar archives and large single files turned into splittable tables."""
+"""Tar archives and large single files turned into splittable tables.
+
+Reading an archive is a one-off import: a gzip stream has to be read from its start
+by one task, and its compressed bytes have to fit in one cell of a table (2 GB).
+Write the result as a table and go on from there.
+"""
 
 from __future__ import annotations
 
+import csv
 import io
+import sys
 import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.fixed_values import LINES_PER_TARGET_MB, MIN_LINES_PER_SHARD
 
+# The functions below travel with the job, so workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BATCH = 20_000
 
 
@@ -85,16 +95,71 @@ def preview_tar_members(spark: SparkSession, path: str, limit: int = 5) -> DataF
     return _archives(spark, path).mapInPandas(names, "archive string, member string")
 
 
+def _header(stream) -> list[str]:
+    for record in csv.reader(io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")):
+        if any(c.strip() for c in record):
+            return [c.strip() for c in record]
+    return []
+
+
+def tar_csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Header of every CSV member: ``(archive, member, header)``; null where it is empty."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, content in zip(batch["path"], batch["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                    for member in tar:
+                        if _is_wanted(member, ".csv"):
+                            names = _header(tar.extractfile(member)) or None
+                            yield pd.DataFrame(
+                                {"archive": [archive], "member": [member.name], "header": [names]}
+                            )
+
+    return _archives(spark, path).mapInPandas(
+        heads, "archive string, member string, header array<string>"
+    )
+
+
 def read_tar_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV members with a common header as one table of text columns (SRC11)."""
-    lines = read_tar_lines(spark, path)
-    header = lines.where("line_no = 0").select("line").limit(1).collect()
-    if not header:
+    """CSV members with the same columns, in any order, as one table of text (SRC11).
+
+    Every member is parsed as CSV, quoted line breaks included, and its values go to
+    the columns by the member's own header. A member with other columns is refused.
+    """
+    headers = tar_csv_headers(spark, path).where("header is not null")
+    sets = headers.selectExpr("array_sort(header) as names").distinct().limit(2).collect()
+    if not sets:
         raise FileNotFoundError(f"no CSV member in {path}")
-    names = [c.strip().strip('"') for c in header[0]["line"].split(",")]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.where((F.col("line_no") > 0) & (F.trim("line") != ""))
-    return rows.select(F.from_csv("line", F.lit(schema)).alias("r")).select("r.*")
+    if len(sets) > 1:
+        raise ValueError(f"members of {path} differ in columns: {sets[0][0]} and {sets[1][0]}")
+    names = headers.orderBy("archive", "member").select("header").first()[0]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+                    for member in tar:
+                        if _is_wanted(member, ".csv"):
+                            yield from _records(tar.extractfile(member))
+
+    def _records(stream) -> Iterator[pd.DataFrame]:
+        header, rows = None, []
+        for record in csv.reader(io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")):
+            if not any(c.strip() for c in record):
+                continue
+            if header is None:
+                header = [c.strip() for c in record]
+                continue
+            row = dict(zip(header, record))
+            rows.append([row.get(n) or None for n in names])
+            if len(rows) == _BATCH:
+                yield pd.DataFrame(rows, columns=names, dtype="object")
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype="object")
+
+    return _archives(spark, path).mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
 
 
 def shard_ndjson(
@@ -106,12 +171,21 @@ def shard_ndjson(
 ) -> DataFrame:
     """Split one line-delimited file into many and read them back (SRC12).
 
-    Does nothing if the target exists already. A gzip file is read by one task
-    whatever comes after; ``parts`` spreads the writing over that many.
+    A finished target is left alone; one that a lost job left unfinished is written
+    anew. A gzip file is read by one task whatever comes after; ``parts`` spreads the
+    writing over that many.
     """
-    lines = spark.read.text(source)
-    if parts:
-        lines = lines.repartition(parts)
-    limit = max(MIN_LINES_PER_SHARD, target_mb * LINES_PER_TARGET_MB)
-    lines.write.mode("ignore").option("maxRecordsPerFile", limit).text(target)
+    if not is_finished(spark, target):
+        lines = spark.read.text(source)
+        if parts:
+            lines = lines.repartition(parts)
+        limit = max(MIN_LINES_PER_SHARD, target_mb * LINES_PER_TARGET_MB)
+        lines.write.mode("overwrite").option("maxRecordsPerFile", limit).text(target)
     return spark.read.text(target)
+
+
+def is_finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a writer has finished this folder."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return marker.getFileSystem(conf).exists(marker)

@@ -1,7 +1,6 @@
 """File listings and checks before anything is loaded.
 
-Listings go through Spark, so they work on any file system it can read, and
-never open the files.
+Listings go through Spark, so they work on any file system it can read.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (
     EXTRACTED_AB_DIR,
-    MIN_AB_CSV_BYTES,
+    ORDER_CANDIDATES,
     REQUIRED_FILES,
 )
 from .archives import preview_tar_members
@@ -45,9 +44,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
 
 
 def list_valid_ab_csvs(
-    spark: SparkSession, folder: str, min_bytes: int = MIN_AB_CSV_BYTES
+    spark: SparkSession, folder: str, min_bytes: int = 0
 ) -> DataFrame:
-    """Assignment CSVs of a useful size, largest first (SRC7)."""
+    """Assignment CSVs, largest first; ``min_bytes`` leaves small ones out (SRC7)."""
     return (
         list_files(spark, folder, "*.csv")
         .where(F.col("size_bytes") >= min_bytes)
@@ -55,8 +54,18 @@ def list_valid_ab_csvs(
     )
 
 
-def is_readable_text(spark: SparkSession, path: str) -> bool:
-    """Whether the start of a (compressed) text file can be read (SRC9)."""
+def count_lines(spark: SparkSession, path: str) -> int | None:
+    """Lines of a (compressed) text file, read to its end; None if that fails (SRC9)."""
+    try:
+        return spark.read.text(path).count()
+    except Exception:  # noqa: BLE001 - any failure means not readable
+        return None
+
+
+def is_readable_text(spark: SparkSession, path: str, whole: bool = True) -> bool:
+    """Whether a (compressed) text file can be read; all of it unless ``whole`` is off (SRC9)."""
+    if whole:
+        return count_lines(spark, path) is not None
     try:
         spark.read.text(path).limit(1).collect()
         return True
@@ -81,44 +90,60 @@ def sniff_orders_format(spark: SparkSession, path: str) -> str:
     return "json_array" if first and first[0]["c"] == "[" else "ndjson_or_objects"
 
 
-def preflight(spark: SparkSession, raw_dir: str, strict: bool = True) -> DataFrame:
-    """One row per required file: presence, size, readability, problem (SRC8).
-
-    A last row reports on the extracted assignment CSVs. ``strict`` raises when
-    there is any problem. The loop is over the four file names of the contract.
+def preflight(
+    spark: SparkSession, raw_dir: str, strict: bool = True, min_bytes: int = 0
+) -> DataFrame:
+    """One row per required file: presence, size, readability, lines read, problem (SRC8).
+
+    ``detail`` has the guessed format and other candidates for the orders, the first
+    members of the archive, and the assignment CSVs that ``min_bytes`` leaves out. A
+    last row reports on the extracted assignment CSVs. ``strict`` reads the files
+    to their end and raises when there is any problem; otherwise the first line
+    has to do, and ``lines_read`` is NULL. The loop is over the four file names of the
+    contract.
     """
+    depth = _depth(spark, raw_dir)
+    top = list_files(spark, raw_dir).where(F.regexp_count("path", F.lit("/")) == F.lit(depth))
     sizes = {
         r["name"]: r["size_bytes"]
-        for r in list_files(spark, raw_dir)
-        .where(F.col("name").isin(*REQUIRED_FILES.values()))
-        .where(F.regexp_count("path", F.lit("/")) == F.lit(_depth(spark, raw_dir)))
-        .collect()
+        for r in top.where(F.col("name").isin(*REQUIRED_FILES.values(), *ORDER_CANDIDATES)).collect()
     }
     rows = []
     for key, name in REQUIRED_FILES.items():
         path, exists = _join(raw_dir, name), name in sizes
-        readable, problem = None, None
+        readable, lines, problem, detail = None, None, None, None
         if not exists:
             problem = f"missing file: {key} -> {path}"
         elif name.endswith(".tar.gz"):
-            readable = _tar_ok(spark, path)
+            members = _first_members(spark, path)
+            readable = members is not None
+            detail = "members: " + ", ".join(members) if members else None
             problem = None if readable else f"unreadable archive: {name}"
         else:
-            readable = is_readable_text(spark, path)
-            if key == "orders" and not readable:
-                problem = f"unreadable gzip: {name}"
-        rows.append((key, path, exists, sizes.get(name, 0), readable, problem))
+            if strict:
+                lines = count_lines(spark, path)
+                readable = lines is not None
+            else:
+                readable = is_readable_text(spark, path, whole=False)
+            problem = None if readable else f"unreadable gzip: {name}"
+        if key == "orders":
+            others = sorted(n for n in sizes if n in ORDER_CANDIDATES and n != name)
+            detail = f"format: {sniff_orders_format(spark, path)}; candidates: {', '.join(others) or 'none'}"
+        rows.append((key, path, exists, sizes.get(name, 0), readable, lines, problem, detail))
     folder = _join(raw_dir, EXTRACTED_AB_DIR)
-    n_csv = list_valid_ab_csvs(spark, folder).count()
+    sized = list_valid_ab_csvs(spark, folder).withColumn("in", F.col("size_bytes") >= min_bytes)
+    counts = sized.agg(F.count_if("in").alias("n"), F.count_if(~F.col("in")).alias("out")).first()
+    n_csv, out = counts["n"], counts["out"]
     problem = None if n_csv else f"no valid CSV in {folder}"
-    rows.append(("ab_csv", folder, n_csv > 0, n_csv, None, problem))
-    problems = [r[-1] for r in rows if r[-1]]
+    detail = f"{out} files under {min_bytes} bytes are left out" if out else None
+    rows.append(("ab_csv", folder, n_csv > 0, n_csv, None, None, problem, detail))
+    problems = [r[6] for r in rows if r[6]]
     if strict and problems:
         raise RuntimeError("preflight failed:\n - " + "\n - ".join(problems))
     return spark.createDataFrame(
         rows,
         "key string, path string, exists boolean, size_bytes long, readable boolean, "
-        "problem string",
+        "lines_read long, problem string, detail string",
     )
 
 
@@ -129,9 +154,8 @@ def _depth(spark: SparkSession, folder: str) -> int:
     return full.makeQualified(hadoop).toString().count("/") + 1
 
 
-def _tar_ok(spark: SparkSession, path: str) -> bool:
+def _first_members(spark: SparkSession, path: str) -> list[str] | None:
     try:
-        preview_tar_members(spark, path, 1).collect()
-        return True
+        return [r["member"] for r in preview_tar_members(spark, path).collect()]
     except Exception:  # noqa: BLE001 - any failure means not readable
-        return False
+        return None

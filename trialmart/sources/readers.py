@@ -1,10 +1,15 @@
-"""Readers of the raw inputs. All are lazy and infer no types from data."""
+"""Readers of the raw inputs. All values arrive as text; the conform step types them.
+
+Orders keep every column that the files have. Finding the names takes one pass over
+the files, unless the caller lists the extra ones.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed_values import (
@@ -13,15 +18,17 @@ from ..functions.fixed_values import (
     REQUIRED_FILES,
     SHARDED_ORDERS_DIR,
 )
-from .files import _join, list_files, list_valid_ab_csvs, preflight, sniff_orders_format
+from .archives import is_finished
+from .files import _join, list_files, preflight, sniff_orders_format
 
 
-def orders_schema() -> T.StructType:
-    """Every raw field as text; the conform step casts tolerantly.
+def orders_schema(extra_fields: Sequence[str] = ()) -> T.StructType:
+    """The known raw fields and some more, all as text; the conform step casts tolerantly.
 
     An ``items`` array arrives as its JSON text.
     """
-    return T.StructType([T.StructField(n, T.StringType()) for n in RAW_ORDER_FIELDS])
+    names = list(dict.fromkeys([*RAW_ORDER_FIELDS, *extra_fields]))
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def read_orders_json(
@@ -29,40 +36,76 @@ def read_orders_json(
     path: str | Sequence[str],
     *,
     json_array: bool = False,
+    extra_fields: Sequence[str] | None = None,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Orders from line-delimited JSON or from JSON arrays (SRC2, SRC3)."""
-    reader = spark.read.schema(schema or orders_schema())
-    return reader.option("multiLine", json_array).json(path)
+    """Orders from line-delimited JSON or from JSON arrays (SRC2, SRC3).
+
+    Without ``extra_fields`` the names of all columns are looked up in the files;
+    with it, exactly those are read next to the known ones and no pass is needed.
+    An array is parsed as a whole by one task, which is a limit of the format: turn
+    large ones into lines first (``archives.shard_ndjson`` splits those).
+    """
+    reader = spark.read.option("multiLine", json_array)
+    if schema is None and extra_fields is None:
+        found = reader.option("primitivesAsString", True).json(path).columns
+        extra_fields = [c for c in found if c != "_corrupt_record"]
+    return reader.schema(schema or orders_schema(extra_fields or ())).json(path)
 
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """CSV with header; text columns unless a schema is given (SRC5, SRC6)."""
-    reader = spark.read.option("header", True)
+    """CSV with header; text columns unless a schema is given (SRC5, SRC6).
+
+    A file whose header differs from the others' or from the schema is refused when
+    it is read; columns are never matched by position alone.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def read_abmap(spark: SparkSession, folder: str) -> DataFrame:
-    """All valid assignment CSVs below a folder (SRC6)."""
-    paths = [r["path"] for r in list_valid_ab_csvs(spark, folder).select("path").collect()]
-    if not paths:
+def read_abmap(spark: SparkSession, folder: str, min_bytes: int = 0) -> DataFrame:
+    """All assignment CSVs below a folder (SRC6); ``min_bytes`` leaves small files out.
+
+    Spark lists the folder itself, so no paths pass through here.
+    """
+    if list_files(spark, folder, "*.csv").isEmpty():
         raise FileNotFoundError(f"no valid CSV in {folder}")
-    return read_csv(spark, paths)
+    found = (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .csv(folder)
+    )
+    if min_bytes:
+        found = found.where(F.col("_metadata.file_size") >= min_bytes).select(*found.columns)
+    return found
 
 
-def read_orders(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """Orders from shards when there are any, else from the single file (SRC4)."""
+def read_orders(
+    spark: SparkSession,
+    raw_dir: str,
+    *,
+    trust_foreign_shards: bool = False,
+    extra_fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """Orders from shards when there are any, else from the single file (SRC4).
+
+    A shard folder counts only when its writer has finished it; shards made by other
+    tools carry no mark, so the caller has to vouch for them.
+    """
     shards = _join(raw_dir, SHARDED_ORDERS_DIR)
     if not list_files(spark, shards, "part-*").isEmpty():
-        return read_orders_json(spark, _join(shards, "part-*"))
+        if not (trust_foreign_shards or is_finished(spark, shards)):
+            raise RuntimeError(f"{shards} is unfinished: it has no _SUCCESS")
+        return read_orders_json(spark, _join(shards, "part-*"), extra_fields=extra_fields)
     path = _join(raw_dir, REQUIRED_FILES["orders"])
-    return read_orders_json(
-        spark, path, json_array=sniff_orders_format(spark, path) == "json_array"
-    )
+    array = sniff_orders_format(spark, path) == "json_array"
+    return read_orders_json(spark, path, json_array=array, extra_fields=extra_fields)
 
 
 def load_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
