@@ -81,6 +81,10 @@ ORDER_COPIES = {
 }
 COPIED = "o_orderkey % 100 = 7"
 
+# The same orders once more under other ids.
+ORDER_TWINS = {**ORDERS, "order_id": "cast(o_orderkey as {S}) || '-again'"}
+TWINNED = "o_orderkey % 300 = 4"
+
 CONSUMERS = {
     "customer_id": "cast(c_custkey as {S})",
     "language": "case c_nationkey % 3 when 0 then 'pt-BR' when 1 then 'EN-us' else null end",
@@ -151,11 +155,21 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> Raw:
         "*", *[f"{e.format(S='string')} as {n}" for n, e in ORDER_HELPERS.items()]
     )
 
+    def structs(columns: dict[str, str]) -> str:
+        return f"struct({select_list(columns)})"
+
+    # Copies leave the same row, so lines and orders are read and joined once.
+    versions = (
+        f"array_compact(array({structs(ORDERS)}, "
+        f"case when {COPIED} then {structs(ORDER_COPIES)} end, "
+        f"case when {TWINNED} then {structs(ORDER_TWINS)} end))"
+    )
+
     def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         return df.selectExpr(*[f"{e.format(S='string')} as {n}" for n, e in columns.items()])
 
     return Raw(
-        orders=pick(base, ORDERS).unionByName(pick(base.where(COPIED), ORDER_COPIES)),
+        orders=base.selectExpr(f"inline({versions})"),
         consumers=pick(table("customer"), CONSUMERS),
         restaurants=pick(table("supplier"), RESTAURANTS),
         abmap=pick(table("customer").where(ASSIGNED), ABMAP),

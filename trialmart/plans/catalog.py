@@ -28,7 +28,8 @@ from ..operators import (
     summary,
     users,
 )
-from ..sources.storage import stage
+from ..sources import readers, sinks
+from ..sources.storage import new_folder, stage
 from .adapter import WINDOW, raw_tables
 from .silver import clean_and_conform, users_silver
 
@@ -40,8 +41,6 @@ _CATALOG: dict[str, Query] = {}
 
 def _query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Raw times are text without zone; all time columns are UTC.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return round_doubles(fn(spark, sf_dir))
 
     _CATALOG[fn.__name__] = run
@@ -170,6 +169,59 @@ def conform_abmap(spark, sf_dir):
     return conform.conform_abmap(raw_tables(spark, sf_dir).abmap)
 
 
+# ---- sources and sinks ---------------------------------------------------------
+
+
+def _raw_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return f"{new_folder(spark, 'round-trip')}/{name}"
+
+
+@_query
+def orders_from_json_shards(spark, sf_dir):
+    """Raw orders written as JSON in shards and read back whole (SNK1, SRC2, SRC4)."""
+    path = _raw_folder(spark, sf_dir, "orders_sharded")
+    sinks.write_sharded_json(raw_tables(spark, sf_dir).orders, path, 4)
+    back = readers.read_orders(spark, path.rpartition("/")[0])
+    return back.select(
+        "order_id", "customer_id", "merchant_id", "order_created_at", "order_scheduled",
+        "origin_platform", "items", "cpf",
+    )
+
+
+@_query
+def consumers_from_csv(spark, sf_dir):
+    """Raw customers written as CSV, read back and conformed (SRC5)."""
+    path = _raw_folder(spark, sf_dir, "consumers")
+    raw_tables(spark, sf_dir).consumers.write.option("header", True).csv(path)
+    return conform.conform_consumers(readers.read_csv(spark, path))
+
+
+@_query
+def abmap_from_folder(spark, sf_dir):
+    """The assignment map written as many CSVs, read as one folder and conformed (SRC6)."""
+    path = _raw_folder(spark, sf_dir, "maps")
+    raw_tables(spark, sf_dir).abmap.repartition(5).write.option("header", True).csv(path)
+    return conform.conform_abmap(readers.read_abmap(spark, path))
+
+
+@_query
+def silver_by_date(spark, sf_dir):
+    """The order fact stored by day and read back for a part of the window (SNK2)."""
+    path = _raw_folder(spark, sf_dir, "silver")
+    sinks.write_orders_silver(silver_orders(spark, sf_dir), path)
+    cut = fact.prune_event_dates(spark.read.parquet(path), "1997-06-01", "1997-09-01")
+    return cut.select("order_id", "event_ts_utc", "order_total_amount")
+
+
+@_query
+def break_even_from_csv(spark, sf_dir):
+    """A result table written as CSV and read back (SNK4, SRC13)."""
+    table = _break_even(spark, sf_dir, "origin_platform").select("segment", "usuarios_trat", "status")
+    folder = new_folder(spark, "round-trip")
+    path = sinks.save_table_csv(table, folder, "break_even", sort_by=["segment"])
+    return readers.read_result_csv(spark, path, "segment string, usuarios_trat long, status string")
+
+
 # ---- fact --------------------------------------------------------------------
 
 
@@ -331,8 +383,11 @@ def _robust_by(column: str, method: str = "disc") -> Query:
 
 
 def _register(name: str, fn: Query) -> None:
-    fn.__name__ = name
-    _query(fn)
+    def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(spark, sf_dir)
+
+    named.__name__ = name
+    _query(named)
 
 
 _register("ab_by_heavy", _by_segment("heavy_user"))
@@ -446,61 +501,53 @@ def winsorized_means(spark, sf_dir):
 
 
 # ---- tests -------------------------------------------------------------------
-# The p-values have queries of their own: no other engine at hand can check them.
-
-
 @_query
 def welch_ttest(spark, sf_dir):
     table = significance.welch_ttest(
         with_user_metrics(silver_users(spark, sf_dir)),
         metrics=["monetary", "frequency", "aov_user"],
     )
-    return table.drop("pval")
+    return table
 
 
 @_query
 def mann_whitney(spark, sf_dir):
-    return significance.mann_whitney(silver_users(spark, sf_dir)).drop("pval")
+    return significance.mann_whitney(silver_users(spark, sf_dir))
 
 
 @_query
 def ztest_conversion(spark, sf_dir):
     return significance.ztest_proportions(
         with_user_metrics(silver_users(spark, sf_dir))
-    ).drop("pval")
+    )
 
 
 @_query
 def ztest_heavy_rate(spark, sf_dir):
     flagged = silver_users(spark, sf_dir).withColumn("heavy", F.col("heavy_user").cast("int"))
-    return significance.ztest_proportions(flagged, flag_col="heavy").drop("pval")
+    return significance.ztest_proportions(flagged, flag_col="heavy")
 
 
 @_query
 def ab_tests(spark, sf_dir):
-    return significance.run_ab_tests(silver_users(spark, sf_dir)).drop("pval")
-
-
-@_query
-def ab_tests_pvalues(spark, sf_dir):
     return significance.run_ab_tests(silver_users(spark, sf_dir))
 
 
 @_query
 def nonparam_tests(spark, sf_dir):
-    return significance.run_nonparam_tests(silver_users(spark, sf_dir)).drop("pval")
+    return significance.run_nonparam_tests(silver_users(spark, sf_dir))
 
 
-@_query
-def nonparam_tests_pvalues(spark, sf_dir):
-    return significance.run_nonparam_tests(silver_users(spark, sf_dir))
+# The names under which the p-values were first published.
+_register("ab_tests_pvalues", ab_tests)
+_register("nonparam_tests_pvalues", nonparam_tests)
 
 
 def _nonparam_by(column: str) -> Query:
     def run(spark, sf_dir):
         return significance.nonparam_tests_by_segment(
             scored_users(spark, sf_dir), segment_col=column
-        ).drop("pval")
+        )
 
     return run
 
@@ -595,6 +642,15 @@ def projection_excluding_neg(spark, sf_dir):
     )
 
 
+@_query
+def projection_selected_segments(spark, sf_dir):
+    return finance.project_profit(
+        _break_even(spark, sf_dir, "origin_platform"), segments=["android", "ios"],
+        mode="campanhas", users=silver_users(spark, sf_dir), segment_col="origin_platform",
+        ids_unique=True,
+    )
+
+
 # ---- quality -----------------------------------------------------------------
 
 
@@ -725,7 +781,7 @@ def _cuped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def cuped_ttest(spark, sf_dir):
-    return extensions.cuped_ttest(_cuped(spark, sf_dir)).drop("pval")
+    return extensions.cuped_ttest(_cuped(spark, sf_dir))
 
 
 @_query

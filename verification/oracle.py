@@ -49,7 +49,9 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         ("base",),
         f"select {adapter.select_list(adapter.ORDERS, TEXT)} from base union all "
         f"select {adapter.select_list(adapter.ORDER_COPIES, TEXT)} from base "
-        f"where {adapter.COPIED}",
+        f"where {adapter.COPIED} union all "
+        f"select {adapter.select_list(adapter.ORDER_TWINS, TEXT)} from base "
+        f"where {adapter.TWINNED}",
     ),
     "raw_consumers": ((), f"select {adapter.select_list(adapter.CONSUMERS, TEXT)} from customer"),
     "raw_restaurants": (
@@ -313,6 +315,24 @@ FINANCE = ", ".join(
 )
 
 
+def _z_tails(z: str) -> str:
+    """Two-sided normal tail: one less the midpoint sum of the density inside."""
+    inside = f"list_sum(list_transform(range(0, 4000), lambda i: exp(-pow((i + 0.5::double) * abs({z}) / 4000, 2) / 2)))"
+    tails = f"greatest(0::double, 1 - {inside} * abs({z}) / 4000 * sqrt(2 / pi()))"
+    return f"case when ({z}) is not null then {tails} end"
+
+
+def _t_tails(t: str, df: str) -> str:
+    """Two-sided t tail in the same way, with the constant from the gamma function."""
+    inside = (
+        f"list_sum(list_transform(range(0, 4000), lambda i: "
+        f"pow(1 + pow((i + 0.5::double) * abs({t}) / 4000, 2) / ({df}), -(({df}) + 1) / 2)))"
+    )
+    scale = f"exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi())"
+    tails = f"greatest(0::double, 1 - 2 * {inside} * abs({t}) / 4000 * {scale})"
+    return f"case when ({t}) is not null then {tails} end"
+
+
 def _nonparam(keys: str, metrics: dict[str, str], segment: str | None) -> str:
     """Mann-Whitney by counting, per value, the controls below."""
     seg = f"{segment} as segment, " if segment else ""
@@ -336,14 +356,19 @@ def _nonparam(keys: str, metrics: dict[str, str], segment: str | None) -> str:
   from ranked group by all
 ), tested as (
   select *, n1::double * n0 as pairs, (n1 + n0)::double as n from sums
+), zed as (
+  select *, case when n1 > 0 and n0 > 0 and n > 1 then
+      pairs / 12 * ((n + 1) - ties / (n * (n - 1))) end as spread,
+    case when n1 > 0 and n0 > 0 and n > 1 then (greatest(u, pairs - u) - pairs / 2 - 0.5::double)
+      / nullif(sqrt(pairs / 12 * ((n + 1) - ties / (n * (n - 1)))), 0) end as z0
+  from tested
 )
 select {"segment, " if segment else ""}{names} as metric, n1 as n_treat, n0 as n_ctrl,
   round(case when n1 > 0 and n0 > 0 then u end, 6) as "U",
-  round(case when n1 > 0 and n0 > 0 and n > 1 then
-    (greatest(u, pairs - u) - pairs / 2 - 0.5::double)
-    / nullif(sqrt(pairs / 12 * ((n + 1) - ties / (n * (n - 1)))), 0) end, 6) as z,
+  round(z0, 6) as z,
+  round(case when spread <= 0 or z0 < 0 then 1 else {_z_tails("z0")} end, 6) as pval,
   case when n1 > 0 and n0 > 0 then 'asymptotic' end as method
-from tested"""
+from zed"""
 
 
 _RANKED = {"monetary": "gmv_user_mw", "frequency": "pedidos_user_mw", "aov_user": "aov_user_mw"}
@@ -358,10 +383,12 @@ _MOMENTS = """
   from {src} group by metric
 ), w as (
   select *, v1 / n1 as s1, v0 / n0 as s0 from m
+), tests as (
+  select *, (m1 - m0) / sqrt(s1 + s0) as t0,
+    pow(s1 + s0, 2) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)) as df0 from w
 )
 """
-_T = "(m1 - m0) / sqrt(s1 + s0)"
-_DF = "pow(s1 + s0, 2) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1))"
+_WELCH = f"round(t0, 6) as t, round(df0, 6) as df, round({_t_tails('t0', 'df0')}, 6) as pval"
 
 
 def _ztest(flag: str, name: str) -> str:
@@ -376,7 +403,8 @@ def _ztest(flag: str, name: str) -> str:
   select *, sqrt(pool * (1 - pool) * (1.0::double / n1 + 1.0::double / n0)) as se from e
 )
 select '{name}' as metric, n1 as n_treat, n0 as n_ctrl, {_r('p1', 'p_treat')},
-  {_r('p0', 'p_ctrl')}, round(case when se > 0 then (p1 - p0) / se end, 6) as z from s"""
+  {_r('p0', 'p_ctrl')}, round(case when se > 0 then (p1 - p0) / se end, 6) as z,
+  round(case when se > 0 then {_z_tails("((p1 - p0) / se)")} end, 6) as pval from s"""
 
 
 def _winsor(p: str) -> str:
@@ -555,6 +583,18 @@ def sql() -> dict[str, str]:
         "dedup_orders": q("parsed", f"""select order_id, {_r('order_total_amount')}, created from parsed
             qualify row_number() over (partition by order_id order by created asc nulls last,
             parsed.order_total_amount asc nulls last) = 1"""),
+        "orders_from_json_shards": q("raw_orders", """select order_id, customer_id, merchant_id, order_created_at,
+            cast(order_scheduled as varchar) as order_scheduled, origin_platform, items, cpf from raw_orders"""),
+        "consumers_from_csv": q("consumers", "select * from consumers"),
+        "abmap_from_folder": q("abmap", "select customer_id, is_target from abmap"),
+        "silver_by_date": q("silver", f"""select order_id, event_ts_utc, {_r('order_total_amount')} from silver
+            where event_ts_utc >= timestamp '1997-06-01 00:00:00' and event_ts_utc < timestamp '1997-09-01 00:00:00'"""),
+        "break_even_from_csv": q("scored", f"""select segment, nt as usuarios_trat, {STATUS} as status
+            from ({_money(_arms('origin_platform'))})"""),
+        "projection_selected_segments": q("scored", _platform_money() + _projection(
+            "coalesce((select sum(profit) from be where segment in ('android', 'ios')), 0::double)", "12.0::double",
+            "((select count(*) from scored where is_target = 1 and origin_platform in ('android', 'ios'))::double"
+            " / greatest((select count(*) from scored where is_target = 1), 1))")),
         "conform_consumers": q("consumers", "select * from consumers"),
         "conform_restaurants": q("restaurants", "select * replace (round(average_ticket, 6) as average_ticket) from restaurants"),
         "conform_abmap": q("abmap", "select customer_id, is_target from abmap"),
@@ -639,15 +679,15 @@ def sql() -> dict[str, str]:
             {_r('avg(frequency)', 'frequency')}, {_r('avg(aov_user)', 'aov_user')} from ("""
             + _winsor("0.01").replace("round(", "(").replace(" end, 6)", " end)") + ") group by is_target"),
         "welch_ttest": q("long", _MOMENTS.format(src="long") + f"""select metric, n1 as n_treat, n0 as n_ctrl,
-            {_r('m1', 'mean_treat')}, {_r('m0', 'mean_ctrl')}, {_r(_T, 't')}, {_r(_DF, 'df')} from w"""),
+            {_r('m1', 'mean_treat')}, {_r('m0', 'mean_ctrl')}, {_WELCH} from tests"""),
         "mann_whitney": q("long", _nonparam("metric", {"monetary": "monetary"}, None)),
         "ztest_conversion": q("users", _ztest("(frequency > 0)::int", "conv_flag")),
         "ztest_heavy_rate": q("users", _ztest("heavy_user::int", "heavy")),
         "ab_tests": q("long", _MOMENTS.format(src="long") + f"""select case metric when 'monetary' then 'gmv_user'
             when 'frequency' then 'pedidos_user' else 'aov' end as metric, 'welch' as method, n1 as n_treat,
-            n0 as n_ctrl, {_r(_T, 't')}, cast(null as double) as z, {_r(_DF, 'df')} from w
+            n0 as n_ctrl, {_WELCH}, cast(null as double) as z from tests
             union all select 'conversao', 'z', count(*) filter (where is_target = 1),
-            count(*) filter (where is_target = 0), null, null, null from scored"""),
+            count(*) filter (where is_target = 0), null, null, null, null from scored"""),
         "nonparam_tests": q("long", _nonparam("metric", _RANKED, None)),
         "nonparam_by_heavy": q("long", _nonparam("metric", _RANKED, "heavy_user")),
         "nonparam_by_new": q("long", _nonparam("metric", _RANKED, "is_new_customer")),
@@ -733,12 +773,14 @@ def sql() -> dict[str, str]:
             cv as (select is_target, 'monetary' as metric, monetary as v from cu union all
               select is_target, 'monetary_cuped', monetary - theta * (pre - mu) from cu, fit)
             """ + _MOMENTS.format(src="cv") + f"""select metric, n1 as n_treat, n0 as n_ctrl,
-            {_r('m1', 'mean_treat')}, {_r('m0', 'mean_ctrl')}, {_r(_T, 't')}, {_r(_DF, 'df')} from w"""),
+            {_r('m1', 'mean_treat')}, {_r('m0', 'mean_ctrl')}, {_WELCH} from tests"""),
         "assigned_conversion": q(("abmap", "users"), f"""select a.is_target, count(*) as assigned,
             count(u.customer_id) as converted, {_r('count(u.customer_id)::double / count(*)', 'conversion')}
             from abmap a left join users u on u.customer_id = a.customer_id where a.is_target is not null group by 1"""),
         "poststratified_uplift": q("scored", f"""select sum(nt + nc)::bigint as usuarios,
             {_r('sum((gt - gc) * (nt + nc)) / sum(nt + nc)', 'uplift_adjusted')} from ({_arms('heavy_user')})"""),
     }
+    out["ab_tests_pvalues"] = out["ab_tests"]
+    out["nonparam_tests_pvalues"] = out["nonparam_tests"]
     # The same tie rule as on the Spark side: midway values go up.
     return {name: text.replace(", 6)", f" + {TIE_SHIFT}, 6)") for name, text in out.items()}
