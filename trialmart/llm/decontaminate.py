@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import append_columns, rows_from_texts
+from .frames import append_columns, nest, rows_from_texts
 from .words import make_powers, shingle_hashes, words_of_texts
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -216,7 +216,7 @@ def with_leaks(
     n_blocks = -(-total // block_bytes)
     kind = items.schema["item"].dataType.simpleString()
     ddl = f"array<struct<item_id:{kind},score:double,first_word:int,last_word:int>>"
-    result = docs.withColumn("leaks", F.array().cast(ddl))
+    result = nest(docs, text=text_col).withColumn("leaks", F.array().cast(ddl))
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(n_blocks)) == b).collect()
         block = Block([r["item"] for r in rows], [r["item_text"] for r in rows], min_words)
@@ -238,9 +238,10 @@ def with_leaks(
 
             return search
 
-        result = append_columns(result, text_col, f"_more {ddl}", make)
-        result = result.withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
-    return result
+        more = append_columns(result, "text", f"more {ddl}", make)
+        result = more.withColumn("leaks", F.concat("leaks", "more")).drop("more")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "leaks"]
+    return result.select(*kept, "leaks")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -253,5 +254,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, unchanged."""
-    marked = with_leaks(docs, benchmark, **options).where(F.size("leaks") == 0)
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns if c != "leaks"])
+    text_col = options.pop("text_col", "text")
+    marked = with_leaks(nest(docs, text=text_col), benchmark, **options)
+    return marked.where(F.size("leaks") == 0).select("row.*")

@@ -15,6 +15,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def nest(df: DataFrame, **named: str) -> DataFrame:
+    """All columns as one struct ``row``, next to some of them under fixed names.
+
+    Whatever the columns are called, they meet no helper columns; ``row.*`` undoes it.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(whole, *[F.col(f"`{c}`").alias(name) for name, c in named.items()])
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 

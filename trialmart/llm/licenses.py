@@ -18,6 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .frames import nest
 from .license_texts import TEMPLATES
 from .pii import let
 
@@ -107,7 +108,7 @@ def find_licenses(
     if not known:
         best = F.lit(None).cast(MATCH)
     else:
-        found = F.filter(F.transform(units(F.col(f"`{text_col}`")), judge), lambda m: m.isNotNull())
+        found = F.filter(F.transform(units(F.col("text")), judge), lambda m: m.isNotNull())
         best = F.aggregate(
             found,
             F.lit(None).cast(MATCH),
@@ -118,6 +119,8 @@ def find_licenses(
                 m,
             ).otherwise(a),
         )
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    marked = docs.select(*kept, best.alias("_best"))
-    return marked.select(*kept, F.col("_best.license").alias("license"), F.col("_best.score").alias("dice"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in new]
+    marked = nest(docs, text=text_col).select("row", best.alias("best"))
+    return marked.select(
+        *kept, F.col("best.license").alias("license"), F.col("best.score").alias("dice")
+    )

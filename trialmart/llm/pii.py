@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import splittable_join
 from ..sources.storage import stage
 from . import sieve
+from .frames import nest
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -158,7 +159,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _with_base(docs: DataFrame, text_col: str) -> DataFrame:
-    whole = docs.withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    whole = nest(docs, _text=text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
     return whole.withColumns({f"_{k}": base_spans(F.col("_text"), k) for k in KINDS})
 
 
@@ -235,7 +236,7 @@ def find_private(
     Rows with base spans are staged with a number of their own, as the terms
     found for them have to come back to the same row; all others pass through.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "pii"]
+    columns = [F.col(f"row.`{c}`") for c in docs.columns if c != "pii"]
     marked = _with_base(docs, text_col)
     found = stage(
         marked.where(_has_any()).withColumn("_row", F.monotonically_increasing_id()), "pii_found"
@@ -264,12 +265,14 @@ def find_private(
             base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])
         ),
     )
+
     def term_span(t: Column) -> Column:
         same = F.filter("_terms", lambda x: x["term"] == F.lower(t["value"]))
         return F.struct(
             F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end"),
             F.array_min(F.transform(same, lambda x: x["bits"])).alias("bits"),
         )
+
     terms_found = F.when(
         F.col("_terms").isNotNull(), F.transform(free, term_span)
     ).otherwise(F.array().cast(f"array<{PII}>"))
@@ -324,8 +327,9 @@ def sanitise(
     Terms that leave at most ``remove_bits`` of doubt are removed, others
     generalised to ``[TERM]``. Overlapping spans go as one. Null texts stay null.
     """
-    marked = find_private(docs, text_col, **options)
-    text = F.col(f"`{text_col}`")
+    whole = nest(docs, text=text_col)
+    marked = find_private(whole, "text", **options)
+    text = F.col("text")
     ordered = F.array_sort(
         F.transform(
             "pii",
@@ -350,4 +354,7 @@ def sanitise(
         return F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
 
     clean = F.when(F.size("pii") == 0, text).otherwise(F.aggregate(ordered, start, step, finish))
-    return marked.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [
+        clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns
+    ]
+    return marked.select(*columns)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stage
+from .frames import nest
 
 Rule = tuple[str, str]  # verdict, host and path as one text
 ALLOW, BLOCK = "allow", "block"
@@ -169,7 +170,7 @@ def judge_urls(
     training = stage(_with_statistics(sample, statistics).select("label", *inputs), "url_training")
     kinds = [r["label"] for r in training.select("label").distinct().collect()]
 
-    judged = parsed(pages.select(*[F.col(f"`{c}`") for c in kept]), url_col).withColumns(
+    judged = parsed(nest(pages, _raw=url_col), "_raw").withColumns(
         {"rule": rule, "_verdict": verdict}
     )
     if len(kinds) < 2:
@@ -188,7 +189,7 @@ def judge_urls(
         )
     by_trees = F.when(F.col("block_score") > 0.5, BLOCK).otherwise(ALLOW)
     return scored.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"row.`{c}`") for c in kept],
         "host",
         "path",
         "rule",
