@@ -155,3 +155,16 @@ def test_post_etl_checks(spark):
     assert checks["ab_split"].agg(F.sum("n_users")).first()[0] == table.count()
     for check in checks.values():
         check.collect()
+
+
+def test_staged_tables_follow_their_source(spark, tmp_path):
+    import shutil
+
+    for name in ("orders", "lineitem", "customer", "supplier"):
+        shutil.copy(f"{SF_DIR}/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = catalog.silver_users(spark, str(tmp_path))
+    assert catalog.silver_users(spark, str(tmp_path)) is first
+    spark.read.parquet(f"{SF_DIR}/customer.parquet").limit(20).toPandas().to_parquet(
+        tmp_path / "customer.parquet"
+    )
+    assert catalog.silver_users(spark, str(tmp_path)).count() < first.count()

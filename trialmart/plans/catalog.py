@@ -35,7 +35,7 @@ from .silver import clean_and_conform, users_silver
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str, int], DataFrame] = {}
 _CATALOG: dict[str, Query] = {}
 
 
@@ -51,8 +51,23 @@ def queries() -> dict[str, Query]:
     return dict(_CATALOG)
 
 
+_SOURCES = ("orders", "lineitem", "customer", "supplier")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> int:
+    """Names, sizes and times of the source files; another value once they change."""
+    jvm, found = spark.sparkContext._jvm, []
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in _SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        for f in path.getFileSystem(conf).listStatus(path):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def _staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table staged once for the session, the folder and the state of its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _STAGED:
         _STAGED[key] = stage(build(), name)
     return _STAGED[key]
