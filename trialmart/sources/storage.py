@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +31,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped_afterwards(spark: SparkSession) -> Iterator[None]:
+    """Queries started here give back the disk of their shuffles when they are done."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The lineage is cut for good, later scans read only the columns they use, and
     Spark knows the size of the table when it decides whether to broadcast it.
-    The table stays until ``drop_staged``.
+    What the write has shuffled is dropped with it. The table stays until ``drop_staged``.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with _shuffles_dropped_afterwards(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
