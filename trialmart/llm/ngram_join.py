@@ -9,8 +9,11 @@
 3. In each block every class is compared with one neighbour. The links found give
    provisional components, so dense groups of near copies are one thing from here.
 4. Blocks with several components are searched with signature trees: dual traversal
-   leaves the pairs of different components that can still be similar.
-5. All pairs are verified on the sets; components of the links are the result.
+   leaves the pairs of different components that can still be similar. First only the
+   nearest of each class is verified, until that finds no more links; then all that
+   are left between the components.
+5. A pair counts when the sets themselves say so; components of the links are the
+   result.
 
 Nulls and texts without a word have an empty set and no link. A text with fewer
 words than a shingle is one shingle. Repeated rows and ids each keep their row; a
@@ -19,6 +22,8 @@ null id never names a component unless all its members are null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import splittable_join
 from ..sources.storage import stage
 from .components import components
-from .frames import rows_from_texts, schema_of, utf8
-from .signature_tree import bitmap, build, dual_traversal
+from .frames import append_columns, nest, rows_from_texts, schema_of, utf8
+from .signature_tree import BITMAP_BITS, bitmap, build, dual_traversal
 from .words import LOWER_ASCII, make_powers, mix, shingle_hashes, words_of_texts
 
 SHINGLE = 5
@@ -132,35 +137,33 @@ def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den:
 def blocks_of(prefix: DataFrame, num: int, den: int) -> DataFrame:
     """Rows of blocks with at least two classes, each with a neighbour to try first.
 
-    Rows stream by in order of shingle and size, so no block is held in memory. The
-    neighbour is the first class of the block that is not too small. Parts of a
-    frequent shingle are kept whole, as the others may hold what they lack.
+    Rows stream by in order of shingle and size, so no block is held in memory. A row
+    without a partner of fitting size is left out. The neighbour is the first class
+    of the block that is not too small. Parts of a frequent shingle are kept whole,
+    as the others may hold what they lack.
     """
     schema = schema_of("shingle long, part int, v long, n long, lead_v long, lead_n long")
 
     def run(batches):
-        last = None  # the row before: key, v, n, lead, whether written
+        key, v, n, lead, written = None, 0, 0, None, False  # the row before
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
             out = []
-            for row in zip(*cols):
-                shingle, part, v, n = row
-                key = (shingle, part)
-                if last is None or last[0] != key:
-                    last = [key, v, n, (v, n), False]
-                    if part >= 0:
-                        out.append((*row, v, n))
-                        last[4] = True
-                    continue
-                if (v, n) == (last[1], last[2]):
-                    continue
-                if not last[4]:
-                    out.append((*key, last[1], last[2], *last[3]))
-                lead = last[3] if den * last[3][1] >= num * n else (last[1], last[2])
-                if den * lead[1] < num * n:
-                    lead = (v, n)
-                out.append((*row, *lead))
-                last = [key, v, n, lead, True]
+            for shingle, part, new_v, new_n in zip(*(c.to_pylist() for c in batch.columns)):
+                if key == (shingle, part):
+                    if (v, n) == (new_v, new_n):
+                        continue
+                    fits = den * n >= num * new_n
+                    if fits and not written:
+                        out.append((*key, v, n, *lead))
+                    if not fits:
+                        lead = (new_v, new_n)
+                    elif den * lead[1] < num * new_n:
+                        lead = (v, n)
+                else:
+                    key, lead, fits = (shingle, part), (new_v, new_n), False
+                v, n, written = new_v, new_n, fits or part >= 0
+                if written:
+                    out.append((*key, v, n, *lead))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=schema.names
@@ -175,21 +178,18 @@ def _sieve_slots(v: np.ndarray) -> np.ndarray:
     return (mix(v.view(np.uint64)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
 
-def needed_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
-    """``(v, n, shingles, bits)`` of the classes in blocks, one row each.
-
-    A bit set of fixed size tells the tasks which texts to send; where it is full it
-    lets more through, and the last join drops those.
-    """
+def make_sieve(needed: DataFrame) -> np.ndarray:
+    """A bit set of fixed size that tells which classes are needed."""
     def slots(batches):
         for batch in batches:
             at = np.unique(_sieve_slots(np.asarray(batch.column(0))))
             words = at // 64
             starts = np.flatnonzero(np.diff(words, prepend=-1))
-            bits = np.bitwise_or.reduceat(np.left_shift(np.int64(1), at % 64), starts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[starts]), pa.array(bits)], names=["word", "bits"]
-            )
+            if len(at):
+                bits = np.bitwise_or.reduceat(np.left_shift(np.int64(1), at % 64), starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[starts]), pa.array(bits)], names=["word", "bits"]
+                )
 
     found = (
         needed.select("v")
@@ -200,7 +200,15 @@ def needed_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
     )
     sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
     sieve[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    return sieve
+
+
+def of_classes(docs: DataFrame, text_col: str, needed: DataFrame, ddl: str, value) -> DataFrame:
+    """``v, n`` and a value of the set for each needed class ``(v, n)``, one row each.
+
+    Where the sieve is full it lets more texts through; the last join drops those.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(make_sieve(needed))
 
     def make():
         powers, words, seen = make_powers(), shared.value, set()
@@ -208,32 +216,129 @@ def needed_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
         def run(batch: pa.RecordBatch | None):
             if batch is None:
                 return None
-            out = [[], [], [], []]
+            out = [[], [], []]
             for _, shingles in _sets_of(batch.column(0), powers):
                 n = len(shingles)
                 if not n:
                     continue
                 v = set_key(shingles)
                 slot = int(_sieve_slots(np.array([v]))[0])
-                if not words[slot >> 6] >> (slot & 63) & 1 or (v, n) in seen:
+                if not int(words[slot >> 6]) >> (slot & 63) & 1 or (v, n) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add((v, n))
-                out[0].append(v)
-                out[1].append(n)
-                out[2].append(shingles.view(np.int64))
-                out[3].append(bitmap(shingles).tobytes())
+                for values, one in zip(out, (v, n, value(shingles))):
+                    values.append(one)
             return out
 
         return run
 
-    sent = rows_from_texts(
-        docs, [text_col], "v long, n long, shingles array<long>, bits binary", make
-    )
+    sent = rows_from_texts(docs, [text_col], f"v long, n long, {ddl}", make)
     return sent.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
 
 
+def only_needed(sets: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows of a staged table of sets that the sieve of ``needed`` lets through.
+
+    Saves moving the others in the join that follows.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(make_sieve(needed))
+    at = sets.columns.index("v")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                slots = _sieve_slots(np.asarray(batch.column(at)))
+                words = shared.value[slots >> 6]
+                yield batch.filter(pa.array((words >> (slots & 63)) & 1 == 1))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
+def bitmaps(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
+    return of_classes(
+        docs, text_col, needed, "bits array<long>", lambda s: bitmap(s).view(np.int64)
+    )
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The classes ``(v, n)`` that occur in ``pairs (a, b)``."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("k")).select("k.v", "k.n").distinct()
+
+
+def sets_for(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
+    return of_classes(
+        docs, text_col, needed, "shingles array<long>", lambda s: s.view(np.int64)
+    )
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _ones(bits: Column) -> Column:
+    return F.aggregate(
+        F.transform(bits, lambda x: F.bit_count(x).cast("long")), F.lit(0).cast("long"), _add
+    )
+
+
+def _folded(bits: Column, size: Column) -> Column:
+    """A bitmap at half its size if it is larger than ``size`` words."""
+    half = size.cast("int")
+    return F.when(
+        F.size(bits) > half,
+        F.zip_with(
+            F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseOR(y)
+        ),
+    ).otherwise(bits)
+
+
+def may_be_similar(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose bitmaps leave room for the overlap they need.
+
+    Overlap is at most the common bits and the elements that share bits with others.
+    Bitmaps of similar sets have the same size or one is twice the other.
+    """
+    keyed = bits.select(_key("v", "n").alias("k"), "bits")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own = keyed.select(F.col("k").alias(name), F.col("bits").alias(f"bits_{name}"))
+        return splittable_join(df, own, name, "inner")
+
+    both = side(side(pairs, "a"), "b")
+    size = F.least(F.size("bits_a"), F.size("bits_b"))
+    same = both.select(
+        "a", "b", _folded(F.col("bits_a"), size).alias("x"), _folded(F.col("bits_b"), size).alias("y")
+    )
+    common = F.aggregate(
+        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")),
+        F.lit(0).cast("long"),
+        _add,
+    )
+    spare = F.least(F.col("a.n") - _ones(F.col("x")), F.col("b.n") - _ones(F.col("y")))
+    room = (num + den) * (common + spare) >= num * (F.col("a.n") + F.col("b.n"))
+    return same.where(room).select("a", "b")
+
+
+def fine_bitmaps(sets: DataFrame) -> DataFrame:
+    """Bitmaps that grow with the set: at least eight bits for an element."""
+    schema = schema_of("v long, n long, bits array<long>")
+
+    def run(batches):
+        for batch in batches:
+            v, n, shingles = (batch.column(batch.schema.get_field_index(c)) for c in ("v", "n", "shingles"))
+            made = []
+            for values in shingles:
+                own = np.asarray(values.values).view(np.uint64)
+                made.append(bitmap(own, max(BITMAP_BITS, 1 << (8 * len(own) - 1).bit_length())).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [v, n, pa.array(made, type=pa.list_(pa.int64()))], names=schema.names
+            )
+
+    return sets.mapInArrow(run, schema)
+
+
 def _key(v: str, n: str) -> Column:
     """A class: its size and the name of its set."""
     return F.struct(F.col(n).alias("n"), F.col(v).alias("v"))
@@ -241,7 +346,7 @@ def _key(v: str, n: str) -> Column:
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes that are similar, decided on the sets."""
-    keyed = sets.select(_key("v", "n").alias("k"), "shingles")
+    keyed = only_needed(sets, _ends(pairs)).select(_key("v", "n").alias("k"), "shingles")
     one = splittable_join(pairs, keyed.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), "a", "inner")
     two = splittable_join(one, keyed.select(F.col("k").alias("b"), F.col("shingles").alias("sb")), "b", "inner")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -249,67 +354,85 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return two.where(enough).select("a", "b")
 
 
-def tree_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components inside blocks, by signature trees.
+def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Candidate pairs ``(a, b, common)`` of different components inside blocks.
 
-    ``blocks``: ``shingle, parts, part, v, n, label, bits``. A block of several
-    parts is searched by pairs of parts, one task each; a part is sent once for every
-    part it is compared with.
+    ``blocks``: ``shingle, parts, part, v, n, label, bits``. Signature trees leave the
+    pairs whose bitmaps have room for the overlap. ``nearest`` keeps the best of them
+    for each class, so the result is no longer than the blocks; otherwise all come.
+    A block of several parts is searched by pairs of parts, one task each; a part is
+    sent once for every part it is compared with.
     """
     schema = schema_of("va long, na long, vb long, nb long, common int")
 
-    def search(rows: list[tuple]) -> list[tuple]:
+    def trees_of(rows: list[tuple]) -> tuple[list, list]:
         labels = {c: i for i, c in enumerate(dict.fromkeys(r[4] for r in rows))}
-        if len(labels) < 2:
-            return []
-        sides = sorted({r[1] for r in rows})
         trees, members = [], []
-        for side in sides:
-            own = sorted((r for r in rows if r[1] == side), key=lambda r: (r[3], labels[r[4]], r[2]))
-            members.append(own)
-            bits = np.frombuffer(b"".join(r[5] for r in own), np.uint64).reshape(len(own), -1)
-            trees.append(
-                build(bits, np.array([r[3] for r in own]), np.array([labels[r[4]] for r in own]))
-            )
-        found = []
-        second = trees[1] if len(trees) > 1 else None
-        for i, j in dual_traversal(trees[0], second, num, den):
-            right = members[-1]
-            other = trees[-1][0].bits
-            common = np.bitwise_count(trees[0][0].bits[i] & other[j]).sum(axis=1)
-            for x, y, c in zip(i.tolist(), j.tolist(), common.tolist()):
-                a, b = members[0][x], right[y]
-                a, b = ((a[3], a[2]), (b[3], b[2]))
-                a, b = min(a, b), max(a, b)
-                found.append((a[1], a[0], b[1], b[0], c))
-        return found
+        if len(labels) > 1:
+            for side in sorted({r[1] for r in rows}):
+                own = [r for r in rows if r[1] == side]
+                own.sort(key=lambda r: (r[3], labels[r[4]], r[2]))
+                bits = np.array([r[5] for r in own], np.int64).view(np.uint64)
+                sizes = np.array([r[3] for r in own])
+                members.append(own)
+                trees.append(build(bits, sizes, np.array([labels[r[4]] for r in own])))
+        return trees, members
+
+    def search(rows: list[tuple]) -> Iterator[list[np.ndarray]]:
+        trees, members = trees_of(rows)
+        if not trees:
+            return
+        one, two = trees[0], trees[1] if len(trees) > 1 else None
+        right = trees[-1]
+        names = [np.array([(r[2], r[3]) for r in m], np.int64) for m in members]
+        best = [np.full(len(m), -1, np.int64) for m in members]
+        for i, j in dual_traversal(one, two, num, den):
+            common = np.bitwise_count(one[0].bits[i] & right[0].bits[j]).sum(axis=1).astype(np.int64)
+            if not nearest:
+                yield [*names[0][i].T, *names[-1][j].T, common]
+                continue
+            share = common * (1 << 20) // (one[0].low[i] + right[0].low[j])
+            np.maximum.at(best[0], i, share << 32 | j)
+            np.maximum.at(best[-1], j, share << 32 | i)
+        if nearest:
+            for side, other in ((0, -1), (-1, 0))[: len(trees)]:
+                i = np.flatnonzero(best[side] >= 0)
+                j = best[side][i] & 0xFFFFFFFF
+                bits = trees[side][0].bits[i] & trees[other][0].bits[j]
+                yield [*names[side][i].T, *names[other][j].T, np.bitwise_count(bits).sum(axis=1)]
 
     def run(batches):
-        key, rows = None, []
+        key, rows, pending, size = None, [], [], 0
 
-        def emit(found):
-            for start in range(0, len(found), 50_000):
-                part = found[start : start + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*part), types)], names=schema.names
-                )
+        def emit():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*pending), types)],
+                names=schema.names,
+            )
 
-        pending = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != key:
-                    if len(rows) > 1:
-                        pending += search(rows)
-                    key, rows = row[0], []
-                    if len(pending) > 20_000:
-                        yield from emit(pending)
-                        pending = []
-                rows.append(row)
-        if len(rows) > 1:
-            pending += search(rows)
-        yield from emit(pending)
-
-    types = [pa.int64()] * 4 + [pa.int32()]
+        def blocks_in():
+            nonlocal key, rows
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if row[0] != key:
+                        yield rows
+                        key, rows = row[0], []
+                    rows.append(row)
+            yield rows
+
+        for block in blocks_in():
+            if len(block) < 2:
+                continue
+            for found in search(block):
+                pending.append(found)
+                size += len(found[0])
+                if size > 20_000:
+                    yield emit()
+                    pending, size = [], 0
+        if pending:
+            yield emit()
+
+    types = [np.int64] * 4 + [np.int32]
     meet = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(
@@ -318,15 +441,18 @@ def tree_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
     )
     dealt = (
         blocks.withColumn("meet", F.explode(meet))
-        .select(
-            F.xxhash64("shingle", "meet").alias("task"), "part", "v", "n", "label", "bits"
-        )
+        .select(F.xxhash64("shingle", "meet").alias("task"), "part", "v", "n", "label", "bits")
         .repartition("task")
         .sortWithinPartitions("task", "part")
     )
-    return dealt.select(
+    found = dealt.select(
         "task", "part", "v", "n", F.concat_ws(":", "label.n", "label.v").alias("label"), "bits"
     ).mapInArrow(run, schema)
+    both = found.select(_key("va", "na").alias("x"), _key("vb", "nb").alias("y"), "common")
+    if nearest:
+        room = F.struct(F.col("common") / (F.col("x.n") + F.col("y.n")), "y")
+        both = both.groupBy("x").agg(F.max_by("y", room).alias("y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -337,25 +463,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("found", _key("v", "n"))).drop("found")
 
 
-def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """``(vertex, label)`` of all classes that are similar to another one."""
-    blocks = stage(blocks_of(prefixes(docs, text_col, sketch, num, den), num, den), "join_blocks")
-    needed = blocks.select("v", "n").distinct()
-    sets = stage(needed_sets(docs, text_col, needed), "join_sets")
+def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the blocks that hold several components, each distinct set of classes once.
 
-    # One neighbour for each class: the one met in most blocks.
-    met = (
-        blocks.where("v <> lead_v or n <> lead_n")
-        .groupBy("v", "n", "lead_v", "lead_n")
-        .agg(F.count("*").alias("c"))
-        .groupBy("v", "n")
-        .agg(F.max_by(_key("lead_v", "lead_n"), F.struct("c", "lead_n", "lead_v")).alias("b"))
-    )
-    links = stage(verify(met.select(_key("v", "n").alias("a"), "b"), sets, num, den), "join_links")
-    labels = components(links, "a", "b")
-
-    # Blocks that hold more than one component, each distinct set of classes once.
-    rows = stage(_labelled(blocks.select("shingle", "part", "v", "n"), labels), "join_labelled")
+    Components only grow, so a later call needs no more than an earlier one returned.
+    """
+    rows = stage(_labelled(blocks.select("shingle", "v", "n"), labels), "join_labelled")
     several = (
         rows.groupBy("shingle")
         .agg(
@@ -368,31 +481,75 @@ def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, d
         .agg(F.min("shingle").alias("shingle"))
         .select("shingle", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("parts"))
     )
-    open_rows = splittable_join(rows, stage(several, "join_open"), "shingle", "inner")
-    bits = sets.select(_key("v", "n").alias("k"), "bits")
-    open_rows = splittable_join(open_rows, bits, "k", "inner").withColumn(
-        "part", F.pmod(F.xxhash64("v", "n"), F.col("parts")).cast("int")
-    )
-    found = tree_pairs(open_rows, num, den).groupBy("va", "na", "vb", "nb").agg(
-        F.max("common").alias("common")
-    )
-    pairs = stage(
-        found.select(_key("va", "na").alias("a"), _key("vb", "nb").alias("b"), "common"), "join_pairs"
+    chosen = splittable_join(rows, stage(several, "join_open"), "shingle", "inner")
+    part = F.pmod(F.xxhash64("v", "n"), F.col("parts")).cast("int")
+    return stage(chosen.withColumn("part", part), "join_open_rows")
+
+
+def with_bits(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    own = bits.select(_key("v", "n").alias("k"), "bits")
+    return splittable_join(rows, own, "k", "inner")
+
+
+def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+    """``(vertex, label)`` of all classes that are similar to another one."""
+    blocks = stage(blocks_of(prefixes(docs, text_col, sketch, num, den), num, den), "join_blocks")
+    bits = stage(bitmaps(docs, text_col, blocks.select("v", "n").distinct()), "join_bitmaps")
+
+    # One neighbour for each class: the one met in most blocks.
+    met = (
+        blocks.where("v <> lead_v or n <> lead_n")
+        .groupBy("v", "n", "lead_v", "lead_n")
+        .agg(F.count("*").alias("c"))
+        .groupBy("v", "n")
+        .agg(F.max_by(_key("lead_v", "lead_n"), F.struct("c", "lead_n", "lead_v")).alias("b"))
+        .select(_key("v", "n").alias("a"), "b")
     )
-    # The likeliest pair of each class first: most of the others are settled by it.
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-    links = links.unionByName(stage(verify(best, sets, num, den), "join_links"))
+    tried = stage(may_be_similar(met, bits, num, den), "join_tried")
+    sets = stage(sets_for(docs, text_col, _ends(tried)), "join_sets")
+    links = stage(verify(tried, sets, num, den), "join_links")
     labels = components(links, "a", "b")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        own = labels.select(F.col("vertex").alias(name), F.col("label").alias(f"label_{name}"))
-        return splittable_join(df, own, name, "left")
+    # The nearest class of another component, again and again while that finds links:
+    # what is dense grows together without comparing all pairs in it.
+    first = 0
+    while True:
+        blocks = open_blocks(blocks, labels)
+        near = stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
+        if not first:  # every class with a candidate has its nearest here
+            more = _ends(near).join(sets.select("v", "n"), ["v", "n"], "left_anti")
+            sets = sets.unionByName(stage(sets_for(docs, text_col, more), "join_sets"))
+        new = stage(verify(near, sets, num, den), "join_links")
+        links = links.unionByName(new)
+        labels = components(links, "a", "b")
+        found = new.count()
+        first = first or found
+        if 10 * found <= first:
+            break
+    # What is left between components, in full.
+    rest = stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
+    fine = fine_bitmaps(only_needed(sets, _ends(rest)))
+    close = stage(may_be_similar(rest, fine, num, den), "join_rest")
+    new = stage(verify(close, sets, num, den), "join_links")
+    return components(links.unionByName(new), "a", "b")
+
+
+def group_classes(
+    docs: DataFrame, id_col: str, text_col: str, num: int, den: int
+) -> tuple[DataFrame, DataFrame]:
+    """Documents as ``(id, n, v)``, and ``(k, label, least_id)`` of every class."""
+    both = stage(classes_and_sketch(docs, id_col, text_col), "join_classes")
+    rough = both.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("c")).toPandas()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch[rough["cell"].to_numpy(np.int64)] = rough["c"].to_numpy(np.int64)
+    labels = link_classes(docs, text_col, sketch, num, den)
+    members = both.where("cell is null").select("id", "n", "v")
+    classes = members.where("n > 0").groupBy("v", "n").agg(F.min("id").alias("least_id"))
+    return members, _labelled(classes, labels).select("k", "label", "least_id")
 
-    apart = side(side(pairs, "a"), "b").where(
-        F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    )
-    rest = stage(verify(apart.select("a", "b"), sets, num, den), "join_links")
-    return components(links.unionByName(rest), "a", "b")
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
 
 
 def similar_components(
@@ -407,16 +564,7 @@ def similar_components(
 
     Linked are documents with Jaccard similarity of at least ``num / den``.
     """
-    narrow = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
-    both = stage(classes_and_sketch(narrow, id_col, text_col), "join_classes")
-    rough = both.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("c")).toPandas()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[rough["cell"].to_numpy(np.int64)] = rough["c"].to_numpy(np.int64)
-    labels = link_classes(narrow, text_col, sketch, num, den)
-
-    members = both.where("cell is null").select("id", "n", "v")
-    classes = members.where("n > 0").groupBy("v", "n").agg(F.min("id").alias("least_id"))
-    named = _labelled(classes, labels).select("k", "label", "least_id")
+    members, named = group_classes(_narrow(docs, id_col, text_col), id_col, text_col, num, den)
     least = named.groupBy("label").agg(F.min("least_id").alias("component"))
     of_class = splittable_join(named, least, "label", "inner").select("k", "component")
     joined = splittable_join(members.withColumn("k", _key("v", "n")), of_class, "k", "left")
@@ -425,3 +573,58 @@ def similar_components(
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    num: int = 3,
+    den: int = 4,
+) -> DataFrame:
+    """``docs`` with one row of each group of similar documents: that of the smallest id.
+
+    Rows without a word are in no group and stay. Of rows that repeat the id and the
+    shingles of the one to keep, any one stays. The documents are moved once, by
+    keys of their own, so a large group is spread like all others.
+    """
+    members, named = group_classes(_narrow(docs, id_col, text_col), id_col, text_col, num, den)
+    named = stage(named, "join_named")
+    # The first class by smallest id; classes without any id come last.
+    first = F.min_by(F.struct("k", "least_id"), F.struct(F.col("least_id").isNull(), "least_id", "k"))
+    winners = named.groupBy("label").agg(first.alias("w")).select(
+        F.col("w.k").alias("k"), F.struct(F.col("w.least_id").alias("id")).alias("winner")
+    )
+    counted = members.where("n > 0").groupBy("id", "n", "v").agg(F.count("*").alias("rows"))
+    told = splittable_join(counted.withColumn("k", _key("v", "n")), winners, "k", "left")
+    # The winner is a struct, null for a class that lost; the id inside may be null.
+    won = F.col("winner").isNotNull() & F.col("id").eqNullSafe(F.col("winner.id"))
+    flags = stage(
+        told.where(~won | (F.col("rows") > 1)).select(
+            F.struct("id", "n", "v").alias("_key"),
+            F.when(won, "one of several").otherwise("drop").alias("_flag"),
+        ),
+        "join_flags",
+    )
+    rows = nest(docs, id=id_col, text=text_col)
+    keyed = append_columns(rows, "text", "n long, v long", _make_keys)
+    joined = keyed.withColumn("_key", F.struct("id", "n", "v")).join(flags, "_key", "left")
+    kept = joined.where("_flag is null").select("row.*")
+    if flags.where("_flag <> 'drop'").isEmpty():
+        return kept
+    one = joined.where("_flag = 'one of several'").dropDuplicates(["_key"])
+    return kept.unionByName(one.select("row.*"))
+
+
+def _make_keys():
+    powers = make_powers()
+
+    def keys(column: pa.Array):
+        sizes, names = [0] * len(column), [0] * len(column)
+        for i, shingles in _sets_of(column, powers):
+            if len(shingles):
+                sizes[i], names[i] = len(shingles), set_key(shingles)
+        return sizes, names
+
+    return keys

@@ -17,10 +17,10 @@ FANOUT = 8
 _PAIRS = 1 << 16
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bit set of a hashed set, as 64-bit words."""
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(hashes >> np.uint64(7)) % np.uint64(BITMAP_BITS)] = 1
+def bitmap(hashes: np.ndarray, size: int = BITMAP_BITS) -> np.ndarray:
+    """Bit set of a hashed set, as 64-bit words; folded in half it is that of half the size."""
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes >> np.uint64(7)) % np.uint64(size)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
