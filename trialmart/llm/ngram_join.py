@@ -41,6 +41,7 @@ SKETCH_BITS = 18
 PART_ROWS = 2000
 SIEVE_BITS = 23
 _SEEN = 100_000
+_TEXTS = 500
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -53,10 +54,12 @@ def set_key(shingles: np.ndarray) -> int:
     return int(total.astype(np.int64))
 
 
-def _sets_of(column: pa.Array, powers):
-    texts = [t.translate(LOWER_ASCII) for t in utf8(column)]
-    for i, words in words_of_texts(texts, powers):
-        yield i, shingle_set(words)
+def _sets_of(column: pa.Array, powers) -> Iterator[tuple[int, np.ndarray]]:
+    """Place and set of each text; a batch is turned to bytes some texts at a time."""
+    for start in range(0, len(column), _TEXTS):
+        texts = [t.translate(LOWER_ASCII) for t in utf8(column.slice(start, _TEXTS))]
+        for i, words in words_of_texts(texts, powers):
+            yield start + i, shingle_set(words)
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
