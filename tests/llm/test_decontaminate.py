@@ -78,3 +78,28 @@ def test_empty_tables(spark):
     assert decontaminate.find_leaks(docs.limit(0), some).count() == 0
     row = decontaminate.find_leaks(docs, some).first()
     assert (row["score"], row["first_word"], row["last_word"]) == (1.0, 0, 5)
+
+
+def test_no_pattern_of_edits_hides_a_copy(spark):
+    """Regular edits, short items, also an item with an exact copy elsewhere."""
+    rng = random.Random(5)
+    items, rows, want = [], [], set()
+    for i in range(60):
+        item, every = sentence(rng, rng.choice([6, 10, 15, 30])), 3 + i % 4
+        items.append((i, " ".join(item)))
+        if i % 5 == 0:
+            rows.append((1000 + i, items[-1][1]))
+            want.add((1000 + i, i))
+        copies = {
+            i: ["zzz" if k % every == every - 1 else w for k, w in enumerate(item)],
+            200 + i: [x for k, w in enumerate(item) for x in ([w, "yyy"] if k % every == 1 else [w])],
+            400 + i: [x for w in item for x in (w, "yyy")],
+        }
+        for d, words in copies.items():
+            words = sentence(rng, 20) + words + sentence(rng, 20)
+            rows.append((d, " ".join(words)))
+            if textbook(item, words) >= len(item):
+                want.add((d, i))
+    assert sum(d < 200 for d, _ in want) > 50 and sum(400 <= d < 1000 for d, _ in want) > 50
+    found = decontaminate.find_leaks(documents(spark, rows), spark.createDataFrame(items, ITEMS))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want

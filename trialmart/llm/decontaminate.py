@@ -1,10 +1,13 @@
 """Training documents that hold passages of a benchmark, edited or not.
 
-Seeds are word n-grams of the benchmark items. Of every few neighbouring n-grams of
-an item the one that is rarest in the corpus is taken, so each stretch of an item has
-a seed and common phrases are used only where an item has nothing rarer. Where a
-document holds a seed, the passage around it is aligned with the item (Smith-Waterman
-over words); the score is the share of the best possible one.
+Passages are aligned with items by Smith-Waterman over words; the score is the share
+of the best possible one. Where a passage reaches the threshold, neighbouring words
+that match are often at most one edit apart: with ``m`` matches and ``e`` edits the
+score is ``2 m - e``, and at least ``m - 1 - e / 2`` neighbouring matches have at most
+one edit between them. Such two words are one or two places apart in the item and in
+the document. So all pairs of words up to two places apart are looked up, and a stretch
+of a document is aligned unless it holds too few of an item's pairs to reach the
+threshold. Nothing is left out for being frequent, and no edit hides a passage.
 
 The benchmark is handled in blocks of bounded size that travel to the tasks, one
 pass over the documents each, so neither grows with the other and no document is
@@ -15,23 +18,20 @@ reported. Repeated documents are judged each for itself.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import append_columns, nest, rows_from_texts
-from .words import make_powers, shingle_hashes, words_of_texts
+from .frames import append_columns, nest
+from .words import PLACE_FACTORS, make_powers, mix, words_of_texts
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANKED = bytes(32 if chr(b) in PUNCTUATION else b for b in range(256))
-SEED_WORDS = 3
-SEED_WINDOW = 4
+REACH = 2
 SEGMENT = 512
 MATCH, MISMATCH, GAP = 2, -1, 1
-_SIEVE_BITS = 20
+_WINDOW = 1 << 14
 
 
 def plain_text(text: str | None) -> bytes:
@@ -59,10 +59,26 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def seed_hashes(words: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of all pairs up to ``REACH`` apart, or of single words."""
+    if alone:
+        return mix(words + PLACE_FACTORS[2]), np.arange(len(words))
+    first = words * PLACE_FACTORS[0]
+    second = words * PLACE_FACTORS[1]
+    found = [mix(first[:-d] + second[d:]) for d in range(1, REACH + 1) if d < len(words)]
+    at = [np.arange(len(f)) for f in found]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return (np.concatenate(found), np.concatenate(at)) if found else none
+
+
 class Block:
-    """Items of one block: their words by segment, and all their n-grams."""
+    """Items of one block: their words by segment, and where their pairs occur.
+
+    ``fewest`` is the number of pairs without which a segment cannot reach the
+    threshold. Segments too short for any bound are sought by their single words.
+    """
 
-    def __init__(self, ids: list, texts: list[str], min_words: int):
+    def __init__(self, ids: list, texts: list[str], min_words: int, threshold: float):
         powers = make_powers()
         self.ids, self.segments, self.item_of = [], [], []
         seen: dict[bytes, int] = {}
@@ -79,34 +95,36 @@ class Block:
                 self.segments.append(part)
                 self.item_of.append(len(self.ids))
             self.ids.append(ids[order[i]])
-        grams = [shingle_hashes(s, SEED_WORDS) for s in self.segments]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-
-    def choose_seeds(self, frequency: np.ndarray) -> None:
-        """Rarest n-gram of each window; ``frequency`` goes with ``grams``."""
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.lengths = np.array([len(s) for s in self.segments], np.int64)
+        self.needed = threshold * MATCH * self.lengths
+        self.fewest = np.maximum(np.ceil(self.needed / MATCH - 1 - 1e-9), 1).astype(np.int64)
+        self.span = np.ceil(3 * self.lengths - self.needed).astype(np.int64)
+        alone = self.needed / MATCH <= 1
+        self.has_alone = bool(alone.any())
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for s, words in enumerate(self.segments):
-            grams = shingle_hashes(words, SEED_WORDS)
-            rare = frequency[np.searchsorted(self.grams, grams)]
-            picked = {
-                i + int(rare[i : i + SEED_WINDOW].argmin())
-                for i in range(max(1, len(grams) - SEED_WINDOW + 1))
-            }
-            for q in picked:
-                postings[int(grams[q])].append((s, q))
-        self.postings = dict(postings)
-        self.seeds = np.array(sorted(postings), np.uint64)
+            own = np.unique(seed_hashes(words, bool(alone[s]))[0])
+            hashes.append(own)
+            owners.append(np.full(len(own), s))
+        everything = np.concatenate(hashes)
+        by_hash = np.argsort(everything, kind="stable")
+        self.owners = np.concatenate(owners)[by_hash]
+        self.seeds, self.first = np.unique(everything[by_hash], return_index=True)
+        self.count = np.diff(np.append(self.first, len(everything)))
 
 
 def make_sieve(hashes: np.ndarray) -> np.ndarray:
-    sieve = np.zeros(1 << _SIEVE_BITS, bool)
-    sieve[(hashes >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
+    """A table by the leading bits, some 64 places per hash."""
+    bits = min(max(16, len(hashes).bit_length() + 6), 26)
+    sieve = np.zeros(1 << bits, bool)
+    sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
     return sieve
 
 
 def find_in(hashes: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where members of the sorted ``known`` occur, and which they are."""
-    maybe = np.flatnonzero(sieve[(hashes >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+    shift = np.uint64(64 - len(sieve).bit_length() + 1)
+    maybe = np.flatnonzero(sieve[(hashes >> shift).astype(np.int64)])
     if not len(maybe) or not len(known):
         return maybe[:0], maybe[:0]
     at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
@@ -114,79 +132,77 @@ def find_in(hashes: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[n
     return maybe[hit], at[hit]
 
 
-def corpus_frequency(docs: DataFrame, text_col: str, grams: np.ndarray) -> np.ndarray:
-    """Occurrences of the block's n-grams in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def make():
-        powers, known = make_powers(), shared.value
-        sieve, total = make_sieve(known), np.zeros(len(known), np.int64)
-
-        def count(batch: pa.RecordBatch | None):
-            if batch is None:
-                used = np.flatnonzero(total)
-                return used, total[used]
-            texts = [plain_text(t) for t in batch.column(0).to_pylist()]
-            for _, words in words_of_texts(texts, powers):
-                np.add.at(total, find_in(shingle_hashes(words, SEED_WORDS), known, sieve)[1], 1)
-            return None
-
-        return count
+def _passages(words: np.ndarray, block: Block, sieve: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(segment, low, high)``: stretches of the document that may reach the threshold.
 
-    sums = rows_from_texts(docs, [text_col], "gram long, n long", make)
-    found = sums.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    frequency = np.zeros(len(grams), np.int64)
-    frequency[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return frequency
-
-
-def _passages(positions: list[tuple[int, int]], length: int, limit: int) -> list[tuple[int, int]]:
-    """Stretches of the document that an item may lie in, overlapping ones joined."""
-    margin = length // 4 + SEED_WORDS
+    An alignment has at most as many edits as twice its matches less the score, so it
+    spans at most three segment lengths less the needed score. Any such span with
+    enough pairs counts; overlapping ones are joined.
+    """
+    found, widest = [], int(block.span.max())
+    for start in range(0, max(1, len(words) - widest), _WINDOW):
+        part = words[start : start + _WINDOW + widest]
+        found += [
+            (s, max(0, start + a), min(len(words), start + b))
+            for s, a, b in _stretches(part, block, sieve)
+        ]
+    return found
+
+
+def _stretches(words: np.ndarray, block: Block, sieve: np.ndarray) -> list[list[int]]:
+    """The same for a part of a document; ends may lie outside of it."""
+    hashes, places = seed_hashes(words, False)
+    if block.has_alone:
+        more = seed_hashes(words, True)
+        hashes, places = np.append(hashes, more[0]), np.append(places, more[1])
+    at, which = find_in(hashes, block.seeds, sieve)
+    if not len(at):
+        return []
+    # Every segment that has the pair, once for each place of the document.
+    n = block.count[which]
+    ends = np.cumsum(n)
+    offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    segment = block.owners[np.repeat(block.first[which], n) + offset]
+    key = np.unique(segment * len(words) + np.repeat(places[at], n))
+    segment, place = key // len(words), key % len(words)
+    span = block.span[segment]
+    last = np.arange(len(key)) + block.fewest[segment] - 1
+    inside = np.minimum(last, len(key) - 1)
+    enough = (last < len(key)) & (segment[inside] == segment) & (place[inside] - place <= span)
     found: list[list[int]] = []
-    for start in sorted({p - q for p, q in positions}):
-        low, high = max(0, start - margin), min(limit, start + length + margin)
-        if found and low <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], high)
+    for k in np.flatnonzero(enough).tolist():
+        s, width = int(segment[k]), int(span[k])
+        low, high = int(place[inside[k]]) - width, int(place[k]) + width + 1
+        if found and found[-1][0] == s and low < found[-1][2]:
+            found[-1][2] = max(found[-1][2], high)
         else:
-            found.append([low, high])
-    return [(a, b) for a, b in found]
+            found.append([s, low, high])
+    return found
 
 
-def leaks_of(
-    words: np.ndarray, block: Block, sieve: np.ndarray, threshold: float, cache: dict
-) -> list[dict]:
+def leaks_of(words: np.ndarray, block: Block, sieve: np.ndarray, cache: dict) -> list[dict]:
     """Items of the block that a document holds: score, first and last word."""
-    at, which = find_in(shingle_hashes(words, SEED_WORDS), block.seeds, sieve)
-    if not len(at):
-        return []
-    by_segment: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, w in zip(at.tolist(), which.tolist()):
-        for segment, q in block.postings[int(block.seeds[w])]:
-            by_segment[segment].append((p, q))
     best: dict[int, tuple] = {}
-    for segment, positions in by_segment.items():
-        item = block.segments[segment]
-        needed = threshold * MATCH * len(item)
-        for low, high in _passages(positions, len(item), len(words)):
-            passage = words[low:high]
-            if MATCH * int(np.isin(item, passage).sum()) < needed:
-                continue
-            key = (segment, passage.tobytes())
-            if key not in cache:
-                if len(cache) > 2000:
-                    cache.clear()
-                score, end = align(item, passage)
-                start = 0
-                if score >= needed:
-                    start = end - align(item[::-1], passage[:end][::-1])[1]
-                cache[key] = (score, start, end)
-            score, start, end = cache[key]
+    for segment, low, high in _passages(words, block, sieve):
+        item, needed = block.segments[segment], block.needed[segment]
+        passage = words[low:high]
+        if MATCH * int(np.isin(item, passage).sum()) < needed:
+            continue
+        key = (segment, passage.tobytes())
+        if key not in cache:
+            if len(cache) > 2000:
+                cache.clear()
+            score, end = align(item, passage)
+            start = 0
             if score >= needed:
-                share = score / (MATCH * len(item))
-                found = (-share, low + start, low + end - 1)
-                i = block.item_of[segment]
-                best[i] = min(best.get(i, found), found)
+                start = end - align(item[::-1], passage[:end][::-1])[1]
+            cache[key] = (score, start, end)
+        score, start, end = cache[key]
+        if score >= needed:
+            share = score / (MATCH * len(item))
+            found = (-share, low + start, low + end - 1)
+            i = block.item_of[segment]
+            best[i] = min(best.get(i, found), found)
     return [
         {"item_id": block.ids[i], "score": -s, "first_word": a, "last_word": b}
         for i, (s, a, b) in sorted(best.items())
@@ -219,10 +235,9 @@ def with_leaks(
     result = nest(docs, text=text_col).withColumn("leaks", F.array().cast(ddl))
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(n_blocks)) == b).collect()
-        block = Block([r["item"] for r in rows], [r["item_text"] for r in rows], min_words)
-        if not len(block.grams):
+        block = Block([r["item"] for r in rows], [r["item_text"] for r in rows], min_words, threshold)
+        if not len(block.seeds):
             continue
-        block.choose_seeds(corpus_frequency(docs, text_col, block.grams))
         shared = spark.sparkContext.broadcast(block)
 
         def make(shared=shared):
@@ -233,7 +248,7 @@ def with_leaks(
                 found = [[] for _ in range(len(column))]
                 texts = [plain_text(t) for t in column.to_pylist()]
                 for i, words in words_of_texts(texts, powers):
-                    found[i] = leaks_of(words, here, sieve, threshold, cache)
+                    found[i] = leaks_of(words, here, sieve, cache)
                 return [found]
 
             return search
