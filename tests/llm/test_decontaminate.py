@@ -103,3 +103,19 @@ def test_no_pattern_of_edits_hides_a_copy(spark):
     assert sum(d < 200 for d, _ in want) > 50 and sum(400 <= d < 1000 for d, _ in want) > 50
     found = decontaminate.find_leaks(documents(spark, rows), spark.createDataFrame(items, ITEMS))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_excerpts_of_long_items_are_found(spark):
+    rng = random.Random(6)
+    long_item, middle, huge = (sentence(rng, n) for n in (500, 59, 1300))
+    bench = [(i, " ".join(w)) for i, w in enumerate((long_item, middle, huge))]
+    pieces = {
+        1: (0, long_item[130:370]), 2: (1, middle[20:45]), 3: (0, long_item[-14:]), 4: (2, huge[500:525]),
+        5: (2, huge[1290:] + huge[:9]), 6: (2, [w if k % 9 else "zzz" for k, w in enumerate(huge[700:740])]),
+        7: (1, middle[:12]),
+    }
+    rows = [(d, " ".join(sentence(rng, 80) + p + sentence(rng, 80))) for d, (_, p) in pieces.items()]
+    found = decontaminate.find_leaks(documents(spark, rows), spark.createDataFrame(bench, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 0), (2, 1), (3, 0), (4, 2), (6, 2)}
+    by_doc = {r["doc_id"]: r for r in found}
+    assert by_doc[1]["score"] == 0.48 and (by_doc[1]["first_word"], by_doc[1]["last_word"]) == (80, 319)

@@ -1,7 +1,8 @@
 """Training documents that hold passages of a benchmark, edited or not.
 
 Passages are aligned with items by Smith-Waterman over words; the score is the share
-of the best possible one. Where a passage reaches the threshold, neighbouring words
+of the best possible one. A verbatim or nearly verbatim excerpt of 13 words counts
+however long the item is; segments of long items overlap by half. Where a passage reaches the threshold, neighbouring words
 that match are often at most one edit apart: with ``m`` matches and ``e`` edits the
 score is ``2 m - e``, and at least ``m - 1 - e / 2`` neighbouring matches have at most
 one edit between them. Such two words are one or two places apart in the item and in
@@ -30,6 +31,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANKED = bytes(32 if chr(b) in PUNCTUATION else b for b in range(256))
 REACH = 2
 SEGMENT = 512
+STEP = 256
+STRICT = 4  # edits of an excerpt cost so many times as much
 MATCH, MISMATCH, GAP = 2, -1, 1
 _WINDOW = 1 << 14
 
@@ -38,19 +41,22 @@ def plain_text(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANKED)
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+def align(item: np.ndarray, passage: np.ndarray, edit: int = 1) -> tuple[int, int]:
     """Best local alignment score and the end of it in the passage.
 
+    ``edit`` multiplies the cost of mismatches and gaps.
+
     A gap costs the same for each word, so the gaps along a row are one running
     maximum.
     """
-    ramp = GAP * np.arange(len(passage) + 1)
+    mismatch, gap = MISMATCH * edit, GAP * edit
+    ramp = gap * np.arange(len(passage) + 1)
     above = np.zeros(len(passage) + 1, np.int64)
     best, end = 0, 0
     for word in item:
         here = np.zeros_like(above)
-        np.maximum(above[:-1] + np.where(passage == word, MATCH, MISMATCH), 0, out=here[1:])
-        here = np.maximum(here, above - GAP)
+        np.maximum(above[:-1] + np.where(passage == word, MATCH, mismatch), 0, out=here[1:])
+        here = np.maximum(here, above - gap)
         here = np.maximum.accumulate(here + ramp) - ramp
         top = int(here.argmax())
         if here[top] > best:
@@ -78,7 +84,7 @@ class Block:
     threshold. Segments too short for any bound are sought by their single words.
     """
 
-    def __init__(self, ids: list, texts: list[str], min_words: int, threshold: float):
+    def __init__(self, ids: list, texts: list[str], min_words: int, threshold: float, excerpt_words: int):
         powers = make_powers()
         self.ids, self.segments, self.item_of = [], [], []
         seen: dict[bytes, int] = {}
@@ -88,7 +94,7 @@ class Block:
             if len(words) < max(min_words, 1) or words.tobytes() in seen:
                 continue
             seen[words.tobytes()] = len(self.ids)
-            for start in range(0, len(words), SEGMENT):
+            for start in range(0, max(len(words) - SEGMENT + STEP, 1), STEP):
                 part = words[start : start + SEGMENT]
                 if start and len(part) < SEGMENT:  # the rest, filled up from before
                     part = words[-SEGMENT:]
@@ -97,9 +103,11 @@ class Block:
             self.ids.append(ids[order[i]])
         self.lengths = np.array([len(s) for s in self.segments], np.int64)
         self.needed = threshold * MATCH * self.lengths
-        self.fewest = np.maximum(np.ceil(self.needed / MATCH - 1 - 1e-9), 1).astype(np.int64)
-        self.span = np.ceil(3 * self.lengths - self.needed).astype(np.int64)
-        alone = self.needed / MATCH <= 1
+        self.excerpt = MATCH * excerpt_words
+        self.least = np.minimum(self.needed, self.excerpt)
+        self.fewest = np.maximum(np.ceil(self.least / MATCH - 1 - 1e-9), 1).astype(np.int64)
+        self.span = np.ceil(3 * self.lengths - self.least).astype(np.int64)
+        alone = self.least / MATCH <= 1
         self.has_alone = bool(alone.any())
         hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for s, words in enumerate(self.segments):
@@ -180,25 +188,36 @@ def _stretches(words: np.ndarray, block: Block, sieve: np.ndarray) -> list[list[
     return found
 
 
+def _judge(
+    item: np.ndarray, passage: np.ndarray, needed: float, excerpt: int
+) -> tuple[int, int, int] | None:
+    """Score, start and end in the passage if it holds enough of the item."""
+    edit = 1
+    score, end = align(item, passage)
+    if score < needed:
+        # A strict score is never above the other one.
+        edit = STRICT
+        score, end = align(item, passage, edit) if score >= excerpt else (score, end)
+        if score < excerpt:
+            return None
+    return score, end - align(item[::-1], passage[:end][::-1], edit)[1], end
+
+
 def leaks_of(words: np.ndarray, block: Block, sieve: np.ndarray, cache: dict) -> list[dict]:
     """Items of the block that a document holds: score, first and last word."""
     best: dict[int, tuple] = {}
     for segment, low, high in _passages(words, block, sieve):
         item, needed = block.segments[segment], block.needed[segment]
         passage = words[low:high]
-        if MATCH * int(np.isin(item, passage).sum()) < needed:
+        if MATCH * int(np.isin(item, passage).sum()) < block.least[segment]:
             continue
         key = (segment, passage.tobytes())
         if key not in cache:
             if len(cache) > 2000:
                 cache.clear()
-            score, end = align(item, passage)
-            start = 0
-            if score >= needed:
-                start = end - align(item[::-1], passage[:end][::-1])[1]
-            cache[key] = (score, start, end)
-        score, start, end = cache[key]
-        if score >= needed:
+            cache[key] = _judge(item, passage, needed, block.excerpt)
+        if cache[key] is not None:
+            score, start, end = cache[key]
             share = score / (MATCH * len(item))
             found = (-share, low + start, low + end - 1)
             i = block.item_of[segment]
@@ -218,10 +237,14 @@ def with_leaks(
     item_text_col: str = "text",
     threshold: float = 0.5,
     min_words: int = 5,
+    excerpt_words: int = 13,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``docs`` with ``leaks``: the items found, with score and word positions.
 
+    An item is found by ``threshold`` of the best score of the whole of it (long items:
+    of a segment), or by a passage worth ``excerpt_words`` words without edits, each
+    edit taking off two words. ``score`` is the share of the best score in both cases.
     Blocks hold about ``block_bytes`` of item text each.
     """
     spark = docs.sparkSession
@@ -235,7 +258,7 @@ def with_leaks(
     result = nest(docs, text=text_col).withColumn("leaks", F.array().cast(ddl))
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(n_blocks)) == b).collect()
-        block = Block([r["item"] for r in rows], [r["item_text"] for r in rows], min_words, threshold)
+        block = Block([r["item"] for r in rows], [r["item_text"] for r in rows], min_words, threshold, excerpt_words)
         if not len(block.seeds):
             continue
         shared = spark.sparkContext.broadcast(block)
