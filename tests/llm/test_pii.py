@@ -144,3 +144,14 @@ def test_overlaps_go_as_one_and_empty_tables_work(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.find_private(documents(spark, [(1, "a@b.c")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_terms_go_everywhere_and_also_without_the_address(spark):
+    rows = [(i, f"zorro writes to z@mail.org today, number {i}") for i in range(5)]
+    rows += [(10, "Zorro alone"), (11, "nobody here"), (12, None), (13, "zorro and x@y.z"), (10, "Zorro alone")]
+    docs = documents(spark, rows)
+    found = pii.report(pii.find_private(docs, everywhere=True)).collect()
+    got = sorted((r["doc_id"], r["spans"]) for r in found if r["doc_id"] > 9)
+    assert got == [(10, "term:0:5"), (10, "term:0:5"), (11, ""), (12, ""), (13, "email:10:15,term:0:5")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, everywhere=True).collect()}
+    assert "zorro" not in clean[10].lower() and clean[11] == "nobody here" and clean[12] is None

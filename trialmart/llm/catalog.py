@@ -60,7 +60,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.report(pii.find_private(docs))
+    return pii.report(pii.find_private(docs, everywhere=True))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ Base spans are e-mail and IP addresses, card and phone numbers. A term (a word o
 letters) discloses an entity when it occurs near it so often that a reader of the
 term knows the entity all but ``slack_bits``: pointwise mutual information of at
 least the entity's own information less the slack, ``log2(n(term) / n(term near
-entity)) <= slack_bits``, counted over all documents. In documents that hold the
-entity such terms are removed, or generalised if some doubt is left.
+entity)) <= slack_bits``, counted over all documents. Such terms are removed, or
+generalised if some doubt is left: with ``everywhere`` in all documents, as a term
+gives the entity away where the entity itself is not written too; else only in
+documents that hold the entity.
 
 Everything is column expressions. Null texts count as empty. Offsets are code
 points, ends exclusive. Repeated rows and ids are handled row by row; columns of
@@ -229,12 +231,14 @@ def find_private(
     *,
     slack_bits: float = 1.0,
     support: int = 3,
+    everywhere: bool = False,
 ) -> DataFrame:
     """``docs`` with ``pii``: kind, start, end and ``bits`` (terms only) of each span.
 
     Base kinds come in their fixed order, then terms, each from left to right.
     Rows with base spans are staged with a number of their own, as the terms
-    found for them have to come back to the same row; all others pass through.
+    found for them have to come back to the same row; with ``everywhere`` so are the
+    other rows that may hold a disclosing term. All others pass through.
     """
     columns = [F.col(f"row.`{c}`") for c in docs.columns if c != "pii"]
     marked = _with_base(docs, text_col)
@@ -242,13 +246,25 @@ def find_private(
         marked.where(_has_any()).withColumn("_row", F.monotonically_increasing_id()), "pii_found"
     )
     disclosing, terms = disclosing_terms(found, docs, text_col, slack_bits, support)
+    clean = marked.where(~_has_any())
+    if everywhere:
+        disclosing = stage(
+            disclosing.groupBy("term").agg(F.min("bits").alias("bits")), "pii_disclosing_terms"
+        )
+        terms = sieve.build(disclosing, "term")
+        may_hold = F.exists(_words(F.col("_text")), lambda w: sieve.passes(terms, w))
+        # Numbers below zero, so that they differ from those of the other rows.
+        touched = clean.where(may_hold).withColumn("_row", -1 - F.monotonically_increasing_id())
+        found = found.unionByName(stage(touched, "pii_touched"))
+        clean = clean.where(~may_hold)
     words = found.select("_row", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
-    held = found.select("_row", F.explode(F.array_distinct(F.transform(
-        _entities(), lambda e: e["entity"]))).alias("entity"))
-    hits = splittable_join(
+    own = splittable_join(
         words.where(sieve.passes(terms, F.col("term"))), disclosing, "term", "inner"
     )
-    own = hits.join(held, ["_row", "entity"], "left_semi")
+    if not everywhere:
+        held = found.select("_row", F.explode(F.array_distinct(F.transform(
+            _entities(), lambda e: e["entity"]))).alias("entity"))
+        own = own.join(held, ["_row", "entity"], "left_semi")
     by_row = own.groupBy("_row").agg(
         F.array_sort(F.collect_set(F.struct("term", "bits"))).alias("_terms")
     )
@@ -277,7 +293,7 @@ def find_private(
         F.col("_terms").isNotNull(), F.transform(free, term_span)
     ).otherwise(F.array().cast(f"array<{PII}>"))
     with_terms = joined.select(*columns, F.concat(base, terms_found).cast(f"array<{PII}>").alias("pii"))
-    clean = marked.where(~_has_any()).select(*columns, F.array().cast(f"array<{PII}>").alias("pii"))
+    clean = clean.select(*columns, F.array().cast(f"array<{PII}>").alias("pii"))
     return clean.unionByName(with_terms)
 
 
