@@ -87,3 +87,12 @@ def test_batches_hold_the_budget_and_all_tokens(spark):
     tokens = found.agg(F.sum("n_tokens")).first()[0]
     assert tokens == sum(len((t or "").split()) for _, t in rows)
     assert found.where("n_tokens > padded_to or n_tokens > 64").count() == 0
+
+
+def test_rows_of_one_id_in_many_partitions_part(spark):
+    docs = documents(spark, [(None, "x" * 100)] * 24).repartition(24)
+    docs = docs.unionByName(documents(spark, [(None, "x" * 100)] * 24).repartition(24))
+    totals: dict[str, int] = {}
+    for r in sharding.assign_shards(docs, limit=150).collect():
+        totals[r["shard"]] = totals.get(r["shard"], 0) + r["n_bytes"]
+    assert len(totals) == 48 and max(totals.values()) == 100

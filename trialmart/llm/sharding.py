@@ -1,10 +1,10 @@
 """Shards of bounded size by extendible hashing.
 
-Rows have a 64-bit address. A bucket is a prefix of address bits; one that is
+Rows have a 96-bit address. A bucket is a prefix of address bits; one that is
 over the limit is split on its next bit, the others stay, so hot regions get long
 prefixes and the rest short ones. Bits 1-32 come from the MD5 of the id, so a
-document keeps its place. Bits 33-64 tell rows of one id apart (a running number
-of the staged row): copies of an id split as well.
+document keeps its place. Bits 33-96 tell rows of one id apart (the whole number of
+the staged row, mixed): no two rows share an address, so copies of an id split as well.
 
 A shard is over the limit only if it holds a single row that is. Null texts have
 no bytes; a null id is hashed like an empty one. An empty table has no shards.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.storage import stage
 
 STEP = 12
-BITS = 64
+BITS = 96
 
 
 def _prefix(bits: Column, length) -> Column:
@@ -26,11 +26,11 @@ def _prefix(bits: Column, length) -> Column:
 
 
 def address_bits(id_col: Column, row_number: Column) -> Column:
-    """The address as a text of 64 binary digits."""
+    """The address as a text of ``BITS`` binary digits."""
     word = F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8)
     high = F.lpad(F.conv(word, 16, 2), 32, "0")
-    # Reversed, so that neighbouring numbers part at once.
-    low = F.reverse(F.lpad(F.conv(row_number.bitwiseAND(F.lit(0xFFFFFFFF)), 10, 2), 32, "0"))
+    # Of a single 64-bit number this hash is a bijection; it parts all numbers at once.
+    low = F.lpad(F.bin(F.xxhash64(row_number.cast("long"))), 64, "0")
     return F.concat(high, low)
 
 
@@ -49,9 +49,7 @@ def _leaves(rows: DataFrame, done: int, limit: int) -> DataFrame:
     totals = levels.groupBy(prefix.alias("bucket")).agg(
         F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows")
     )
-    fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (
-        F.length("bucket") == BITS
-    )
+    fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)
     best = (
         levels.select("cell", prefix.alias("bucket"))
         .join(totals.where(fits), "bucket")
