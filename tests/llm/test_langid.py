@@ -78,3 +78,18 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     joined = found.join(docs, "doc_id")
     assert joined.where("lang_pred = lang").count() >= 0.97 * joined.count() > 0
+
+
+def test_more_than_four_languages(spark):
+    rng = random.Random(4)
+    names = "abcdefg"
+    syllables = {n: [n + "x" * k + chr(0x3B1 + i) for k in range(3)] for i, n in enumerate(names)}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+
+    rows = [(i, words(lang, 30), lang) for i, lang in enumerate(names * 10)]
+    known = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "\n".join(words(lang, 40) for lang in names)
+    mix = dict(p.split(":") for p in predictions(spark, known, [(1, text, None)])[1]["lang_mix"].split(","))
+    assert set(mix) == set(names) and all(abs(float(s) - 1 / 7) < 0.02 for s in mix.values())

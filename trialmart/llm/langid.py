@@ -145,24 +145,23 @@ def word_likelihoods(
 
 
 def mixtures(
-    likelihoods: np.ndarray, starts: np.ndarray, penalty: float, max_set: int
+    likelihoods: np.ndarray, starts: np.ndarray, penalty: float, max_set: int | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Language sets (-1: none) and proportions of documents that all have a word.
 
     ``starts`` are the first words of the documents. A set grows by the language
     with the steepest likelihood; it is accepted if that gains more than
-    ``penalty / 2 * log(words)``, the BIC price for ``penalty`` = 1.
+    ``penalty / 2 * log(words)``, the BIC price for ``penalty`` = 1. Sets end there, or
+    at ``max_set`` languages if that is given.
     """
     n_docs, n_langs = len(starts), likelihoods.shape[1]
     n = np.diff(np.append(starts, len(likelihoods)))
     single = np.add.reduceat(np.log(likelihoods), starts, axis=0)
-    chosen = np.full((n_docs, max_set), -1)
-    shares = np.zeros((n_docs, max_set))
-    chosen[:, 0] = single.argmax(axis=1)
-    shares[:, 0] = 1.0
+    chosen = single.argmax(axis=1)[:, None]
+    shares = np.ones((n_docs, 1))
     best = single.max(axis=1)
     docs, rows, first = np.arange(n_docs), likelihoods, starts
-    for k in range(1, min(max_set, n_langs)):
+    for k in range(1, min(max_set or n_langs, n_langs)):
         size = n[docs]
         doc = np.repeat(np.arange(len(docs)), size)
         line = np.arange(len(rows))[:, None]
@@ -179,13 +178,14 @@ def mixtures(
             share = np.add.reduceat(joint, first, axis=0) / size[:, None]
         value = np.add.reduceat(np.log((held * share[doc]).sum(axis=1)), first)
         won = value - best[docs] > penalty / 2 * np.log(np.maximum(size, 2))
+        if not won.any():
+            break
         grown = docs[won]
-        chosen[grown, :k] = chosen[grown, :k]
+        chosen = np.column_stack([chosen, np.full(n_docs, -1)])
+        shares = np.column_stack([shares, np.zeros(n_docs)])
         chosen[grown, k] = new[won]
         shares[grown, : k + 1] = share[won]
         best[grown] = value[won]
-        if not won.any():
-            break
         rows = rows[won[doc]]
         docs = grown
         first = np.concatenate([[0], np.cumsum(n[docs])[:-1]])
@@ -199,7 +199,7 @@ def predict(
     text_col: str = "text",
     *,
     penalty: float = 2.0,
-    max_set: int = 4,
+    max_set: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (its proportion) and ``lang_mix``.
 
