@@ -14,6 +14,7 @@ from . import (
     ngram_join,
     oracle,
     packing,
+    periodic_runs,
     pii,
     quality,
     sharding,
@@ -86,6 +87,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_documents(docs).drop("text")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = docs.withColumn("text", periodic_runs.plant_periods(F.col("text"), F.col("doc_id")))
+    return periodic_runs.collapse_runs(planted).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op1_warc": oracle.WARC,
