@@ -18,6 +18,7 @@ from . import (
     pii,
     quality,
     sharding,
+    simhash_dedup,
     urlfilter,
     warc,
 )
@@ -93,6 +94,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.collapse_runs(planted).drop("text")
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.similar_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash": op13_simhash,
 }
 SQL: dict[str, str] = {
     "op1_warc": oracle.WARC,
