@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     langid,
+    lexical_search,
     licenses,
     ngram_join,
     oracle,
@@ -88,6 +89,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_documents(docs).drop("text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs, benchmark)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     planted = docs.withColumn("text", periodic_runs.plant_periods(F.col("text"), F.col("doc_id")))
@@ -109,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_simhash": op13_simhash,
 }
@@ -117,6 +124,7 @@ SQL: dict[str, str] = {
     "op3_sharding": oracle.SHARDING,
     "op6_license_scans": oracle.licenses(),
     "op10_quality_rules": oracle.QUALITY,
+    "op11_lexical_search": oracle.LEXICAL_SEARCH,
 }
 
 

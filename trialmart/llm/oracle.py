@@ -135,3 +135,42 @@ b as (
 select d.doc_id, b.license, round(b.dice, 6) as dice
 from documents d left join b on d.doc_id = b.doc_id and b.r = 1
 """
+
+
+LEXICAL_SEARCH = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents where text is not null
+),
+s as (select count(*) as docs, cast(sum(len(terms)) as bigint) as all_terms from d where len(terms) > 0),
+p as (
+  select r, doc_id, any_value(n) as n, term, count(*) as tf
+  from (select r, doc_id, len(terms) as n, unnest(terms) as term from d)
+  group by r, doc_id, term
+),
+w as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as weight
+  from p, s group by term, docs
+),
+q as (
+  select item_id, text, term, count(*) as times from (
+    select item_id, text, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select distinct item_id, text from benchmark))
+  group by item_id, text, term
+),
+g as (
+  select item_id, text, r, doc_id, cast(sum(times * weight
+      * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // all_terms)))) as bigint) as score
+  from q join w using (term) join p using (term), s
+  group by item_id, text, r, doc_id
+),
+o as (
+  select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as place
+  from g where score > 0
+)
+select item_id, cast(place as int) as rank, doc_id, score from o where place <= 10
+"""
