@@ -205,9 +205,13 @@ def _dealt(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
     At most ``(radius + 1) ** 6`` masks, so their table is small.
     """
-    children = [(_signed(m), [_signed(c) for c in split_masks(m, radius)]) for m in masks]
-    table = rows.sparkSession.createDataFrame(children, "mask long, children array<long>")
-    found = rows.join(F.broadcast(table), "mask").select(F.explode("children").alias("mask"), "fp")
+    children = [[_signed(c) for c in split_masks(m, radius)] for m in masks]
+    if len(masks) == 1:
+        found = rows.select(F.explode(F.array(*map(F.lit, children[0]))).alias("mask"), "fp")
+    else:
+        pairs = list(zip(map(_signed, masks), children))
+        table = rows.sparkSession.createDataFrame(pairs, "mask long, children array<long>")
+        found = rows.join(F.broadcast(table), "mask").select(F.explode("children").alias("mask"), "fp")
     return found.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
 
 
@@ -255,7 +259,7 @@ def close_fingerprints(fingerprints: DataFrame, radius: int = RADIUS) -> DataFra
     """
     if not 0 <= radius < 8:
         raise ValueError("radius must be between 0 and 7")
-    masks, level = [0], fingerprints.select(F.lit(0).cast("long").alias("mask"), "fp")
+    masks, level = [0], fingerprints.select("fp")
     links = []
     while True:
         rows = stage(_dealt(level, masks, radius), "simhash_buckets")
