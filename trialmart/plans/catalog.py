@@ -28,7 +28,7 @@ from ..operators import (
     summary,
     users,
 )
-from ..sources import readers, sinks
+from ..sources import gzip_index, readers, sinks
 from ..sources.storage import new_folder, stage
 from .adapter import WINDOW, raw_tables
 from .silver import clean_and_conform, users_silver
@@ -51,6 +51,9 @@ def queries() -> dict[str, Query]:
     return dict(_CATALOG)
 
 
+# Of the files that queries write and read again, so that each is read in several chunks.
+_SMALL_CHUNKS = 1 << 18
+
 _SOURCES = ("orders", "lineitem", "customer", "supplier")
 
 
@@ -191,16 +194,52 @@ def _raw_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{new_folder(spark, 'round-trip')}/{name}"
 
 
+_RAW_ORDER_TEXT = (
+    "order_id", "customer_id", "merchant_id", "order_created_at", "order_scheduled",
+    "origin_platform", "items", "cpf",
+)
+
+
 @_query
 def orders_from_json_shards(spark, sf_dir):
     """Raw orders written as JSON in shards and read back whole (SNK1, SRC2, SRC4)."""
     path = _raw_folder(spark, sf_dir, "orders_sharded")
     sinks.write_sharded_json(raw_tables(spark, sf_dir).orders, path, 4)
     back = readers.read_orders(spark, path.rpartition("/")[0])
-    return back.select(
-        "order_id", "customer_id", "merchant_id", "order_created_at", "order_scheduled",
-        "origin_platform", "items", "cpf",
+    return back.select(*_RAW_ORDER_TEXT)
+
+
+@_query
+def orders_from_json_array(spark, sf_dir):
+    """Raw orders written as JSON arrays, read back in chunks (SRC3)."""
+    path = _raw_folder(spark, sf_dir, "orders_array")
+    sinks.write_json_arrays(raw_tables(spark, sf_dir).orders, path, 2)
+    back = readers.read_orders_json(spark, path, json_array=True, chunk_bytes=_SMALL_CHUNKS)
+    return back.select(*_RAW_ORDER_TEXT)
+
+
+@_query
+def orders_from_gzip_array(spark, sf_dir):
+    """The same from gzip files, entered at the places of their index (SRC3, SRC12)."""
+    path = _raw_folder(spark, sf_dir, "orders_array_gz")
+    sinks.write_json_arrays(raw_tables(spark, sf_dir).orders, path, 2, "gzip")
+    back = readers.read_orders_json(
+        spark, path, json_array=True, index_dir=_raw_folder(spark, sf_dir, "index"),
+        chunk_bytes=_SMALL_CHUNKS,
+    )
+    return back.select(*_RAW_ORDER_TEXT)
+
+
+@_query
+def orders_from_gzip_lines(spark, sf_dir):
+    """Raw orders as gzip JSON lines, each file read by many tasks (SRC12, SRC2)."""
+    path = _raw_folder(spark, sf_dir, "orders_gz")
+    raw_tables(spark, sf_dir).orders.repartition(2).write.option("compression", "gzip").json(path)
+    lines = gzip_index.read_lines(
+        spark, path, index_dir=_raw_folder(spark, sf_dir, "index"), chunk_bytes=_SMALL_CHUNKS
     )
+    row = F.from_json("value", readers.orders_schema())
+    return lines.select(row.alias("row")).select("row.*").select(*_RAW_ORDER_TEXT)
 
 
 @_query

@@ -18,8 +18,11 @@ from ..functions.fixed_values import (
     REQUIRED_FILES,
     SHARDED_ORDERS_DIR,
 )
+from . import json_arrays
 from .archives import is_finished
+from .byte_access import CHUNK_BYTES
 from .files import _join, list_files, preflight, sniff_orders_format
+from .storage import stage
 
 
 def orders_schema(extra_fields: Sequence[str] = ()) -> T.StructType:
@@ -38,19 +41,26 @@ def read_orders_json(
     json_array: bool = False,
     extra_fields: Sequence[str] | None = None,
     schema: T.StructType | None = None,
+    index_dir: str | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Orders from line-delimited JSON or from JSON arrays (SRC2, SRC3).
 
     Without ``extra_fields`` the names of all columns are looked up in the files;
     with it, exactly those are read next to the known ones and no pass is needed.
-    An array is parsed as a whole by one task, which is a limit of the format: turn
-    large ones into lines first (``archives.shard_ndjson`` splits those).
+    Arrays are split over tasks; ``index_dir`` keeps the index of gzip ones.
     """
-    reader = spark.read.option("multiLine", json_array)
+    if json_array:
+        found = json_arrays.array_elements(spark, path, index_dir=index_dir, chunk_bytes=chunk_bytes)
+        if schema is None and extra_fields is None:
+            found = stage(found, "order_elements")
+            extra_fields = json_arrays.keys_of(found)
+        row = F.from_json("value", schema or orders_schema(extra_fields or ()))
+        return found.select(row.alias("row")).select("row.*")
     if schema is None and extra_fields is None:
-        found = reader.option("primitivesAsString", True).json(path).columns
+        found = spark.read.option("primitivesAsString", True).json(path).columns
         extra_fields = [c for c in found if c != "_corrupt_record"]
-    return reader.schema(schema or orders_schema(extra_fields or ())).json(path)
+    return spark.read.schema(schema or orders_schema(extra_fields or ())).json(path)
 
 
 def read_csv(

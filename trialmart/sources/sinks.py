@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_sharded_json(df: DataFrame, path: str, parts: int) -> None:
     """Orders as JSON in a given number of files (SNK1)."""
     df.repartition(parts).write.mode("overwrite").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, parts: int, compression: str | None = None) -> None:
+    """Rows as JSON arrays, one array to a file, an element to a line."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                lines.append(lead + text)
+                lead = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["]" if lead == "," else "[]"]})
+
+    rows = df.repartition(parts).select(F.to_json(F.struct("*")).alias("value"))
+    writer = rows.mapInArrow(bracketed, "value string").write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.text(path)
+
+
 def write_orders_silver(df: DataFrame, path: str) -> None:
     """Order fact as Parquet by event date (SNK2).
 

@@ -583,8 +583,11 @@ def sql() -> dict[str, str]:
         "dedup_orders": q("parsed", f"""select order_id, {_r('order_total_amount')}, created from parsed
             qualify row_number() over (partition by order_id order by created asc nulls last,
             parsed.order_total_amount asc nulls last) = 1"""),
-        "orders_from_json_shards": q("raw_orders", """select order_id, customer_id, merchant_id, order_created_at,
+        **dict.fromkeys(
+            ("orders_from_json_shards", "orders_from_json_array", "orders_from_gzip_array", "orders_from_gzip_lines"),
+            q("raw_orders", """select order_id, customer_id, merchant_id, order_created_at,
             cast(order_scheduled as varchar) as order_scheduled, origin_platform, items, cpf from raw_orders"""),
+        ),
         "consumers_from_csv": q("consumers", "select * from consumers"),
         "abmap_from_folder": q("abmap", "select customer_id, is_target from abmap"),
         "silver_by_date": q("silver", f"""select order_id, event_ts_utc, {_r('order_total_amount')} from silver
