@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
 import json
 import random
+import tarfile
 
 import pytest
 
-from trialmart.sources import byte_access, gzip_index, json_arrays, readers, sinks
+from trialmart.sources import archives, byte_access, gzip_index, json_arrays, readers, sinks
 
 
 def prose(seed, n_lines):
@@ -179,3 +181,78 @@ def test_written_arrays(spark, tmp_path):
         assert back.select("order_id", "note").exceptAll(df).isEmpty() and back.count() == 50
     sinks.write_json_arrays(df.limit(0), str(tmp_path / "none"), 2)
     assert readers.read_orders_json(spark, str(tmp_path / "none"), json_array=True).count() == 0
+
+
+def make_tar(path, members, mode):
+    with tarfile.open(path, mode) as tar:
+        for name, data in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+
+
+@pytest.mark.parametrize("mode", ["w", "w:gz"])
+def test_tar_members_over_many_chunks(spark, tmp_path, mode):
+    """Long members, small ones, quoted line breaks, empty ones, long names."""
+    rng = random.Random(8)
+
+    def table(n, columns=("a", "b")):
+        out = io.StringIO()
+        writer = csv.writer(out)
+        writer.writerow(columns)
+        for i in range(n):
+            writer.writerow([rng.choice([f"x{i}", f'q"{i}\n"', "é,\n\n", f" {i}"]) + f"#{rng.getrandbits(96):x}", str(i)])
+        return ("\ufeff" if n % 2 else "").encode() + out.getvalue().encode()
+
+    members = {f"d/small{i}.csv": table(i % 7) for i in range(60)}
+    members |= {"d/long.csv": table(6001), "e/._long.csv": b"junk", "empty.csv": b"", "x" * 150 + ".csv": table(40)}
+    members["other.csv"] = "b,a\r\n1,k\r\n2,l".encode()
+    suffix = "tar" if mode == "w" else "tar.gz"
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    make_tar(folder / f"a.{suffix}", members, mode)
+    make_tar(folder / f"b.{suffix}", {"one.csv": table(900)}, mode)
+    want_rows, want_lines = [], []
+    for name, archive in [*((m, "a") for m in members), ("one.csv", "b")]:
+        with tarfile.open(folder / f"{archive}.{suffix}") as tar:
+            text = tar.extractfile(name).read().decode("utf-8-sig")
+        if name.startswith("e/"):
+            continue
+        want_lines += [(name, i, x) for i, x in enumerate(io.StringIO(text, newline=None).read().splitlines())]
+        records = [r for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r)]
+        want_rows += [tuple(dict(zip(records[0], r)).get(n) or None for n in "ab") for r in records[1:]]
+    options = {"chunk_bytes": 20_000}
+    found = archives.read_tar_csv(spark, str(folder), **options)
+    assert found.columns == ["a", "b"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want_rows, key=str)
+    lines = archives.read_tar_lines(spark, str(folder), index_dir=str(tmp_path / "index"), **options)
+    got = [(r["member"], r["line_no"], r["line"]) for r in lines.collect()]
+    assert sorted(got) == sorted(want_lines)
+    assert lines.rdd.getNumPartitions() > 2
+
+
+def test_tar_members_with_more_columns(spark, tmp_path):
+    make_tar(tmp_path / "a.tar", {"a.csv": b"a,b\n1,2\n", "b.csv": b"c,a\n3,4\n"}, "w")
+    path = str(tmp_path / "a.tar")
+    with pytest.raises(ValueError, match="differ in columns"):
+        archives.read_tar_csv(spark, path)
+    found = archives.read_tar_csv(spark, path, fill_missing=True)
+    assert {tuple(r) for r in found.collect()} == {("1", "2", None), ("4", None, "3")}
+
+
+def test_shards_of_an_indexed_file(spark, tmp_path):
+    path = tmp_path / "o.json.gz"
+    path.write_bytes(gzip.compress("".join(f'{{"order_id": "{i}"}}\n' for i in range(5000)).encode()))
+    shards = archives.shard_ndjson(spark, str(path), str(tmp_path / "s"), parts=3, index_dir=str(tmp_path / "i"))
+    assert shards.distinct().count() == 5000
+
+
+def test_written_archives(spark, tmp_path):
+    df = spark.createDataFrame([(f'a,"{i}"', str(i), None) for i in range(500)], "a string, b string, c string")
+    for compression in (None, "gz"):
+        path = str(tmp_path / f"tars-{compression}")
+        sinks.write_tar_csv(df, path, 3, rows_per_member=40, compression=compression)
+        back = archives.read_tar_csv(spark, path, chunk_bytes=4000)
+        assert back.exceptAll(df).isEmpty() and back.count() == 500
+        assert archives.tar_members(spark, path).count() >= 13
+        assert len(list((tmp_path / f"tars-{compression}").glob("part-*"))) == 3

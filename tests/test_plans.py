@@ -161,7 +161,7 @@ def test_staged_tables_follow_their_source(spark, tmp_path):
     import shutil
 
     for name in ("orders", "lineitem", "customer", "supplier"):
-        shutil.copy(f"{SF_DIR}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF_DIR}/{name}.parquet", tmp_path / f"{name}.parquet")
     first = catalog.silver_users(spark, str(tmp_path))
     assert catalog.silver_users(spark, str(tmp_path)) is first
     spark.read.parquet(f"{SF_DIR}/customer.parquet").limit(20).toPandas().to_parquet(

@@ -8,11 +8,14 @@ columns are rounded to six digits, as the order of summation is not fixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import keep_first, round_doubles, with_user_metrics
+from ..functions.fixed_values import EXTRACTED_AB_DIR, REQUIRED_FILES
 from ..functions.timestamps import parse_timestamp
 from ..operators import (
     charts,
@@ -28,7 +31,8 @@ from ..operators import (
     summary,
     users,
 )
-from ..sources import gzip_index, readers, sinks
+from ..sources import archives, files, gzip_index, manifest, readers, sinks
+from ..sources.byte_access import locate
 from ..sources.storage import new_folder, stage
 from .adapter import WINDOW, raw_tables
 from .silver import clean_and_conform, users_silver
@@ -258,6 +262,97 @@ def abmap_from_folder(spark, sf_dir):
     return conform.conform_abmap(readers.read_abmap(spark, path))
 
 
+@_query
+def abmap_mixed_headers(spark, sf_dir):
+    """The assignment map in files with other orders of columns and one column more, by name (SRC6)."""
+    path = _raw_folder(spark, sf_dir, "maps")
+    rows = raw_tables(spark, sf_dir).abmap
+    even = F.pmod(F.crc32("customer_id"), F.lit(2)) == 0
+    rows.where(even).repartition(2).write.option("header", True).csv(f"{path}/one")
+    turned = rows.where(~even).select(F.lit("x").alias("note"), "ab_group", "customer_id")
+    turned.repartition(2).write.option("header", True).csv(f"{path}/two")
+    return conform.conform_abmap(readers.read_abmap(spark, path, by_name=True).drop("note"))
+
+
+@_query
+def raw_manifest(spark, sf_dir):
+    """Files, whole ones and lines of each kind of raw file, read to the end (SRC8, SRC9)."""
+    raw = raw_tables(spark, sf_dir)
+    path = _raw_folder(spark, sf_dir, "raw")
+    raw.orders.repartition(3).write.option("compression", "gzip").json(f"{path}/orders")
+    raw.consumers.repartition(2).write.option("compression", "gzip").csv(f"{path}/consumers")
+    raw.abmap.repartition(2).write.csv(f"{path}/abmap")
+    found = manifest.file_manifest(spark, path).withColumn("raw", F.element_at(F.split("path", "/"), -2))
+    return found.groupBy("raw", "kind").agg(
+        F.count("*").alias("n_files"), F.count_if("ok").alias("n_whole"), F.sum("lines").alias("n_lines")
+    )
+
+
+def _single_file(spark, df: DataFrame, folder: str, name: str, kind: str) -> None:
+    """Rows as the one file that the raw folder is to have."""
+    part = f"{folder}/_{name}"
+    getattr(df.repartition(1).write.option("compression", "gzip").option("header", True), kind)(part)
+    store, top = locate(folder)
+    files = store.get_file_info(fs.FileSelector(f"{top}/_{name}"))
+    store.move(next(f.path for f in files if f.base_name.startswith("part-")), f"{top}/{name}")
+
+
+def raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A raw folder as the loader expects it, from the tables at hand."""
+    raw, path = raw_tables(spark, sf_dir), _raw_folder(spark, sf_dir, "raw")
+    _single_file(spark, raw.orders, path, REQUIRED_FILES["orders"], "json")
+    _single_file(spark, raw.consumers, path, REQUIRED_FILES["consumers"], "csv")
+    _single_file(spark, raw.restaurants, path, REQUIRED_FILES["restaurants"], "csv")
+    maps = f"{path}/{EXTRACTED_AB_DIR}"
+    raw.abmap.repartition(4).write.option("header", True).csv(maps)
+    sinks.write_tar_csv(raw.abmap, f"{path}/_tar", 1, compression="gz")
+    store, top = locate(path)
+    archive = store.get_file_info(fs.FileSelector(f"{top}/_tar"))[0].path
+    store.move(archive, f"{top}/{REQUIRED_FILES['ab_tar']}")
+    return path
+
+
+@_query
+def load_raw_folder(spark, sf_dir):
+    """Rows and customers of the four raw tables, loaded after the preflight (SRC1, SRC8)."""
+    raw = readers.load_raw(spark, raw_folder(spark, sf_dir))
+    keys = {"orders": "order_id", "consumers": "customer_id", "restaurants": "id", "abmap": "customer_id"}
+    counted = [
+        df.agg(F.lit(name).alias("raw"), F.count("*").alias("n_rows"), F.count_distinct(keys[name]).alias("n_keys"))
+        for name, df in raw.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@_query
+def preflight_report(spark, sf_dir):
+    """Presence, lines and format of the required files (SRC7, SRC8, SRC9, SRC10)."""
+    path = raw_folder(spark, sf_dir)
+    report = files.preflight(spark, path)
+    maps = files.list_valid_ab_csvs(spark, f"{path}/{EXTRACTED_AB_DIR}").count()
+    return report.select(
+        "key", "exists", "lines_read", "problem", F.lit(maps).cast("long").alias("n_maps"),
+        F.lit(files.sniff_orders_format(spark, f"{path}/{REQUIRED_FILES['orders']}")).alias("orders_format"),
+    )
+
+
+@_query
+def abmap_from_tar(spark, sf_dir):
+    """The assignment map written as CSV members of gzip archives, read in chunks and conformed (SRC11)."""
+    path = _raw_folder(spark, sf_dir, "archives")
+    sinks.write_tar_csv(raw_tables(spark, sf_dir).abmap, path, 3, rows_per_member=2000, compression="gz")
+    return conform.conform_abmap(archives.read_tar_csv(spark, path, chunk_bytes=_SMALL_CHUNKS))
+
+
+@_query
+def tar_lines(spark, sf_dir):
+    """Numbered lines of the members of plain archives, by the key in front (SRC11)."""
+    path = _raw_folder(spark, sf_dir, "archives")
+    sinks.write_tar_csv(raw_tables(spark, sf_dir).abmap, path, 2, rows_per_member=2000)
+    lines = archives.read_tar_lines(spark, path, chunk_bytes=1 << 14).where("line_no > 0")
+    return lines.select(F.substring_index("line", ",", 1).alias("customer_id"))
+
+
 @_query
 def silver_by_date(spark, sf_dir):
     """The order fact stored by day and read back for a part of the window (SNK2)."""

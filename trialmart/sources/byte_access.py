@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import sys
+import tarfile
 import zlib
 from collections.abc import Iterator
 
@@ -190,9 +191,11 @@ class StretchFile(io.RawIOBase):
 
     def __init__(self, pieces: Iterator[bytes], at: int):
         self._pieces, self._at, self._held, self._left = pieces, at, b"", 0
+        self._open_end = False
 
-    def seek_to(self, offset: int, size: int) -> None:
-        """The stretch to read next; offsets must not go back."""
+    def seek_to(self, offset: int, size: int, open_end: bool = False) -> None:
+        """The stretch to read next; offsets must not go back. ``open_end``: up to all there is."""
+        self._open_end = open_end
         while self._at < offset:
             if not self._held:
                 self._held = next(self._pieces, b"")
@@ -210,9 +213,24 @@ class StretchFile(io.RawIOBase):
             return 0
         if not self._held:
             self._held = next(self._pieces, b"")
+            if not self._held and self._open_end:
+                return 0
             if not self._held:
                 raise EOFError("the archive ends inside a member")
         size = min(len(buffer), len(self._held), self._left)
         buffer[:size] = self._held[:size]
         self._held, self._at, self._left = self._held[size:], self._at + size, self._left - size
         return size
+
+
+class StrictMember(tarfile.TarInfo):
+    """A damaged member header is an error, where ``tarfile`` takes it for the end of the archive."""
+
+    @classmethod
+    def fromtarfile(cls, tar):
+        try:
+            return super().fromtarfile(tar)
+        except (tarfile.EOFHeaderError, tarfile.EmptyHeaderError):
+            raise
+        except tarfile.HeaderError as error:
+            raise tarfile.ReadError(f"{error} at byte {tar.offset}") from error

@@ -6,7 +6,7 @@ Listings go through Spark, so they work on any file system it can read.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (
@@ -14,7 +14,7 @@ from ..functions.fixed_values import (
     ORDER_CANDIDATES,
     REQUIRED_FILES,
 )
-from .archives import preview_tar_members
+from .manifest import file_manifest
 
 
 def _join(folder: str, name: str) -> str:
@@ -54,40 +54,45 @@ def list_valid_ab_csvs(
     )
 
 
-def count_lines(spark: SparkSession, path: str) -> int | None:
-    """Lines of a (compressed) text file, read to its end; None if that fails (SRC9)."""
+def _checked(spark: SparkSession, path: str, whole: bool) -> Row:
+    """The manifest row of one file; FileNotFoundError if there is none."""
     try:
-        return spark.read.text(path).count()
-    except Exception:  # noqa: BLE001 - any failure means not readable
-        return None
+        found = file_manifest(spark, path, whole=whole).first()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        found = None
+    if found is None:
+        raise FileNotFoundError(path)
+    return found
+
+
+def count_lines(spark: SparkSession, path: str) -> int | None:
+    """Lines of a (compressed) text file, read to its end; None if the file is broken (SRC9).
+
+    A missing file or a failing job is an error.
+    """
+    found = _checked(spark, path, True)
+    return found["lines"] if found["ok"] else None
 
 
 def is_readable_text(spark: SparkSession, path: str, whole: bool = True) -> bool:
     """Whether a (compressed) text file can be read; all of it unless ``whole`` is off (SRC9)."""
-    if whole:
-        return count_lines(spark, path) is not None
-    try:
-        spark.read.text(path).limit(1).collect()
-        return True
-    except Exception:  # noqa: BLE001 - any failure means not readable
-        return False
+    return _checked(spark, path, whole)["ok"]
 
 
 def sniff_orders_format(spark: SparkSession, path: str) -> str:
     """``json_array``, ``ndjson_or_objects``, ``missing`` or ``error:…`` (SRC10)."""
     try:
-        first = (
-            spark.read.text(path)
-            .where(F.col("value").rlike(r"\S"))
-            .select(F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c"))
-            .limit(1)
-            .collect()
-        )
-    except AnalysisException as failed:
-        return "missing" if "PATH_NOT_FOUND" in str(failed) else f"error:{failed}"
-    except Exception as failed:  # noqa: BLE001 - reported, not raised
-        return f"error:{failed}"
-    return "json_array" if first and first[0]["c"] == "[" else "ndjson_or_objects"
+        return _format_of(_checked(spark, path, False))
+    except FileNotFoundError:
+        return "missing"
+
+
+def _format_of(found: Row) -> str:
+    if not found["ok"] and found["first_char"] is None:
+        return f"error:{found['problem']}"
+    return "json_array" if found["first_char"] == "[" else "ndjson_or_objects"
 
 
 def preflight(
@@ -98,38 +103,41 @@ def preflight(
     ``detail`` has the guessed format and other candidates for the orders, the first
     members of the archive, and the assignment CSVs that ``min_bytes`` leaves out. A
     last row reports on the extracted assignment CSVs. ``strict`` reads the files
-    to their end and raises when there is any problem; otherwise the first line
-    has to do, and ``lines_read`` is NULL. The loop is over the four file names of the
-    contract.
+    to their end and raises when there is any problem; otherwise their beginning
+    has to do, and ``lines_read`` is NULL. Errors of the job itself are raised as such.
+    The loop is over the four file names of the contract.
     """
     depth = _depth(spark, raw_dir)
     top = list_files(spark, raw_dir).where(F.regexp_count("path", F.lit("/")) == F.lit(depth))
-    sizes = {
-        r["name"]: r["size_bytes"]
-        for r in top.where(F.col("name").isin(*REQUIRED_FILES.values(), *ORDER_CANDIDATES)).collect()
-    }
+    there = {r["name"] for r in top.where(F.col("name").isin(*ORDER_CANDIDATES)).collect()}
+    found = {}
+    try:
+        wanted = "{" + ",".join(REQUIRED_FILES.values()) + "}"
+        checked = file_manifest(spark, raw_dir, pattern=wanted, whole=strict)
+        at_top = checked.where(F.regexp_count("path", F.lit("/")) == F.lit(depth))
+        found = {r["name"]: r for r in at_top.collect()}
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
     rows = []
     for key, name in REQUIRED_FILES.items():
-        path, exists = _join(raw_dir, name), name in sizes
-        readable, lines, problem, detail = None, None, None, None
-        if not exists:
+        path, row = _join(raw_dir, name), found.get(name)
+        problem, detail = None, None
+        if row is None:
             problem = f"missing file: {key} -> {path}"
-        elif name.endswith(".tar.gz"):
-            members = _first_members(spark, path)
-            readable = members is not None
-            detail = "members: " + ", ".join(members) if members else None
-            problem = None if readable else f"unreadable archive: {name}"
         else:
-            if strict:
-                lines = count_lines(spark, path)
-                readable = lines is not None
-            else:
-                readable = is_readable_text(spark, path, whole=False)
-            problem = None if readable else f"unreadable gzip: {name}"
+            kind = "archive" if name.endswith(".tar.gz") else "gzip"
+            if not row["ok"]:
+                problem = f"unreadable {kind}: {name} at byte {row['broken_at']}: {row['problem']}"
+            if row["first_members"]:
+                detail = "members: " + ", ".join(row["first_members"])
         if key == "orders":
-            others = sorted(n for n in sizes if n in ORDER_CANDIDATES and n != name)
-            detail = f"format: {sniff_orders_format(spark, path)}; candidates: {', '.join(others) or 'none'}"
-        rows.append((key, path, exists, sizes.get(name, 0), readable, lines, problem, detail))
+            others = sorted(there - {name})
+            form = "missing" if row is None else _format_of(row)
+            detail = f"format: {form}; candidates: {', '.join(others) or 'none'}"
+        known = row or {"size_bytes": 0, "ok": None, "lines": None}
+        lines = known["lines"] if known["ok"] else None
+        rows.append((key, path, row is not None, known["size_bytes"], known["ok"], lines, problem, detail))
     folder = _join(raw_dir, EXTRACTED_AB_DIR)
     sized = list_valid_ab_csvs(spark, folder).withColumn("in", F.col("size_bytes") >= min_bytes)
     counts = sized.agg(F.count_if("in").alias("n"), F.count_if(~F.col("in")).alias("out")).first()
@@ -152,10 +160,3 @@ def _depth(spark: SparkSession, folder: str) -> int:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     full = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     return full.makeQualified(hadoop).toString().count("/") + 1
-
-
-def _first_members(spark: SparkSession, path: str) -> list[str] | None:
-    try:
-        return [r["member"] for r in preview_tar_members(spark, path).collect()]
-    except Exception:  # noqa: BLE001 - any failure means not readable
-        return None

@@ -6,12 +6,19 @@ the files, unless the caller lists the extra ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.columns import splittable_join
 from ..functions.fixed_values import (
     EXTRACTED_AB_DIR,
     RAW_ORDER_FIELDS,
@@ -20,10 +27,12 @@ from ..functions.fixed_values import (
 )
 from . import json_arrays
 from .archives import is_finished
-from .byte_access import CHUNK_BYTES
+from .byte_access import CHUNK_BYTES, locate, spread
 from .files import _join, list_files, preflight, sniff_orders_format
 from .storage import stage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def orders_schema(extra_fields: Sequence[str] = ()) -> T.StructType:
     """The known raw fields and some more, all as text; the conform step casts tolerantly.
@@ -77,13 +86,98 @@ def read_csv(
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def read_abmap(spark: SparkSession, folder: str, min_bytes: int = 0) -> DataFrame:
+def csv_headers(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``(path, file_path, size, header)`` of every CSV file below ``path``; an empty file has null.
+
+    Only the first record of each file is read, by one task.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    files = reader.load(path).select("path", "_metadata.file_path", F.col("length").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{**r, "header": first_record(r["path"])} for r in batch.to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    ddl = "path string, file_path string, size long, header array<string>"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    return spread(files, 200).mapInArrow(run, ddl)
+
+
+def first_record(path: str) -> list[str] | None:
+    store, name = locate(path)
+    with store.open_input_stream(name, compression="gzip" if path.endswith(".gz") else None) as file:
+        text = io.TextIOWrapper(io.BufferedReader(file), encoding="utf-8-sig", newline="")
+        for record in csv.reader(text):
+            if record:
+                return [c.strip() for c in record]
+    return None
+
+
+def header_report(headers: DataFrame) -> DataFrame:
+    """``(path, missing, reordered)``: what each file lacks of the columns of all files.
+
+    ``reordered``: the columns shared with the first file come in another order there.
+    """
+    headers = headers.where("header is not null")
+    every = headers.select(F.explode("header").alias("name")).agg(F.collect_set("name")).scalar()
+    model = headers.agg(F.min_by("header", "path")).scalar()
+    told = headers.withColumns({"every": every, "model": model})
+    shared = F.filter("model", lambda c: F.array_contains("header", c))
+    own = F.filter("header", lambda c: F.array_contains("model", c))
+    return told.select(
+        "path", F.array_sort(F.array_except("every", "header")).alias("missing"), (shared != own).alias("reordered")
+    )
+
+
+def read_csv_by_name(
+    spark: SparkSession, path: str, *, pattern: str | None = None, min_bytes: int = 0, multi_line: bool = False
+) -> DataFrame:
+    """CSV files whose headers may differ, as one table of text (SRC6).
+
+    The header of each file is found once and goes to its rows; values are matched by
+    name, never by position, and null where a file has no such column. Columns come in
+    the order of the first file, then the others' by name. ``header_report`` tells
+    which file lacks what. ``multi_line``: values may hold line breaks, and a file is one task.
+    """
+    headers = stage(csv_headers(spark, path, pattern).where(F.col("size") >= min_bytes), "csv_headers")
+    headers = headers.where("header is not null")
+    first = headers.orderBy("path").select("header").first()
+    if first is None:
+        raise FileNotFoundError(f"no valid CSV in {path}")
+    every = headers.select(F.explode("header").alias("name")).distinct().orderBy("name").collect()
+    names = list(dict.fromkeys([*first["header"], *(r["name"] for r in every)]))
+    width = headers.agg(F.max(F.size("header"))).first()[0]
+    reader = spark.read.schema(", ".join(f"_c{i} string" for i in range(width)))
+    reader = reader.option("header", True).option("recursiveFileLookup", True).option("multiLine", multi_line)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    cells = reader.csv(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.array(*[f"_c{i}" for i in range(width)]).alias("cells")
+    )
+    places = F.array(*[F.array_position("header", n).cast("int") for n in names])
+    joined = splittable_join(cells, headers.select("file_path", places.alias("places")), "file_path", "inner")
+    return joined.select(
+        *[
+            F.when(F.col("places")[i] > 0, F.get("cells", F.col("places")[i] - 1)).alias(n)
+            for i, n in enumerate(names)
+        ]
+    )
+
+
+def read_abmap(spark: SparkSession, folder: str, min_bytes: int = 0, *, by_name: bool = False) -> DataFrame:
     """All assignment CSVs below a folder (SRC6); ``min_bytes`` leaves small files out.
 
-    Spark lists the folder itself, so no paths pass through here.
+    Files with another header than the others' are refused, or with ``by_name``
+    matched by column name. Spark lists the folder itself, so no paths pass through here.
     """
     if list_files(spark, folder, "*.csv").isEmpty():
         raise FileNotFoundError(f"no valid CSV in {folder}")
+    if by_name:
+        return read_csv_by_name(spark, folder, pattern="*.csv", min_bytes=min_bytes)
     found = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
@@ -125,7 +219,7 @@ def load_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
         "orders": read_orders(spark, raw_dir),
         "consumers": read_csv(spark, _join(raw_dir, REQUIRED_FILES["consumers"])),
         "restaurants": read_csv(spark, _join(raw_dir, REQUIRED_FILES["restaurants"])),
-        "abmap": read_abmap(spark, _join(raw_dir, EXTRACTED_AB_DIR)),
+        "abmap": read_abmap(spark, _join(raw_dir, EXTRACTED_AB_DIR), by_name=True),
     }
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import sys
+import tarfile
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -10,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_access import locate
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -38,6 +44,54 @@ def write_json_arrays(df: DataFrame, path: str, parts: int, compression: str | N
     writer.text(path)
 
 
+def write_tar_csv(
+    df: DataFrame, path: str, parts: int, *, rows_per_member: int = 100_000, compression: str | None = None
+) -> None:
+    """Text rows as CSV members of tar archives, plain or ``gz``; one archive to a task.
+
+    Tasks write below ``_parts``, which listings leave out, under names of their own;
+    those of the tasks that count are moved up in the end.
+    """
+    names, ending = df.columns, f"tar.{compression}" if compression else "tar"
+    top = path.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{uuid.uuid4().hex}.{ending}"
+        store, folder = locate(f"{top}/_parts")
+        store.create_dir(folder)
+        with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
+            with tarfile.open(fileobj=out, mode=f"w|{compression or ''}") as tar:
+                for number, member in enumerate(_csv_members(batches, names, rows_per_member)):
+                    info = tarfile.TarInfo(f"{number:06}.csv")
+                    info.size = len(member)
+                    tar.addfile(info, io.BytesIO(member))
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    text = df.select(*[F.col(f"`{c}`").cast("string") for c in names]).repartition(parts)
+    done = [r["name"] for r in text.mapInArrow(run, "name string").collect()]
+    store, folder = locate(top)
+    for name in done:
+        store.move(f"{folder}/_parts/{name}", f"{folder}/{name}")
+    store.delete_dir(f"{folder}/_parts")
+
+
+def _csv_members(batches: Iterator[pa.RecordBatch], names: list[str], size: int) -> Iterator[bytes]:
+    out, rows = None, 0
+    for batch in batches:
+        for record in zip(*(c.to_pylist() for c in batch.columns)):
+            if out is None:
+                out = io.StringIO()
+                writer = csv.writer(out, lineterminator="\n")
+                writer.writerow(names)
+            writer.writerow(record)
+            rows += 1
+            if rows == size:
+                yield out.getvalue().encode()
+                out, rows = None, 0
+    if out is not None:
+        yield out.getvalue().encode()
+
+
 def write_orders_silver(df: DataFrame, path: str) -> None:
     """Order fact as Parquet by event date (SNK2).
 

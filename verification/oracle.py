@@ -590,6 +590,25 @@ def sql() -> dict[str, str]:
         ),
         "consumers_from_csv": q("consumers", "select * from consumers"),
         "abmap_from_folder": q("abmap", "select customer_id, is_target from abmap"),
+        "abmap_mixed_headers": q("abmap", "select customer_id, is_target from abmap"),
+        "raw_manifest": q(("raw_orders", "raw_consumers", "raw_abmap"), """
+            select 'orders' as raw, 'gzip' as kind, 3::bigint as n_files, 3::bigint as n_whole, count(*) as n_lines from raw_orders
+            union all select 'consumers', 'gzip', 2, 2, count(*) from raw_consumers
+            union all select 'abmap', 'plain', 2, 2, count(*) from raw_abmap"""),
+        "load_raw_folder": q(("raw_orders", "raw_consumers", "raw_restaurants", "raw_abmap"), """
+            select 'orders' as raw, count(*) as n_rows, count(distinct order_id) as n_keys from raw_orders
+            union all select 'consumers', count(*), count(distinct customer_id) from raw_consumers
+            union all select 'restaurants', count(*), count(distinct id) from raw_restaurants
+            union all select 'abmap', count(*), count(distinct customer_id) from raw_abmap"""),
+        "preflight_report": q(("raw_orders", "raw_consumers", "raw_restaurants", "raw_abmap"), """
+            select key, true as exists, lines_read, null::varchar as problem, 4::bigint as n_maps,
+              'ndjson_or_objects' as orders_format
+            from (select 'orders' as key, count(*) as lines_read from raw_orders
+              union all select 'consumers', count(*) + 1 from raw_consumers
+              union all select 'restaurants', count(*) + 1 from raw_restaurants
+              union all select 'ab_tar', null union all select 'ab_csv', null)"""),
+        "abmap_from_tar": q("abmap", "select customer_id, is_target from abmap"),
+        "tar_lines": q("raw_abmap", "select customer_id from raw_abmap"),
         "silver_by_date": q("silver", f"""select order_id, event_ts_utc, {_r('order_total_amount')} from silver
             where event_ts_utc >= timestamp '1997-06-01 00:00:00' and event_ts_utc < timestamp '1997-09-01 00:00:00'"""),
         "break_even_from_csv": q("scored", f"""select segment, nt as usuarios_trat, {STATUS} as status
