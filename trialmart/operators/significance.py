@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns, with_user_metrics
-from ..functions.pvalues import t_pvalue, z_pvalue
+from ..functions.pvalues import exact_u_pvalues, t_pvalue, z_pvalue
 from .order_stats import N_BUCKETS, value_runs
 
 # metric column -> name of the test row
 TEST_METRICS = {"monetary": "gmv_user", "frequency": "pedidos_user", "aov_user": "aov"}
+# The exact rank test is for samples without ties of which one is no larger than this,
+# as far as U has no more than so many values.
+EXACT_MOST = 8
+EXACT_VALUES = 1 << 25
 RANK_METRICS = {"monetary": "gmv_user_mw", "frequency": "pedidos_user_mw",
                 "aov_user": "aov_user_mw"}
 
@@ -141,6 +145,7 @@ def mann_whitney(
     keys: Sequence[str] = (),
     group_col: str = "is_target",
     n_buckets: int = N_BUCKETS,
+    method: str = "asymptotic",
 ) -> DataFrame:
     """Two-sided Mann-Whitney U of treatment against control per key and metric (ST2).
 
@@ -150,9 +155,14 @@ def mann_whitney(
         U = sum over buckets (U inside + n_treat * controls in lower buckets)
 
     The p-value uses the normal approximation with tie and continuity
-    correction; ``method`` says so. A side without values gives NULL statistics;
-    when all values are equal nothing can differ, so p is 1 and z NULL.
+    correction. With ``method="auto"`` it is the exact one where one side has at
+    most ``EXACT_MOST`` values and no value is there twice (and U can take at
+    most ``EXACT_VALUES`` values); the column ``method`` says which. A side without
+    values gives NULL statistics; when all values are equal nothing can differ, so p
+    is 1 and z NULL.
     """
+    if method not in ("asymptotic", "auto"):
+        raise ValueError(f"unknown method: {method}")
     require_columns(users, [*keys, *metrics, group_col], "user table")
     runs = value_runs(users, metrics, keys, group_col=group_col, n_buckets=n_buckets)
     in_bucket = (
@@ -191,40 +201,40 @@ def mann_whitney(
     variance = pairs / 12.0 * ((n + 1.0) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1.0)), F.lit(0.0)))
     both = (F.col("n_treat") > 0) & (F.col("n_ctrl") > 0)
     larger = F.greatest(F.col("U"), pairs - F.col("U"))
-    return (
-        totals.withColumn("U", F.when(both, F.col("u_raw")))
-        .withColumn(
-            "z", F.try_divide(larger - pairs / 2.0 - 0.5, F.sqrt(F.when(variance > 0, variance)))
-        )
-        .select(
-            "cell.*",
-            "n_treat",
-            "n_ctrl",
-            "U",
-            "z",
-            F.when(both & ((variance <= 0) | (F.col("z") < 0)), F.lit(1.0))
-            .otherwise(z_pvalue("z"))
-            .alias("pval"),
-            F.when(both, F.lit("asymptotic")).alias("method"),
-        )
+    normal = F.when(both & ((variance <= 0) | (F.col("z") < 0)), F.lit(1.0)).otherwise(z_pvalue("z"))
+    table = totals.withColumn("U", F.when(both, F.col("u_raw"))).withColumn(
+        "z", F.try_divide(larger - pairs / 2.0 - 0.5, F.sqrt(F.when(variance > 0, variance)))
+    )
+    pval, label = normal, F.lit("asymptotic")
+    if method == "auto":
+        small = (F.least("n_treat", "n_ctrl") <= EXACT_MOST) & (pairs <= EXACT_VALUES)
+        exact = both & (F.col("ties") == 0) & small
+        # The function sees U only where the exact form applies.
+        counted = exact_u_pvalues(F.when(exact, F.col("U")), "n_treat", "n_ctrl")
+        table = table.withColumn("exact", counted)
+        pval, label = F.coalesce("exact", normal), F.when(F.col("exact").isNotNull(), "exact").otherwise(label)
+    return table.select(
+        "cell.*", "n_treat", "n_ctrl", "U", "z", pval.alias("pval"), F.when(both, label).alias("method")
     )
 
 
-def run_nonparam_tests(users: DataFrame, *, n_buckets: int = N_BUCKETS) -> DataFrame:
+def run_nonparam_tests(
+    users: DataFrame, *, n_buckets: int = N_BUCKETS, method: str = "asymptotic"
+) -> DataFrame:
     """Mann-Whitney on value, orders and order value (ST5)."""
     base = with_user_metrics(users)
-    table = mann_whitney(base, metrics=list(RANK_METRICS), n_buckets=n_buckets)
+    table = mann_whitney(base, metrics=list(RANK_METRICS), n_buckets=n_buckets, method=method)
     return table.withColumn("metric", _named(F.col("metric"), RANK_METRICS))
 
 
 def nonparam_tests_by_segment(
-    users: DataFrame, *, segment_col: str, n_buckets: int = N_BUCKETS
+    users: DataFrame, *, segment_col: str, n_buckets: int = N_BUCKETS, method: str = "asymptotic"
 ) -> DataFrame:
     """The same for every value of a segment column; NULL segments are left out (ST6)."""
     require_columns(users, [segment_col], "user table")
     base = with_user_metrics(users).withColumn("segment", F.col(segment_col))
     base = base.where(F.col("segment").isNotNull())
     table = mann_whitney(
-        base, metrics=list(RANK_METRICS), keys=["segment"], n_buckets=n_buckets
+        base, metrics=list(RANK_METRICS), keys=["segment"], n_buckets=n_buckets, method=method
     )
     return table.withColumn("metric", _named(F.col("metric"), RANK_METRICS))

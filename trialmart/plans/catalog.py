@@ -707,6 +707,14 @@ _register("nonparam_by_platform", _nonparam_by("origin_platform"))
 _register("nonparam_by_rfm", _nonparam_by("rfm_segment"))
 
 
+@_query
+def nonparam_by_rfm_auto(spark, sf_dir):
+    """RFM cells, the exact test where a cell is small and without ties (ST2, ST6)."""
+    return significance.nonparam_tests_by_segment(
+        scored_users(spark, sf_dir), segment_col="rfm_segment", method="auto"
+    )
+
+
 # ---- economics ---------------------------------------------------------------
 
 

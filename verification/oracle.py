@@ -371,6 +371,43 @@ select {"segment, " if segment else ""}{names} as metric, n1 as n_treat, n0 as n
 from zed"""
 
 
+def _nonparam_auto(keys: str, metrics: dict[str, str], segment: str) -> str:
+    """The same with the exact p where it applies: U counted over all lattice paths.
+
+    A path adds one value after the other in rising order; a treated value scores the
+    controls below it. Paths are counted by (treated, controls, U) step by step.
+    """
+    plain = _nonparam(keys, metrics, segment).partition("select segment, case metric")
+    return plain[0].replace("zed as (", "zed as materialized (") + f"""
+, wanted as (
+  select distinct least(n1, n0) as m, greatest(n1, n0) as n from zed
+  where n1 > 0 and n0 > 0 and ties = 0 and least(n1, n0) <= 8
+), paths as (
+  with recursive c as (
+    select 0::bigint as m, 0::bigint as n, 0::bigint as u, 1::double as w
+    union all
+    select m, n, u, sum(w) from (
+      select m + 1 as m, n, u + n as u, w from c where m < (select max(m) from wanted)
+      union all
+      select m, n + 1, u, w from c where n < (select max(n) from wanted)
+    ) group by m, n, u
+  )
+  select c.* from c join wanted using (m, n)
+), exact as (
+  select z.segment, z.metric,
+    least(1, 2 * sum(w) filter (where u2 <= least(z.u, z.pairs - z.u)) / sum(w)) as p
+  from zed z join (select m, n, u as u2, w from paths) x
+    on x.m = least(z.n1, z.n0) and x.n = greatest(z.n1, z.n0)
+  where z.ties = 0 and z.n1 > 0 and z.n0 > 0
+  group by z.segment, z.metric
+), told as (
+  select segment, case metric{plain[2].rpartition("from zed")[0]} , metric as m0 from zed
+)
+select t.segment, t.metric, n_treat, n_ctrl, "U", z, round(coalesce(e.p, pval), 6) as pval,
+  case when e.p is not null then 'exact' else method end as method
+from told t left join exact e on e.segment = t.segment and e.metric = t.m0"""
+
+
 _RANKED = {"monetary": "gmv_user_mw", "frequency": "pedidos_user_mw", "aov_user": "aov_user_mw"}
 
 _MOMENTS = """
@@ -715,6 +752,7 @@ def sql() -> dict[str, str]:
         "nonparam_by_new": q("long", _nonparam("metric", _RANKED, "is_new_customer")),
         "nonparam_by_platform": q("long", _nonparam("metric", _RANKED, "origin_platform")),
         "nonparam_by_rfm": q("long", _nonparam("metric", _RANKED, "rfm_segment")),
+        "nonparam_by_rfm_auto": q("long", _nonparam_auto("metric", _RANKED, "rfm_segment")),
         "financial_viability": q("scored", f"""select nt as n_treated, {_r('gt', 'gmv_user_treat')},
             {_r('gc', 'gmv_user_ctrl')}, {_r('up', 'uplift_gmv_user')}, {PREMISES},
             {_r('rev', 'receita_incremental_total')}, {_r('cst', 'custo_total')}, {_r('profit', 'roi_absoluto')},
