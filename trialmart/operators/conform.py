@@ -115,19 +115,14 @@ def hash_order_pii(orders: DataFrame) -> DataFrame:
     return orders.drop(*ORDER_PII)
 
 
-def conform_orders(
+def typed_order_rows(
     orders: DataFrame,
     business_tz: str = BUSINESS_TZ,
     *,
     offset_aware: bool = False,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Orders with typed columns, one row per ``order_id``.
-
-    ``columns`` narrows the result before the shuffle of the deduplication;
-    ``FACT_ORDER_COLUMNS`` and ``USER_ORDER_COLUMNS`` keep the same winners as
-    the full width.
-    """
+    """Orders with typed columns, copies and negative amounts still there."""
     require_columns(orders, ["order_id", "customer_id"], "orders")
     typed = {
         "order_id": F.col("order_id").cast("string"),
@@ -148,11 +143,36 @@ def conform_orders(
     wide = hash_order_pii(parse_order_times(known, business_tz, offset_aware).withColumns(typed))
     if columns is not None:
         wide = wide.select(*[c for c in columns if c in wide.columns])
-    rank = [c for c in _TIE_BREAK if c in wide.columns]
-    rank += sorted(c for c in wide.columns if c not in rank and c != "order_id")
-    single = keep_first(wide, ["order_id"], rank)
+    return wide
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """One row per ``order_id`` of typed rows: the earliest."""
+    rank = [c for c in _TIE_BREAK if c in rows.columns]
+    rank += sorted(c for c in rows.columns if c not in rank and c != "order_id")
+    return keep_first(rows, ["order_id"], rank)
+
+
+def valid_amount() -> Column:
     amount = F.col("order_total_amount")
-    return single.where(amount.isNull() | (amount >= 0))
+    return amount.isNull() | (amount >= 0)
+
+
+def conform_orders(
+    orders: DataFrame,
+    business_tz: str = BUSINESS_TZ,
+    *,
+    offset_aware: bool = False,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Orders with typed columns, one row per ``order_id``.
+
+    ``columns`` narrows the result before the shuffle of the deduplication;
+    ``FACT_ORDER_COLUMNS`` and ``USER_ORDER_COLUMNS`` keep the same winners as
+    the full width.
+    """
+    typed = typed_order_rows(orders, business_tz, offset_aware=offset_aware, columns=columns)
+    return first_copies(typed).where(valid_amount())
 
 
 def conform_consumers(consumers: DataFrame) -> DataFrame:

@@ -122,6 +122,24 @@ def users_from_conformed(
     totals = orders.groupBy("customer_id").agg(
         *_order_totals(), F.min("event_ts_utc").alias("first_order")
     )
+    return users_from_totals(
+        totals, consumers, abmap, start_utc, end_utc,
+        null_as_control=null_as_control, recency_ref=recency_ref, heavy_threshold=heavy_threshold,
+    )
+
+
+def users_from_totals(
+    totals: DataFrame,
+    consumers: DataFrame,
+    abmap: DataFrame,
+    start_utc: str | Column | None = None,
+    end_utc: str | Column | None = None,
+    *,
+    null_as_control: bool = False,
+    recency_ref: str = "window_end",
+    heavy_threshold: int = HEAVY_THRESHOLD,
+) -> DataFrame:
+    """The user table from the totals of each customer's orders."""
     people = customer_dimension(consumers, abmap, null_as_control)
     joined = assignment_policy(
         totals.join(people, "customer_id", "left" if null_as_control else "inner"),

@@ -28,10 +28,12 @@ from ..operators import (
     sampling,
     segments,
     significance,
+    sketches,
     summary,
+    user_state,
     users,
 )
-from ..sources import archives, files, gzip_index, manifest, readers, sinks
+from ..sources import archives, days, files, gzip_index, manifest, readers, sinks
 from ..sources.byte_access import locate
 from ..sources.storage import new_folder, stage
 from .adapter import WINDOW, raw_tables
@@ -362,6 +364,88 @@ def silver_by_date(spark, sf_dir):
     return cut.select("order_id", "event_ts_utc", "order_total_amount")
 
 
+@_query
+def silver_days_replaced(spark, sf_dir):
+    """The order fact by day, some days written wrong first and then replaced (SNK2)."""
+    path = _raw_folder(spark, sf_dir, "days")
+    orders = silver_orders(spark, sf_dir).select("order_id", "event_ts_utc", "order_total_amount", days.DAY)
+    late = F.col(days.DAY) >= F.lit("1997-06-01").cast("date")
+    wrong = orders.withColumn("order_total_amount", F.when(late, -1.0).otherwise(F.col("order_total_amount")))
+    days.replace_days(wrong, path)
+    days.replace_days(orders.where(late), path)
+    return days.read_days(spark, path).drop(days.DAY)
+
+
+@_query
+def users_folded(spark, sf_dir):
+    """The user table from three batches of raw orders, copies spread over them (AGG3, AGG5)."""
+    raw = raw_tables(spark, sf_dir)
+    state = user_state.UserState(spark, _raw_folder(spark, sf_dir, "state"), *WINDOW)
+    batch = F.pmod(F.crc32(F.concat_ws("|", "order_id", "order_created_at", F.col("order_total_amount").cast("string"))), F.lit(3))
+    for number in range(3):
+        state.fold(raw.orders.where(batch == number))
+    return users.users_from_totals(
+        state.totals(), conform.conform_consumers(raw.consumers), conform.conform_abmap(raw.abmap), *WINDOW
+    )
+
+
+@_query
+def robust_from_sketches(spark, sf_dir):
+    """Medians and tails from stored sketches; whether their ranks keep to the bound (AGG10)."""
+    known = silver_users(spark, sf_dir)
+    stored = stage(sketches.quantile_sketches(known, ["is_target", "origin_platform"]), "quantile_sketches")
+    probs = {"median": 0.5, "p95": 0.95}
+    found = stage(sketches.quantiles(sketches.merge_quantiles(stored, ["is_target"]), probs), "sketch_quantiles")
+    values = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in _CHART_METRICS]
+    long = with_user_metrics(known).select("is_target", F.inline(F.array(*values)))
+    # An arm and metric have one row; a NULL arm is a group like the others.
+    arm = F.coalesce(F.col("is_target").cast("int"), F.lit(-1))
+    ranked = long.withColumn("arm", arm).join(
+        F.broadcast(found.withColumn("arm", arm).drop("is_target")), ["arm", "metric"]
+    ).groupBy("is_target", "metric", "n", "rank_error").agg(
+        *[F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for c in probs],
+        *[F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_upto") for c in probs],
+    )
+    kept = [
+        ((F.col(f"{c}_below") <= (p + F.col("rank_error")) * F.col("n"))
+         & (F.col(f"{c}_upto") >= (p - F.col("rank_error")) * F.col("n"))).alias(f"{c}_in_bound")
+        for c, p in probs.items()
+    ]
+    return ranked.select("is_target", "metric", "n", *kept)
+
+
+@_query
+def distinct_users_from_sketches(spark, sf_dir):
+    """Customers of each platform over all days from stored sketches, within the bound (AGG12)."""
+    rows = silver_orders(spark, sf_dir)
+    stored = stage(sketches.user_sketches(rows, [days.DAY, "origin_platform"]), "user_sketches")
+    found = sketches.distinct_users(sketches.merge_users(stored, ["origin_platform"]))
+    exact = rows.groupBy("origin_platform").agg(F.count_distinct("customer_id").alias("n_exact"))
+    both = exact.join(found, exact["origin_platform"].eqNullSafe(found["origin_platform"]))
+    near = F.abs(F.col("n_users") - F.col("n_exact")) <= F.col("error")
+    return both.select(exact["origin_platform"], "n_exact", near.alias("in_bound"))
+
+
+@_query
+def shared_users_from_sketches(spark, sf_dir):
+    """Customers of two platforms from stored sketches, within the bound (SRT2)."""
+    rows = silver_orders(spark, sf_dir)
+    stored = stage(sketches.user_sketches(rows, [days.DAY, "origin_platform"]), "user_sketches")
+    found = sketches.shared_users(stored, "origin_platform", ["android", "ios"])
+    flags = [F.max(F.col("origin_platform") == p).alias(p) for p in ("android", "ios")]
+    exact = rows.groupBy("customer_id").agg(*flags).agg(
+        F.count_if(F.col("android") & F.col("ios")).alias("n_both"),
+        F.count_if(F.col("android") | F.col("ios")).alias("n_either"),
+    )
+    told = exact.withColumn("found", found.select(F.struct("*")).scalar())
+    error = F.col("found.error")
+    return told.select(
+        "n_both", "n_either",
+        (F.abs(F.col("found.n_all") - F.col("n_both")) <= error).alias("both_in_bound"),
+        (F.abs(F.col("found.n_any") - F.col("n_either")) <= error).alias("either_in_bound"),
+    )
+
+
 @_query
 def break_even_from_csv(spark, sf_dir):
     """A result table written as CSV and read back (SNK4, SRC13)."""

@@ -648,6 +648,18 @@ def sql() -> dict[str, str]:
         "tar_lines": q("raw_abmap", "select customer_id from raw_abmap"),
         "silver_by_date": q("silver", f"""select order_id, event_ts_utc, {_r('order_total_amount')} from silver
             where event_ts_utc >= timestamp '1997-06-01 00:00:00' and event_ts_utc < timestamp '1997-09-01 00:00:00'"""),
+        "silver_days_replaced": q("silver", f"select order_id, event_ts_utc, {_r('order_total_amount')} from silver"),
+        "users_folded": q("users", f"select {_USER} from users"),
+        "robust_from_sketches": q("users", """select is_target, metric, count(v) as n, true as median_in_bound, true as p95_in_bound
+            from (select is_target, unnest(['monetary', 'frequency', 'aov_user']) as metric,
+                  unnest([monetary, frequency::double, aov_user]) as v from users)
+            where v is not null and not isnan(v) group by 1, 2"""),
+        "distinct_users_from_sketches": q("silver", """select origin_platform, count(distinct customer_id) as n_exact, true as in_bound
+            from silver group by 1"""),
+        "shared_users_from_sketches": q("silver", """select count(*) filter (where a and i) as n_both, count(*) filter (where a or i) as n_either,
+            true as both_in_bound, true as either_in_bound
+            from (select customer_id, coalesce(bool_or(origin_platform = 'android'), false) as a,
+                  coalesce(bool_or(origin_platform = 'ios'), false) as i from silver group by 1)"""),
         "break_even_from_csv": q("scored", f"""select segment, nt as usuarios_trat, {STATUS} as status
             from ({_money(_arms('origin_platform'))})"""),
         "projection_selected_segments": q("scored", _platform_money() + _projection(
