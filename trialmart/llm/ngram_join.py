@@ -1,11 +1,13 @@
 """Exact join of documents whose word shingle sets have Jaccard 0.75 or more.
 
-1. Every text becomes a set of shingle hashes. Documents with equal sets are one
-   *class*, so copies meet nothing twice.
+1. Every text becomes a set of shingle hashes, once: the sets are written and all that
+   follows reads them. Documents with equal sets are one *class*, so copies meet
+   nothing twice.
 2. Classes that can be similar share one of their rarest shingles (the prefix of the
    set in a global order by rough frequency, from a counting sketch of fixed size).
-   Classes with a common prefix shingle form a block; a block that may be large is
-   dealt out over several parts.
+   Classes with a common prefix shingle form a block; shingles that lie alone are
+   dropped, and blocks of the same classes are one. The sketch shows which shingles may
+   be too frequent for one task; their rows are dealt out and counted for real.
 3. In each block every class is compared with one neighbour. The links found give
    provisional components, so dense groups of near copies are one thing from here.
 4. Blocks with several components are searched with signature trees: dual traversal
@@ -26,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import splittable_join
 from ..sources.storage import stage
 from .components import components
 from .frames import append_columns, nest, rows_from_texts, schema_of, utf8
-from .signature_tree import BITMAP_BITS, bitmap, build, dual_traversal
+from .signature_tree import BITMAP_BITS, bitmap, bitmap_size, build, dual_traversal, folded
 from .words import LOWER_ASCII, make_powers, mix, shingle_hashes, words_of_texts
 
 SHINGLE = 5
@@ -42,6 +45,7 @@ PART_ROWS = 2000
 SIEVE_BITS = 23
 _SEEN = 100_000
 _TEXTS = 500
+_SLABS = 64
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -71,110 +75,157 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def classes_and_sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: ``(id, n, v)`` of a document, ``(cell, count)`` of a task."""
+def hashed_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: ``(id, n, v, shingles)`` of a document, ``(slab, counts)`` of a task.
+
+    ``shingles`` is null where the task has written the same class before. The counts
+    are those of a part of the sketch.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = schema_of(f"id {kind}, n long, v long, shingles array<long>, slab int, counts array<long>")
+    arrow = to_arrow_schema(schema)
 
-    def make():
-        powers, sketch = make_powers(), np.zeros(1 << SKETCH_BITS, np.int64)
+    def batch_of(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        def run(batch: pa.RecordBatch | None):
-            if batch is None:
-                used = np.flatnonzero(sketch)
-                none = [None] * len(used)
-                return none, none, none, used, sketch[used]
-            sizes, keys = [0] * batch.num_rows, [0] * batch.num_rows
-            for i, shingles in _sets_of(batch.column(1), powers):
-                if len(shingles):
-                    sizes[i], keys[i] = len(shingles), set_key(shingles)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, sketch, seen = make_powers(), np.zeros(1 << SKETCH_BITS, np.int64), set()
+        for batch in batches:
+            # Some texts at a time: the sets take more room than the texts.
+            for start in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(start, _TEXTS)
+                size = part.num_rows
+                ids, sizes, keys, sets = part.column(0).to_pylist(), [0] * size, [0] * size, [None] * size
+                for i, shingles in _sets_of(part.column(1), powers):
+                    n = len(shingles)
+                    if not n:
+                        continue
+                    sizes[i], keys[i] = n, set_key(shingles)
                     np.add.at(sketch, _cell(shingles), 1)
-            none = [None] * batch.num_rows
-            return batch.column(0).to_pylist(), sizes, keys, none, none
+                    if (keys[i], n) in seen:
+                        continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add((keys[i], n))
+                    sets[i] = shingles.view(np.int64)
+                yield batch_of([ids, sizes, keys, sets, [None] * size, [None] * size])
+        slabs = sketch.reshape(_SLABS, -1)
+        for slab in np.flatnonzero(slabs.any(axis=1)).tolist():
+            yield batch_of([[None], [None], [None], [None], [slab], [slabs[slab]]])
+
+    narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    return narrow.mapInArrow(run, schema)
 
-        return run
 
-    ddl = f"id {kind}, n long, v long, cell int, count long"
-    return rows_from_texts(docs, [id_col, text_col], ddl, make)
+def sum_sketch(hashed: DataFrame) -> np.ndarray:
+    """The sketch of all tasks, summed in tasks: a fixed number of slabs reaches the driver."""
+    schema = schema_of("slab int, counts array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slab, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.asarray(counts.values)
+                sums[slab] = sums[slab] + own if slab in sums else own.copy()
+        if sums:
+            yield pa.RecordBatch.from_pydict({"slab": list(sums), "counts": list(sums.values())}, to_arrow_schema(schema))
 
+    parts = hashed.where("slab is not null").select("slab", "counts").repartition("slab").mapInArrow(run, schema)
+    sketch = np.zeros((_SLABS, (1 << SKETCH_BITS) // _SLABS), np.int64)
+    for row in parts.collect():
+        sketch[row["slab"]] += np.array(row["counts"], np.int64)
+    return sketch.ravel()
 
-def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """``(shingle, part, v, n)`` for the prefix of every set; copies seen before are left out.
 
-    ``part`` deals a shingle that the sketch shows as frequent out over several
-    tasks; -1 for the others.
+def likely_parts(sketch: np.ndarray) -> np.ndarray:
+    """For each cell over how many tasks to deal its shingles; 1 unless one may be frequent.
+
+    What a cell has beyond the mean of all cells bounds its most frequent shingle, but for
+    chance; rare ones fill all cells alike however large the input. All of a small cell
+    fits one task anyway.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    usual = np.sort(sketch)[len(sketch) // 2] if len(sketch) else 0
+    beyond = sketch - usual - 6 * np.sqrt(usual)
+    parts = -(-np.minimum(sketch, beyond).astype(np.int64) // PART_ROWS)
+    return np.where((sketch > PART_ROWS) & (beyond > PART_ROWS), parts, 1)
+
+
+def prefixes(hashed: DataFrame, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+    """``(shingle, part, v, n)`` for the prefix of every set that a task has written.
+
+    ``part`` deals a shingle that may be frequent out over several tasks; -1 for the
+    others.
+    """
+    shared = hashed.sparkSession.sparkContext.broadcast((sketch, likely_parts(sketch)))
 
     def make():
-        powers, rough, seen = make_powers(), shared.value, set()
+        rough, parts_of = shared.value
 
         def run(batch: pa.RecordBatch | None):
             if batch is None:
                 return None
             out = [[], [], [], []]
-            for _, shingles in _sets_of(batch.column(0), powers):
-                n = len(shingles)
-                if not n:
-                    continue
-                v = set_key(shingles)
-                if (v, n) in seen:
-                    continue
-                if len(seen) >= _SEEN:
-                    seen.clear()
-                seen.add((v, n))
-                count = rough[_cell(shingles)]
-                first = np.lexsort((shingles, count))[: prefix_length(n, num, den)]
-                parts = -(-count[first] // PART_ROWS)
-                part = np.where(parts > 1, np.abs(v) % np.maximum(parts, 1), -1)
+            for n, v, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                shingles = np.asarray(held.values).view(np.uint64)
+                cells = _cell(shingles)
+                first = np.lexsort((shingles, rough[cells]))[: prefix_length(n, num, den)]
+                parts = parts_of[cells[first]]
                 out[0].append(shingles[first].view(np.int64))
-                out[1].append(part)
+                out[1].append(np.where(parts > 1, np.abs(v) % parts, -1))
                 out[2].append(np.full(len(first), v))
                 out[3].append(np.full(len(first), n))
             return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
         return run
 
-    return rows_from_texts(docs, [text_col], "shingle long, part int, v long, n long", make)
+    sets = hashed.where("shingles is not null")
+    return rows_from_texts(sets, ["n", "v", "shingles"], "shingle long, part int, v long, n long", make)
 
 
-def blocks_of(prefix: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of blocks with at least two classes, each with a neighbour to try first.
+def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """``(shingle, part, v, n)`` of the rows with a partner of fitting size next to them.
 
-    Rows stream by in order of shingle and size, so no block is held in memory. A row
-    without a partner of fitting size is left out. The neighbour is the first class
-    of the block that is not too small. Parts of a frequent shingle are kept whole,
-    as the others may hold what they lack.
+    Rows stand in order of size, so the next ones are the nearest in size. Rows of
+    shingles that are dealt out stay, as their partner may be in another part.
     """
-    schema = schema_of("shingle long, part int, v long, n long, lead_v long, lead_n long")
+    near = Window.partitionBy("shingle", "part").orderBy("n", "v")
+    rows = prefix.withColumns({"before": F.lag("n").over(near), "after": F.lead("n").over(near)})
+    fits = (F.col("before") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("after") * num)
+    return rows.where(F.coalesce(fits, F.lit(False)) | (F.col("part") >= 0)).groupBy("shingle", "part", "v", "n").agg(
+        F.first("before").alias("_")
+    ).drop("_")
 
-    def run(batches):
-        key, v, n, lead, written = None, 0, 0, None, False  # the row before
-        for batch in batches:
-            out = []
-            for shingle, part, new_v, new_n in zip(*(c.to_pylist() for c in batch.columns)):
-                if key == (shingle, part):
-                    if (v, n) == (new_v, new_n):
-                        continue
-                    fits = den * n >= num * new_n
-                    if fits and not written:
-                        out.append((*key, v, n, *lead))
-                    if not fits:
-                        lead = (new_v, new_n)
-                    elif den * lead[1] < num * new_n:
-                        lead = (v, n)
-                else:
-                    key, lead, fits = (shingle, part), (new_v, new_n), False
-                v, n, written = new_v, new_n, fits or part >= 0
-                if written:
-                    out.append((*key, v, n, *lead))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=schema.names
-                )
 
-    types = [pa.int64(), pa.int32()] + [pa.int64()] * 4
-    dealt = prefix.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "v")
-    return dealt.mapInArrow(run, schema)
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """``(block, v, n)``: the classes of each block of two or more; of equal blocks one.
+
+    A block is named by its shingle's classes. Two blocks of one name would be searched
+    as one, which costs time but no link.
+    """
+    class_hash = F.xxhash64("v", "n")
+    whole = Window.partitionBy("shingle")
+    name = F.xxhash64(F.sum(class_hash.cast("decimal(38,0)")).over(whole), F.count("*").over(whole))
+    small = rows.where("part < 0").withColumns({"block": name, "size": F.count("*").over(whole)}).where("size > 1")
+    # Shingles dealt out: counted for real, and named by themselves.
+    dealt = rows.where("part >= 0").select("shingle", "v", "n").distinct()
+    counts = dealt.groupBy("shingle").count().where("count > 1").select("shingle")
+    large = splittable_join(dealt, counts, "shingle", "inner").withColumn("block", F.xxhash64("shingle"))
+    columns = ["block", "v", "n"]
+    return small.select(columns).union(large.select(columns)).distinct()
+
+
+def neighbours(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """One other class for each, ``(a, b)``: the next smaller of fitting size, in most blocks."""
+    by_size = Window.partitionBy("block", "part").orderBy("n", "v")
+    part = F.floor(F.pmod(F.xxhash64("v", "n"), F.col("size")) / PART_ROWS)
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > PART_ROWS)
+    # Large blocks are looked at in parts; any neighbour will do.
+    told = splittable_join(blocks, sizes, "block", "left").withColumn("part", F.coalesce(part, F.lit(0)))
+    led = told.withColumn("b", F.lag(_key("v", "n")).over(by_size)).where(F.col("b.n") * den >= F.col("n") * num)
+    return (
+        led.groupBy(_key("v", "n").alias("a"), "b").agg(F.count("*").alias("c"))
+        .groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    )
 
 
 def _sieve_slots(v: np.ndarray) -> np.ndarray:
@@ -206,41 +257,6 @@ def make_sieve(needed: DataFrame) -> np.ndarray:
     return sieve
 
 
-def of_classes(docs: DataFrame, text_col: str, needed: DataFrame, ddl: str, value) -> DataFrame:
-    """``v, n`` and a value of the set for each needed class ``(v, n)``, one row each.
-
-    Where the sieve is full it lets more texts through; the last join drops those.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(make_sieve(needed))
-
-    def make():
-        powers, words, seen = make_powers(), shared.value, set()
-
-        def run(batch: pa.RecordBatch | None):
-            if batch is None:
-                return None
-            out = [[], [], []]
-            for _, shingles in _sets_of(batch.column(0), powers):
-                n = len(shingles)
-                if not n:
-                    continue
-                v = set_key(shingles)
-                slot = int(_sieve_slots(np.array([v]))[0])
-                if not int(words[slot >> 6]) >> (slot & 63) & 1 or (v, n) in seen:
-                    continue
-                if len(seen) >= _SEEN:
-                    seen.clear()
-                seen.add((v, n))
-                for values, one in zip(out, (v, n, value(shingles))):
-                    values.append(one)
-            return out
-
-        return run
-
-    sent = rows_from_texts(docs, [text_col], f"v long, n long, {ddl}", make)
-    return sent.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
-
-
 def only_needed(sets: DataFrame, needed: DataFrame) -> DataFrame:
     """Rows of a staged table of sets that the sieve of ``needed`` lets through.
 
@@ -259,10 +275,24 @@ def only_needed(sets: DataFrame, needed: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, sets.schema)
 
 
-def bitmaps(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
-    return of_classes(
-        docs, text_col, needed, "bits array<long>", lambda s: bitmap(s).view(np.int64)
-    )
+def bitmaps(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(v, n, bits)`` of each needed class, one row each; larger sets have larger bitmaps."""
+    schema = schema_of("v long, n long, bits array<long>")
+
+    def run(batches):
+        for batch in batches:
+            made = [bitmap(np.asarray(x.values).view(np.uint64), bitmap_size(len(x))).view(np.int64) for x in batch.column(2)]
+            if made:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=schema.names
+                )
+
+    made = only_needed(_written(hashed), needed).mapInArrow(run, schema)
+    return made.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
+
+
+def _written(hashed: DataFrame) -> DataFrame:
+    return hashed.where("shingles is not null").select("v", "n", "shingles")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -270,10 +300,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("k")).select("k.v", "k.n").distinct()
 
 
-def sets_for(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
-    return of_classes(
-        docs, text_col, needed, "shingles array<long>", lambda s: s.view(np.int64)
-    )
+def sets_for(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(v, n, shingles)`` of each needed class, one row each."""
+    found = only_needed(_written(hashed), needed)
+    return found.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -357,70 +387,94 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return two.where(enough).select("a", "b")
 
 
+def _trees(rows: list[tuple], labels: dict) -> dict[int, tuple[np.ndarray, list]]:
+    """For each size of bitmap the places of its rows and their tree."""
+    by_size: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        by_size.setdefault(len(r[5]), []).append(i)
+    trees = {}
+    for size, own in by_size.items():
+        own.sort(key=lambda i: (rows[i][3], labels[rows[i][4]], rows[i][2]))
+        bits = np.array([rows[i][5] for i in own], np.int64).view(np.uint64)
+        sizes = np.array([rows[i][3] for i in own])
+        trees[size] = np.array(own), build(bits, sizes, np.array([labels[rows[i][4]] for i in own]))
+    return trees
+
+
+def search_block(
+    one: list[tuple], two: list[tuple] | None, num: int, den: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``one`` and in ``two`` (None: in ``one`` again) of possible pairs, and their common bits.
+
+    Rows are ``(task, part, v, n, label, bits)``. Similar sets have bitmaps of one size or
+    of neighbouring ones; of these the larger is folded.
+    """
+    labels = {c: i for i, c in enumerate(dict.fromkeys(r[4] for r in [*one, *(two or [])]))}
+    if len(labels) < 2:
+        return
+    left = _trees(one, labels)
+    right = left if two is None else _trees(two, labels)
+    for size, (at, tree) in left.items():
+        for other in (size // 2, size, 2 * size):
+            if other not in right or (two is None and other < size):
+                continue
+            to, second = right[other]
+            width = min(size, other)
+            a, b = (t if len(t[0].bits[0]) == width else folded(t) for t in (tree, second))
+            same = two is None and other == size
+            for i, j in dual_traversal(a, None if same else b, num, den):
+                yield at[i], to[j], np.bitwise_count(a[0].bits[i] & b[0].bits[j]).sum(axis=1).astype(np.int64)
+
+
 def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Candidate pairs ``(a, b, common)`` of different components inside blocks.
+    """Candidate pairs ``(a, b)`` of different components inside blocks.
 
-    ``blocks``: ``shingle, parts, part, v, n, label, bits``. Signature trees leave the
+    ``blocks``: ``block, parts, part, v, n, label, bits``. Signature trees leave the
     pairs whose bitmaps have room for the overlap. ``nearest`` keeps the best of them
     for each class, so the result is no longer than the blocks; otherwise all come.
     A block of several parts is searched by pairs of parts, one task each; a part is
     sent once for every part it is compared with.
     """
-    schema = schema_of("va long, na long, vb long, nb long, common int")
-
-    def trees_of(rows: list[tuple]) -> tuple[list, list]:
-        labels = {c: i for i, c in enumerate(dict.fromkeys(r[4] for r in rows))}
-        trees, members = [], []
-        if len(labels) > 1:
-            for side in sorted({r[1] for r in rows}):
-                own = [r for r in rows if r[1] == side]
-                own.sort(key=lambda r: (r[3], labels[r[4]], r[2]))
-                bits = np.array([r[5] for r in own], np.int64).view(np.uint64)
-                sizes = np.array([r[3] for r in own])
-                members.append(own)
-                trees.append(build(bits, sizes, np.array([labels[r[4]] for r in own])))
-        return trees, members
+    schema = schema_of("va long, na long, vb long, nb long, share long")
 
     def search(rows: list[tuple]) -> Iterator[list[np.ndarray]]:
-        trees, members = trees_of(rows)
-        if not trees:
-            return
-        one, two = trees[0], trees[1] if len(trees) > 1 else None
-        right = trees[-1]
-        names = [np.array([(r[2], r[3]) for r in m], np.int64) for m in members]
-        best = [np.full(len(m), -1, np.int64) for m in members]
-        for i, j in dual_traversal(one, two, num, den):
-            common = np.bitwise_count(one[0].bits[i] & right[0].bits[j]).sum(axis=1).astype(np.int64)
+        sides = sorted({r[1] for r in rows})
+        one = [r for r in rows if r[1] == sides[0]]
+        two = [r for r in rows if r[1] == sides[1]] if len(sides) > 1 else None
+        lists = [one, one if two is None else two]
+        names = [np.array([(r[2], r[3]) for r in x], np.int64) for x in lists]
+        best = [np.full(len(one), -1, np.int64)]
+        best.append(best[0] if two is None else np.full(len(two), -1, np.int64))
+        for i, j, common in search_block(one, two, num, den):
+            share = common * (1 << 20) // (names[0][i, 1] + names[1][j, 1])
             if not nearest:
-                yield [*names[0][i].T, *names[-1][j].T, common]
+                yield [*names[0][i].T, *names[1][j].T, share]
                 continue
-            share = common * (1 << 20) // (one[0].low[i] + right[0].low[j])
             np.maximum.at(best[0], i, share << 32 | j)
-            np.maximum.at(best[-1], j, share << 32 | i)
+            np.maximum.at(best[1], j, share << 32 | i)
         if nearest:
-            for side, other in ((0, -1), (-1, 0))[: len(trees)]:
+            for side, other in ((0, 1), (1, 0))[: 1 if two is None else 2]:
                 i = np.flatnonzero(best[side] >= 0)
                 j = best[side][i] & 0xFFFFFFFF
-                bits = trees[side][0].bits[i] & trees[other][0].bits[j]
-                yield [*names[side][i].T, *names[other][j].T, np.bitwise_count(bits).sum(axis=1)]
+                yield [*names[side][i].T, *names[other][j].T, best[side][i] >> 32]
 
     def run(batches):
         key, rows, pending, size = None, [], [], 0
 
         def emit():
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*pending), types)],
-                names=schema.names,
+                [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*pending)], names=schema.names
             )
 
         def blocks_in():
             nonlocal key, rows
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                *plain, bits = batch.columns
+                for *row, held in zip(*(c.to_pylist() for c in plain), bits):
                     if row[0] != key:
                         yield rows
                         key, rows = row[0], []
-                    rows.append(row)
+                    rows.append((*row, np.asarray(held.values)))
             yield rows
 
         for block in blocks_in():
@@ -435,7 +489,6 @@ def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFram
         if pending:
             yield emit()
 
-    types = [np.int64] * 4 + [np.int32]
     meet = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.struct(
@@ -444,17 +497,16 @@ def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFram
     )
     dealt = (
         blocks.withColumn("meet", F.explode(meet))
-        .select(F.xxhash64("shingle", "meet").alias("task"), "part", "v", "n", "label", "bits")
+        .select(F.xxhash64("block", "meet").alias("task"), "part", "v", "n", "label", "bits")
         .repartition("task")
         .sortWithinPartitions("task", "part")
     )
     found = dealt.select(
         "task", "part", "v", "n", F.concat_ws(":", "label.n", "label.v").alias("label"), "bits"
     ).mapInArrow(run, schema)
-    both = found.select(_key("va", "na").alias("x"), _key("vb", "nb").alias("y"), "common")
+    both = found.select(_key("va", "na").alias("x"), _key("vb", "nb").alias("y"), "share")
     if nearest:
-        room = F.struct(F.col("common") / (F.col("x.n") + F.col("y.n")), "y")
-        both = both.groupBy("x").agg(F.max_by("y", room).alias("y"))
+        both = both.groupBy("x").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -467,24 +519,19 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the blocks that hold several components, each distinct set of classes once.
+    """Rows of the blocks that hold several components.
 
     Components only grow, so a later call needs no more than an earlier one returned.
     """
-    rows = stage(_labelled(blocks.select("shingle", "v", "n"), labels), "join_labelled")
+    rows = stage(_labelled(blocks.select("block", "v", "n"), labels), "join_labelled")
+    label = F.xxhash64("label.n", "label.v")
     several = (
-        rows.groupBy("shingle")
-        .agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
-            F.sum(F.xxhash64("v", "n").cast("decimal(38,0)")).alias("content"),
-            F.min("v").alias("least"), F.max("v").alias("most"),
-        )
+        rows.groupBy("block")
+        .agg(F.min(label).alias("low"), F.max(label).alias("high"), F.count("*").alias("size"))
         .where("low <> high")
-        .groupBy("size", "content", "least", "most")
-        .agg(F.min("shingle").alias("shingle"))
-        .select("shingle", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("parts"))
+        .select("block", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("parts"))
     )
-    chosen = splittable_join(rows, stage(several, "join_open"), "shingle", "inner")
+    chosen = splittable_join(rows, stage(several, "join_open"), "block", "inner")
     part = F.pmod(F.xxhash64("v", "n"), F.col("parts")).cast("int")
     return stage(chosen.withColumn("part", part), "join_open_rows")
 
@@ -494,22 +541,16 @@ def with_bits(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return splittable_join(rows, own, "k", "inner")
 
 
-def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
     """``(vertex, label)`` of all classes that are similar to another one."""
-    blocks = stage(blocks_of(prefixes(docs, text_col, sketch, num, den), num, den), "join_blocks")
-    bits = stage(bitmaps(docs, text_col, blocks.select("v", "n").distinct()), "join_bitmaps")
+    rows = candidates(prefixes(hashed, sum_sketch(hashed), num, den), num, den)
+    blocks = stage(blocks_of(stage(rows, "join_candidates")), "join_blocks")
+    bits = stage(bitmaps(hashed, blocks.select("v", "n").distinct()), "join_bitmaps")
 
     # One neighbour for each class: the one met in most blocks.
-    met = (
-        blocks.where("v <> lead_v or n <> lead_n")
-        .groupBy("v", "n", "lead_v", "lead_n")
-        .agg(F.count("*").alias("c"))
-        .groupBy("v", "n")
-        .agg(F.max_by(_key("lead_v", "lead_n"), F.struct("c", "lead_n", "lead_v")).alias("b"))
-        .select(_key("v", "n").alias("a"), "b")
-    )
+    met = stage(neighbours(blocks, num, den), "join_met")
     tried = stage(may_be_similar(met, bits, num, den), "join_tried")
-    sets = stage(sets_for(docs, text_col, _ends(tried)), "join_sets")
+    sets = stage(sets_for(hashed, _ends(tried)), "join_sets")
     links = stage(verify(tried, sets, num, den), "join_links")
     labels = components(links, "a", "b")
 
@@ -521,7 +562,7 @@ def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, d
         near = stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
         if not first:  # every class with a candidate has its nearest here
             more = _ends(near).join(sets.select("v", "n"), ["v", "n"], "left_anti")
-            sets = sets.unionByName(stage(sets_for(docs, text_col, more), "join_sets"))
+            sets = sets.unionByName(stage(sets_for(hashed, more), "join_sets"))
         new = stage(verify(near, sets, num, den), "join_links")
         links = links.unionByName(new)
         labels = components(links, "a", "b")
@@ -541,12 +582,9 @@ def group_classes(
     docs: DataFrame, id_col: str, text_col: str, num: int, den: int
 ) -> tuple[DataFrame, DataFrame]:
     """Documents as ``(id, n, v)``, and ``(k, label, least_id)`` of every class."""
-    both = stage(classes_and_sketch(docs, id_col, text_col), "join_classes")
-    rough = both.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("c")).toPandas()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[rough["cell"].to_numpy(np.int64)] = rough["c"].to_numpy(np.int64)
-    labels = link_classes(docs, text_col, sketch, num, den)
-    members = both.where("cell is null").select("id", "n", "v")
+    hashed = stage(hashed_sets(docs, id_col, text_col), "join_hashed")
+    labels = link_classes(hashed, num, den)
+    members = hashed.where("slab is null").select("id", "n", "v")
     classes = members.where("n > 0").groupBy("v", "n").agg(F.min("id").alias("least_id"))
     return members, _labelled(classes, labels).select("k", "label", "least_id")
 

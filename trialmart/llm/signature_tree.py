@@ -24,6 +24,14 @@ def bitmap(hashes: np.ndarray, size: int = BITMAP_BITS) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def bitmap_size(n: int) -> int:
+    """Bits for a set of ``n``: about one for each element, at least ``BITMAP_BITS``.
+
+    With fewer, unrelated sets would look as if they might have enough in common.
+    """
+    return max(BITMAP_BITS, 1 << (n - 1).bit_length())
+
+
 def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=-1).astype(np.int64)
 
@@ -62,6 +70,13 @@ def build(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> list[Level
     return levels
 
 
+def folded(levels: list[Level]) -> list[Level]:
+    """The same tree with bitmaps of half the size."""
+    low = levels[0]
+    half = low.bits.shape[1] // 2
+    return build(low.bits[:, :half] | low.bits[:, half:], low.low, low.label)
+
+
 def _possible(a: Level, i: np.ndarray, b: Level, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Pairs of nodes below which a pair of sets may reach ``num / den``.
 
