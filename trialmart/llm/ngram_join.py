@@ -24,7 +24,7 @@ null id never names a component unless all its members are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -257,44 +257,44 @@ def make_sieve(needed: DataFrame) -> np.ndarray:
     return sieve
 
 
-def only_needed(sets: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows of a staged table of sets that the sieve of ``needed`` lets through.
+def from_sets(sets: DataFrame, needed: DataFrame, ddl: str, value: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``v, n`` and a value of the set for the rows ``(v, n, shingles)`` that may be needed.
 
-    Saves moving the others in the join that follows.
+    A sieve leaves the others out before they are moved, in the same Python worker;
+    where it is full it lets more rows through.
     """
     shared = sets.sparkSession.sparkContext.broadcast(make_sieve(needed))
-    at = sets.columns.index("v")
+    schema = schema_of(f"v long, n long, {ddl}")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                slots = _sieve_slots(np.asarray(batch.column(at)))
+            for start in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(start, _TEXTS)
+                slots = _sieve_slots(np.asarray(part.column(0)))
                 words = shared.value[slots >> 6]
-                yield batch.filter(pa.array((words >> (slots & 63)) & 1 == 1))
-
-    return sets.mapInArrow(run, sets.schema)
-
+                kept = part.filter(pa.array((words >> (slots & 63)) & 1 == 1))
+                if kept.num_rows:
+                    made = [kept.column(0), kept.column(1), value(kept.column(2))]
+                    yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
-def bitmaps(hashed: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(v, n, bits)`` of each needed class, one row each; larger sets have larger bitmaps."""
-    schema = schema_of("v long, n long, bits array<long>")
+    return sets.select("v", "n", "shingles").mapInArrow(run, schema)
 
-    def run(batches):
-        for batch in batches:
-            made = [bitmap(np.asarray(x.values).view(np.uint64), bitmap_size(len(x))).view(np.int64) for x in batch.column(2)]
-            if made:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=schema.names
-                )
 
-    made = only_needed(_written(hashed), needed).mapInArrow(run, schema)
-    return made.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
+def _bits(sets: pa.Array, size_of: Callable[[int], int]) -> pa.Array:
+    made = [bitmap(np.asarray(x.values).view(np.uint64), size_of(len(x))).view(np.int64) for x in sets]
+    return pa.array(made, pa.list_(pa.int64()))
 
 
 def _written(hashed: DataFrame) -> DataFrame:
     return hashed.where("shingles is not null").select("v", "n", "shingles")
 
 
+def bitmaps(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(v, n, bits)`` of each needed class, one row each; larger sets have larger bitmaps."""
+    made = from_sets(_written(hashed), needed, "bits array<long>", lambda x: _bits(x, bitmap_size))
+    return made.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """The classes ``(v, n)`` that occur in ``pairs (a, b)``."""
     return pairs.select(F.explode(F.array("a", "b")).alias("k")).select("k.v", "k.n").distinct()
@@ -302,7 +302,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def sets_for(hashed: DataFrame, needed: DataFrame) -> DataFrame:
     """``(v, n, shingles)`` of each needed class, one row each."""
-    found = only_needed(_written(hashed), needed)
+    found = from_sets(_written(hashed), needed, "shingles array<long>", lambda x: x)
     return found.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
 
 
@@ -354,22 +354,12 @@ def may_be_similar(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> Dat
     return same.where(room).select("a", "b")
 
 
-def fine_bitmaps(sets: DataFrame) -> DataFrame:
+def fine_bitmaps(sets: DataFrame, needed: DataFrame) -> DataFrame:
     """Bitmaps that grow with the set: at least eight bits for an element."""
-    schema = schema_of("v long, n long, bits array<long>")
-
-    def run(batches):
-        for batch in batches:
-            v, n, shingles = (batch.column(batch.schema.get_field_index(c)) for c in ("v", "n", "shingles"))
-            made = []
-            for values in shingles:
-                own = np.asarray(values.values).view(np.uint64)
-                made.append(bitmap(own, max(BITMAP_BITS, 1 << (8 * len(own) - 1).bit_length())).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [v, n, pa.array(made, type=pa.list_(pa.int64()))], names=schema.names
-            )
-
-    return sets.mapInArrow(run, schema)
+    return from_sets(
+        sets, needed, "bits array<long>",
+        lambda x: _bits(x, lambda n: max(BITMAP_BITS, 1 << (8 * n - 1).bit_length())),
+    )
 
 
 def _key(v: str, n: str) -> Column:
@@ -379,7 +369,8 @@ def _key(v: str, n: str) -> Column:
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes that are similar, decided on the sets."""
-    keyed = only_needed(sets, _ends(pairs)).select(_key("v", "n").alias("k"), "shingles")
+    held = from_sets(sets, _ends(pairs), "shingles array<long>", lambda x: x)
+    keyed = held.select(_key("v", "n").alias("k"), "shingles")
     one = splittable_join(pairs, keyed.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), "a", "inner")
     two = splittable_join(one, keyed.select(F.col("k").alias("b"), F.col("shingles").alias("sb")), "b", "inner")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -572,7 +563,7 @@ def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
             break
     # What is left between components, in full.
     rest = stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
-    fine = fine_bitmaps(only_needed(sets, _ends(rest)))
+    fine = fine_bitmaps(sets, _ends(rest))
     close = stage(may_be_similar(rest, fine, num, den), "join_rest")
     new = stage(verify(close, sets, num, den), "join_links")
     return components(links.unionByName(new), "a", "b")
