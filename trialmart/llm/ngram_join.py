@@ -354,12 +354,13 @@ def may_be_similar(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> Dat
     return same.where(room).select("a", "b")
 
 
-def fine_bitmaps(sets: DataFrame, needed: DataFrame) -> DataFrame:
-    """Bitmaps that grow with the set: at least eight bits for an element."""
-    return from_sets(
-        sets, needed, "bits array<long>",
+def fine_bitmaps(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+    """Bitmaps of at least eight bits for an element: an eighth of the sets' size, and nearly as sharp."""
+    made = from_sets(
+        _written(hashed), needed, "bits array<long>",
         lambda x: _bits(x, lambda n: max(BITMAP_BITS, 1 << (8 * n - 1).bit_length())),
     )
+    return made.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
 
 
 def _key(v: str, n: str) -> Column:
@@ -532,6 +533,20 @@ def with_bits(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return splittable_join(rows, own, "k", "inner")
 
 
+def _verified(
+    pairs: DataFrame, hashed: DataFrame, sets: DataFrame, num: int, den: int
+) -> tuple[DataFrame, DataFrame]:
+    """The sets known so far and those that were missing; the pairs that are similar.
+
+    Fine bitmaps leave few pairs that are not, so few sets are moved for nothing.
+    """
+    fine = stage(fine_bitmaps(hashed, _ends(pairs)), "join_fine")
+    close = stage(may_be_similar(pairs, fine, num, den), "join_close")
+    more = _ends(close).join(sets.select("v", "n"), ["v", "n"], "left_anti")
+    sets = sets.unionByName(stage(sets_for(hashed, more), "join_sets"))
+    return sets, stage(verify(close, sets, num, den), "join_links")
+
+
 def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
     """``(vertex, label)`` of all classes that are similar to another one."""
     rows = candidates(prefixes(hashed, sum_sketch(hashed), num, den), num, den)
@@ -551,10 +566,7 @@ def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
     while True:
         blocks = open_blocks(blocks, labels)
         near = stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
-        if not first:  # every class with a candidate has its nearest here
-            more = _ends(near).join(sets.select("v", "n"), ["v", "n"], "left_anti")
-            sets = sets.unionByName(stage(sets_for(hashed, more), "join_sets"))
-        new = stage(verify(near, sets, num, den), "join_links")
+        sets, new = _verified(near, hashed, sets, num, den)
         links = links.unionByName(new)
         labels = components(links, "a", "b")
         found = new.count()
@@ -563,9 +575,7 @@ def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
             break
     # What is left between components, in full.
     rest = stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
-    fine = fine_bitmaps(sets, _ends(rest))
-    close = stage(may_be_similar(rest, fine, num, den), "join_rest")
-    new = stage(verify(close, sets, num, den), "join_links")
+    _, new = _verified(rest, hashed, sets, num, den)
     return components(links.unionByName(new), "a", "b")
 
 
