@@ -66,6 +66,18 @@ def _sets_of(column: pa.Array, powers) -> Iterator[tuple[int, np.ndarray]]:
             yield start + i, shingle_set(words)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time; what the batches have taken is given back in the end.
+
+    A Python worker goes on to other tasks with the memory it holds.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, _TEXTS):
+            yield batch.slice(start, _TEXTS)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -90,25 +102,22 @@ def hashed_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, sketch, seen = make_powers(), np.zeros(1 << SKETCH_BITS, np.int64), set()
-        for batch in batches:
-            # Some texts at a time: the sets take more room than the texts.
-            for start in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(start, _TEXTS)
-                size = part.num_rows
-                ids, sizes, keys, sets = part.column(0).to_pylist(), [0] * size, [0] * size, [None] * size
-                for i, shingles in _sets_of(part.column(1), powers):
-                    n = len(shingles)
-                    if not n:
-                        continue
-                    sizes[i], keys[i] = n, set_key(shingles)
-                    np.add.at(sketch, _cell(shingles), 1)
-                    if (keys[i], n) in seen:
-                        continue
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add((keys[i], n))
-                    sets[i] = shingles.view(np.int64)
-                yield batch_of([ids, sizes, keys, sets, [None] * size, [None] * size])
+        for part in _slices(batches):  # the sets take more room than the texts
+            size = part.num_rows
+            ids, sizes, keys, sets = part.column(0).to_pylist(), [0] * size, [0] * size, [None] * size
+            for i, shingles in _sets_of(part.column(1), powers):
+                n = len(shingles)
+                if not n:
+                    continue
+                sizes[i], keys[i] = n, set_key(shingles)
+                np.add.at(sketch, _cell(shingles), 1)
+                if (keys[i], n) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add((keys[i], n))
+                sets[i] = shingles.view(np.int64)
+            yield batch_of([ids, sizes, keys, sets, [None] * size, [None] * size])
         slabs = sketch.reshape(_SLABS, -1)
         for slab in np.flatnonzero(slabs.any(axis=1)).tolist():
             yield batch_of([[None], [None], [None], [None], [slab], [slabs[slab]]])
@@ -158,14 +167,14 @@ def prefixes(hashed: DataFrame, sketch: np.ndarray, num: int, den: int) -> DataF
     """
     shared = hashed.sparkSession.sparkContext.broadcast((sketch, likely_parts(sketch)))
 
-    def make():
-        rough, parts_of = shared.value
+    schema = schema_of("shingle long, part int, v long, n long")
+    arrow = to_arrow_schema(schema)
 
-        def run(batch: pa.RecordBatch | None):
-            if batch is None:
-                return None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rough, parts_of = shared.value
+        for part in _slices(batches):
             out = [[], [], [], []]
-            for n, v, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for n, v, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                 shingles = np.asarray(held.values).view(np.uint64)
                 cells = _cell(shingles)
                 first = np.lexsort((shingles, rough[cells]))[: prefix_length(n, num, den)]
@@ -174,12 +183,12 @@ def prefixes(hashed: DataFrame, sketch: np.ndarray, num: int, den: int) -> DataF
                 out[1].append(np.where(parts > 1, np.abs(v) % parts, -1))
                 out[2].append(np.full(len(first), v))
                 out[3].append(np.full(len(first), n))
-            return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-
-        return run
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c), f.type) for c, f in zip(out, arrow)], schema=arrow
+            )
 
     sets = hashed.where("shingles is not null")
-    return rows_from_texts(sets, ["n", "v", "shingles"], "shingle long, part int, v long, n long", make)
+    return sets.select("n", "v", "shingles").mapInArrow(run, schema)
 
 
 def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
@@ -267,15 +276,13 @@ def from_sets(sets: DataFrame, needed: DataFrame, ddl: str, value: Callable[[pa.
     schema = schema_of(f"v long, n long, {ddl}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(start, _TEXTS)
-                slots = _sieve_slots(np.asarray(part.column(0)))
-                words = shared.value[slots >> 6]
-                kept = part.filter(pa.array((words >> (slots & 63)) & 1 == 1))
-                if kept.num_rows:
-                    made = [kept.column(0), kept.column(1), value(kept.column(2))]
-                    yield pa.RecordBatch.from_arrays(made, names=schema.names)
+        for part in _slices(batches):
+            slots = _sieve_slots(np.asarray(part.column(0)))
+            words = shared.value[slots >> 6]
+            kept = part.filter(pa.array((words >> (slots & 63)) & 1 == 1))
+            if kept.num_rows:
+                made = [kept.column(0), kept.column(1), value(kept.column(2))]
+                yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     return sets.select("v", "n", "shingles").mapInArrow(run, schema)
 
