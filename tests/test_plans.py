@@ -168,3 +168,18 @@ def test_staged_tables_follow_their_source(spark, tmp_path):
         tmp_path / "customer.parquet"
     )
     assert catalog.silver_users(spark, str(tmp_path)).count() < first.count()
+
+
+def test_folders_made_inside_are_known_and_can_go(spark):
+    from trialmart.sources.storage import drop_folders, folders_made, stage
+
+    kept = stage(spark.range(3), "kept")
+    with folders_made() as outer:
+        first = stage(spark.range(4), "outer")
+        with folders_made() as inner:
+            second = stage(spark.range(5), "inner")
+    assert len(outer) == len(inner) == 1 and outer != inner
+    drop_folders(spark, [*inner, *inner])
+    assert kept.count() == 3 and first.count() == 4
+    with pytest.raises(Exception):
+        second.count()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,39 @@ def _session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/trialmart/{spark.sparkContext.applicationId}"
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("folders made", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a folder in the shared folder that nothing else uses."""
-    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The list of folders made inside, for ``drop_folders`` later on.
+
+    Of nested calls the inner one has them; other threads are not seen.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def drop_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove folders; those that are gone already do no harm."""
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
