@@ -120,3 +120,18 @@ def test_only_committed_archives_are_read(spark, tmp_path):
     (folder / names[0]).unlink()
     with pytest.raises(Exception, match="are gone"):
         warc.read_warc(spark, str(folder)).count()
+
+
+def test_every_folder_follows_its_own_list(spark, tmp_path):
+    for name, ids in (("a", range(3)), ("b", range(3, 8))):
+        rows = [(i, "u", str(i)) for i in ids]
+        warc.write_warc(warc.page_records(spark.createDataFrame(rows, PAGES)), str(tmp_path / "top" / name))
+    (tmp_path / "top" / "a" / "part-lost.warc.gz").write_bytes(b"left over by a lost task")
+    (tmp_path / "top" / "plain").mkdir()
+    loose = warc.gzip_member(warc.make_record({"record_id": "loose", "payload": b"x"}))
+    (tmp_path / "top" / "plain" / "c.warc.gz").write_bytes(loose)
+    assert warc.read_warc(spark, str(tmp_path / "top")).count() == 3 + 5 + 1
+    names = json.loads((tmp_path / "top" / "b" / "_committed").read_text())
+    (tmp_path / "top" / "b" / names[0]).unlink()
+    with pytest.raises(Exception, match="are gone"):
+        warc.read_warc(spark, str(tmp_path / "top")).count()

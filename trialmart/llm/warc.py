@@ -266,19 +266,29 @@ class WarcReader(DataSourceReader):
             self.tests.append(("target_uri", "prefix", (prefix,)))
 
     def partitions(self):
-        """Archives in groups of about ``partitionBytes``; an archive is never cut."""
+        """Archives in groups of about ``partitionBytes``; an archive is never cut.
+
+        A folder that a write has finished counts with the archives this write lists,
+        any other folder, subfolders included, with all its archives.
+        """
         store, path = open_files(self.path)
         listed = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         found = {i.path: i.size for i in listed if i.is_file}
-        marker = next((p for p in found if p.rsplit("/", 1)[-1] == COMMITTED), None)
-        if marker:
+        folders: dict[str, list[str]] = {}
+        for p in sorted(found):
+            folders.setdefault(p.rpartition("/")[0], []).append(p)
+        archives = []
+        for folder, files in folders.items():
+            marker = f"{folder}/{COMMITTED}"
+            if marker not in found:
+                archives += [p for p in files if p.endswith((".warc", ".warc.gz"))]
+                continue
             with store.open_input_stream(marker) as f:
-                names = set(json.loads(f.read()))
-            archives = [p for p in sorted(found) if p.rsplit("/", 1)[-1] in names]
-            if len(archives) < len(names):
-                raise FileNotFoundError(f"{len(names) - len(archives)} archives of {path} are gone")
-        else:
-            archives = [p for p in sorted(found) if p.endswith((".warc", ".warc.gz"))]
+                listed = {f"{folder}/{name}" for name in json.loads(f.read())}
+            gone = listed - found.keys()
+            if gone:
+                raise FileNotFoundError(f"{len(gone)} archives of {folder} are gone")
+            archives += sorted(listed)
         groups, size = [Archives()], 0
         for p in archives:
             if groups[-1].paths and size + found[p] > self.target:
