@@ -96,3 +96,13 @@ def test_rows_of_one_id_in_many_partitions_part(spark):
     for r in sharding.assign_shards(docs, limit=150).collect():
         totals[r["shard"]] = totals.get(r["shard"], 0) + r["n_bytes"]
     assert len(totals) == 48 and max(totals.values()) == 100
+
+
+def test_slices_stay_small_when_ids_are_null_or_repeat(spark):
+    rows = [(None, "a b c")] * 400 + [(7, "a b c")] * 400 + [(i, "a b c") for i in range(400)]
+    found = packing.pack(documents(spark, rows), max_tokens=8, batch_tokens=30, slice_rows=100)
+    batches = found.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"))
+    assert {(b["n"], b["slots"]) for b in batches.collect()} == {(10, 10)} and found.count() == 1200
+    numbered = documents(spark, rows).withColumn("_row", F.monotonically_increasing_id())
+    sizes = packing.in_slices(numbered, F.lit(12)).groupBy("_slice").count().collect()
+    assert len(sizes) == 12 and max(r["count"] for r in sizes) < 160

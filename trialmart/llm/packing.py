@@ -5,8 +5,9 @@ bucket limits with the least padding; inside a bucket, rows form batches of as
 many sequences as the token budget holds.
 
 A text longer than ``max_tokens`` becomes several sequences, so nothing is cut
-off. Null and empty texts have no sequence. Repeated rows are packed each for
-itself. An empty table has no batches.
+off. Null and empty texts have no sequence. Repeated rows and ids are packed each for
+itself, and null ids like others. An empty table has no batches. Other columns are not
+read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -61,6 +62,11 @@ def length_histogram(sequences: DataFrame) -> DataFrame:
     return sequences.groupBy("n_tokens").agg(F.count("*").alias("n"))
 
 
+def in_slices(rows: DataFrame, slices: Column) -> DataFrame:
+    """``_slice`` from the number of the staged row: ids may be null or repeat in any number."""
+    return rows.withColumn("_slice", F.pmod(F.xxhash64("_row"), slices.cast("long")).cast("int"))
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -93,6 +99,7 @@ def pack(
             F.least(F.lit(max_tokens), F.col("_total") - F.col("part") * max_tokens)
             .cast("int")
             .alias("n_tokens"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "pack_sequences",
     )
@@ -109,10 +116,7 @@ def pack(
         slices = F.when(F.col("padded_to") == limit, F.lit(-(-rows // slice_rows))).otherwise(slices)
         capacity = F.when(F.col("padded_to") == limit, F.lit(batch_tokens // limit)).otherwise(capacity)
         low = limit
-    # Ids may be anything and repeat, so the slice also depends on the part.
-    sliced = sequences.withColumn("padded_to", padded).withColumn(
-        "_slice", F.pmod(F.xxhash64("_id", "part"), slices.cast("long")).cast("int")
-    )
+    sliced = in_slices(sequences.withColumn("padded_to", padded), slices)
     sizes = sliced.groupBy("padded_to", "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("padded_to").orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
@@ -120,7 +124,7 @@ def pack(
     offsets = sizes.select(
         "padded_to", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("padded_to", "_slice").orderBy("_id", "part")
+    inside = Window.partitionBy("padded_to", "_slice").orderBy("_id", "part", "_row")
     ranked = sliced.withColumn("_rank", F.row_number().over(inside) - 1)
     rank = F.col("_rank") + F.col("_before")
     batch = F.floor(rank / F.col("_capacity")).cast("long")
