@@ -221,7 +221,7 @@ def disclosing_terms(
         .agg(F.count("*").alias("n_term"))
     )
     bits = F.greatest(F.lit(0.0), F.log2(F.col("n_term") / F.col("n_near")))
-    disclosing = pairs.join(corpus, "term").select("term", "entity", bits.alias("bits"))
+    disclosing = splittable_join(pairs, corpus, "term", "inner").select("term", "entity", bits.alias("bits"))
     return stage(disclosing.where(F.col("bits") <= slack_bits), "pii_disclosing"), terms
 
 
