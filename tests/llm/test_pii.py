@@ -8,6 +8,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from .helpers import documents
 from trialmart.llm import pii
 
@@ -155,3 +157,25 @@ def test_terms_go_everywhere_and_also_without_the_address(spark):
     assert got == [(10, "term:0:5"), (10, "term:0:5"), (11, ""), (12, ""), (13, "email:10:15,term:0:5")]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, everywhere=True).collect()}
     assert "zorro" not in clean[10].lower() and clean[11] == "nobody here" and clean[12] is None
+
+
+def test_terms_near_very_many_entities(spark):
+    rows = [
+        (i, f"hotword u{i % 60}@mail.org name{chr(97 + i % 60 // 26)}{chr(97 + i % 60 % 26)}z")
+        for i in range(240)
+    ] + [(999, None), (1000, "hotword alone")]
+    docs = documents(spark, rows)
+    found = pii.find_private(docs).select("doc_id", F.explode("pii").alias("p"))
+    got = {(r["doc_id"], r["p"]["start"], r["p"]["end"]) for r in found.where("p.kind = 'term'").collect()}
+    terms = plain_terms(rows, 1.0, 3)
+    assert terms and not any(t == "hotword" for t, _ in terms)
+    want = set()
+    for i, text in rows:
+        entities = {f"email:{v.lower()}" for _, _, _, v in plain_spans(text)}
+        own = {t for t, e in terms if e in entities}
+        base = plain_spans(text)
+        want |= {
+            (i, m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text or "") if m.group().lower() in own
+            and not any(a < m.end() and m.start() < b for _, a, b, _ in base)
+        }
+    assert got == want

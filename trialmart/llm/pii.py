@@ -257,10 +257,11 @@ def find_private(
         touched = clean.where(may_hold).withColumn("_row", -1 - F.monotonically_increasing_id())
         found = found.unionByName(stage(touched, "pii_touched"))
         clean = clean.where(~may_hold)
-    words = found.select("_row", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
-    own = splittable_join(
-        words.where(sieve.passes(terms, F.col("term"))), disclosing, "term", "inner"
+    likely = F.filter(
+        F.array_distinct(_words(F.col("_text"))), lambda w: sieve.passes(terms, w)
     )
+    words = found.select("_row", F.explode(likely).alias("term"))
+    own = splittable_join(words, disclosing, "term", "inner")
     if not everywhere:
         held = found.select("_row", F.explode(F.array_distinct(F.transform(
             _entities(), lambda e: e["entity"]))).alias("entity"))
