@@ -60,10 +60,8 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
     rows += [(500, None), (501, ""), (502, long_one + " " + items[7][1]), (503, items[28][1]), (0, rows[0][1]), (None, items[5][1])]
     want |= {(502, 7), (503, 28), (None, 5)}
     docs, bench = documents(spark, rows), spark.createDataFrame(items, ITEMS)
-    for size in (16 << 20, 2000):  # one block, many blocks
-        found = decontaminate.find_leaks(docs, bench, block_bytes=size).collect()
-        got = {(r["doc_id"], r["item_id"] if r["item_id"] != 27 else 3) for r in found}
-        assert got == want
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
     kept = decontaminate.drop_leaked(docs.withColumnRenamed("lang", "leaks"), bench)
     assert kept.columns == ["doc_id", "text", "leaks", "source", "n_chars"]
     leaked = {i for i, _ in want}
@@ -119,3 +117,84 @@ def test_excerpts_of_long_items_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 0), (2, 1), (3, 0), (4, 2), (6, 2)}
     by_doc = {r["doc_id"]: r for r in found}
     assert by_doc[1]["score"] == 0.48 and (by_doc[1]["first_word"], by_doc[1]["last_word"]) == (80, 319)
+
+
+def hashed(text):
+    return next(decontaminate.words_of_texts([decontaminate.plain_text(text)], decontaminate.make_powers()))[1]
+
+
+def every_pair(rows, items, rules):
+    """``{(doc, item): score}`` by aligning every document with every item, no seeds."""
+    by_words = {}
+    for i, text in items:
+        words = hashed(text)
+        if len(words):
+            old = by_words.get(words.tobytes())
+            by_words[words.tobytes()] = i if old is None else old if i is None else min(i, old)
+    found = {}
+    for d, text in rows:
+        doc = hashed(text)
+        for key, i in by_words.items():
+            for part in decontaminate.segments_of(np.frombuffer(key, np.uint64)):
+                score = decontaminate.align(part, doc)[0]
+                if score < rules.needed(len(part)):
+                    score = decontaminate.align(part, doc, decontaminate.STRICT)[0]
+                    if score < rules.excerpt:
+                        continue
+                share = score / (2 * len(part))
+                found[d, i] = max(found.get((d, i), 0), share)
+    return found
+
+
+def test_rare_seeds_lose_nothing(spark):
+    """Words so few that every pair is frequent; half of the benchmark is one item."""
+    rng = random.Random(7)
+    vocabulary = sentence(rng, 25)
+    draw = lambda n: [vocabulary[min(int(rng.expovariate(0.25)), 24)] for _ in range(n)]
+    items = [(i, " ".join(draw(rng.choice([1, 2, 3, 4, 5, 8, 20, 40, 90])))) for i in range(40)]
+    items += [(i, items[30][1].upper()) for i in range(100, 140)] + [(None, items[30][1]), (None, "zz yy xx ww vv"), (141, None), (142, ". ,")]
+    items.append((150, " ".join(draw(1100))))
+    rows = [(500, None), (501, ""), (502, "zz yy xx ww vv"), (503, items[-1][1])]
+    for d in range(120):
+        source = rng.choice(items[:40] + items[-1:])[1].split()
+        at = rng.randrange(len(source))
+        piece = edit(rng, source[at : at + rng.randint(3, 60)], rng.choice([0, 0.1, 0.3, 0.5]))
+        rows.append((d, " ".join(draw(rng.randint(0, 40)) + piece + draw(rng.randint(0, 40)))))
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, ITEMS)
+    for options in ({}, {"threshold": 0.7, "min_words": 1, "excerpt_words": 6}, {"excerpt_words": 2, "min_words": 3}):
+        rules = decontaminate.Rules(**{"threshold": 0.5, "min_words": 5, "excerpt_words": 13, **options})
+        got = decontaminate.find_leaks(docs, bench, **options).collect()
+        assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got)
+        assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == every_pair(rows, items, rules)
+
+
+def test_frequent_seeds_are_left_out(spark):
+    rng = random.Random(8)
+    item = [w for pair in zip(sentence(rng, 12), ["the", "of"] * 6) for w in pair] + sentence(rng, 10)
+    rows = [(i, "the of " * 20 + " ".join(sentence(rng, 5))) for i in range(50)] + [(99, " ".join(item))]
+    rules = decontaminate.Rules(0.5, 5, 13)
+    words = decontaminate.benchmark_items(spark.createDataFrame([(1, " ".join(item))], ITEMS), "item_id", "text")
+    parts = words.selectExpr("explode(segments) words", "item_no s")
+    seeds = decontaminate.segment_seeds(parts, rules)
+    sieve = decontaminate.build_sieve(seeds)
+    counts = decontaminate.count_ngrams(documents(spark, rows), rules, [0, 2], sieve)
+    rare = {r["hash"] for r in decontaminate.rare_seeds(seeds, counts).collect()}
+    frequent = {r["hash"] for r in counts.where("n > 100").collect()}
+    assert frequent and rare and not rare & frequent
+    assert len(rare) < seeds.select("hash").distinct().count()
+
+
+def test_columns_of_any_name(spark):
+    item = " ".join(sentence(random.Random(9), 12))
+    docs = spark.createDataFrame(
+        [(1, "x", 2, None, item), (1, "x", 2, None, item), (2, None, None, None, "clean")],
+        "n long, hits string, s int, leaks int, text string",
+    )
+    bench = spark.createDataFrame([(7, item, 1)], "item_id long, text string, n int")
+    kept = decontaminate.drop_leaked(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, None, None, None, "clean")]
+    marked = decontaminate.with_leaks(docs, bench)
+    assert marked.columns == ["n", "hits", "s", "text", "leaks"]
+    assert sorted((r["n"], [tuple(x) for x in r["leaks"]]) for r in marked.collect()) == [
+        (1, [(7, 1.0, 0, 11)]), (1, [(7, 1.0, 0, 11)]), (2, []),
+    ]

@@ -2,29 +2,44 @@
 
 Passages are aligned with items by Smith-Waterman over words; the score is the share
 of the best possible one. A verbatim or nearly verbatim excerpt of 13 words counts
-however long the item is; segments of long items overlap by half. Where a passage reaches the threshold, neighbouring words
-that match are often at most one edit apart: with ``m`` matches and ``e`` edits the
+however long the item is; segments of long items overlap by half. Items of fewer than
+``min_words`` words are found only with all their words in a row.
+
+Seeds are n-grams of the items. Of an alignment with ``m`` matches and ``e`` edits the
 score is ``2 m - e``, and at least ``m - 1 - e / 2`` neighbouring matches have at most
-one edit between them. Such two words are one or two places apart in the item and in
-the document. So all pairs of words up to two places apart are looked up, and a stretch
-of a document is aligned unless it holds too few of an item's pairs to reach the
-threshold. Nothing is left out for being frequent, and no edit hides a passage.
-
-The benchmark is handled in blocks of bounded size that travel to the tasks, one
-pass over the documents each, so neither grows with the other and no document is
-shuffled. Null and empty texts hold nothing; null or short items (fewer than
-``min_words`` words) have nothing to leak. Of items with equal words the smallest id is
-reported. Repeated documents are judged each for itself.
+one edit between them: such two words are one or two places apart in the item and in
+the document. So an alignment at the threshold holds such pairs from at least ``F``
+places of the item, and the item's pairs may be left out at any ``F - 1`` places. The
+strict score of an excerpt, ``2 m - 4 e``, leaves at least ``excerpt - 2`` runs of three
+matching words, of which all but one may be left out likewise. What n-grams occur how
+often is counted over all documents: the most frequent places go, n-grams that do not
+occur go, and the rare rest still meets every passage. No edit hides one.
+
+The rare seeds in each document join it to the segments that own them, by a shuffle of
+numbers; only documents with such candidates move, to be aligned. The benchmark is
+never collected or broadcast. What travels to the tasks is a bit table over the seeds of
+at most 16 MB (``MAX_BITS``), which spares rows that cannot match; a benchmark of very
+many seeds fills it, so that it spares less, with the same result. A document with many
+candidates is aligned in parts of ``PART`` segments.
+
+Null and empty texts hold nothing; null or empty items have nothing to leak. Of items
+with equal words the smallest id is reported, null if they have none. Repeated documents
+are judged each for itself. Columns may have any names; one called ``leaks`` is replaced
+by ``with_leaks``. Of equally good places of an item the first in the document is given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import append_columns, nest
+from ..functions.columns import splittable_join
+from ..sources.storage import stage
+from .frames import append_columns, nest, rows_from_texts
 from .words import PLACE_FACTORS, make_powers, mix, words_of_texts
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -34,7 +49,12 @@ SEGMENT = 512
 STEP = 256
 STRICT = 4  # edits of an excerpt cost so many times as much
 MATCH, MISMATCH, GAP = 2, -1, 1
+PAIRS, SINGLE, RUNS = 0, 1, 2  # kinds of seeds
+LONGEST_RUN = 3
+MAX_BITS = 27
+PART = 64
 _WINDOW = 1 << 14
+_FLUSH = 1 << 20
 
 
 def plain_text(text: str | None) -> bytes:
@@ -77,114 +97,149 @@ def seed_hashes(words: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(found), np.concatenate(at)) if found else none
 
 
-class Block:
-    """Items of one block: their words by segment, and where their pairs occur.
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words."""
+    n = len(words) - k + 1
+    if n < 1:
+        return words[:0]
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += words[j : j + n] * PLACE_FACTORS[3 + j]
+    return mix(total)
 
-    ``fewest`` is the number of pairs without which a segment cannot reach the
-    threshold. Segments too short for any bound are sought by their single words.
-    """
 
-    def __init__(self, ids: list, texts: list[str], min_words: int, threshold: float, excerpt_words: int):
-        powers = make_powers()
-        self.ids, self.segments, self.item_of = [], [], []
-        seen: dict[bytes, int] = {}
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))
-        plain = [plain_text(texts[i]) for i in order]
-        for i, words in words_of_texts(plain, powers):
-            if len(words) < max(min_words, 1) or words.tobytes() in seen:
-                continue
-            seen[words.tobytes()] = len(self.ids)
-            for start in range(0, max(len(words) - SEGMENT + STEP, 1), STEP):
-                part = words[start : start + SEGMENT]
-                if start and len(part) < SEGMENT:  # the rest, filled up from before
-                    part = words[-SEGMENT:]
-                self.segments.append(part)
-                self.item_of.append(len(self.ids))
-            self.ids.append(ids[order[i]])
-        self.lengths = np.array([len(s) for s in self.segments], np.int64)
-        self.needed = threshold * MATCH * self.lengths
+class Rules:
+    """What counts as a leak, and how many seeds of a segment that needs."""
+
+    def __init__(self, threshold: float, min_words: int, excerpt_words: int):
+        self.threshold, self.min_words = threshold, min_words
+        self.excerpt_words = excerpt_words
         self.excerpt = MATCH * excerpt_words
-        self.least = np.minimum(self.needed, self.excerpt)
-        self.fewest = np.maximum(np.ceil(self.least / MATCH - 1 - 1e-9), 1).astype(np.int64)
-        self.span = np.ceil(3 * self.lengths - self.least).astype(np.int64)
-        alone = self.least / MATCH <= 1
-        self.has_alone = bool(alone.any())
-        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for s, words in enumerate(self.segments):
-            own = np.unique(seed_hashes(words, bool(alone[s]))[0])
-            hashes.append(own)
-            owners.append(np.full(len(own), s))
-        everything = np.concatenate(hashes)
-        by_hash = np.argsort(everything, kind="stable")
-        self.owners = np.concatenate(owners)[by_hash]
-        self.seeds, self.first = np.unique(everything[by_hash], return_index=True)
-        self.count = np.diff(np.append(self.first, len(everything)))
-
-
-def make_sieve(hashes: np.ndarray) -> np.ndarray:
-    """A table by the leading bits, some 64 places per hash."""
-    bits = min(max(16, len(hashes).bit_length() + 6), 26)
-    sieve = np.zeros(1 << bits, bool)
-    sieve[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+        self.run = max(1, min(LONGEST_RUN, excerpt_words))
+
+    def needed(self, n: int) -> float:
+        return (self.threshold if n >= self.min_words else 1.0) * MATCH * n
+
+    def least(self, n: int) -> float:
+        return min(self.needed(n), self.excerpt)
+
+    def alone(self, n: int) -> bool:
+        """A single matching word may be enough, so there is no pair to rely on."""
+        return self.least(n) <= MATCH
+
+    @staticmethod
+    def pairs_within(score: float) -> int:
+        """Places of pairs that an alignment of this score holds at least."""
+        return max(int(np.ceil(score / MATCH - 1 - 1e-9)), 1)
+
+    def seeds(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(kind, place, hash, spare)``: ``spare`` places of the kind may be left out."""
+        n, found = len(words), []
+
+        def add(kind: int, hashes: np.ndarray, places: np.ndarray, spare: int) -> None:
+            found.extend(
+                (kind, at, h, spare) for at, h in zip(places.tolist(), hashes.view(np.int64).tolist())
+            )
+
+        if self.alone(n):
+            add(SINGLE, *seed_hashes(words, True), 0)
+            return found
+        add(PAIRS, *seed_hashes(words, False), self.pairs_within(self.needed(n)) - 1)
+        if self.excerpt < self.needed(n):
+            runs = run_hashes(words, self.run)
+            add(RUNS, runs, np.arange(len(runs)), self.excerpt_words - self.run)
+        return found
+
+    def hashes(self, words: np.ndarray, kinds: Sequence[int]) -> np.ndarray:
+        """All n-grams of a document that may be seeds of these kinds."""
+        found = [words[:0]]
+        if PAIRS in kinds:
+            found.append(seed_hashes(words, False)[0])
+        if SINGLE in kinds:
+            found.append(seed_hashes(words, True)[0])
+        if RUNS in kinds:
+            found.append(run_hashes(words, self.run))
+        return np.concatenate(found)
+
+
+def segments_of(words: np.ndarray) -> list[np.ndarray]:
+    """An item as it is, or in segments that overlap; the last is filled up from before."""
+    starts = range(0, max(len(words) - SEGMENT + STEP, 1), STEP)
+    parts = [words[start : start + SEGMENT] for start in starts]
+    if len(parts) > 1 and len(parts[-1]) < SEGMENT:
+        parts[-1] = words[-SEGMENT:]
+    return [p for p in parts if len(p)]
+
+
+def build_sieve(seeds: DataFrame) -> np.ndarray:
+    """Bit table over the leading bits of ``hash``, some 64 places per seed up to its limit."""
+    bits = min(max(16, seeds.count().bit_length() + 6), MAX_BITS)
+    slot = F.shiftrightunsigned("hash", 64 - bits)
+    filled = (
+        seeds.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        .toArrow()
+    )
+    sieve = np.zeros(1 << (bits - 6), np.uint64)
+    sieve[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
     return sieve
 
 
-def find_in(hashes: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where members of the sorted ``known`` occur, and which they are."""
-    shift = np.uint64(64 - len(sieve).bit_length() + 1)
-    maybe = np.flatnonzero(sieve[(hashes >> shift).astype(np.int64)])
-    if not len(maybe) or not len(known):
-        return maybe[:0], maybe[:0]
-    at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
-    hit = known[at] == hashes[maybe]
-    return maybe[hit], at[hit]
+def sifted(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """The hashes that may be seeds."""
+    slot = hashes >> np.uint64(64 - 6 - len(sieve).bit_length() + 1)
+    word = sieve[(slot >> np.uint64(6)).astype(np.int64)]
+    return hashes[(word >> (slot & np.uint64(63))) & np.uint64(1) == 1]
 
 
-def _passages(words: np.ndarray, block: Block, sieve: np.ndarray) -> list[tuple[int, int, int]]:
-    """``(segment, low, high)``: stretches of the document that may reach the threshold.
+class Segment:
+    """A segment to be aligned: its seeds, and bounds on where an alignment lies.
 
     An alignment has at most as many edits as twice its matches less the score, so it
-    spans at most three segment lengths less the needed score. Any such span with
-    enough pairs counts; overlapping ones are joined.
+    spans at most three segment lengths less the needed score.
     """
-    found, widest = [], int(block.span.max())
-    for start in range(0, max(1, len(words) - widest), _WINDOW):
-        part = words[start : start + _WINDOW + widest]
-        found += [
-            (s, max(0, start + a), min(len(words), start + b))
-            for s, a, b in _stretches(part, block, sieve)
-        ]
-    return found
 
+    def __init__(self, words: np.ndarray, rules: Rules):
+        n = len(words)
+        self.words, self.needed, self.least = words, rules.needed(n), rules.least(n)
+        self.alone = rules.alone(n)
+        self.fewest = rules.pairs_within(self.least)
+        self.span = int(np.ceil(3 * n - self.least))
+        self.seeds = np.unique(seed_hashes(words, self.alone)[0])
+
+    def stretches(self, hashes: np.ndarray, places: np.ndarray) -> list[list[int]]:
+        """``[low, high]`` where enough seeds lie together; overlapping ones are joined."""
+        if not len(hashes):
+            return []
+        at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
+        place = np.unique(places[self.seeds[at] == hashes])
+        if len(place) < self.fewest:
+            return []
+        first, last = place[: len(place) - self.fewest + 1], place[self.fewest - 1 :]
+        found: list[list[int]] = []
+        for k in np.flatnonzero(last - first <= self.span).tolist():
+            low, high = int(last[k]) - self.span, int(first[k]) + self.span + 1
+            if found and low < found[-1][1]:
+                found[-1][1] = max(found[-1][1], high)
+            else:
+                found.append([low, high])
+        return found
+
+
+def passages(words: np.ndarray, segments: Sequence[Segment]) -> list[tuple[int, int, int]]:
+    """``(segment, low, high)``: stretches of the document that may reach the threshold.
 
-def _stretches(words: np.ndarray, block: Block, sieve: np.ndarray) -> list[list[int]]:
-    """The same for a part of a document; ends may lie outside of it."""
-    hashes, places = seed_hashes(words, False)
-    if block.has_alone:
-        more = seed_hashes(words, True)
-        hashes, places = np.append(hashes, more[0]), np.append(places, more[1])
-    at, which = find_in(hashes, block.seeds, sieve)
-    if not len(at):
-        return []
-    # Every segment that has the pair, once for each place of the document.
-    n = block.count[which]
-    ends = np.cumsum(n)
-    offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    segment = block.owners[np.repeat(block.first[which], n) + offset]
-    key = np.unique(segment * len(words) + np.repeat(places[at], n))
-    segment, place = key // len(words), key % len(words)
-    span = block.span[segment]
-    last = np.arange(len(key)) + block.fewest[segment] - 1
-    inside = np.minimum(last, len(key) - 1)
-    enough = (last < len(key)) & (segment[inside] == segment) & (place[inside] - place <= span)
-    found: list[list[int]] = []
-    for k in np.flatnonzero(enough).tolist():
-        s, width = int(segment[k]), int(span[k])
-        low, high = int(place[inside[k]]) - width, int(place[k]) + width + 1
-        if found and found[-1][0] == s and low < found[-1][2]:
-            found[-1][2] = max(found[-1][2], high)
-        else:
-            found.append([s, low, high])
+    Long documents are looked at in windows that overlap by the widest span.
+    """
+    found, widest = [], max(s.span for s in segments)
+    for start in range(0, max(1, len(words) - widest), _WINDOW):
+        part = words[start : start + _WINDOW + widest]
+        pairs = seed_hashes(part, False)
+        single = seed_hashes(part, True) if any(s.alone for s in segments) else pairs
+        for i, s in enumerate(segments):
+            for low, high in s.stretches(*(single if s.alone else pairs)):
+                found.append((i, max(0, start + low), min(len(words), start + high)))
     return found
 
 
@@ -203,29 +258,203 @@ def _judge(
     return score, end - align(item[::-1], passage[:end][::-1], edit)[1], end
 
 
-def leaks_of(words: np.ndarray, block: Block, sieve: np.ndarray, cache: dict) -> list[dict]:
-    """Items of the block that a document holds: score, first and last word."""
+def leaks_of(
+    words: np.ndarray, segments: Sequence[tuple[int, int, Segment]], excerpt: int, cache: dict
+) -> list[tuple[int, float, int, int]]:
+    """``(item, score, first word, last word)`` of the items that a document holds.
+
+    ``segments`` are ``(number, item, segment)``; several segments of an item may be there.
+    """
     best: dict[int, tuple] = {}
-    for segment, low, high in _passages(words, block, sieve):
-        item, needed = block.segments[segment], block.needed[segment]
+    for i, low, high in passages(words, [s for _, _, s in segments]):
+        number, item, segment = segments[i]
         passage = words[low:high]
-        if MATCH * int(np.isin(item, passage).sum()) < block.least[segment]:
+        if MATCH * int(np.isin(segment.words, passage).sum()) < segment.least:
             continue
-        key = (segment, passage.tobytes())
+        key = (number, passage.tobytes())
         if key not in cache:
             if len(cache) > 2000:
                 cache.clear()
-            cache[key] = _judge(item, passage, needed, block.excerpt)
+            cache[key] = _judge(segment.words, passage, segment.needed, excerpt)
         if cache[key] is not None:
             score, start, end = cache[key]
-            share = score / (MATCH * len(item))
-            found = (-share, low + start, low + end - 1)
-            i = block.item_of[segment]
-            best[i] = min(best.get(i, found), found)
-    return [
-        {"item_id": block.ids[i], "score": -s, "first_word": a, "last_word": b}
-        for i, (s, a, b) in sorted(best.items())
-    ]
+            found = (-score / (MATCH * len(segment.words)), low + start, low + end - 1)
+            best[item] = min(best.get(item, found), found)
+    return [(item, -s, a, b) for item, (s, a, b) in sorted(best.items())]
+
+
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """``item_no, item, segments``: one row per sequence of words, the smallest id of each."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("_text"))
+
+    def make():
+        powers = make_powers()
+
+        def hashed(column: pa.Array):
+            texts = [plain_text(t) for t in column.to_pylist()]
+            return [[words.tobytes() for _, words in words_of_texts(texts, powers)]]
+
+        return hashed
+
+    def cut():
+        def parts(column: pa.Array):
+            words = (np.frombuffer(w, np.uint64) for w in column.to_pylist())
+            return [[[p.tobytes() for p in segments_of(w)] for w in words]]
+
+        return parts
+
+    words = append_columns(items, "_text", "words binary", make).select("item", "words")
+    folded = words.where(F.octet_length("words") > 0).groupBy("words").agg(F.min("item").alias("item"))
+    folded = folded.withColumn("item_no", F.monotonically_increasing_id())
+    return append_columns(folded, "words", "segments array<binary>", cut).drop("words")
+
+
+def segment_seeds(segments: DataFrame, rules: Rules) -> DataFrame:
+    """``s, kind, place, hash, spare``: every seed of every segment."""
+    names = ("kind", "place", "hash", "spare")
+
+    def make():
+        def seeds(column: pa.Array):
+            found = (rules.seeds(np.frombuffer(w, np.uint64)) for w in column.to_pylist())
+            return [[[dict(zip(names, row)) for row in rows] for rows in found]]
+
+        return seeds
+
+    ddl = "seeds array<struct<kind:int,place:int,hash:bigint,spare:int>>"
+    own = append_columns(segments.select("s", "words"), "words", ddl, make)
+    return own.select("s", F.inline("seeds"))
+
+
+def count_ngrams(docs: DataFrame, rules: Rules, kinds: Sequence[int], sieve: np.ndarray) -> DataFrame:
+    """``hash, n``: how often n-grams that may be seeds occur in the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def make():
+        powers, held = make_powers(), []
+
+        def counted():
+            found, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            held.clear()
+            return [found.view(np.int64), n]
+
+        def compute(batch: pa.RecordBatch | None):
+            if batch is None:
+                return counted()
+            texts = [plain_text(t) for t in batch.column(0).to_pylist()]
+            for _, words in words_of_texts(texts, powers):
+                held.append(sifted(rules.hashes(words, kinds), shared.value))
+            return counted() if sum(map(len, held)) > _FLUSH else None
+
+        return compute
+
+    partial = rows_from_texts(docs, ["text"], "hash bigint, n bigint", make)
+    return partial.groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
+    """``hash, s``: seeds that occur, without the most frequent places a segment can spare."""
+    known = splittable_join(seeds, counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    places = known.groupBy("s", "kind", "place").agg(
+        F.sum("n").alias("n"),
+        F.first("spare").alias("spare"),
+        F.collect_set(F.when(F.col("n") > 0, F.col("hash"))).alias("hashes"),
+    )
+    # At most a segment's places, a few hundred rows.
+    order = Window.partitionBy("s", "kind").orderBy(F.desc("n"), "place")
+    kept = places.withColumn("rank", F.row_number().over(order)).where("rank > spare")
+    return kept.select(F.explode("hashes").alias("hash"), "s").distinct()
+
+
+def _with_hits(rows: DataFrame, rules: Rules, kinds: Sequence[int], sieve: np.ndarray) -> DataFrame:
+    """Documents with ``hits``, their n-grams that may be rare seeds."""
+    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+
+    def make():
+        powers = make_powers()
+
+        def search(column: pa.Array):
+            found = [[] for _ in range(len(column))]
+            texts = [plain_text(t) for t in column.to_pylist()]
+            for i, words in words_of_texts(texts, powers):
+                found[i] = np.unique(sifted(rules.hashes(words, kinds), shared.value)).view(np.int64)
+            return [found]
+
+        return search
+
+    return append_columns(rows, "text", "hits array<bigint>", make)
+
+
+def _align_all(work: DataFrame, rules: Rules) -> DataFrame:
+    """``n, item_no, low, first_word, last_word`` from rows of a text and candidate segments.
+
+    ``low`` is the score below zero, so that the smallest row of an item is its best.
+    """
+    def make():
+        powers, cache, known = make_powers(), {}, {}
+
+        def segment(number: int, words: bytes) -> Segment:
+            if number not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[number] = Segment(np.frombuffer(words, np.uint64), rules)
+            return known[number]
+
+        def compute(batch: pa.RecordBatch | None):
+            if batch is None:
+                return None
+            numbers, texts, owners = (c.to_pylist() for c in batch.columns)
+            out = [[], [], [], [], []]
+            for i, words in words_of_texts([plain_text(t) for t in texts], powers):
+                segments = [(o["s"], o["item_no"], segment(o["s"], o["words"])) for o in owners[i]]
+                for item, score, first, last in leaks_of(words, segments, rules.excerpt, cache):
+                    for column, value in zip(out, (numbers[i], item, -score, first, last)):
+                        column.append(value)
+            return out
+
+        return compute
+
+    ddl = "n bigint, item_no bigint, low double, first_word int, last_word int"
+    return rows_from_texts(work, ["n", "text", "owners"], ddl, make)
+
+
+def _search(
+    rows: DataFrame,
+    benchmark: DataFrame,
+    item_col: str,
+    item_text_col: str,
+    rules: Rules,
+    keep_all: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """The staged documents, numbered ``n``, and ``n, item_id, score, first_word, last_word``.
+
+    Without ``keep_all`` only documents with a hit are staged.
+    """
+    items = stage(benchmark_items(benchmark, item_col, item_text_col), "benchmark_items")
+    parts = items.select("item_no", F.explode("segments").alias("words"))
+    segments = stage(parts.withColumn("s", F.monotonically_increasing_id()), "benchmark_segments")
+    seeds = stage(segment_seeds(segments, rules), "benchmark_seeds")
+    kinds = [r["kind"] for r in seeds.select("kind").distinct().collect()]
+    counts = count_ngrams(rows, rules, kinds, build_sieve(seeds))
+    rare = stage(rare_seeds(seeds, counts), "benchmark_rare_seeds")
+
+    marked = _with_hits(rows, rules, kinds, build_sieve(rare))
+    if not keep_all:
+        marked = marked.where(F.size("hits") > 0)
+    marked = stage(marked.withColumn("n", F.monotonically_increasing_id()), "documents_with_hits")
+
+    hits = marked.select("n", F.explode("hits").alias("hash"))
+    candidates = splittable_join(hits, rare, "hash", "inner").select("n", "s").distinct()
+    at = F.row_number().over(Window.partitionBy("n").orderBy("s"))
+    candidates = candidates.withColumn("part", F.floor((at - 1) / PART))
+    owners = splittable_join(candidates, segments, "s", "inner")
+    owners = owners.groupBy("n", "part").agg(F.collect_list(F.struct("s", "item_no", "words")).alias("owners"))
+    work = splittable_join(owners, marked.select("n", "text"), "n", "inner")
+    best = _align_all(work, rules).groupBy("n", "item_no").agg(
+        F.min(F.struct("low", "first_word", "last_word")).alias("best")
+    )
+    found = splittable_join(best, items.select("item_no", F.col("item").alias("item_id")), "item_no", "inner")
+    leaks = found.select("n", "item_id", (-F.col("best.low")).alias("score"), "best.first_word", "best.last_word")
+    return marked, leaks
 
 
 def with_leaks(
@@ -238,60 +467,62 @@ def with_leaks(
     threshold: float = 0.5,
     min_words: int = 5,
     excerpt_words: int = 13,
-    block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """``docs`` with ``leaks``: the items found, with score and word positions.
+    """``docs`` with ``leaks``: the items found, by id, with score and word positions.
 
     An item is found by ``threshold`` of the best score of the whole of it (long items:
-    of a segment), or by a passage worth ``excerpt_words`` words without edits, each
-    edit taking off two words. ``score`` is the share of the best score in both cases.
-    Blocks hold about ``block_bytes`` of item text each.
+    of a segment; items of fewer than ``min_words`` words: of all words in a row), or by
+    a passage worth ``excerpt_words`` words without edits, each edit taking off two
+    words. ``score`` is the share of the best score in all cases.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(
-        F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("item_text")
-    ).where("item_text is not null")
-    total = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes)
-    kind = items.schema["item"].dataType.simpleString()
-    ddl = f"array<struct<item_id:{kind},score:double,first_word:int,last_word:int>>"
-    result = nest(docs, text=text_col).withColumn("leaks", F.array().cast(ddl))
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(n_blocks)) == b).collect()
-        block = Block([r["item"] for r in rows], [r["item_text"] for r in rows], min_words, threshold, excerpt_words)
-        if not len(block.seeds):
-            continue
-        shared = spark.sparkContext.broadcast(block)
-
-        def make(shared=shared):
-            powers, here, cache = make_powers(), shared.value, {}
-            sieve = make_sieve(here.seeds)
-
-            def search(column: pa.Array):
-                found = [[] for _ in range(len(column))]
-                texts = [plain_text(t) for t in column.to_pylist()]
-                for i, words in words_of_texts(texts, powers):
-                    found[i] = leaks_of(words, here, sieve, cache)
-                return [found]
-
-            return search
-
-        more = append_columns(result, "text", f"more {ddl}", make)
-        result = more.withColumn("leaks", F.concat("leaks", "more")).drop("more")
+    rules = Rules(threshold, min_words, excerpt_words)
+    marked, leaks = _search(nest(docs, text=text_col), benchmark, item_col, item_text_col, rules, True)
+    own = F.struct("item_id", "score", "first_word", "last_word")
+    lists = leaks.groupBy("n").agg(F.sort_array(F.collect_list(own)).alias("leaks"))
+    none = F.array().cast(lists.schema["leaks"].dataType)
+    some = marked.where(F.size("hits") > 0).join(lists, "n", "left")
+    rest = marked.where(F.size("hits") == 0)
+    both = some.select("row", F.coalesce("leaks", none).alias("leaks")).unionByName(
+        rest.select("row", none.alias("leaks"))
+    )
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "leaks"]
-    return result.select(*kept, "leaks")
+    return both.select(*kept, "leaks")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    threshold: float = 0.5,
+    min_words: int = 5,
+    excerpt_words: int = 13,
+) -> DataFrame:
     """One row per document and item found in it; clean documents have none."""
-    text_col = options.get("text_col", "text")
-    narrow = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
-    marked = with_leaks(narrow, benchmark, **options)
-    return marked.select(id_col, F.explode("leaks").alias("leak")).select(id_col, "leak.*")
+    rules = Rules(threshold, min_words, excerpt_words)
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked, leaks = _search(narrow, benchmark, item_col, item_text_col, rules, False)
+    found = leaks.join(marked.select("n", "id"), "n")
+    return found.select(F.col("id").alias(id_col), "item_id", "score", "first_word", "last_word")
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_leaked(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    *,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    threshold: float = 0.5,
+    min_words: int = 5,
+    excerpt_words: int = 13,
+) -> DataFrame:
     """The documents that hold no item, unchanged."""
-    text_col = options.pop("text_col", "text")
-    marked = with_leaks(nest(docs, text=text_col), benchmark, **options)
-    return marked.where(F.size("leaks") == 0).select("row.*")
+    rules = Rules(threshold, min_words, excerpt_words)
+    marked, leaks = _search(nest(docs, text=text_col), benchmark, item_col, item_text_col, rules, True)
+    some = marked.where(F.size("hits") > 0).join(leaks.select("n").distinct(), "n", "left_anti")
+    rest = marked.where(F.size("hits") == 0)
+    return some.select("row.*").unionByName(rest.select("row.*"))
