@@ -172,8 +172,8 @@ def segments_of(words: np.ndarray) -> list[np.ndarray]:
 
 
 def build_sieve(seeds: DataFrame) -> np.ndarray:
-    """Bit table over the leading bits of ``hash``, some 64 places per seed up to its limit."""
-    bits = min(max(16, seeds.count().bit_length() + 6), MAX_BITS)
+    """Bit table over the leading bits of ``hash``, some 1024 places per seed up to its limit."""
+    bits = min(max(16, seeds.count().bit_length() + 10), MAX_BITS)
     slot = F.shiftrightunsigned("hash", 64 - bits)
     filled = (
         seeds.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
