@@ -95,3 +95,15 @@ def test_features_by_the_book(spark):
     assert math.isclose(f["entropy"], -sum(s * math.log2(s) for s in share))
     assert (f["depth"], f["labels"], f["parameters"], f["dashes"]) == (2.0, 3.0, 2.0, 2.0)
     assert math.isclose(f["digit_ratio"], 4 / len(url))
+
+
+def test_a_hot_url_does_not_fill_the_training_sample(spark):
+    rows = [(f"http://h{i}.net/{'x1' * 9 if i % 2 else 'about'}", i % 2) for i in range(60)]
+    labels = spark.createDataFrame(rows + [rows[0]] * 900 + [("http://c.net/", 0), ("http://c.net/", 1)], "url string, label int")
+    named = labels.selectExpr("url _url", "cast(label as double) label")
+    sample = urlfilter.training_sample(named, 21).collect()
+    assert len(set(sample)) == len(sample) == 21 and sum(r["label"] for r in sample) == 11
+    assert urlfilter.training_sample(named, 1000).count() == 62
+    pages = spark.createDataFrame([(i, u, None) for i, (u, _) in enumerate(rows)], PAGES)
+    judged = urlfilter.judge_urls(pages, (), labels=labels, trees=5, max_training_rows=40)
+    assert judged.where((F.col("verdict") == "block") == (F.col("page_id") % 2 == 1)).count() == 60

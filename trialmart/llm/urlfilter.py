@@ -5,7 +5,9 @@ lengths, depth, digit ratio, entropy, parameters, and how often labelled URLs wi
 same endings (last host labels, file suffix, first path segment) were blocked. The
 endings are hashed into a fixed number of slots, so their statistics stay small
 whatever the crawl; they are counted over all labelled URLs. The trees are fitted on
-at most ``max_training_rows`` labelled URLs, those with the smallest hashes.
+at most ``max_training_rows`` labelled URLs: of each label half as many different ones,
+those with the smallest hashes, so that no repeated URL and no frequent label fills the
+sample. Hosts that no rule decides are judged by what the labelled URLs have taught.
 
 A null URL or one without ``://`` has an empty host and path, so no rule fits and the
 trees judge it. Without labelled URLs all are allowed; with one kind of label that
@@ -134,6 +136,16 @@ def _with_statistics(df: DataFrame, statistics: DataFrame) -> DataFrame:
     return df
 
 
+def training_sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """Of each label the ``rows / 2`` different URLs with the smallest hashes."""
+    different = labelled.distinct()
+    halves = [
+        different.where(F.col("label") == label).orderBy(F.xxhash64("_url"), "_url").limit(n)
+        for label, n in ((0.0, rows // 2), (1.0, rows - rows // 2))
+    ]
+    return halves[0].unionByName(halves[1])
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
@@ -165,7 +177,7 @@ def judge_urls(
         labelled = labelled.unionByName(given.where("label is not null"))
     featured = with_features(labelled)
     statistics = stage(ending_statistics(featured), "url_statistics")
-    sample = featured.orderBy(F.xxhash64("_url"), "_url", "label").limit(max_training_rows)
+    sample = with_features(training_sample(labelled, max_training_rows))
     inputs = [*LEXICAL, *ENDINGS]
     training = stage(_with_statistics(sample, statistics).select("label", *inputs), "url_training")
     kinds = [r["label"] for r in training.select("label").distinct().collect()]
