@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialmart.llm import decontaminate, langid, ngram_join, packing, pii
-from trialmart.llm.frames import nest, table
+from trialmart.llm.frames import named_as, renamed, table
 from trialmart.sources.storage import drop_folders, folders_made, stage
 
 MIN_SHARE = 0.5
@@ -45,8 +45,9 @@ def _dropping_earlier(function):
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language, or of which none holds half."""
     known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SHARE)
-    rows = nest(docs, doc_id="doc_id", text="text", lang="lang")
-    return langid.identify(rows).where(known).select("row.*")
+    at = {c: f"_{docs.columns.index(c)}" for c in ("doc_id", "text", "lang")}
+    found = langid.identify(renamed(docs), at["doc_id"], at["text"], at["lang"])
+    return named_as(found.where(known), docs)
 
 
 @_dropping_earlier

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from trialmart.llm import catalog, langid
+from trialmart.llm import catalog, frames, langid
 
 SYLLABLES = {"aa": ["ba", "bo", "mi"], "bb": ["krz", "pst", "wod"], "cc": ["ñan", "yül", "ça"]}
 
@@ -93,3 +95,27 @@ def test_more_than_four_languages(spark):
     text = "\n".join(words(lang, 40) for lang in names)
     mix = dict(p.split(":") for p in predictions(spark, known, [(1, text, None)])[1]["lang_mix"].split(","))
     assert set(mix) == set(names) and all(abs(float(s) - 1 / 7) < 0.02 for s in mix.values())
+
+
+def test_memory_does_not_grow_with_the_batch():
+    rng = random.Random(9)
+    texts = pa.array([text_of(rng, lang, 150) for lang in SYLLABLES for _ in range(800)])
+    model = np.log(np.random.default_rng(1).random((langid.BUCKETS, 3))).astype(np.float32)
+    label = langid.labeller(sorted(SYLLABLES), model)
+    tracemalloc.start()
+    one = label(texts.slice(0, 100))
+    tracemalloc.reset_peak()
+    every = label(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(every[0]) == len(texts) and [x[:100] for x in every] == list(one)
+    assert peak < 24 << 20
+
+
+def test_input_is_sent_once(spark):
+    df = spark.createDataFrame([("a b", 1), (None, 2)], "text string, k int")
+    widths = frames.append_columns(df, "text", "n long", lambda: lambda column: [[len(x or "") for x in column.to_pylist()]])
+    assert [tuple(r) for r in widths.collect()] == [("a b", 1, 3), (None, 2, 0)]
+    over = frames.append_columns(df, "text", "text long", lambda: lambda column: [[len(x or "") for x in column.to_pylist()]])
+    assert [tuple(r) for r in over.collect()] == [(1, 3), (2, 0)]
+    assert "_input" not in widths._jdf.queryExecution().analyzed().toString()

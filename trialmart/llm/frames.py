@@ -24,6 +24,16 @@ def nest(df: DataFrame, **named: str) -> DataFrame:
     return df.select(whole, *[F.col(f"`{c}`").alias(name) for name, c in named.items()])
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """The columns as ``_0``, ``_1`` and so on, which meet no helper columns; for ``named_as``."""
+    return df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(df.columns)])
+
+
+def named_as(df: DataFrame, model: DataFrame) -> DataFrame:
+    """The columns that ``renamed`` made of those of ``model``, under their own names."""
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(model.columns)])
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -43,27 +53,27 @@ def append_columns(
 
     ``make`` runs once in each task and returns the function from a column to the
     new columns. Columns of the same names are replaced; all others pass
-    unchanged, whatever their types.
+    unchanged, whatever their types. The input goes to the tasks' Python once.
     """
     new = schema_of(ddl)
     kept = [f for f in df.schema if f.name not in new.names]
-    source = df.select(
-        *[F.col(f"`{f.name}`") for f in kept], F.col(f"`{input_col}`").alias("_input")
-    )
-    arrow = to_arrow_schema(new)
+    sent = [F.col(f"`{f.name}`") for f in kept]
+    if input_col in new.names:
+        sent.append(F.col(f"`{input_col}`").alias("_input"))
+    at = next((i for i, f in enumerate(kept) if f.name == input_col), len(kept))
+    width, arrow = len(kept), to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            at = batch.num_columns - 1
             values = compute(batch.column(at))
-            arrays = batch.columns[:at] + [
+            arrays = batch.columns[:width] + [
                 pa.array(v, type=f.type) for v, f in zip(values, arrow)
             ]
-            names = batch.schema.names[:at] + arrow.names
+            names = batch.schema.names[:width] + arrow.names
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return source.mapInArrow(run, T.StructType(kept + new.fields))
+    return df.select(*sent).mapInArrow(run, T.StructType(kept + new.fields))
 
 
 def rows_from_texts(

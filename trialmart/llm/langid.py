@@ -27,6 +27,8 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.05
 MAX_LANGUAGES = 512
 _PIECE = 1 << 20
+_GROUP = 1 << 17  # characters that are looked at together, a longer text apart
+_TEXTS = 500
 _FLOOR = -30.0  # no single word counts for more than this
 _TURNS = 12
 
@@ -88,13 +90,17 @@ def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     buckets += used.tolist()
                     numbers += total[used].tolist()
                 return langs, buckets, numbers
-            by_lang: dict[str, list[str]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for piece in _pieces("\n".join(texts).lower()):
-                    total += np.bincount(trigrams(piece, letters)[0], minlength=BUCKETS)
+            for start in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(start, _TEXTS)
+                by_lang: dict[str, list[str]] = {}
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, texts in by_lang.items():
+                    total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    for group in _groups(texts):
+                        for piece in _pieces("\n".join(texts[i] for i in group).lower()):
+                            total += np.bincount(trigrams(piece, letters)[0], minlength=BUCKETS)
+            pa.default_memory_pool().release_unused()
             return None
 
         return count
@@ -208,41 +214,58 @@ def predict(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        letters, table = letter_table(), shared.value
-
-        def label(column: pa.Array):
-            texts = [(t or "").lower() for t in column.to_pylist()]
-            pred, score, mix = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
-            for group in _groups(texts) if langs else ():
-                joined = "\n".join(texts[i] for i in group)
-                rows, places = word_likelihoods(joined, table, letters)
-                ends = np.cumsum([len(texts[i]) + 1 for i in group])
-                bounds = np.searchsorted(places, ends)
-                full = np.flatnonzero(np.diff(bounds, prepend=0))
-                if not len(full):
-                    continue
-                starts = np.concatenate([[0], bounds[:-1]])[full]
-                sets, shares = mixtures(rows.astype(np.float64), starts, penalty, max_set)
-                for j, which in enumerate(full):
-                    found = [
-                        (-round(float(s), 6), langs[l]) for l, s in zip(sets[j], shares[j]) if l >= 0
-                    ]
-                    found.sort()
-                    i = group[which]
-                    pred[i], score[i] = found[0][1], min(1.0, -found[0][0])
-                    mix[i] = ",".join(f"{name}:{-s:.3f}" for s, name in found)
-            return pred, score, mix
-
-        return label
+        return labeller(langs, shared.value, penalty, max_set)
 
     return append_columns(docs, text_col, "lang_pred string, score double, lang_mix string", make)
 
 
+def labeller(langs: list[str], table: np.ndarray, penalty: float = 2.0, max_set: int | None = None):
+    """Function from a column of texts to prediction, score and mixture of each.
+
+    Few texts are looked at together, so what it needs does not grow with the batch; a
+    Python worker goes on to other tasks with the memory it holds.
+    """
+    letters = letter_table()
+
+    def label(column: pa.Array):
+        pred, score, mix = [], [], []
+        for start in range(0, len(column), _TEXTS):
+            texts = [(t or "").lower() for t in column.slice(start, _TEXTS).to_pylist()]
+            for values, found in zip((pred, score, mix), label_texts(texts)):
+                values += found
+        pa.default_memory_pool().release_unused()
+        return pred, score, mix
+
+    def label_texts(texts: list[str]):
+        pred, score, mix = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
+        for group in _groups(texts) if langs else ():
+            joined = "\n".join(texts[i] for i in group)
+            rows, places = word_likelihoods(joined, table, letters)
+            ends = np.cumsum([len(texts[i]) + 1 for i in group])
+            bounds = np.searchsorted(places, ends)
+            full = np.flatnonzero(np.diff(bounds, prepend=0))
+            if not len(full):
+                continue
+            starts = np.concatenate([[0], bounds[:-1]])[full]
+            sets, shares = mixtures(rows.astype(np.float64), starts, penalty, max_set)
+            for j, which in enumerate(full):
+                found = [
+                    (-round(float(s), 6), langs[l]) for l, s in zip(sets[j], shares[j]) if l >= 0
+                ]
+                found.sort()
+                i = group[which]
+                pred[i], score[i] = found[0][1], min(1.0, -found[0][0])
+                mix[i] = ",".join(f"{name}:{-s:.3f}" for s, name in found)
+        return pred, score, mix
+
+    return label
+
+
 def _groups(texts: list[str]) -> Iterator[list[int]]:
-    """Texts to be handled together: about a piece of characters at a time."""
+    """Texts to be handled together: some characters at a time."""
     group, size = [], 0
     for i, text in enumerate(texts):
-        if group and size + len(text) > _PIECE:
+        if group and size + len(text) > _GROUP:
             yield group
             group, size = [], 0
         group.append(i)
