@@ -115,3 +115,31 @@ def test_word_hashes_do_not_depend_on_pieces():
     hashes = hash_long_text(text, powers)
     assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
     assert all(int(hashes[i]) == alone[words[i]] for i in range(2000))
+
+
+def test_components_by_tasks_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 3000, (1500, 2))] + [(i, i + 1) for i in range(5000, 5400)]
+    root = {v: v for link in links for v in link}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {v: find(v) for v in root}
+    table = spark.createDataFrame(links, "a long, b long").repartition(7)
+    pairs = table.selectExpr("struct(a as n, -a as v) as a", "struct(b as n, -b as v) as b")
+    jobs = spark.sparkContext.statusTracker()
+    for size in (10_000, 300):
+        monkeypatch.setattr("trialmart.llm.components.LINKS", size)
+        spark.sparkContext.setJobGroup(f"components-{size}", "")
+        found = components(pairs, "a", "b")
+        rows = found.collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r["vertex"]["n"]: r["label"]["n"] for r in rows} == want and len(rows) == len(want)
+    # A chain that one task holds takes no rounds.
+    assert len(jobs.getJobIdsForGroup("components-10000")) <= 6

@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHUNK_BYTES = 32 << 20
 PIECE = 1 << 20
 BEFORE = 1 << 15
+_FEW_TASKS = 64
 # A member's first access point is its gzip header; others begin inside the stream.
 MEMBER_START = -1
 
@@ -58,6 +59,12 @@ def spread(rows: DataFrame, at_most: int = 20_000) -> DataFrame:
     return rows.repartition(max(1, min(rows.count(), at_most)))
 
 
+def spread_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks ``(start, end)`` dealt out: one to a task while tasks are few, then ``CHUNK_BYTES`` of them."""
+    n, size = chunks.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    return chunks.repartition(max(1, min(n, max(_FEW_TASKS, (size or 0) // CHUNK_BYTES))))
+
+
 def plain_chunks(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Byte ranges of uncompressed files ``(path, size)``; an empty file has none."""
     step = F.lit(chunk_bytes).cast("long")
@@ -81,15 +88,17 @@ def shifted(data: np.ndarray, bits: int) -> bytes:
 class PlainChunk:
     """Bytes of an uncompressed file from ``start`` on."""
 
-    def __init__(self, path: str, start: int):
+    def __init__(self, path: str, start: int, end: int):
         store, name = locate(path)
         self._file = store.open_input_file(name)
+        self._left = end - start
         begin = max(0, start - BEFORE)
         self._file.seek(begin)
         self.before = self._file.read(start - begin)
 
     def pieces(self) -> Iterator[bytes]:
-        while piece := self._file.read(PIECE):
+        while piece := self._file.read(min(PIECE, self._left if self._left > 0 else 2 * BEFORE)):
+            self._left -= len(piece)
             yield piece
 
     def close(self) -> None:
@@ -105,6 +114,9 @@ class GzipChunk:
     def __init__(self, path: str, row: dict):
         store, name = locate(path)
         self._path, self._row = path, row
+        # No more than a short chunk needs is read and decompressed at once.
+        size = row["end"] - row["start"]
+        self._block, self._given = min(PIECE, max(BEFORE, size // 8)), min(4 * PIECE, max(BEFORE, size // 2))
         self._file = store.open_input_file(name)
         self.before = bytes(row["window"] or b"")
 
@@ -130,18 +142,18 @@ class GzipChunk:
         if row["at_bit"] != MEMBER_START:
             yield from self._rest_of_member(row["at_bit"])
             self._file.seek(row["member_end"])
-        yield from members(self._file)
+        yield from members(self._file, self._block, self._given)
 
     def _rest_of_member(self, bits: int) -> Iterator[bytes]:
         inflate = zlib.decompressobj(-15, zdict=self.before)
         rest = b""
-        while block := self._file.read(PIECE):
+        while block := self._file.read(self._block):
             data = np.frombuffer(rest + block, np.uint8)
             rest = (rest + block)[-1:] if bits else b""
-            yield from _bounded(inflate, shifted(data, bits))
+            yield from _bounded(inflate, shifted(data, bits), self._given)
             if inflate.eof:
                 return
-        yield from _bounded(inflate, bytes([rest[0] >> bits]) if rest else b"")
+        yield from _bounded(inflate, bytes([rest[0] >> bits]) if rest else b"", self._given)
         if not inflate.eof:
             raise EOFError(f"{self._path} ends inside a gzip member")
 
@@ -149,40 +161,40 @@ class GzipChunk:
         self._file.close()
 
 
-def _bounded(inflate, data: bytes) -> Iterator[bytes]:
+def _bounded(inflate, data: bytes, given: int) -> Iterator[bytes]:
     """Decompressed data in pieces of limited size, whatever the ratio."""
     while data or inflate.unconsumed_tail:
-        piece = inflate.decompress(data or inflate.unconsumed_tail, 4 * PIECE)
+        piece = inflate.decompress(data or inflate.unconsumed_tail, given)
         data = inflate.unconsumed_tail
         if piece:
             yield piece
         if inflate.eof or (not piece and not data):
             return
-    while not inflate.eof and (piece := inflate.decompress(b"", 4 * PIECE)):
+    while not inflate.eof and (piece := inflate.decompress(b"", given)):
         yield piece
 
 
-def members(file) -> Iterator[bytes]:
+def members(file, block: int = PIECE, given: int = 4 * PIECE) -> Iterator[bytes]:
     """Decompressed bytes of all gzip members from the file's position on."""
     rest = b""
     while True:
         while not rest.strip(b"\0"):  # the next member, or padding up to the end
-            if not (rest := file.read(PIECE)):
+            if not (rest := file.read(block)):
                 return
         rest = rest.lstrip(b"\0")
         inflate = zlib.decompressobj(31)
         while True:
-            yield from _bounded(inflate, rest)
+            yield from _bounded(inflate, rest, given)
             if inflate.eof:
                 rest = inflate.unused_data
                 break
-            if not (rest := file.read(PIECE)):
+            if not (rest := file.read(block)):
                 raise EOFError("a gzip member has no end")
 
 
 def open_chunk(row: dict) -> PlainChunk | GzipChunk:
     if row["at_byte"] is None:
-        return PlainChunk(row["path"], row["start"])
+        return PlainChunk(row["path"], row["start"], row["end"])
     return GzipChunk(row["path"], row)
 
 

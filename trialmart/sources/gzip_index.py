@@ -39,6 +39,7 @@ from .byte_access import (
     plain_chunks,
     shifted,
     spread,
+    spread_chunks,
 )
 from .storage import stage
 
@@ -47,6 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _STEP = 1 << 16
 _AHEAD = 1 << 18
 _PROOF = 1 << 13
+_TRIED = 1 << 17
+_LOOK = 1 << 15
 # Deflate: 3 bits of block header, three counts, then 3 bits for each code length.
 _COUNTS_AT, _LENGTHS_AT, _MAX_LENGTHS = 3, 17, 19
 
@@ -75,12 +78,20 @@ def block_starts(data: np.ndarray) -> np.ndarray:
     return at[room == 128]
 
 
+def _starts_in(ahead: np.ndarray) -> Iterator[int]:
+    """The same for a long stretch, a part at a time: mostly the first part has one."""
+    header = (_LENGTHS_AT + 3 * _MAX_LENGTHS + 3 + 7) // 8
+    for begin in range(0, len(ahead), _LOOK):
+        found = block_starts(ahead[begin : begin + _LOOK + header])
+        yield from (8 * begin + found[found < 8 * _LOOK]).tolist()
+
+
 def _enter(ahead: np.ndarray, inflate, tail: bytes) -> tuple[int, bytes, bytes] | None:
     """First place in ``ahead`` where a block begins: bit, bytes up to it, 32 KB before it.
 
     ``inflate`` has read all before ``ahead``, ``tail`` is the end of what it gave.
     """
-    for bit in block_starts(ahead).tolist():
+    for bit in _starts_in(ahead):
         if not bit:
             continue
         byte = (bit - 1) // 8 + 1  # up to the last bit of the block before
@@ -96,10 +107,10 @@ def _enter(ahead: np.ndarray, inflate, tail: bytes) -> tuple[int, bytes, bytes]
         if true.eof:
             return None
         window = (tail + passed)[-BEFORE:]
-        after = true.decompress(ahead[byte:].tobytes())
+        after = true.decompress(ahead[byte:].tobytes(), _TRIED)
         guess = zlib.decompressobj(-15, zdict=window)
         try:
-            tried = guess.decompress(shifted(rest, bit % 8))
+            tried = guess.decompress(shifted(rest, bit % 8), _TRIED)
         except zlib.error:
             continue
         proof = min(len(tried), len(after))
@@ -272,7 +283,7 @@ def read_lines(
                     )
                 stream.close()
 
-    return spread(planned).mapInArrow(run, "path string, offset long, value string")
+    return spread_chunks(planned).mapInArrow(run, "path string, offset long, value string")
 
 
 def lines_of(

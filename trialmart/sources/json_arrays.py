@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .byte_access import CHUNK_BYTES, open_chunk, spread
+from .byte_access import CHUNK_BYTES, open_chunk, spread_chunks
 from .gzip_index import chunks
 from .storage import stage
 
@@ -170,7 +170,7 @@ def array_elements(
 
     names = ("path", "chunk", "quoted", "outside", "inside")
     found = stage(
-        spread(planned).mapInArrow(summaries, "path string, chunk long, quoted long, outside long, inside long"),
+        spread_chunks(planned).mapInArrow(summaries, "path string, chunk long, quoted long, outside long, inside long"),
         "json_summaries",
     )
     # How many chunks a file has is bounded by its size, and a row is five numbers.
@@ -198,7 +198,7 @@ def array_elements(
                 if texts:
                     yield made()
 
-    return spread(planned.join(begun, ["path", "chunk"])).mapInArrow(cut, "path string, value string")
+    return spread_chunks(planned.join(begun, ["path", "chunk"])).mapInArrow(cut, "path string, value string")
 
 
 def read_json_array(
