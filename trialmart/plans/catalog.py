@@ -63,15 +63,27 @@ _SMALL_CHUNKS = 1 << 18
 _SOURCES = ("orders", "lineitem", "customer", "supplier")
 
 
+def _files(spark: SparkSession, sf_dir: str, name: str) -> list[tuple[str, int, int]]:
+    """Names, sizes and times of the files of a table."""
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    found = path.getFileSystem(conf).listStatus(path)
+    return [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+
+
 def _state(spark: SparkSession, sf_dir: str) -> int:
     """Names, sizes and times of the source files; another value once they change."""
-    jvm, found = spark.sparkContext._jvm, []
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for name in _SOURCES:
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        for f in path.getFileSystem(conf).listStatus(path):
-            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return hash(tuple(sorted(found)))
+    return hash(tuple(sorted(f for name in _SOURCES for f in _files(spark, sf_dir, name))))
+
+
+_PARQUET_BYTES = 4 << 20
+
+
+def _parts(spark: SparkSession, sf_dir: str, name: str, least: int) -> int:
+    """How many tasks write the raw rows of a table: more of them as its files grow."""
+    size = sum(f[1] for f in _files(spark, sf_dir, name))
+    return max(least, -(-size // _PARQUET_BYTES))
 
 
 def _staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -219,7 +231,7 @@ def orders_from_json_shards(spark, sf_dir):
 def orders_from_json_array(spark, sf_dir):
     """Raw orders written as JSON arrays, read back in chunks (SRC3)."""
     path = _raw_folder(spark, sf_dir, "orders_array")
-    sinks.write_json_arrays(raw_tables(spark, sf_dir).orders, path, 2)
+    sinks.write_json_arrays(raw_tables(spark, sf_dir).orders, path, _parts(spark, sf_dir, "orders", 2))
     back = readers.read_orders_json(spark, path, json_array=True, chunk_bytes=_SMALL_CHUNKS)
     return back.select(*_RAW_ORDER_TEXT)
 
@@ -228,7 +240,7 @@ def orders_from_json_array(spark, sf_dir):
 def orders_from_gzip_array(spark, sf_dir):
     """The same from gzip files, entered at the places of their index (SRC3, SRC12)."""
     path = _raw_folder(spark, sf_dir, "orders_array_gz")
-    sinks.write_json_arrays(raw_tables(spark, sf_dir).orders, path, 2, "gzip")
+    sinks.write_json_arrays(raw_tables(spark, sf_dir).orders, path, _parts(spark, sf_dir, "orders", 2), "gzip")
     back = readers.read_orders_json(
         spark, path, json_array=True, index_dir=_raw_folder(spark, sf_dir, "index"),
         chunk_bytes=_SMALL_CHUNKS,
@@ -240,7 +252,8 @@ def orders_from_gzip_array(spark, sf_dir):
 def orders_from_gzip_lines(spark, sf_dir):
     """Raw orders as gzip JSON lines, each file read by many tasks (SRC12, SRC2)."""
     path = _raw_folder(spark, sf_dir, "orders_gz")
-    raw_tables(spark, sf_dir).orders.repartition(2).write.option("compression", "gzip").json(path)
+    rows = raw_tables(spark, sf_dir).orders.repartition(_parts(spark, sf_dir, "orders", 2))
+    rows.write.option("compression", "gzip").json(path)
     lines = gzip_index.read_lines(
         spark, path, index_dir=_raw_folder(spark, sf_dir, "index"), chunk_bytes=_SMALL_CHUNKS
     )
@@ -281,8 +294,9 @@ def raw_manifest(spark, sf_dir):
     """Files, whole ones and lines of each kind of raw file, read to the end (SRC8, SRC9)."""
     raw = raw_tables(spark, sf_dir)
     path = _raw_folder(spark, sf_dir, "raw")
-    raw.orders.repartition(3).write.option("compression", "gzip").json(f"{path}/orders")
-    raw.consumers.repartition(2).write.option("compression", "gzip").csv(f"{path}/consumers")
+    for name, table, n, kind in (("orders", "orders", 3, "json"), ("consumers", "customer", 2, "csv")):
+        names = [f"part-{i}.{kind}.gz" for i in range(n)]
+        sinks.write_gzip_files(getattr(raw, name), f"{path}/{name}", names, kind, _parts(spark, sf_dir, table, n))
     raw.abmap.repartition(2).write.csv(f"{path}/abmap")
     found = manifest.file_manifest(spark, path).withColumn("raw", F.element_at(F.split("path", "/"), -2))
     return found.groupBy("raw", "kind").agg(
@@ -290,21 +304,14 @@ def raw_manifest(spark, sf_dir):
     )
 
 
-def _single_file(spark, df: DataFrame, folder: str, name: str, kind: str) -> None:
-    """Rows as the one file that the raw folder is to have."""
-    part = f"{folder}/_{name}"
-    getattr(df.repartition(1).write.option("compression", "gzip").option("header", True), kind)(part)
-    store, top = locate(folder)
-    files = store.get_file_info(fs.FileSelector(f"{top}/_{name}"))
-    store.move(next(f.path for f in files if f.base_name.startswith("part-")), f"{top}/{name}")
-
-
 def raw_folder(spark: SparkSession, sf_dir: str) -> str:
     """A raw folder as the loader expects it, from the tables at hand."""
     raw, path = raw_tables(spark, sf_dir), _raw_folder(spark, sf_dir, "raw")
-    _single_file(spark, raw.orders, path, REQUIRED_FILES["orders"], "json")
-    _single_file(spark, raw.consumers, path, REQUIRED_FILES["consumers"], "csv")
-    _single_file(spark, raw.restaurants, path, REQUIRED_FILES["restaurants"], "csv")
+    for name, table, kind in (("orders", "orders", "json"), ("consumers", "customer", "csv"), ("restaurants", "supplier", "csv")):
+        parts = _parts(spark, sf_dir, table, 1)
+        sinks.write_gzip_files(
+            getattr(raw, name), path, [REQUIRED_FILES[name]], kind, parts, header=kind == "csv"
+        )
     maps = f"{path}/{EXTRACTED_AB_DIR}"
     raw.abmap.repartition(4).write.option("header", True).csv(maps)
     sinks.write_tar_csv(raw.abmap, f"{path}/_tar", 1, compression="gz")

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,7 +25,7 @@ from ..functions.fixed_values import (
     REQUIRED_FILES,
     SHARDED_ORDERS_DIR,
 )
-from . import json_arrays
+from . import gzip_index, json_arrays
 from .archives import is_finished
 from .byte_access import CHUNK_BYTES, locate, spread
 from .files import _join, list_files, preflight, sniff_orders_format
@@ -57,7 +57,8 @@ def read_orders_json(
 
     Without ``extra_fields`` the names of all columns are looked up in the files;
     with it, exactly those are read next to the known ones and no pass is needed.
-    Arrays are split over tasks; ``index_dir`` keeps the index of gzip ones.
+    Arrays are split over tasks, and so are the lines of one gzip file; ``index_dir`` keeps
+    the index of gzip ones.
     """
     if json_array:
         found = json_arrays.array_elements(spark, path, index_dir=index_dir, chunk_bytes=chunk_bytes)
@@ -66,10 +67,23 @@ def read_orders_json(
             extra_fields = json_arrays.keys_of(found)
         row = F.from_json("value", schema or orders_schema(extra_fields or ()))
         return found.select(row.alias("row")).select("row.*")
+    lines = None
+    if isinstance(path, str) and path.endswith(".gz"):
+        lines = gzip_index.read_lines(spark, path, index_dir=index_dir, chunk_bytes=chunk_bytes)
     if schema is None and extra_fields is None:
-        found = spark.read.option("primitivesAsString", True).json(path).columns
+        found = _json(spark.read.option("primitivesAsString", True), path, lines).columns
         extra_fields = [c for c in found if c != "_corrupt_record"]
-    return spark.read.schema(schema or orders_schema(extra_fields or ())).json(path)
+    return _json(spark.read.schema(schema or orders_schema(extra_fields or ())), path, lines)
+
+
+def _json(reader: DataFrameReader, path: str | Sequence[str], lines: DataFrame | None) -> DataFrame:
+    """What the reader makes of JSON files, or of their ``lines``; Python's reader takes no table of them."""
+    if lines is None:
+        return reader.json(path)
+    text = F.when(F.col("offset") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    texts, spark = lines.select(text.alias("value")), lines.sparkSession
+    encoder = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(reader._jreader.json(getattr(texts._jdf, "as")(encoder)), spark)
 
 
 def read_csv(

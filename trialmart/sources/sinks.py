@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import gzip
 import io
 import sys
 import tarfile
@@ -10,11 +11,12 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_access import locate
+from .byte_access import PIECE, locate, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,6 +46,73 @@ def write_json_arrays(df: DataFrame, path: str, parts: int, compression: str | N
     writer.text(path)
 
 
+def write_gzip_files(
+    df: DataFrame, folder: str, names: Sequence[str], kind: str, parts: int, *, header: bool = False
+) -> None:
+    """Rows as gzip files of the given names, ``json`` lines or ``csv``, written by ``parts`` tasks.
+
+    What the tasks write are gzip members, and a file is several of them one after the
+    other. Where the store is a mounted folder each is copied to its place by a task of its
+    own; other stores only take a file from its start to its end, so there a file is one
+    task's, which holds some bytes at a time.
+    """
+    top = folder.rstrip("/")
+    made = f"{top}/_parts-{uuid.uuid4().hex}"
+    getattr(df.repartition(parts).write.option("compression", "gzip"), kind)(made)
+    store, base = locate(top)
+    _, below = locate(made)
+    found = sorted((f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(below)))
+    found = [(f"{made}/{name}", size) for name, size in found if name.startswith("part-") and size]
+    record = io.StringIO()
+    csv.writer(record, lineterminator="\n").writerow(df.columns)
+    first = gzip.compress(record.getvalue().encode() if header else b"")
+    copies: list[tuple[str, str, int]] = []
+    for number, name in enumerate(names):
+        own = found[number :: len(names)]
+        begin = len(first) if header or not own else 0
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(first[:begin])
+        for path, size in own:
+            copies.append((f"{top}/{name}", path, begin))
+            begin += size
+    if copies:
+        _put_together(df.sparkSession.createDataFrame(copies, "file string, part string, begin long"), store, first if header else b"")
+    store.delete_dir(below)
+
+
+def _put_together(copies: DataFrame, store: fs.FileSystem, first: bytes) -> None:
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open(locate(row["file"])[1], "r+b") as out:
+                    out.seek(row["begin"])
+                    _copy(row["part"], out)
+                yield pa.RecordBatch.from_pydict({"file": [row["file"]]})
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, name = locate(row["file"])
+                with own.open_output_stream(name, compression=None) as out:
+                    out.write(first)
+                    for part in row["parts"]:
+                        _copy(part["part"], out)
+                yield pa.RecordBatch.from_pydict({"file": [row["file"]]})
+
+    if isinstance(store, fs.LocalFileSystem):
+        spread(copies).mapInArrow(copied, "file string").collect()
+    else:
+        parts = F.sort_array(F.collect_list(F.struct("begin", "part"))).alias("parts")
+        spread(copies.groupBy("file").agg(parts)).mapInArrow(streamed, "file string").collect()
+
+
+def _copy(path: str, out) -> None:
+    store, name = locate(path)
+    with store.open_input_stream(name, compression=None) as file:
+        while piece := file.read(PIECE):
+            out.write(piece)
+
+
 def write_tar_csv(
     df: DataFrame, path: str, parts: int, *, rows_per_member: int = 100_000, compression: str | None = None
 ) -> None:
