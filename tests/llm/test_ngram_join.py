@@ -10,6 +10,7 @@ import pytest
 from .helpers import documents, sentence, shingle_components
 from trialmart.llm import ngram_join, signature_tree
 from trialmart.llm.components import components
+from trialmart.sources.storage import folders_made
 from trialmart.llm.words import hash_long_text, make_powers, words_of_texts
 
 
@@ -97,6 +98,31 @@ def test_traversal_loses_no_similar_pair():
     assert not list(signature_tree.dual_traversal(same, None, 3, 4))
 
 
+def test_tables_hold_only_sets_that_may_be_similar(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(sentence(rng, 400))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " end") for i in range(5)]
+    with folders_made() as made:
+        found = ngram_join.similar_components(documents(spark, rows).repartition(3)).collect()
+    want = {i: (396, i) for i in range(300)} | {300 + i: (397, i) for i in range(5)}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+    held = [spark.read.parquet(p) for p in made]
+    sets = [t for t in held if "shingles" in t.columns]
+    assert sets and all(t.where("shingles is not null").count() <= 30 for t in sets)
+
+
+def test_a_pair_meets_where_the_smaller_set_leads(spark):
+    # Sizes 30 and 40, all 30 common: a share of exactly 3 / 4, whichever words are rare.
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        words = sentence(rng, 44)
+        cut = rng.randint(0, 10)
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[cut : cut + 34])), (3 * k + 2, " ".join(words[cut : cut + 33]))]
+    found = ngram_join.similar_components(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == shingle_components(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 200)]
     found = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()

@@ -1,10 +1,11 @@
 """Exact join of documents whose word shingle sets have Jaccard 0.75 or more.
 
-1. Every text becomes a set of shingle hashes, once: the sets are written and all that
-   follows reads them. Documents with equal sets are one *class*, so copies meet
-   nothing twice.
+1. Every text becomes a set of shingle hashes. Documents with equal sets are one
+   *class*, so copies meet nothing twice. Sets take more room than the texts, so they are
+   made again where they are used; only those of classes with a block are written.
 2. Classes that can be similar share one of their rarest shingles (the prefix of the
-   set in a global order by rough frequency, from a counting sketch of fixed size).
+   set in a global order by rough frequency, from a counting sketch of fixed size); the
+   smaller one of a pair has it in the shorter prefix that larger sets leave.
    Classes with a common prefix shingle form a block; shingles that lie alone are
    dropped, and blocks of the same classes are one. The sketch shows which shingles may
    be too frequent for one task; their rows are dealt out and counted for real.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import splittable_join
-from ..sources.storage import stage
+from ..sources.storage import drop_folders, folders_made, stage
 from .components import components
 from .frames import append_columns, nest, rows_from_texts, schema_of, utf8
 from .signature_tree import BITMAP_BITS, bitmap, bitmap_size, build, dual_traversal, folded
@@ -45,6 +46,7 @@ PART_ROWS = 2000
 SIEVE_BITS = 23
 _SEEN = 100_000
 _TEXTS = 500
+_SHINGLES = 1 << 18
 _SLABS = 64
 
 
@@ -83,50 +85,83 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    """So many of the first elements must meet: the rest is too few for the overlap."""
+    """So many of the first elements must meet: the rest is too few for an overlap of ``num / den``.
+
+    A similar set overlaps by ``num / den`` of the set, a larger one by ``2 num / (num + den)``.
+    """
     return n - -(-num * n // den) + 1
 
 
-def hashed_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: ``(id, n, v, shingles)`` of a document, ``(slab, counts)`` of a task.
+def named_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: ``(id, n, v)`` of a document, ``(slab, counts)`` of a task.
 
-    ``shingles`` is null where the task has written the same class before. The counts
-    are those of a part of the sketch.
+    The counts are those of a part of the sketch.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = schema_of(f"id {kind}, n long, v long, shingles array<long>, slab int, counts array<long>")
+    schema = schema_of(f"id {kind}, n long, v long, slab int, counts array<long>")
     arrow = to_arrow_schema(schema)
 
     def batch_of(columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, sketch, seen = make_powers(), np.zeros(1 << SKETCH_BITS, np.int64), set()
-        for part in _slices(batches):  # the sets take more room than the texts
+        powers, sketch = make_powers(), np.zeros(1 << SKETCH_BITS, np.int64)
+        for part in _slices(batches):
             size = part.num_rows
-            ids, sizes, keys, sets = part.column(0).to_pylist(), [0] * size, [0] * size, [None] * size
+            ids, sizes, keys = part.column(0).to_pylist(), [0] * size, [0] * size
             for i, shingles in _sets_of(part.column(1), powers):
-                n = len(shingles)
-                if not n:
-                    continue
-                sizes[i], keys[i] = n, set_key(shingles)
-                np.add.at(sketch, _cell(shingles), 1)
-                if (keys[i], n) in seen:
-                    continue
-                if len(seen) >= _SEEN:
-                    seen.clear()
-                seen.add((keys[i], n))
-                sets[i] = shingles.view(np.int64)
-            yield batch_of([ids, sizes, keys, sets, [None] * size, [None] * size])
+                if len(shingles):
+                    sizes[i], keys[i] = len(shingles), set_key(shingles)
+                    np.add.at(sketch, _cell(shingles), 1)
+            yield batch_of([ids, sizes, keys, [None] * size, [None] * size])
         slabs = sketch.reshape(_SLABS, -1)
         for slab in np.flatnonzero(slabs.any(axis=1)).tolist():
-            yield batch_of([[None], [None], [None], [None], [slab], [slabs[slab]]])
+            yield batch_of([[None], [None], [None], [slab], [slabs[slab]]])
 
     narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return narrow.mapInArrow(run, schema)
 
 
-def sum_sketch(hashed: DataFrame) -> np.ndarray:
+def from_texts(
+    docs: DataFrame, text_col: str, ddl: str,
+    wanted: Callable[[int], bool],
+    rows_of: Callable[[list[int], list[np.ndarray]], list[np.ndarray | pa.Array]],
+) -> DataFrame:
+    """Rows made from the names and sets of the wanted classes, of each task's own ones once.
+
+    A task that meets very many classes may come back to one. Few sets are held together.
+    """
+    schema = schema_of(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = [pa.array(c, f.type) for c, f in zip(rows_of(names, sets), arrow)]
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen = make_powers(), set()
+        for part in _slices(batches):
+            names, sets, size = [], [], 0
+            for _, shingles in _sets_of(part.column(0), powers):
+                n = len(shingles)
+                if not n or not wanted(v := set_key(shingles)) or (v, n) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add((v, n))
+                names.append(v)
+                sets.append(shingles)
+                size += n
+                if size >= _SHINGLES:
+                    yield batch_of(names, sets)
+                    names, sets, size = [], [], 0
+            if names:
+                yield batch_of(names, sets)
+
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, schema)
+
+
+def sum_sketch(named: DataFrame) -> np.ndarray:
     """The sketch of all tasks, summed in tasks: a fixed number of slabs reaches the driver."""
     schema = schema_of("slab int, counts array<long>")
 
@@ -139,7 +174,7 @@ def sum_sketch(hashed: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_pydict({"slab": list(sums), "counts": list(sums.values())}, to_arrow_schema(schema))
 
-    parts = hashed.where("slab is not null").select("slab", "counts").repartition("slab").mapInArrow(run, schema)
+    parts = named.where("slab is not null").select("slab", "counts").repartition("slab").mapInArrow(run, schema)
     sketch = np.zeros((_SLABS, (1 << SKETCH_BITS) // _SLABS), np.int64)
     for row in parts.collect():
         sketch[row["slab"]] += np.array(row["counts"], np.int64)
@@ -159,50 +194,49 @@ def likely_parts(sketch: np.ndarray) -> np.ndarray:
     return np.where((sketch > PART_ROWS) & (beyond > PART_ROWS), parts, 1)
 
 
-def prefixes(hashed: DataFrame, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """``(shingle, part, v, n)`` for the prefix of every set that a task has written.
+def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+    """``(shingle, part, v, n, lead)`` for the prefix of every class that a task holds.
 
     ``part`` deals a shingle that may be frequent out over several tasks; -1 for the
-    others.
+    others. ``lead`` marks the shingles in which the class may meet a larger one.
     """
-    shared = hashed.sparkSession.sparkContext.broadcast((sketch, likely_parts(sketch)))
-
-    schema = schema_of("shingle long, part int, v long, n long")
-    arrow = to_arrow_schema(schema)
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, likely_parts(sketch)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(names: list[int], sets: list[np.ndarray]) -> list[np.ndarray]:
         rough, parts_of = shared.value
-        for part in _slices(batches):
-            out = [[], [], [], []]
-            for n, v, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                shingles = np.asarray(held.values).view(np.uint64)
-                cells = _cell(shingles)
-                first = np.lexsort((shingles, rough[cells]))[: prefix_length(n, num, den)]
-                parts = parts_of[cells[first]]
-                out[0].append(shingles[first].view(np.int64))
-                out[1].append(np.where(parts > 1, np.abs(v) % parts, -1))
-                out[2].append(np.full(len(first), v))
-                out[3].append(np.full(len(first), n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c), f.type) for c, f in zip(out, arrow)], schema=arrow
-            )
-
-    sets = hashed.where("shingles is not null")
-    return sets.select("n", "v", "shingles").mapInArrow(run, schema)
+        out = [[], [], [], [], []]
+        for v, shingles in zip(names, sets):
+            n, cells = len(shingles), _cell(shingles)
+            first = np.lexsort((shingles, rough[cells]))[: prefix_length(n, num, den)]
+            parts = parts_of[cells[first]]
+            out[0].append(shingles[first].view(np.int64))
+            out[1].append(np.where(parts > 1, np.abs(np.int64(v)) % parts, -1))
+            out[2].append(np.full(len(first), v))
+            out[3].append(np.full(len(first), n))
+            out[4].append(np.arange(len(first)) < prefix_length(n, 2 * num, num + den))
+        return [np.concatenate(c) for c in out]
+
+    ddl = "shingle long, part int, v long, n long, lead boolean"
+    return from_texts(docs, text_col, ddl, lambda v: True, rows_of)
 
 
 def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
-    """``(shingle, part, v, n)`` of the rows with a partner of fitting size next to them.
+    """``(shingle, part, v, n, lead)`` of the classes with a partner of fitting size in their part.
 
-    Rows stand in order of size, so the next ones are the nearest in size. Rows of
-    shingles that are dealt out stay, as their partner may be in another part.
+    Of a similar pair the smaller class leads in a common shingle. Classes stand in order
+    of size, so the nearest leading one before, or the next one after a leading one, is
+    nearest in size. Rows of shingles that are dealt out stay, as their partner may be in
+    another part.
     """
     near = Window.partitionBy("shingle", "part").orderBy("n", "v")
-    rows = prefix.withColumns({"before": F.lag("n").over(near), "after": F.lead("n").over(near)})
-    fits = (F.col("before") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("after") * num)
-    return rows.where(F.coalesce(fits, F.lit(False)) | (F.col("part") >= 0)).groupBy("shingle", "part", "v", "n").agg(
-        F.first("before").alias("_")
-    ).drop("_")
+    copy = (F.lag("v").over(near) == F.col("v")) & (F.lag("n").over(near) == F.col("n"))
+    rows = prefix.withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").drop("copy")
+    leading = F.last(F.when(F.col("lead"), F.col("n")), ignorenulls=True)
+    before = leading.over(near.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"before": before, "after": F.lead("n").over(near)})
+    fits = F.coalesce(F.col("before") * den >= F.col("n") * num, F.lit(False))
+    fits |= F.col("lead") & F.coalesce(F.col("n") * den >= F.col("after") * num, F.lit(False))
+    return rows.where(fits | (F.col("part") >= 0)).drop("before", "after")
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -216,8 +250,9 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     name = F.xxhash64(F.sum(class_hash.cast("decimal(38,0)")).over(whole), F.count("*").over(whole))
     small = rows.where("part < 0").withColumns({"block": name, "size": F.count("*").over(whole)}).where("size > 1")
     # Shingles dealt out: counted for real, and named by themselves.
-    dealt = rows.where("part >= 0").select("shingle", "v", "n").distinct()
-    counts = dealt.groupBy("shingle").count().where("count > 1").select("shingle")
+    dealt = rows.where("part >= 0")
+    counts = dealt.groupBy("shingle").agg(F.count("*").alias("count"), F.max("lead").alias("led"))
+    counts = counts.where("count > 1 and led").select("shingle")
     large = splittable_join(dealt, counts, "shingle", "inner").withColumn("block", F.xxhash64("shingle"))
     columns = ["block", "v", "n"]
     return small.select(columns).union(large.select(columns)).distinct()
@@ -237,6 +272,22 @@ def neighbours(blocks: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def held_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
+    """``(v, n, shingles)`` of the classes that may be needed, of each task's own ones once."""
+    shared = docs.sparkSession.sparkContext.broadcast(make_sieve(needed))
+
+    def wanted(v: int) -> bool:
+        slot = int(_sieve_slots(np.array([v]))[0])
+        return bool(shared.value[slot >> 6] >> (slot & 63) & 1)
+
+    def rows_of(names: list[int], sets: list[np.ndarray]) -> list:
+        offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        values = np.concatenate(sets).view(np.int64)
+        return [names, np.diff(offsets), pa.ListArray.from_arrays(offsets, values)]
+
+    return from_texts(docs, text_col, "v long, n long, shingles array<long>", wanted, rows_of)
+
+
 def _sieve_slots(v: np.ndarray) -> np.ndarray:
     return (mix(v.view(np.uint64)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
@@ -292,13 +343,9 @@ def _bits(sets: pa.Array, size_of: Callable[[int], int]) -> pa.Array:
     return pa.array(made, pa.list_(pa.int64()))
 
 
-def _written(hashed: DataFrame) -> DataFrame:
-    return hashed.where("shingles is not null").select("v", "n", "shingles")
-
-
-def bitmaps(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+def bitmaps(held: DataFrame, needed: DataFrame) -> DataFrame:
     """``(v, n, bits)`` of each needed class, one row each; larger sets have larger bitmaps."""
-    made = from_sets(_written(hashed), needed, "bits array<long>", lambda x: _bits(x, bitmap_size))
+    made = from_sets(held, needed, "bits array<long>", lambda x: _bits(x, bitmap_size))
     return made.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
 
 
@@ -307,9 +354,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("k")).select("k.v", "k.n").distinct()
 
 
-def sets_for(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+def sets_for(held: DataFrame, needed: DataFrame) -> DataFrame:
     """``(v, n, shingles)`` of each needed class, one row each."""
-    found = from_sets(_written(hashed), needed, "shingles array<long>", lambda x: x)
+    found = from_sets(held, needed, "shingles array<long>", lambda x: x)
     return found.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
 
 
@@ -361,10 +408,10 @@ def may_be_similar(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> Dat
     return same.where(room).select("a", "b")
 
 
-def fine_bitmaps(hashed: DataFrame, needed: DataFrame) -> DataFrame:
+def fine_bitmaps(held: DataFrame, needed: DataFrame) -> DataFrame:
     """Bitmaps of at least eight bits for an element: an eighth of the sets' size, and nearly as sharp."""
     made = from_sets(
-        _written(hashed), needed, "bits array<long>",
+        held, needed, "bits array<long>",
         lambda x: _bits(x, lambda n: max(BITMAP_BITS, 1 << (8 * n - 1).bit_length())),
     )
     return made.join(needed, ["v", "n"], "left_semi").dropDuplicates(["v", "n"])
@@ -377,13 +424,13 @@ def _key(v: str, n: str) -> Column:
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes that are similar, decided on the sets."""
-    held = from_sets(sets, _ends(pairs), "shingles array<long>", lambda x: x)
-    keyed = held.select(_key("v", "n").alias("k"), "shingles")
-    one = splittable_join(pairs, keyed.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), "a", "inner")
-    two = splittable_join(one, keyed.select(F.col("k").alias("b"), F.col("shingles").alias("sb")), "b", "inner")
-    both = F.size(F.array_intersect("sa", "sb"))
-    enough = (num + den) * both >= num * (F.size("sa") + F.size("sb"))
-    return two.where(enough).select("a", "b")
+    own = from_sets(sets, _ends(pairs), "shingles array<long>", lambda x: x)
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("k"))
+    # Each end finds its set, then the two ends meet: every set goes once to each of its pairs.
+    told = splittable_join(ends, own.select(_key("v", "n").alias("k"), "shingles"), "k", "inner")
+    met = told.groupBy("a", "b").agg(F.collect_list("shingles").alias("s"))
+    both = F.size(F.array_intersect(F.get("s", F.lit(0)), F.get("s", F.lit(1))))
+    return met.where((num + den) * both >= num * (F.col("a.n") + F.col("b.n"))).select("a", "b")
 
 
 def _trees(rows: list[tuple], labels: dict) -> dict[int, tuple[np.ndarray, list]]:
@@ -541,29 +588,33 @@ def with_bits(rows: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def _verified(
-    pairs: DataFrame, hashed: DataFrame, sets: DataFrame, num: int, den: int
+    pairs: DataFrame, held: DataFrame, sets: DataFrame, num: int, den: int
 ) -> tuple[DataFrame, DataFrame]:
     """The sets known so far and those that were missing; the pairs that are similar.
 
     Fine bitmaps leave few pairs that are not, so few sets are moved for nothing.
     """
-    fine = stage(fine_bitmaps(hashed, _ends(pairs)), "join_fine")
+    fine = stage(fine_bitmaps(held, _ends(pairs)), "join_fine")
     close = stage(may_be_similar(pairs, fine, num, den), "join_close")
     more = _ends(close).join(sets.select("v", "n"), ["v", "n"], "left_anti")
-    sets = sets.unionByName(stage(sets_for(hashed, more), "join_sets"))
+    sets = sets.unionByName(stage(sets_for(held, more), "join_sets"))
     return sets, stage(verify(close, sets, num, den), "join_links")
 
 
-def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
+def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
     """``(vertex, label)`` of all classes that are similar to another one."""
-    rows = candidates(prefixes(hashed, sum_sketch(hashed), num, den), num, den)
-    blocks = stage(blocks_of(stage(rows, "join_candidates")), "join_blocks")
-    bits = stage(bitmaps(hashed, blocks.select("v", "n").distinct()), "join_bitmaps")
+    with folders_made() as passed:
+        rows = stage(candidates(prefixes(docs, text_col, sketch, num, den), num, den), "join_candidates")
+    blocks = stage(blocks_of(rows), "join_blocks")
+    drop_folders(docs.sparkSession, passed)
+    needed = blocks.select("v", "n").distinct()
+    held = stage(held_sets(docs, text_col, needed), "join_held")
+    bits = stage(bitmaps(held, needed), "join_bitmaps")
 
     # One neighbour for each class: the one met in most blocks.
     met = stage(neighbours(blocks, num, den), "join_met")
     tried = stage(may_be_similar(met, bits, num, den), "join_tried")
-    sets = stage(sets_for(hashed, _ends(tried)), "join_sets")
+    sets = stage(sets_for(held, _ends(tried)), "join_sets")
     links = stage(verify(tried, sets, num, den), "join_links")
     labels = components(links, "a", "b")
 
@@ -573,7 +624,7 @@ def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
     while True:
         blocks = open_blocks(blocks, labels)
         near = stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
-        sets, new = _verified(near, hashed, sets, num, den)
+        sets, new = _verified(near, held, sets, num, den)
         links = links.unionByName(new)
         labels = components(links, "a", "b")
         found = new.count()
@@ -582,17 +633,20 @@ def link_classes(hashed: DataFrame, num: int, den: int) -> DataFrame:
             break
     # What is left between components, in full.
     rest = stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
-    _, new = _verified(rest, hashed, sets, num, den)
+    _, new = _verified(rest, held, sets, num, den)
     return components(links.unionByName(new), "a", "b")
 
 
 def group_classes(
     docs: DataFrame, id_col: str, text_col: str, num: int, den: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents as ``(id, n, v)``, and ``(k, label, least_id)`` of every class."""
-    hashed = stage(hashed_sets(docs, id_col, text_col), "join_hashed")
-    labels = link_classes(hashed, num, den)
-    members = hashed.where("slab is null").select("id", "n", "v")
+    """Documents as ``(id, n, v)``, and ``(k, label, least_id)`` of every class.
+
+    ``docs`` is read three times.
+    """
+    named = stage(named_sets(docs, id_col, text_col), "join_named_sets")
+    labels = link_classes(docs, text_col, sum_sketch(named), num, den)
+    members = named.where("slab is null").select("id", "n", "v")
     classes = members.where("n > 0").groupBy("v", "n").agg(F.min("id").alias("least_id"))
     return members, _labelled(classes, labels).select("k", "label", "least_id")
 
