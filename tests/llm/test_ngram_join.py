@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from .helpers import documents, sentence, shingle_components
 from trialmart.llm import ngram_join, signature_tree
 from trialmart.llm.components import components
-from trialmart.sources.storage import folders_made
+from trialmart.sources.storage import folders_made, stage
 from trialmart.llm.words import hash_long_text, make_powers, words_of_texts
 
 
@@ -123,6 +126,44 @@ def test_a_pair_meets_where_the_smaller_set_leads(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == shingle_components(rows)
 
 
+def test_keeping_one_leaves_no_working_tables(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(sentence(rng, 50))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)] + [(100, rows[0][1] + " end")] + rows[:3]
+    with folders_made() as made:
+        kept = ngram_join.keep_one(documents(spark, rows).repartition(3))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(left) == 1 and "join_flags" in left[0]
+
+
+def test_traversal_of_wide_bitmaps_holds_few_pairs():
+    rng = np.random.default_rng(10)
+    bits = rng.integers(0, 1 << 63, (600, 512)).astype(np.uint64)
+    sizes, labels = np.full(600, 20_000), np.arange(600)
+    tree = signature_tree.build(bits, sizes, labels)
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in signature_tree.dual_traversal(tree, None, 1, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 600 * 599 // 2 and peak < 64 << 20
+
+
+def test_staged_rows_go_to_python_in_short_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    table = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r["n"] for r in stage(table, "batches", 1000).collect()) == 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    seen = []
+    keys = ngram_join._make_keys(1, np.zeros(1 << ngram_join.SIEVE_BITS - 6, np.int64))
+    rows = pa.StructArray.from_arrays([pa.array([1, 2, 3]), pa.array(["a b", None, "A b"])], ["id", "t"])
+    assert keys(rows.slice(1))[0].tolist() == [0, 1] and len(set(keys(rows)[1])) == 2 and not any(keys(rows)[2])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 200)]
     found = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()

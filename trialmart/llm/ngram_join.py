@@ -44,12 +44,17 @@ SHINGLE = 5
 SKETCH_BITS = 18
 PART_ROWS = 2000
 SIEVE_BITS = 23
+BATCH_ROWS = 1000  # texts or sets that go to Python at once
 _SEEN = 100_000
 _TEXTS = 500
 _SHINGLES = 1 << 18
 _SLABS = 64
 
 
+def _stage(df: DataFrame, name: str) -> DataFrame:
+    return stage(df, name, BATCH_ROWS)
+
+
 def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(shingle_hashes(words, SHINGLE))
 
@@ -569,7 +574,7 @@ def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
 
     Components only grow, so a later call needs no more than an earlier one returned.
     """
-    rows = stage(_labelled(blocks.select("block", "v", "n"), labels), "join_labelled")
+    rows = _stage(_labelled(blocks.select("block", "v", "n"), labels), "join_labelled")
     label = F.xxhash64("label.n", "label.v")
     several = (
         rows.groupBy("block")
@@ -577,9 +582,9 @@ def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
         .where("low <> high")
         .select("block", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("parts"))
     )
-    chosen = splittable_join(rows, stage(several, "join_open"), "block", "inner")
+    chosen = splittable_join(rows, _stage(several, "join_open"), "block", "inner")
     part = F.pmod(F.xxhash64("v", "n"), F.col("parts")).cast("int")
-    return stage(chosen.withColumn("part", part), "join_open_rows")
+    return _stage(chosen.withColumn("part", part), "join_open_rows")
 
 
 def with_bits(rows: DataFrame, bits: DataFrame) -> DataFrame:
@@ -594,28 +599,28 @@ def _verified(
 
     Fine bitmaps leave few pairs that are not, so few sets are moved for nothing.
     """
-    fine = stage(fine_bitmaps(held, _ends(pairs)), "join_fine")
-    close = stage(may_be_similar(pairs, fine, num, den), "join_close")
+    fine = _stage(fine_bitmaps(held, _ends(pairs)), "join_fine")
+    close = _stage(may_be_similar(pairs, fine, num, den), "join_close")
     more = _ends(close).join(sets.select("v", "n"), ["v", "n"], "left_anti")
-    sets = sets.unionByName(stage(sets_for(held, more), "join_sets"))
-    return sets, stage(verify(close, sets, num, den), "join_links")
+    sets = sets.unionByName(_stage(sets_for(held, more), "join_sets"))
+    return sets, _stage(verify(close, sets, num, den), "join_links")
 
 
 def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
     """``(vertex, label)`` of all classes that are similar to another one."""
     with folders_made() as passed:
-        rows = stage(candidates(prefixes(docs, text_col, sketch, num, den), num, den), "join_candidates")
-    blocks = stage(blocks_of(rows), "join_blocks")
+        rows = _stage(candidates(prefixes(docs, text_col, sketch, num, den), num, den), "join_candidates")
+    blocks = _stage(blocks_of(rows), "join_blocks")
     drop_folders(docs.sparkSession, passed)
     needed = blocks.select("v", "n").distinct()
-    held = stage(held_sets(docs, text_col, needed), "join_held")
-    bits = stage(bitmaps(held, needed), "join_bitmaps")
+    held = _stage(held_sets(docs, text_col, needed), "join_held")
+    bits = _stage(bitmaps(held, needed), "join_bitmaps")
 
     # One neighbour for each class: the one met in most blocks.
-    met = stage(neighbours(blocks, num, den), "join_met")
-    tried = stage(may_be_similar(met, bits, num, den), "join_tried")
-    sets = stage(sets_for(held, _ends(tried)), "join_sets")
-    links = stage(verify(tried, sets, num, den), "join_links")
+    met = _stage(neighbours(blocks, num, den), "join_met")
+    tried = _stage(may_be_similar(met, bits, num, den), "join_tried")
+    sets = _stage(sets_for(held, _ends(tried)), "join_sets")
+    links = _stage(verify(tried, sets, num, den), "join_links")
     labels = components(links, "a", "b")
 
     # The nearest class of another component, again and again while that finds links:
@@ -623,7 +628,7 @@ def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, d
     first = 0
     while True:
         blocks = open_blocks(blocks, labels)
-        near = stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
+        near = _stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
         sets, new = _verified(near, held, sets, num, den)
         links = links.unionByName(new)
         labels = components(links, "a", "b")
@@ -632,7 +637,7 @@ def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, d
         if 10 * found <= first:
             break
     # What is left between components, in full.
-    rest = stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
+    rest = _stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
     _, new = _verified(rest, held, sets, num, den)
     return components(links.unionByName(new), "a", "b")
 
@@ -644,7 +649,7 @@ def group_classes(
 
     ``docs`` is read three times.
     """
-    named = stage(named_sets(docs, id_col, text_col), "join_named_sets")
+    named = _stage(named_sets(docs, id_col, text_col), "join_named_sets")
     labels = link_classes(docs, text_col, sum_sketch(named), num, den)
     members = named.where("slab is null").select("id", "n", "v")
     classes = members.where("n > 0").groupBy("v", "n").agg(F.min("id").alias("least_id"))
@@ -689,11 +694,12 @@ def keep_one(
     """``docs`` with one row of each group of similar documents: that of the smallest id.
 
     Rows without a word are in no group and stay. Of rows that repeat the id and the
-    shingles of the one to keep, any one stays. The documents are moved once, by
-    keys of their own, so a large group is spread like all others.
+    shingles of the one to keep, any one stays. Documents that may have to go are moved, by
+    keys of their own, so a large group is spread like all others; the rest stays in place.
     """
-    members, named = group_classes(_narrow(docs, id_col, text_col), id_col, text_col, num, den)
-    named = stage(named, "join_named")
+    with folders_made() as passed:
+        members, named = group_classes(_narrow(docs, id_col, text_col), id_col, text_col, num, den)
+        named = _stage(named, "join_named")
     # The first class by smallest id; classes without any id come last.
     first = F.min_by(F.struct("k", "least_id"), F.struct(F.col("least_id").isNull(), "least_id", "k"))
     winners = named.groupBy("label").agg(first.alias("w")).select(
@@ -703,31 +709,40 @@ def keep_one(
     told = splittable_join(counted.withColumn("k", _key("v", "n")), winners, "k", "left")
     # The winner is a struct, null for a class that lost; the id inside may be null.
     won = F.col("winner").isNotNull() & F.col("id").eqNullSafe(F.col("winner.id"))
-    flags = stage(
+    flags = _stage(
         told.where(~won | (F.col("rows") > 1)).select(
             F.struct("id", "n", "v").alias("_key"),
             F.when(won, "one of several").otherwise("drop").alias("_flag"),
         ),
         "join_flags",
     )
-    rows = nest(docs, id=id_col, text=text_col)
-    keyed = append_columns(rows, "text", "n long, v long", _make_keys)
-    joined = keyed.withColumn("_key", F.struct("id", "n", "v")).join(flags, "_key", "left")
-    kept = joined.where("_flag is null").select("row.*")
+    drop_folders(docs.sparkSession, passed)
+    shared = docs.sparkSession.sparkContext.broadcast(make_sieve(flags.select("_key.v")))
+    # The text goes to Python once, inside its row.
+    names = docs.columns if text_col in docs.columns else [c.lower() for c in docs.columns]
+    at = names.index(text_col if text_col in names else text_col.lower())
+    keyed = append_columns(
+        nest(docs, id=id_col), "row", "n long, v long, flagged boolean", lambda: _make_keys(at, shared.value)
+    )
+    # Only documents that may have a flag are moved, by keys of their own.
+    kept = keyed.where("not flagged").select("row.*")
+    joined = keyed.where("flagged").withColumn("_key", F.struct("id", "n", "v")).join(flags, "_key", "left")
+    kept = kept.unionByName(joined.where("_flag is null").select("row.*"))
     if flags.where("_flag <> 'drop'").isEmpty():
         return kept
     one = joined.where("_flag = 'one of several'").dropDuplicates(["_key"])
     return kept.unionByName(one.select("row.*"))
 
 
-def _make_keys():
+def _make_keys(at: int, sieve: np.ndarray):
     powers = make_powers()
 
-    def keys(column: pa.Array):
-        sizes, names = [0] * len(column), [0] * len(column)
-        for i, shingles in _sets_of(column, powers):
+    def keys(rows: pa.StructArray):
+        sizes, names = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for i, shingles in _sets_of(rows.flatten()[at], powers):
             if len(shingles):
                 sizes[i], names[i] = len(shingles), set_key(shingles)
-        return sizes, names
+        slots = _sieve_slots(names)
+        return sizes, names, (sieve[slots >> 6] >> (slots & 63)) & 1 == 1
 
     return keys

@@ -14,7 +14,7 @@ import numpy as np
 
 BITMAP_BITS = 2048
 FANOUT = 8
-_PAIRS = 1 << 16
+_WORDS = 1 << 18  # of bitmaps that are compared at once
 
 
 def bitmap(hashes: np.ndarray, size: int = BITMAP_BITS) -> np.ndarray:
@@ -101,6 +101,7 @@ def dual_traversal(
     ``two`` None: pairs inside ``one``, each once.
     """
     other = one if two is None else two
+    pairs = max(FANOUT, _WORDS // one[0].bits.shape[1])
     stack = [(len(one) - 1, len(other) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         u, v, i, j = stack.pop()
@@ -123,5 +124,5 @@ def dual_traversal(
         if two is None:
             fits &= i < j if u == 0 else i <= j
         i, j = i[fits], j[fits]
-        for start in range(0, len(i), _PAIRS):
-            stack.append((u, v, i[start : start + _PAIRS], j[start : start + _PAIRS]))
+        for start in range(0, len(i), pairs):
+            stack.append((u, v, i[start : start + pairs], j[start : start + pairs]))

@@ -63,32 +63,39 @@ def drop_folders(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
-def _shuffles_dropped_afterwards(spark: SparkSession) -> Iterator[None]:
-    """Queries started here give back the disk of their shuffles when they are done."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session that hold for the queries started here."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The lineage is cut for good, later scans read only the columns they use, and
     Spark knows the size of the table when it decides whether to broadcast it.
     What the write has shuffled is dropped with it. The table stays until ``drop_staged``.
+    ``batch_rows`` bounds what goes to Python at once, for rows that are long.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    with _shuffles_dropped_afterwards(spark):
+    values = {_CLEANUP: "true"}
+    if batch_rows is not None:
+        values[_BATCH_ROWS] = str(batch_rows)
+    with _settings(spark, **values):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
