@@ -126,6 +126,29 @@ def test_a_pair_meets_where_the_smaller_set_leads(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == shingle_components(rows)
 
 
+def test_classes_that_met_nobody_in_a_block_are_not_sent_again(spark):
+    # All share a passage, so they stay in blocks of many components.
+    rng = random.Random(13)
+    passage = " ".join(sentence(rng, 30))
+    rows = [(i, " ".join([*sentence(rng, rng.randint(60, 200)), passage])) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(20)]
+    with folders_made() as made:
+        found = ngram_join.similar_components(documents(spark, rows).repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == shingle_components(rows)
+    rounds = [spark.read.parquet(p).count() for p in made if "/join_open_rows-" in p]
+    assert len(rounds) > 1 and 5 * rounds[-1] < max(rounds[0], 1000)
+
+
+def test_reach_covers_every_similar_size(spark):
+    # Sets of a and b that first share an element after x of a and y of b.
+    rows = [(n, x) for n in [*range(1, 60), 4097] for x in range(ngram_join.prefix_length(n, 3, 4))]
+    table = spark.createDataFrame([(n, x, x * ngram_join._PLACES // n) for n, x in rows], "n long, x long, place long")
+    reach = ngram_join._reach(table["n"], table["place"], 3, 4)
+    for r in table.withColumn("reach", reach).collect():
+        sizes = [m for m in range(r["n"] * 3 // 4, r["n"] * 4 // 3 + 2) if 7 * min(r["n"] - r["x"], m) >= 3 * (r["n"] + m)]
+        assert r["reach"] >= max(sizes, default=0)
+
+
 def test_keeping_one_leaves_no_working_tables(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(sentence(rng, 50))) for i in range(40)]

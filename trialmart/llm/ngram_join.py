@@ -4,15 +4,17 @@
    *class*, so copies meet nothing twice. Sets take more room than the texts, so they are
    made again where they are used; only those of classes with a block are written.
 2. Classes that can be similar share one of their rarest shingles (the prefix of the
-   set in a global order by rough frequency, from a counting sketch of fixed size); the
-   smaller one of a pair has it in the shorter prefix that larger sets leave.
+   set in a global order by rough frequency, from a counting sketch of fixed size). In
+   the rarest one they share all that they have in common is still to come, so its place
+   in each set bounds the size of the other: the *reach* of a class.
    Classes with a common prefix shingle form a block; shingles that lie alone are
    dropped, and blocks of the same classes are one. The sketch shows which shingles may
    be too frequent for one task; their rows are dealt out and counted for real.
 3. In each block every class is compared with one neighbour. The links found give
    provisional components, so dense groups of near copies are one thing from here.
 4. Blocks with several components are searched with signature trees: dual traversal
-   leaves the pairs of different components that can still be similar. First only the
+   leaves the pairs of different components that can still be similar and are in reach
+   of each other, so a pair is met in few of the blocks it shares. First only the
    nearest of each class is verified, until that finds no more links; then all that
    are left between the components.
 5. A pair counts when the sets themselves say so; components of the links are the
@@ -49,6 +51,7 @@ _SEEN = 100_000
 _TEXTS = 500
 _SHINGLES = 1 << 18
 _SLABS = 64
+_PLACES = 64  # so many places of a set are told apart
 
 
 def _stage(df: DataFrame, name: str) -> DataFrame:
@@ -90,11 +93,18 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    """So many of the first elements must meet: the rest is too few for an overlap of ``num / den``.
+    """So many of the first elements must meet: the rest is too few for an overlap of ``num / den``."""
+    return n - -(-num * n // den) + 1
+
+
+def _reach(n: Column, place: Column, num: int, den: int) -> Column:
+    """The largest set that a class can be similar to if the first they share is at ``place`` or later.
 
-    A similar set overlaps by ``num / den`` of the set, a larger one by ``2 num / (num + den)``.
+    Similar sets overlap by ``num / (num + den)`` of both sizes together, here at most by
+    what follows the place. ``place`` counts parts of the set, ``_PLACES`` in all.
     """
-    return n - -(-num * n // den) + 1
+    most = n - F.ceil(n * place / F.lit(_PLACES))
+    return F.floor((num + den) * most / F.lit(num)).cast("long") - n
 
 
 def named_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,16 +210,17 @@ def likely_parts(sketch: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """``(shingle, part, v, n, lead)`` for the prefix of every class that a task holds.
+    """``(shingle, part, v, size)`` for the prefix of every class that a task holds.
 
     ``part`` deals a shingle that may be frequent out over several tasks; -1 for the
-    others. ``lead`` marks the shingles in which the class may meet a larger one.
+    others. ``size`` is ``_PLACES`` times the size of the class, and the place of the
+    shingle in it, rounded down: one number, as these rows are the most that is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast((sketch, likely_parts(sketch)))
 
     def rows_of(names: list[int], sets: list[np.ndarray]) -> list[np.ndarray]:
         rough, parts_of = shared.value
-        out = [[], [], [], [], []]
+        out = [[], [], [], []]
         for v, shingles in zip(names, sets):
             n, cells = len(shingles), _cell(shingles)
             first = np.lexsort((shingles, rough[cells]))[: prefix_length(n, num, den)]
@@ -217,38 +228,39 @@ def prefixes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, den:
             out[0].append(shingles[first].view(np.int64))
             out[1].append(np.where(parts > 1, np.abs(np.int64(v)) % parts, -1))
             out[2].append(np.full(len(first), v))
-            out[3].append(np.full(len(first), n))
-            out[4].append(np.arange(len(first)) < prefix_length(n, 2 * num, num + den))
+            out[3].append(_PLACES * n + np.arange(len(first)) * _PLACES // n)
         return [np.concatenate(c) for c in out]
 
-    ddl = "shingle long, part int, v long, n long, lead boolean"
+    ddl = "shingle long, part int, v long, size long"
     return from_texts(docs, text_col, ddl, lambda v: True, rows_of)
 
 
 def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
-    """``(shingle, part, v, n, lead)`` of the classes with a partner of fitting size in their part.
+    """``(shingle, part, v, n, reach)`` of the classes with a partner of fitting size in their part.
 
-    Of a similar pair the smaller class leads in a common shingle. Classes stand in order
-    of size, so the nearest leading one before, or the next one after a leading one, is
-    nearest in size. Rows of shingles that are dealt out stay, as their partner may be in
-    another part.
+    Of a similar pair the smaller class reaches the larger one. Classes stand in order of
+    size, so it is one before that reaches the class, or the class reaches the next one.
+    Rows of shingles that are dealt out stay, as their partner may be in another part.
     """
+    n, place = F.floor(F.col("size") / _PLACES).cast("long"), F.pmod("size", F.lit(_PLACES))
+    rows = prefix.repartition("shingle", "part").select(
+        "shingle", "part", "v", n.alias("n"), _reach(n, place, num, den).alias("reach")
+    )
     near = Window.partitionBy("shingle", "part").orderBy("n", "v")
     copy = (F.lag("v").over(near) == F.col("v")) & (F.lag("n").over(near) == F.col("n"))
-    rows = prefix.withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").drop("copy")
-    leading = F.last(F.when(F.col("lead"), F.col("n")), ignorenulls=True)
-    before = leading.over(near.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("copy", F.coalesce(copy, F.lit(False))).where("not copy").drop("copy")
+    before = F.max("reach").over(near.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({"before": before, "after": F.lead("n").over(near)})
-    fits = F.coalesce(F.col("before") * den >= F.col("n") * num, F.lit(False))
-    fits |= F.col("lead") & F.coalesce(F.col("n") * den >= F.col("after") * num, F.lit(False))
+    fits = F.coalesce(F.col("before") >= F.col("n"), F.lit(False))
+    fits |= F.coalesce(F.col("after") <= F.col("reach"), F.lit(False))
     return rows.where(fits | (F.col("part") >= 0)).drop("before", "after")
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """``(block, v, n)``: the classes of each block of two or more; of equal blocks one.
+    """``(block, v, n, reach)``: the classes of each block of two or more; of equal blocks one.
 
     A block is named by its shingle's classes. Two blocks of one name would be searched
-    as one, which costs time but no link.
+    as one, which costs time but no link. The widest reach in equal blocks counts.
     """
     class_hash = F.xxhash64("v", "n")
     whole = Window.partitionBy("shingle")
@@ -256,21 +268,23 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     small = rows.where("part < 0").withColumns({"block": name, "size": F.count("*").over(whole)}).where("size > 1")
     # Shingles dealt out: counted for real, and named by themselves.
     dealt = rows.where("part >= 0")
-    counts = dealt.groupBy("shingle").agg(F.count("*").alias("count"), F.max("lead").alias("led"))
+    counts = dealt.groupBy("shingle").agg(F.count("*").alias("count"), F.max(F.expr("reach >= n")).alias("led"))
     counts = counts.where("count > 1 and led").select("shingle")
     large = splittable_join(dealt, counts, "shingle", "inner").withColumn("block", F.xxhash64("shingle"))
-    columns = ["block", "v", "n"]
-    return small.select(columns).union(large.select(columns)).distinct()
+    columns = ["block", "v", "n", "reach"]
+    both = small.select(columns).union(large.select(columns))
+    return both.groupBy("block", "v", "n").agg(F.max("reach").alias("reach"))
 
 
-def neighbours(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """One other class for each, ``(a, b)``: the next smaller of fitting size, in most blocks."""
+def neighbours(blocks: DataFrame) -> DataFrame:
+    """One other class for each, ``(a, b)``: the next smaller in reach, in most blocks."""
     by_size = Window.partitionBy("block", "part").orderBy("n", "v")
     part = F.floor(F.pmod(F.xxhash64("v", "n"), F.col("size")) / PART_ROWS)
     sizes = blocks.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > PART_ROWS)
     # Large blocks are looked at in parts; any neighbour will do.
     told = splittable_join(blocks, sizes, "block", "left").withColumn("part", F.coalesce(part, F.lit(0)))
-    led = told.withColumn("b", F.lag(_key("v", "n")).over(by_size)).where(F.col("b.n") * den >= F.col("n") * num)
+    before = {"b": F.lag(_key("v", "n")).over(by_size), "reached": F.lag("reach").over(by_size)}
+    led = told.withColumns(before).where((F.col("reached") >= F.col("n")) & (F.col("reach") >= F.col("b.n")))
     return (
         led.groupBy(_key("v", "n").alias("a"), "b").agg(F.count("*").alias("c"))
         .groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
@@ -442,13 +456,13 @@ def _trees(rows: list[tuple], labels: dict) -> dict[int, tuple[np.ndarray, list]
     """For each size of bitmap the places of its rows and their tree."""
     by_size: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
-        by_size.setdefault(len(r[5]), []).append(i)
+        by_size.setdefault(len(r[6]), []).append(i)
     trees = {}
     for size, own in by_size.items():
-        own.sort(key=lambda i: (rows[i][3], labels[rows[i][4]], rows[i][2]))
-        bits = np.array([rows[i][5] for i in own], np.int64).view(np.uint64)
-        sizes = np.array([rows[i][3] for i in own])
-        trees[size] = np.array(own), build(bits, sizes, np.array([labels[rows[i][4]] for i in own]))
+        own.sort(key=lambda i: (rows[i][3], labels[rows[i][5]], rows[i][2]))
+        bits = np.array([rows[i][6] for i in own], np.int64).view(np.uint64)
+        sizes, reach = (np.array([rows[i][k] for i in own]) for k in (3, 4))
+        trees[size] = np.array(own), build(bits, sizes, np.array([labels[rows[i][5]] for i in own]), reach)
     return trees
 
 
@@ -457,10 +471,10 @@ def search_block(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places in ``one`` and in ``two`` (None: in ``one`` again) of possible pairs, and their common bits.
 
-    Rows are ``(task, part, v, n, label, bits)``. Similar sets have bitmaps of one size or
+    Rows are ``(task, part, v, n, reach, label, bits, block)``. Similar sets have bitmaps of one size or
     of neighbouring ones; of these the larger is folded.
     """
-    labels = {c: i for i, c in enumerate(dict.fromkeys(r[4] for r in [*one, *(two or [])]))}
+    labels = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in [*one, *(two or [])]))}
     if len(labels) < 2:
         return
     left = _trees(one, labels)
@@ -478,15 +492,15 @@ def search_block(
 
 
 def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of different components inside blocks.
+    """``(block, x, y, share)``: candidate pairs of different components inside blocks.
 
-    ``blocks``: ``block, parts, part, v, n, label, bits``. Signature trees leave the
+    ``blocks``: ``block, parts, part, v, n, reach, label, bits``. Signature trees leave the
     pairs whose bitmaps have room for the overlap. ``nearest`` keeps the best of them
-    for each class, so the result is no longer than the blocks; otherwise all come.
+    for each class in each task, as ``x``; otherwise all come.
     A block of several parts is searched by pairs of parts, one task each; a part is
     sent once for every part it is compared with.
     """
-    schema = schema_of("va long, na long, vb long, nb long, share long")
+    schema = schema_of("block long, va long, na long, vb long, nb long, share long")
 
     def search(rows: list[tuple]) -> Iterator[list[np.ndarray]]:
         sides = sorted({r[1] for r in rows})
@@ -520,19 +534,19 @@ def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFram
         def blocks_in():
             nonlocal key, rows
             for batch in batches:
-                *plain, bits = batch.columns
-                for *row, held in zip(*(c.to_pylist() for c in plain), bits):
+                *plain, bits, block = batch.columns
+                for *row, held, name in zip(*(c.to_pylist() for c in plain), bits, block.to_pylist()):
                     if row[0] != key:
                         yield rows
                         key, rows = row[0], []
-                    rows.append((*row, np.asarray(held.values)))
+                    rows.append((*row, np.asarray(held.values), name))
             yield rows
 
         for block in blocks_in():
             if len(block) < 2:
                 continue
             for found in search(block):
-                pending.append(found)
+                pending.append([np.full(len(found[0]), block[0][7]), *found])
                 size += len(found[0])
                 if size > 20_000:
                     yield emit()
@@ -548,17 +562,24 @@ def tree_pairs(blocks: DataFrame, num: int, den: int, nearest: bool) -> DataFram
     )
     dealt = (
         blocks.withColumn("meet", F.explode(meet))
-        .select(F.xxhash64("block", "meet").alias("task"), "part", "v", "n", "label", "bits")
+        .select(F.xxhash64("block", "meet").alias("task"), "part", "v", "n", "reach", "label", "bits", "block")
         .repartition("task")
         .sortWithinPartitions("task", "part")
     )
     found = dealt.select(
-        "task", "part", "v", "n", F.concat_ws(":", "label.n", "label.v").alias("label"), "bits"
+        "task", "part", "v", "n", "reach", F.concat_ws(":", "label.n", "label.v").alias("label"), "bits", "block"
     ).mapInArrow(run, schema)
-    both = found.select(_key("va", "na").alias("x"), _key("vb", "nb").alias("y"), "share")
-    if nearest:
-        both = both.groupBy("x").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.select("block", _key("va", "na").alias("x"), _key("vb", "nb").alias("y"), "share")
+
+
+def nearest_pairs(found: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of each class with its nearest one."""
+    both = found.groupBy("x").agg(F.max_by("y", F.struct("share", "y")).alias("y"))
+    return _unordered(both)
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -574,7 +595,7 @@ def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
 
     Components only grow, so a later call needs no more than an earlier one returned.
     """
-    rows = _stage(_labelled(blocks.select("block", "v", "n"), labels), "join_labelled")
+    rows = _stage(_labelled(blocks.select("block", "v", "n", "reach"), labels), "join_labelled")
     label = F.xxhash64("label.n", "label.v")
     several = (
         rows.groupBy("block")
@@ -617,7 +638,7 @@ def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, d
     bits = _stage(bitmaps(held, needed), "join_bitmaps")
 
     # One neighbour for each class: the one met in most blocks.
-    met = _stage(neighbours(blocks, num, den), "join_met")
+    met = _stage(neighbours(blocks), "join_met")
     tried = _stage(may_be_similar(met, bits, num, den), "join_tried")
     sets = _stage(sets_for(held, _ends(tried)), "join_sets")
     links = _stage(verify(tried, sets, num, den), "join_links")
@@ -628,16 +649,20 @@ def link_classes(docs: DataFrame, text_col: str, sketch: np.ndarray, num: int, d
     first = 0
     while True:
         blocks = open_blocks(blocks, labels)
-        near = _stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_near")
+        seen = _stage(tree_pairs(with_bits(blocks, bits), num, den, True), "join_seen")
+        near = _stage(nearest_pairs(seen), "join_near")
         sets, new = _verified(near, held, sets, num, den)
         links = links.unionByName(new)
         labels = components(links, "a", "b")
+        # Components only grow: who has met nobody in a block never will.
+        blocks = blocks.join(seen.select("block", "x.v", "x.n").distinct(), ["block", "v", "n"], "left_semi")
         found = new.count()
         first = first or found
         if 10 * found <= first:
             break
     # What is left between components, in full.
-    rest = _stage(tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False), "join_rest")
+    rest = tree_pairs(with_bits(open_blocks(blocks, labels), bits), num, den, False)
+    rest = _stage(_unordered(rest), "join_rest")
     _, new = _verified(rest, held, sets, num, den)
     return components(links.unionByName(new), "a", "b")
 

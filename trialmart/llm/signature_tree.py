@@ -1,9 +1,9 @@
 """Signature trees over word shingle sets.
 
 Sets are hashed to bitmaps. A node holds the OR of its children's bitmaps, the range
-of their set sizes, and the most elements that share bits in one of them. Two
-trees are traversed together; a pair of nodes is left out when no pair below it
-can overlap enough.
+of their set sizes, the most elements that share bits in one of them, and the largest
+size of a partner that one of them may have. Two trees are traversed together; a pair
+of nodes is left out when no pair below it can overlap enough.
 """
 
 from __future__ import annotations
@@ -37,14 +37,16 @@ def _count(bits: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """Nodes of one level: bitmaps, smallest and largest set, spare, single label or -1.
+    """Nodes of one level: bitmaps, smallest and largest set, spare, single label or -1, reach.
 
     ``spare`` is the most by which a set below exceeds its bits: so many elements may
-    hide behind bits that are counted once.
+    hide behind bits that are counted once. ``reach`` is the largest partner a set
+    below may have.
     """
 
-    def __init__(self, bits, low, high, spare, label):
+    def __init__(self, bits, low, high, spare, label, reach):
         self.bits, self.low, self.high, self.spare, self.label = bits, low, high, spare, label
+        self.reach = reach
 
     def __len__(self) -> int:
         return len(self.low)
@@ -59,12 +61,16 @@ class Level:
             np.maximum.reduceat(self.high, at),
             np.maximum.reduceat(self.spare, at),
             np.where(same, first, -1),
+            np.maximum.reduceat(self.reach, at),
         )
 
 
-def build(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> list[Level]:
+def build(
+    bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, reach: np.ndarray | None = None
+) -> list[Level]:
     """Levels from the sets up to a single root. The order of the sets is the tree's."""
-    levels = [Level(bits, sizes, sizes, sizes - _count(bits), labels)]
+    reach = np.full(len(sizes), np.iinfo(np.int64).max) if reach is None else reach
+    levels = [Level(bits, sizes, sizes, sizes - _count(bits), labels, reach)]
     while len(levels[-1]) > 1:
         levels.append(levels[-1].parents())
     return levels
@@ -74,7 +80,7 @@ def folded(levels: list[Level]) -> list[Level]:
     """The same tree with bitmaps of half the size."""
     low = levels[0]
     half = low.bits.shape[1] // 2
-    return build(low.bits[:, :half] | low.bits[:, half:], low.low, low.label)
+    return build(low.bits[:, :half] | low.bits[:, half:], low.low, low.label, low.reach)
 
 
 def _possible(a: Level, i: np.ndarray, b: Level, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -85,6 +91,7 @@ def _possible(a: Level, i: np.ndarray, b: Level, j: np.ndarray, num: int, den: i
     """
     open_ = (a.label[i] < 0) | (a.label[i] != b.label[j])
     open_ &= (den * a.high[i] >= num * b.low[j]) & (den * b.high[j] >= num * a.low[i])
+    open_ &= (a.reach[i] >= b.low[j]) & (b.reach[j] >= a.low[i])
     keep = np.flatnonzero(open_)
     i, j = i[keep], j[keep]
     most = _count(a.bits[i] & b.bits[j]) + np.minimum(a.spare[i], b.spare[j])
