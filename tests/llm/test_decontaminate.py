@@ -8,6 +8,7 @@ import numpy as np
 
 from .helpers import documents, sentence
 from trialmart.llm import decontaminate
+from trialmart.sources.storage import stage
 
 ITEMS = "item_id long, text string"
 
@@ -198,3 +199,21 @@ def test_columns_of_any_name(spark):
     assert sorted((r["n"], [tuple(x) for x in r["leaks"]]) for r in marked.collect()) == [
         (1, [(7, 1.0, 0, 11)]), (1, [(7, 1.0, 0, 11)]), (2, []),
     ]
+
+
+def test_working_tables_hold_texts_once_and_batches_are_short(spark, monkeypatch):
+    rng = random.Random(21)
+    items = [(i, " ".join(sentence(rng, 30))) for i in range(5)]
+    rows = [(i, " ".join(sentence(rng, 60))) for i in range(50)] + [(100 + i, items[i][1]) for i in range(5)]
+    batches = {}
+
+    def staged(df, name, batch_rows=None):
+        batches[name] = batch_rows, df.columns
+        return stage(df, name, batch_rows)
+
+    monkeypatch.setattr(decontaminate, "stage", staged)
+    docs = documents(spark, rows).withColumnRenamed("text", "Text")
+    kept = decontaminate.drop_leaked(docs, spark.createDataFrame(items, ITEMS))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(50))
+    assert batches["documents_with_hits"] == (1000, ["row", "hits", "n"])
+    assert batches["benchmark_rare_seeds"][0] == batches["benchmark_leaks"][0] == 1000

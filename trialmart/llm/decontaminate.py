@@ -55,6 +55,7 @@ MAX_BITS = 27
 PART = 64
 _WINDOW = 1 << 14
 _FLUSH = 1 << 20
+BATCH_ROWS = 1000  # texts that go to Python at once
 
 
 def plain_text(text: str | None) -> bytes:
@@ -365,8 +366,13 @@ def rare_seeds(seeds: DataFrame, counts: DataFrame) -> DataFrame:
     return kept.select(F.explode("hashes").alias("hash"), "s").distinct()
 
 
-def _with_hits(rows: DataFrame, rules: Rules, kinds: Sequence[int], sieve: np.ndarray) -> DataFrame:
-    """Documents with ``hits``, their n-grams that may be rare seeds."""
+def _with_hits(
+    rows: DataFrame, column: str, at: int | None, rules: Rules, kinds: Sequence[int], sieve: np.ndarray
+) -> DataFrame:
+    """Documents with ``hits``, their n-grams that may be rare seeds.
+
+    The text is ``column``, or its field number ``at``: it goes to Python once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(sieve)
 
     def make():
@@ -374,14 +380,15 @@ def _with_hits(rows: DataFrame, rules: Rules, kinds: Sequence[int], sieve: np.nd
 
         def search(column: pa.Array):
             found = [[] for _ in range(len(column))]
-            texts = [plain_text(t) for t in column.to_pylist()]
+            texts = column if at is None else column.flatten()[at]
+            texts = [plain_text(t) for t in texts.to_pylist()]
             for i, words in words_of_texts(texts, powers):
                 found[i] = np.unique(sifted(rules.hashes(words, kinds), shared.value)).view(np.int64)
             return [found]
 
         return search
 
-    return append_columns(rows, "text", "hits array<bigint>", make)
+    return append_columns(rows, column, "hits array<bigint>", make)
 
 
 def _align_all(work: DataFrame, rules: Rules) -> DataFrame:
@@ -423,24 +430,32 @@ def _search(
     item_col: str,
     item_text_col: str,
     rules: Rules,
-    keep_all: bool,
+    whole_text: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The staged documents, numbered ``n``, and ``n, item_id, score, first_word, last_word``.
 
-    Without ``keep_all`` only documents with a hit are staged.
+    With ``whole_text``, all are staged and this is the text in their ``row``; otherwise
+    only documents with a hit are, and the text is ``text``. Each text is held once and
+    goes to Python with few others.
     """
+    keep_all = whole_text is not None
+    text, column, at = F.col("text"), "text", None
+    if keep_all:
+        fields = rows.schema["row"].dataType.names
+        exact = whole_text if whole_text in fields else next(f for f in fields if f.lower() == whole_text.lower())
+        text, column, at = F.col("row").getField(exact), "row", fields.index(exact)
     items = stage(benchmark_items(benchmark, item_col, item_text_col), "benchmark_items")
     parts = items.select("item_no", F.explode("segments").alias("words"))
     segments = stage(parts.withColumn("s", F.monotonically_increasing_id()), "benchmark_segments")
     seeds = stage(segment_seeds(segments, rules), "benchmark_seeds")
     kinds = [r["kind"] for r in seeds.select("kind").distinct().collect()]
-    counts = count_ngrams(rows, rules, kinds, build_sieve(seeds))
-    rare = stage(rare_seeds(seeds, counts), "benchmark_rare_seeds")
+    counts = count_ngrams(rows.select(text.alias("text")), rules, kinds, build_sieve(seeds))
+    rare = stage(rare_seeds(seeds, counts), "benchmark_rare_seeds", BATCH_ROWS)
 
-    marked = _with_hits(rows, rules, kinds, build_sieve(rare))
+    marked = _with_hits(rows, column, at, rules, kinds, build_sieve(rare))
     if not keep_all:
         marked = marked.where(F.size("hits") > 0)
-    marked = stage(marked.withColumn("n", F.monotonically_increasing_id()), "documents_with_hits")
+    marked = stage(marked.withColumn("n", F.monotonically_increasing_id()), "documents_with_hits", BATCH_ROWS)
 
     hits = marked.select("n", F.explode("hits").alias("hash"))
     candidates = splittable_join(hits, rare, "hash", "inner").select("n", "s").distinct()
@@ -448,13 +463,15 @@ def _search(
     candidates = candidates.withColumn("part", F.floor((at - 1) / PART))
     owners = splittable_join(candidates, segments, "s", "inner")
     owners = owners.groupBy("n", "part").agg(F.collect_list(F.struct("s", "item_no", "words")).alias("owners"))
-    work = splittable_join(owners, marked.select("n", "text"), "n", "inner")
+    texts = marked.where(F.size("hits") > 0).select("n", text.alias("text"))
+    work = splittable_join(owners, texts, "n", "inner")
     best = _align_all(work, rules).groupBy("n", "item_no").agg(
         F.min(F.struct("low", "first_word", "last_word")).alias("best")
     )
     found = splittable_join(best, items.select("item_no", F.col("item").alias("item_id")), "item_no", "inner")
     leaks = found.select("n", "item_id", (-F.col("best.low")).alias("score"), "best.first_word", "best.last_word")
-    return marked, leaks
+    # What has moved goes before the documents are moved again.
+    return marked, stage(leaks, "benchmark_leaks", BATCH_ROWS)
 
 
 def with_leaks(
@@ -476,7 +493,7 @@ def with_leaks(
     words. ``score`` is the share of the best score in all cases.
     """
     rules = Rules(threshold, min_words, excerpt_words)
-    marked, leaks = _search(nest(docs, text=text_col), benchmark, item_col, item_text_col, rules, True)
+    marked, leaks = _search(nest(docs), benchmark, item_col, item_text_col, rules, text_col)
     own = F.struct("item_id", "score", "first_word", "last_word")
     lists = leaks.groupBy("n").agg(F.sort_array(F.collect_list(own)).alias("leaks"))
     none = F.array().cast(lists.schema["leaks"].dataType)
@@ -504,7 +521,7 @@ def find_leaks(
     """One row per document and item found in it; clean documents have none."""
     rules = Rules(threshold, min_words, excerpt_words)
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marked, leaks = _search(narrow, benchmark, item_col, item_text_col, rules, False)
+    marked, leaks = _search(narrow, benchmark, item_col, item_text_col, rules)
     found = leaks.join(marked.select("n", "id"), "n")
     return found.select(F.col("id").alias(id_col), "item_id", "score", "first_word", "last_word")
 
@@ -522,7 +539,7 @@ def drop_leaked(
 ) -> DataFrame:
     """The documents that hold no item, unchanged."""
     rules = Rules(threshold, min_words, excerpt_words)
-    marked, leaks = _search(nest(docs, text=text_col), benchmark, item_col, item_text_col, rules, True)
+    marked, leaks = _search(nest(docs), benchmark, item_col, item_text_col, rules, text_col)
     some = marked.where(F.size("hits") > 0).join(leaks.select("n").distinct(), "n", "left_anti")
     rest = marked.where(F.size("hits") == 0)
     return some.select("row.*").unionByName(rest.select("row.*"))
