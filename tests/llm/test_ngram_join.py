@@ -139,6 +139,15 @@ def test_classes_that_met_nobody_in_a_block_are_not_sent_again(spark):
     assert len(rounds) > 1 and 5 * rounds[-1] < max(rounds[0], 1000)
 
 
+def test_traversal_leaves_out_pairs_beyond_reach():
+    rng = np.random.default_rng(12)
+    bits = np.repeat(rng.integers(0, 1 << 63, (1, 32)).astype(np.uint64), 60, axis=0)
+    sizes, labels, reach = np.arange(2000, 2060), np.arange(60), np.arange(2000, 2060) + 30 * (np.arange(60) % 2)
+    tree = signature_tree.build(bits, sizes, labels, reach)
+    got = {(a, b) for i, j in signature_tree.dual_traversal(tree, None, 3, 4) for a, b in zip(i.tolist(), j.tolist())}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if reach[a] >= sizes[b] and reach[b] >= sizes[a]}
+
+
 def test_reach_covers_every_similar_size(spark):
     # Sets of a and b that first share an element after x of a and y of b.
     rows = [(n, x) for n in [*range(1, 60), 4097] for x in range(ngram_join.prefix_length(n, 3, 4))]
